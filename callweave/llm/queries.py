@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, sharding
+from . import langid, mixing, neighbours, packing, sharding, simhash, substring
 from .shared import table
 
 HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
@@ -30,10 +30,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(f"NOT ({HELD_OUT})"), by=F.xxhash64("doc_id"))
@@ -44,7 +57,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op8_substring": op8_substring,
+    "op9_neighbours": op9_neighbours,
     "op10_langid": op10_langid,
 }
 
