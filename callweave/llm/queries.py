@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, sharding, simhash, substring
+from . import langid, linededup, lm, mixing, neighbours, packing, sharding, simhash, substring
 from .shared import table
 
 HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
@@ -39,6 +39,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs)).drop("text")
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "lines", "lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -59,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op6_lm": op6_lm,
+    "op7_linededup": op7_linededup,
     "op8_substring": op8_substring,
     "op9_neighbours": op9_neighbours,
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_linededup": linededup.SQL}
