@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, lm, mixing, neighbours, packing, sharding, simhash, substring
+from . import langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
 from .shared import table
 
 HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
@@ -39,6 +39,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score(docs, lm.fit(docs)).drop("text")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_search": op5_search,
     "op6_lm": op6_lm,
     "op7_linededup": op7_linededup,
     "op8_substring": op8_substring,
