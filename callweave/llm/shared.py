@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: A side of more rows than this is never broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def by_value(name: str) -> None:
@@ -45,6 +47,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast only if it is small; ``df`` must be cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop the columns that an operator is about to add; its own columns win over an input's of the same name."""
     return df.drop(*[c for c in df.columns if c in set(names)])
@@ -66,8 +73,4 @@ def gapless(df: DataFrame, key: str, out: str, order: list[str], buckets: int =
     return numbered.join(shifts, same, "left").withColumn(out, (F.col("_i") - 1 + F.col("_shift")).cast("long")).drop("_b", "_k", "_kb", "_i", "_shift")
 
 
-def crc32(col: Column) -> Column:
-    return F.crc32(col)
-
-
 by_value(__name__)

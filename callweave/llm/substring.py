@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_value, cut, written
+from .shared import by_value, cut, maybe_broadcast, written
 
 WINDOW = 50
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -81,6 +81,11 @@ def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def short(sha: str) -> int:
+    """The first 63 bits of a digest: with the id it names one text, and is narrower in a shuffle."""
+    return int(sha[:16], 16) >> 1
+
+
 def _raw(column) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
 
@@ -130,7 +135,7 @@ def _windows(window: int):
                 if len(start):
                     n = len(start)
                     h1, h2 = rolling(w, window, BASES[0])[start], rolling(mixed(w + np.uint64(1)), window, BASES[1])[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.slice(i, 1).take(pa.array(np.zeros(n, np.int64))), pa.array([digest(words)] * n), pa.array(start.astype(np.int32))], ["h1", "h2", "doc_id", "sha", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.slice(i, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, short(digest(words)))), pa.array(start.astype(np.int32))], ["h1", "h2", "doc_id", "sig", "start"])
 
     return run
 
@@ -147,10 +152,10 @@ def _strip(window: int):
                 gone = np.cumsum(mark)[:-1] > 0
                 kept = [w for w, x in zip(words, gone.tolist()) if not x]
                 removed.append(int(gone.sum()))
-                before.append(digest(words))
+                before.append(short(digest(words)))
                 shas.append(digest(kept))
                 texts.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "sha", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "sig", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -195,11 +200,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     seen = written(docs.mapInArrow(_first(window), f"h long, doc_id {kind}, n_words long, sha string"))
     rows = seen.where("h IS NULL").select("doc_id", "n_words", "sha")
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    judged = cut(rows.join(first, "sha"))
+    sig = F.shiftrightunsigned(F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"), 1)  # as short()
+    judged = cut(rows.join(first, "sha").withColumn("sig", sig))
     # anchors of later exact copies need no look: the copy goes as a whole
     copies = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     marks = seen.where("h IS NOT NULL AND doc_id IS NOT NULL").select("h", "doc_id")
-    marks = marks.join(judged.where(copies).select("doc_id").distinct(), "doc_id", "left_anti")
+    marks = marks.join(maybe_broadcast(cut(judged.where(copies).select("doc_id").distinct())), "doc_id", "left_anti")
     index = index or RunIndex()
     bounds = sorted(set(judged.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     ends = [None, *bounds, None]
@@ -214,14 +220,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         hits = new if hits is None else hits.unionAll(new)
     shared = marks.join(cut(hits.distinct()), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("known"))  # no longer than the document
     again = written(docs.join(shared, "doc_id").select("doc_id", "text", "known"))
-    windows = written(again.mapInArrow(_windows(window), f"h1 long, h2 long, doc_id {kind}, sha string, start int"))
+    windows = written(again.mapInArrow(_windows(window), f"h1 long, h2 long, doc_id {kind}, sig long, start int"))
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "sha").agg(F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), "starts")
+    gone = windows.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "sig").agg(F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s"), "starts")
     texts = again.select("doc_id", "text").distinct()
-    stripped = texts.join(gone, F.col("doc_id") == F.col("_d")).where(F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256) == F.col("_s")).select("doc_id", "text", "starts").mapInArrow(_strip(window), f"doc_id {kind}, sha string, n_removed long, kept_sha256 string, kept_text string")
-    stripped = stripped.drop("kept_text").withColumnsRenamed({"doc_id": "_d", "sha": "_s"})
+    own = F.sha2(F.array_join(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), " "), 256)
+    of = F.shiftrightunsigned(F.conv(F.substring(own, 1, 16), 16, -10).cast("long"), 1)
+    stripped = texts.join(gone, F.col("doc_id") == F.col("_d")).where(of == F.col("_s")).select("doc_id", "text", "starts").mapInArrow(_strip(window), f"doc_id {kind}, sig long, n_removed long, kept_sha256 string, kept_text string")
+    stripped = stripped.drop("kept_text").withColumnsRenamed({"doc_id": "_d", "sig": "_s"})
     none = hashlib.sha256(b"").hexdigest()
-    out = judged.join(stripped, (F.col("doc_id") == F.col("_d")) & (F.col("sha") == F.col("_s")), "left")
+    out = judged.join(stripped, (F.col("doc_id") == F.col("_d")) & (F.col("sig") == F.col("_s")), "left")
     return out.select("doc_id", "n_words", F.when(copies, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copies, F.lit(none)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
 
 
