@@ -28,40 +28,54 @@ ENOUGH = 0.45
 
 
 class Forest:
+    """The trees' sorted arrays end to end: tree t's codes are led by t, so one search serves all trees."""
+
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 0):
         self.planes = np.random.default_rng(seed).standard_normal((trees, bits, vectors.shape[1])).astype(np.float32)
         self.trees, self.bits, self.n = trees, bits, len(vectors)
         codes = self.codes(vectors)
-        self.order = np.argsort(codes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=1)
+        order = np.argsort(codes, axis=1, kind="stable")
+        self.keys = np.take_along_axis(codes, order, axis=1).ravel()
+        self.order = order.ravel()
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         unit = (vectors / np.abs(vectors).max(1, keepdims=True)).astype(np.float32)
         weight = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
-        return np.stack([(unit @ p.T > 0) @ weight for p in self.planes])
-
-    def candidates(self, code: np.ndarray, enough: int) -> np.ndarray:
-        """Positions of the vectors under the longest common prefix length at which there are enough."""
-        seen = np.zeros(self.n, bool)
-        total = 0
-        start = self.bits
-        near = 0
-        for t in range(self.trees):  # descend: the longest prefix any tree matches
-            at = np.searchsorted(self.sorted[t], code[t])
-            for i in (at - 1, at):
-                if 0 <= i < self.n:
-                    near = max(near, self.bits - int(self.sorted[t][i] ^ code[t]).bit_length())
-        start = near
-        for level in range(start, -1, -1):  # ascend together
+        return np.stack([(unit @ p.T > 0) @ weight for p in self.planes]) + (np.arange(self.trees) << self.bits)[:, None]
+
+    def descend(self, codes: np.ndarray) -> np.ndarray:
+        """Of each query (column) the longest prefix that any tree matches."""
+        at = np.searchsorted(self.keys, codes)
+        near = np.zeros(codes.shape[1], np.int64)
+        for i in (np.maximum(at - 1, 0), np.minimum(at, len(self.keys) - 1)):
+            differ = self.keys[i] ^ codes
+            near = np.maximum(near, (self.bits - np.ceil(np.log2(differ + 1.0))).max(0).astype(np.int64))
+        return np.maximum(near, 0)
+
+    def candidates(self, codes: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query the vectors under the longest common prefix length at which there are enough."""
+        start, out = self.descend(codes), [None] * codes.shape[1]
+        left = np.arange(codes.shape[1])
+        for level in range(int(start.max(initial=0)), -1, -1):  # ascend together
             shift = self.bits - level
-            for t in range(self.trees):
-                low = (code[t] >> shift) << shift
-                a, b = np.searchsorted(self.sorted[t], (low, low + (1 << shift)))
-                seen[self.order[t, a:b]] = True
-            total = int(seen.sum())
-            if total >= enough:
+            low = (codes[:, left] >> shift) << shift
+            a, b = np.searchsorted(self.keys, low), np.searchsorted(self.keys, low + (1 << shift))
+            open_ = []
+            # the ranges' total bounds their union from above
+            for j, i in enumerate(left.tolist()):
+                if level == 0 or (b[:, j] - a[:, j]).sum() >= enough:
+                    seen = np.zeros(self.n, bool)
+                    for x, y in zip(a[:, j].tolist(), b[:, j].tolist()):
+                        seen[self.order[x:y]] = True
+                    found = np.flatnonzero(seen)
+                    if level == 0 or len(found) >= enough:
+                        out[i] = found
+                        continue
+                open_.append(i)
+            left = np.array(open_, np.int64)
+            if not len(left):
                 break
-        return np.flatnonzero(seen)
+        return out
 
 
 def best(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float, trees: int, bits: int) -> list[tuple[int, int, float]]:
@@ -70,16 +84,20 @@ def best(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
     by = np.lexsort((ids, group.ravel()))
     first = np.concatenate(([0], np.cumsum(np.bincount(group.ravel(), minlength=len(distinct)))))
     norms = np.sqrt((distinct * distinct).sum(1))
+    short = (distinct / norms[:, None]).astype(np.float32)
     forest = Forest(distinct, trees, bits)
-    codes = forest.codes(queries) if len(queries) else None
     out = []
-    for j, (q, own) in enumerate(zip(queries, query_ids.tolist())):
-        c = forest.candidates(codes[:, j], max(k + 1, math.ceil(share * len(distinct))))
-        score = (distinct[c] * q).sum(1) / (norms[c] * math.sqrt((q * q).sum()))
-        top = c[np.argsort(-score, kind="stable")[: k + 1]] if len(c) <= k + 1 else c[score >= np.partition(score, len(c) - k - 1)[len(c) - k - 1]]
-        value = dict(zip(c.tolist(), score.tolist()))
-        found = [(-value[g], i) for g in top.tolist() for i in ids[by[first[g] : min(first[g + 1], first[g] + k + 1)]].tolist() if i != own]
-        out += [(own, i, -s) for s, i in sorted(found)[:k]]
+    for lo in range(0, len(queries), 256):
+        part = queries[lo : lo + 256]
+        found = forest.candidates(forest.codes(part), max(k + 1, math.ceil(share * len(distinct))))
+        for q, own, c in zip(part, query_ids[lo : lo + 256].tolist(), found):
+            size = math.sqrt((q * q).sum())
+            near = short[c] @ (q / size).astype(np.float32)
+            if len(c) > k + 1:  # what single precision can't rule out is scored in double
+                c = c[near >= np.partition(near, len(c) - k - 1)[len(c) - k - 1] - 1e-5]
+            score = ((distinct[c] * q).sum(1) / (norms[c] * size)).tolist()
+            named = [(-s, i) for g, s in zip(c.tolist(), score) for i in ids[by[first[g] : min(first[g + 1], first[g] + k + 1)]].tolist() if i != own]
+            out += [(own, i, -s) for s, i in sorted(named)[:k]]
     return out
 
 
