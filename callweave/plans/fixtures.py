@@ -67,6 +67,8 @@ def _needed(sql: str) -> list[str]:
 
 def oracle(sql: str, recursive: bool = False) -> str:
     """``sql`` for DuckDB, led by the views it names. ``sql`` may itself begin with WITH."""
+    if not _needed(sql):
+        return sql.strip()
     parts = [f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', VIEWS[n])})" for n in _needed(sql)]
     body = sql.strip()
     if (m := re.match(r"WITH (RECURSIVE )?", body)) is not None:

@@ -1,10 +1,648 @@
-"""Registered queries over the driver's tables, and their SQL twins."""
+"""Registered queries over the driver's tables, and their SQL twins.
+
+``QUERIES`` run the operators on the fixture views; ``ORACLE_SQL`` says the same in plain
+SQL, written apart from the operators. Queries that SQL cannot express (sequential walks,
+text scanning) have no twin and are tested against models instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import calls as C
+from .operators import communities, exact
+from .operators import graph as G
+from .operators import overlays as O
+from .plans.fixtures import Fixtures, oracle
+from .sources import index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The fixture's graph questions start here; the churn window ends here.
+TARGET, ANCHOR, DEPTH = "fn7", "1998-08-02", 12
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Fixtures], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = oracle(sql)
+        return f
+
+    return register
+
+
+def long(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def symbols(fx: Fixtures) -> DataFrame:
+    return fx.symbols.withColumn("seq", F.col("sym_id"))
+
+
+def conditionals(fx: Fixtures) -> DataFrame:
+    # source order: by file, line, the shorter first, then kind
+    return fx.conditionals.withColumn("seq", F.struct("line", "end_line", "kind", "branches"))
+
+
+def edges_of(fx: Fixtures) -> DataFrame:
+    return C.call_edges(fx.call_sites, symbols(fx), fx.imports)
+
+
+def entry_of(fx: Fixtures) -> str:
+    return fx.symbols.agg(F.min_by("node_id", "sym_id")).first()[0]
+
+
+def starts(fx: Fixtures) -> DataFrame:
+    return fx.symbols.agg(F.min_by("node_id", "sym_id").alias("node_id"))
+
+
+# SQL that several twins share.
+ENCLOSED = """enc AS (SELECT * FROM (SELECT c.*, s.node_id, s.name AS sym_name, row_number() OVER (PARTITION BY c.file_path, c.line, c.col_no, c.callee_name ORDER BY {order}) AS r
+  FROM fx_call_sites c JOIN fx_symbols s ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end) x WHERE r = 1)"""
+SMALLEST, FIRST = ENCLOSED.format(order="s.body_end - s.body_start, s.sym_id"), ENCLOSED.format(order="s.sym_id")
+# no receiver in the fixture is a symbol or a file, so dotted calls resolve by import, then in their own file
+RESOLVED = """cand AS (SELECT c.file_path, c.callee_name, s.node_id, s.sym_id, s.file_path = c.file_path AS own, contains(c.callee_name, '.') AS dotted,
+    EXISTS (SELECT 1 FROM fx_imports i WHERE i.file_path = c.file_path AND contains(s.file_path, regexp_replace(i.source, '^[.][.]?/', ''))) AS via
+  FROM (SELECT DISTINCT file_path, callee_name FROM fx_call_sites) c JOIN fx_symbols s ON s.name = regexp_replace(c.callee_name, '^.*[.]', '')),
+res AS (SELECT file_path, callee_name, node_id AS target FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_path, callee_name ORDER BY CASE WHEN dotted THEN (CASE WHEN via THEN 0 WHEN own THEN 1 ELSE 2 END) ELSE (CASE WHEN own THEN 0 ELSE 1 END) END, sym_id) AS r FROM cand WHERE NOT dotted OR via OR own) x WHERE r = 1)"""
+EDGES = f"{SMALLEST},\n{RESOLVED},\nedges AS MATERIALIZED (SELECT DISTINCT e.node_id AS source_id, r.target AS target_id FROM enc e JOIN res r USING (file_path, callee_name))"
+START = "(SELECT arg_min(node_id, sym_id) AS node_id FROM fx_symbols)"
+
+
+def reach(start: str, down: bool = True, name: str = "reach", depth: int = DEPTH) -> str:
+    a, b = ("source_id", "target_id") if down else ("target_id", "source_id")
+    return f"{name}_all(node_id, dist) AS (SELECT node_id, CAST(0 AS BIGINT) FROM {start} UNION SELECT {b}, dist + 1 FROM {name}_all JOIN edges ON {a} = node_id WHERE dist < {depth}),\n{name} AS (SELECT node_id, min(dist) AS dist FROM {name}_all GROUP BY node_id)"
+
+
+def with_edges(sql: str) -> str:
+    return f"WITH RECURSIVE {EDGES},\n{sql}"
+
+
+# Index and joins.
+
+
+@query(f"""WITH {EDGES}, x AS (SELECT s.node_id, CAST(1 + coalesce(sum(greatest(c.branches - 1, 0)), 0) AS BIGINT) AS complexity
+  FROM fx_symbols s LEFT JOIN fx_conditionals c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end WHERE s.kind IN ('function', 'method') GROUP BY s.node_id)
+SELECT node_id, complexity, (SELECT count(*) FROM edges WHERE target_id = node_id) AS callers, (SELECT count(*) FROM edges WHERE source_id = node_id) AS callees FROM x""")
+def callable_profile(fx: Fixtures) -> DataFrame:
+    e = edges_of(fx)
+    into = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("callers"))
+    out = e.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("callees"))
+    n = O.complexity(symbols(fx), fx.conditionals).join(into, "node_id", "left").join(out, "node_id", "left")
+    return n.select("node_id", "complexity", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))
+
+
+@query("SELECT CASE WHEN kind IN ('function', 'method') THEN kind ELSE 'function' END AS node_kind, kind, count(*) AS n FROM fx_symbols GROUP BY ALL")
+def symbols_by_kind(fx: Fixtures) -> DataFrame:
+    kind = F.when(F.col("kind").isin(*O.CALLABLE), F.col("kind")).otherwise("function")
+    return fx.symbols.groupBy(kind.alias("node_kind"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, kind, file_path FROM fx_exports")
+def exports_public(fx: Fixtures) -> DataFrame:
+    return fx.symbols.where("visibility = 'public'").select("name", "kind", "file_path")
+
+
+@query("SELECT name AS lookup, node_id FROM fx_symbols UNION ALL SELECT qualified_name, node_id FROM fx_symbols WHERE qualified_name <> name")
+def name_lookup_union(fx: Fixtures) -> DataFrame:
+    return I.name_lookup(fx.symbols)
+
+
+@query("""SELECT name, file_path, line FROM fx_symbols s WHERE NOT regexp_matches(file_path, '/f[0-4][.]ts$')
+UNION ALL SELECT concat(name, '_v2'), file_path, line + 1 FROM fx_symbols WHERE regexp_matches(file_path, '/f[0-4][.]ts$') AND sym_id % 2 = 0""")
+def update_index_replace(fx: Fixtures) -> DataFrame:
+    old = fx.symbols.select("name", "file_path", "line", "sym_id")
+    hit = old.where(F.col("file_path").rlike(r"/f[0-4]\.ts$"))
+    new = hit.where("sym_id % 2 = 0").select(F.concat("name", F.lit("_v2")).alias("name"), "file_path", (F.col("line") + 1).alias("line"), "sym_id")
+    return I.replace_files(old, new, hit).select("name", "file_path", "line")
+
+
+@query("SELECT c.file_path, c.line, c.col_no, c.callee_name, s.node_id FROM fx_call_sites c JOIN fx_symbols s ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end")
+def calls_in_body(fx: Fixtures) -> DataFrame:
+    return C.in_body(fx.call_sites, fx.symbols).select("file_path", "line", "col_no", "callee_name", F.col("sym_node_id").alias("node_id"))
+
+
+@query("SELECT c.file_path, c.line, c.end_line, c.kind, c.branches, s.node_id FROM fx_conditionals c JOIN fx_symbols s ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end")
+def conditionals_in_body(fx: Fixtures) -> DataFrame:
+    return C.in_body(fx.conditionals, fx.symbols).select("file_path", "line", "end_line", "kind", "branches", F.col("sym_node_id").alias("node_id"))
+
+
+@query(f"WITH {SMALLEST} SELECT file_path, line, col_no, callee_name, node_id FROM enc")
+def enclosing_smallest(fx: Fixtures) -> DataFrame:
+    return C.enclosing(fx.call_sites, symbols(fx), fx.call_sites.columns).select("file_path", "line", "col_no", "callee_name", F.col("sym_node_id").alias("node_id"))
+
+
+@query(f"WITH {FIRST} SELECT file_path, line, col_no, callee_name, node_id FROM enc")
+def enclosing_first(fx: Fixtures) -> DataFrame:
+    return C.enclosing(fx.call_sites, symbols(fx), fx.call_sites.columns, "first").select("file_path", "line", "col_no", "callee_name", F.col("sym_node_id").alias("node_id"))
+
+
+@query(f"WITH {RESOLVED} SELECT c.file_path, c.line, c.col_no, c.callee_name, r.target FROM fx_call_sites c LEFT JOIN res r USING (file_path, callee_name)")
+def resolve_calls_graph(fx: Fixtures) -> DataFrame:
+    return C.resolve_calls(fx.call_sites, symbols(fx), fx.imports)
+
+
+@query("""WITH names AS (SELECT name AS n, file_path, node_id, sym_id FROM fx_symbols UNION ALL SELECT qualified_name, file_path, node_id, sym_id FROM fx_symbols WHERE qualified_name <> name),
+asked AS (SELECT DISTINCT file_path, callee_name FROM fx_call_sites),
+hits AS (SELECT a.file_path, a.callee_name, n.node_id, n.sym_id,
+    CASE WHEN n.file_path = a.file_path THEN 1 WHEN EXISTS (SELECT 1 FROM fx_imports i WHERE i.file_path = a.file_path AND i.specifier = a.callee_name) THEN 2
+         WHEN EXISTS (SELECT 1 FROM fx_imports i WHERE i.file_path = a.file_path AND contains(n.file_path, regexp_replace(i.source, '^[.][.]?/', ''))) THEN 3 END AS k
+  FROM asked a JOIN names n ON n.n = a.callee_name
+  UNION ALL SELECT a.file_path, a.callee_name, s.node_id, s.sym_id, 4 FROM asked a JOIN fx_symbols s ON contains(a.callee_name, '.') AND contains(s.qualified_name, '.') AND regexp_replace(s.qualified_name, '^.*[.]', '') = regexp_replace(a.callee_name, '^.*[.]', '')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path, callee_name ORDER BY k, sym_id) AS r FROM hits WHERE k IS NOT NULL) x WHERE r = 1)
+SELECT c.file_path, c.line, c.col_no, c.callee_name, b.node_id AS target FROM fx_call_sites c LEFT JOIN best b USING (file_path, callee_name)""")
+def resolve_calls_native(fx: Fixtures) -> DataFrame:
+    return C.resolve_native(fx.call_sites, symbols(fx), fx.imports)
+
+
+@query(f"WITH {EDGES} SELECT source_id, target_id FROM edges")
+def call_edges(fx: Fixtures) -> DataFrame:
+    return edges_of(fx)
+
+
+@query(f"WITH {FIRST} SELECT DISTINCT node_id AS caller_id, sym_name AS caller_name FROM enc WHERE callee_name = '{TARGET}' AND sym_name <> '{TARGET}'")
+def callers_of(fx: Fixtures) -> DataFrame:
+    return C.callers_of(TARGET, fx.call_sites, symbols(fx))
+
+
+@query(f"WITH {SMALLEST} SELECT DISTINCT node_id AS caller_id, sym_name AS caller_name FROM enc WHERE callee_name = '{TARGET}'")
+def callers_of_traced(fx: Fixtures) -> DataFrame:
+    return C.callers_of(TARGET, fx.call_sites, symbols(fx), keep_self=True, mode="smallest")
+
+
+@query("""SELECT DISTINCT s.node_id AS caller_id, t.node_id AS callee_id FROM fx_symbols s JOIN fx_call_sites c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end
+JOIN fx_symbols t ON t.name = c.callee_name WHERE s.sym_id % 10 = 0""")
+def callees_of(fx: Fixtures) -> DataFrame:
+    # Every tenth symbol is a class: its callees are what the model asks of it
+    return C.callees_in(fx.symbols, fx.call_sites, F.col("kind") == "class")
+
+
+@query("""SELECT s.node_id, coalesce(i.node_id, s.node_id) AS impl_id FROM fx_symbols s
+LEFT JOIN fx_symbols i ON s.body_start = s.body_end AND i.name = s.name AND i.body_start <> i.body_end AND i.node_id <> s.node_id""")
+def interface_dispatch(fx: Fixtures) -> DataFrame:
+    return C.dispatch(fx.symbols, fx.symbols)
+
+
+ROUTED = """routed AS (SELECT c.file_path, c.line, c.col_no, c.callee_name, s.node_id,
+    (SELECT arg_min(k.line, (k.line, k.end_line, k.kind, k.branches)) FROM fx_conditionals k WHERE k.file_path = s.file_path AND k.branches > 1 AND k.line BETWEEN s.body_start AND s.body_end AND c.line BETWEEN k.line AND k.end_line) AS route_line
+  FROM fx_call_sites c JOIN fx_symbols s ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end)"""
+
+
+@query(f"WITH {ROUTED} SELECT * FROM routed")
+def conditional_routing(fx: Fixtures) -> DataFrame:
+    return C.route(fx.call_sites, conditionals(fx), symbols(fx)).withColumnRenamed("sym_node_id", "node_id")
+
+
+def _flow(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """A graph with conditional and unresolved nodes: each body's conditionals, and its calls routed through them."""
+    conds = C.in_body(fx.conditionals, symbols(fx)).select(F.col("sym_node_id").alias("owner"), F.concat_ws(":", "file_path", F.col("line").cast("string"), F.lit("cond")).alias("cond_id")).distinct()
+    res = C.resolve_calls(fx.call_sites, symbols(fx), fx.imports)
+    routed = C.route(fx.call_sites, conditionals(fx), symbols(fx)).join(res, fx.call_sites.columns)
+    source = F.when(F.col("route_line").isNotNull(), F.concat_ws(":", "file_path", F.col("route_line").cast("string"), F.lit("cond"))).otherwise(F.col("sym_node_id"))
+    leaf = F.concat_ws(":", "file_path", F.col("line").cast("string"), "callee_name")
+    flow = routed.select(source.alias("source_id"), F.coalesce("target", leaf).alias("target_id"), F.col("target").isNull().alias("lost"))
+    edges = flow.select("source_id", "target_id").unionAll(conds.select(F.col("owner").alias("source_id"), F.col("cond_id").alias("target_id"))).distinct()
+    nodes = fx.symbols.select("node_id", F.lit("function").alias("kind")).unionAll(conds.select(F.col("cond_id").alias("node_id"), F.lit("conditional").alias("kind"))).unionAll(flow.where("lost").select(F.col("target_id").alias("node_id"), F.lit("unresolved").alias("kind")))
+    return nodes.distinct(), edges
+
+
+FLOW = f"""{RESOLVED}, {ROUTED},
+conds AS (SELECT DISTINCT s.node_id AS owner, concat(c.file_path, ':', c.line, ':cond') AS cond_id FROM fx_conditionals c JOIN fx_symbols s ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end),
+flow AS (SELECT CASE WHEN route_line IS NOT NULL THEN concat(file_path, ':', route_line, ':cond') ELSE node_id END AS source_id, coalesce(target, concat(file_path, ':', line, ':', callee_name)) AS target_id, target IS NULL AS lost FROM routed LEFT JOIN res USING (file_path, callee_name)),
+live AS (SELECT DISTINCT source_id FROM flow WHERE NOT lost)"""
+
+
+@query(f"""WITH {FLOW} SELECT node_id, 'function' AS kind FROM fx_symbols UNION SELECT cond_id, 'conditional' FROM conds WHERE cond_id IN (SELECT source_id FROM live) UNION SELECT target_id, 'unresolved' FROM flow WHERE lost""")
+def prune_conditionals(fx: Fixtures) -> DataFrame:
+    return G.prune_conditionals(*_flow(fx))[0]
+
+
+@query(f"""WITH {FLOW} SELECT source_id, target_id FROM flow WHERE NOT lost UNION SELECT owner, cond_id FROM conds""")
+def drop_unresolved(fx: Fixtures) -> DataFrame:
+    return G.drop_unresolved(*_flow(fx))[1]
+
+
+# Overlays.
+
+
+@query("""SELECT s.node_id, CAST(1 + coalesce(sum(greatest(c.branches - 1, 0)), 0) AS BIGINT) AS complexity
+FROM fx_symbols s LEFT JOIN fx_conditionals c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end WHERE s.kind IN ('function', 'method') GROUP BY s.node_id""")
+def complexity(fx: Fixtures) -> DataFrame:
+    return O.complexity(symbols(fx), fx.conditionals)
+
+
+@query("""WITH x AS (SELECT s.node_id, 1 + coalesce(sum(greatest(c.branches - 1, 0)), 0) AS c FROM fx_symbols s LEFT JOIN fx_conditionals c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end
+  WHERE s.kind IN ('function', 'method') GROUP BY s.node_id) SELECT CASE WHEN c <= 5 THEN 'low' WHEN c <= 10 THEN 'medium' ELSE 'high' END AS tier, count(*) AS n FROM x GROUP BY ALL""")
+def complexity_tiers(fx: Fixtures) -> DataFrame:
+    return O.complexity(symbols(fx), fx.conditionals).groupBy(T.complexity_tier(F.col("complexity")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s.node_id, s.name, s.file_path, s.line FROM fx_symbols s WHERE s.kind IN ('function', 'method') AND lower(s.name) NOT IN ('main', 'constructor', 'init', 'setup', 'teardown')
+AND NOT EXISTS (SELECT 1 FROM fx_call_sites c WHERE c.callee_name = s.name) AND NOT EXISTS (SELECT 1 FROM fx_exports e WHERE e.name = s.name)""")
+def dead_code(fx: Fixtures) -> DataFrame:
+    return O.dead_code(fx.symbols, fx.call_sites, fx.exports).select("node_id", "name", "file_path", "line")
+
+
+COVERED = """cov AS (SELECT s.node_id, count(*) FILTER (h.hits > 0) AS covered, count(*) AS total FROM fx_symbols s JOIN fx_line_hits h ON h.file_path = s.file_path AND h.line BETWEEN s.line AND s.line + 499 WHERE s.kind IN ('function', 'method') GROUP BY s.node_id)"""
+
+
+@query(f"WITH {COVERED} SELECT node_id, covered, total, round(covered / CAST(total AS DOUBLE), 9) AS ratio FROM cov")
+def coverage_lines(fx: Fixtures) -> DataFrame:
+    return O.coverage(fx.symbols, fx.line_hits).select("node_id", "covered", "total", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"WITH {COVERED} SELECT CASE WHEN covered / CAST(total AS DOUBLE) > 0.8 THEN 'covered' WHEN covered / CAST(total AS DOUBLE) >= 0.2 THEN 'partial' ELSE 'uncovered' END AS tier, count(*) AS n FROM cov GROUP BY ALL")
+def coverage_tiers(fx: Fixtures) -> DataFrame:
+    return O.coverage(fx.symbols, fx.line_hits).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s.file_path, concat('/build/', s.file_path) AS reported_path FROM (SELECT DISTINCT file_path FROM fx_symbols) s WHERE EXISTS (SELECT 1 FROM fx_line_hits h WHERE h.file_path = s.file_path)""")
+def coverage_paths(fx: Fixtures) -> DataFrame:
+    reported = fx.line_hits.groupBy(F.concat(F.lit("/build/"), "file_path").alias("file_path")).agg(F.min("line").alias("seq"))
+    return O.match_paths(fx.symbols, reported)
+
+
+MODIFIED = "(SELECT DISTINCT s.node_id FROM fx_symbols s JOIN fx_hunks h ON s.file_path = h.file_path AND s.line BETWEEN h.start_line AND h.end_line)"
+
+
+@query(f"SELECT node_id FROM {MODIFIED} m")
+def diff_modified_nodes(fx: Fixtures) -> DataFrame:
+    return O.modified_nodes(fx.symbols, fx.hunks).select("node_id")
+
+
+@query(f"""SELECT file_path, CAST(count(*) FILTER (author_ts >= TIMESTAMP '{ANCHOR}' - INTERVAL 90 DAYS) AS BIGINT) AS churn FROM fx_commits GROUP BY file_path""")
+def churn_window(fx: Fixtures) -> DataFrame:
+    return O.churn(fx.commits, F.lit(ANCHOR).cast("timestamp")).select("file_path", "churn")
+
+
+@query("SELECT file_path, CAST(max(author_ts) AS VARCHAR) AS last_modified FROM fx_commits GROUP BY file_path")
+def last_modified(fx: Fixtures) -> DataFrame:
+    return O.churn(fx.commits, F.lit(ANCHOR).cast("timestamp")).select("file_path", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
+
+
+@query("SELECT file_path, min(author_ts) FILTER (status = 'A') >= TIMESTAMP '1992-02-01' - INTERVAL 30 DAYS AS recently_added FROM fx_commits GROUP BY file_path")
+def recently_added(fx: Fixtures) -> DataFrame:
+    return O.churn(fx.commits, F.lit("1992-02-01").cast("timestamp"), 30).select("file_path", "recently_added")
+
+
+@query("SELECT a.id, a.node_id, a.author FROM fx_annotations a WHERE NOT EXISTS (SELECT 1 FROM fx_symbols s WHERE s.node_id = a.node_id)")
+def orphan_annotations(fx: Fixtures) -> DataFrame:
+    return O.orphan_annotations(fx.annotations, fx.symbols).select("id", "node_id", "author")
+
+
+@query("SELECT node_id, arg_max(text, id) AS text, arg_max(author, id) AS author FROM fx_annotations GROUP BY node_id")
+def latest_annotation(fx: Fixtures) -> DataFrame:
+    return O.latest_annotation(fx.annotations)
+
+
+@query("""WITH new AS (SELECT id, node_id, 'seen' AS text, author FROM fx_annotations WHERE id % 7 = 0)
+SELECT id, node_id, text, author FROM new UNION ALL SELECT id, node_id, text, author FROM fx_annotations a WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.node_id = a.node_id)""")
+def annotation_upsert(fx: Fixtures) -> DataFrame:
+    old = fx.annotations.select("id", "node_id", "text", "author")
+    return O.upsert_annotations(old, old.where("id % 7 = 0").withColumn("text", F.lit("seen")))
+
+
+@query("""SELECT path, size, mtime FROM (SELECT *, sum(size) OVER (ORDER BY mtime DESC, path DESC ROWS UNBOUNDED PRECEDING) AS kept FROM
+ (SELECT concat('c', CAST(o_orderkey AS VARCHAR(20))) AS path, CAST(o_orderkey % 1000 AS BIGINT) AS size, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS mtime FROM orders)) WHERE kept > 1000000""")
+def cache_eviction(fx: Fixtures) -> DataFrame:
+    files = fx.table("orders").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("path"), long(F.col("o_orderkey") % 1000).alias("size"), F.to_date("o_orderdate").alias("mtime"))
+    return O.evicted(files, 1_000_000).select("path", "size", F.col("mtime").cast("string").alias("mtime"))
+
+
+# Graph loops.
+
+
+@query(with_edges(f"{reach(START)} SELECT node_id, dist FROM reach"))
+def reach_downstream(fx: Fixtures) -> DataFrame:
+    return G.bfs(edges_of(fx), starts(fx), DEPTH)
+
+
+# upstream follows exact callee text and the first-inserted enclosing symbol, not the resolved edges
+UP = f"""WITH RECURSIVE {FIRST}, edges AS MATERIALIZED (SELECT DISTINCT e.node_id AS source_id, t.node_id AS target_id FROM enc e JOIN fx_symbols t ON t.name = e.callee_name WHERE t.node_id <> e.node_id),"""
+
+
+def up_edges(fx: Fixtures) -> DataFrame:
+    s = symbols(fx)
+    around = C.enclosing(fx.call_sites, s, fx.call_sites.columns, "first").select("callee_name", F.col("sym_node_id").alias("source_id"))
+    return around.join(s.select(F.col("name").alias("callee_name"), F.col("node_id").alias("target_id")), "callee_name").where("source_id <> target_id").select("source_id", "target_id").distinct()
+
+
+@query(f"{UP} {reach(START, down=False, depth=4)} SELECT node_id, dist FROM reach")
+def reach_upstream(fx: Fixtures) -> DataFrame:
+    return G.bfs(up_edges(fx), starts(fx), 4, reverse=True)
+
+
+@query(with_edges(f"{reach(MODIFIED, down=False)} SELECT node_id, dist FROM reach"))
+def blast_radius(fx: Fixtures) -> DataFrame:
+    return G.blast_radius(edges_of(fx), O.modified_nodes(fx.symbols, fx.hunks))
+
+
+@query(with_edges(f"{reach(MODIFIED, down=False)} SELECT node_id FROM reach WHERE NOT EXISTS (SELECT 1 FROM edges WHERE target_id = node_id) AND node_id <> (SELECT node_id FROM {START} s)"))
+def external_dependents(fx: Fixtures) -> DataFrame:
+    e = G.checkpointed(edges_of(fx))
+    return G.external_dependents(G.blast_radius(e, O.modified_nodes(fx.symbols, fx.hunks)), e, entry_of(fx))
+
+
+@query(with_edges(f"{reach(START)} SELECT CAST(max(dist) AS BIGINT) AS max_depth FROM reach"))
+def max_depth(fx: Fixtures) -> DataFrame:
+    return fx.spark.createDataFrame([(G.max_depth(edges_of(fx), entry_of(fx)),)], "max_depth long")
+
+
+@query(with_edges(f"{reach(START)} SELECT r.node_id, r.dist FROM reach r WHERE dist >= 3 AND EXISTS (SELECT 1 FROM edges WHERE source_id = r.node_id AND target_id <> r.node_id)"))
+def auto_collapsed(fx: Fixtures) -> DataFrame:
+    return G.auto_collapsed(G.checkpointed(edges_of(fx)), entry_of(fx), 3)
+
+
+@query(with_edges("""c(origin, node_id, d) AS (SELECT source_id, target_id, 1 FROM edges UNION SELECT origin, target_id, d + 1 FROM c JOIN edges ON source_id = c.node_id WHERE d < 2),
+n AS (SELECT origin, count(DISTINCT node_id) AS n FROM c GROUP BY origin) SELECT s.node_id, coalesce(n.n, 0) AS descendants FROM fx_symbols s LEFT JOIN n ON n.origin = s.node_id"""))
+def descendant_counts(fx: Fixtures) -> DataFrame:
+    return G.descendant_counts(edges_of(fx), fx.symbols, depth=2)
+
+
+@query(with_edges(f"{reach(START)} SELECT t.node_id AS target_id, r.dist AS path_length FROM reach r JOIN fx_symbols t ON t.node_id = r.node_id WHERE t.name = '{TARGET}'"))
+def shortest_path_len(fx: Fixtures) -> DataFrame:
+    near = G.bfs(edges_of(fx), starts(fx))
+    return near.join(fx.symbols.where(F.col("name") == TARGET).select("node_id"), "node_id").select(F.col("node_id").alias("target_id"), F.col("dist").alias("path_length"))
+
+
+@query(with_edges(f"hidden AS (SELECT node_id FROM fx_symbols WHERE visibility = 'private'), seen(node_id) AS (SELECT node_id FROM {START} s UNION SELECT target_id FROM seen JOIN edges ON source_id = node_id WHERE node_id NOT IN (SELECT node_id FROM hidden)) SELECT node_id FROM seen"))
+def visible_nodes(fx: Fixtures) -> DataFrame:
+    return G.visible_nodes(edges_of(fx), entry_of(fx), fx.symbols.where("visibility = 'private'"))
+
+
+@query(f"WITH {EDGES} SELECT 'caller' AS direction, source_id AS node_id FROM edges JOIN {START} s ON target_id = node_id UNION SELECT 'callee', target_id FROM edges JOIN {START} s ON source_id = node_id")
+def one_hop(fx: Fixtures) -> DataFrame:
+    return G.neighbours(edges_of(fx), entry_of(fx))
+
+
+@query(f"""{UP} {reach(START, down=False, depth=2, name="up")}, {EDGES.replace("edges AS", "down_edges AS").replace("enc AS", "enc2 AS").replace("FROM enc e", "FROM enc2 e")},
+down_all(node_id, dist) AS (SELECT node_id, 0 FROM {START} s UNION SELECT target_id, dist + 1 FROM down_all JOIN down_edges ON source_id = node_id WHERE dist < 2)
+SELECT node_id, 'downstream' AS side FROM down_all UNION SELECT node_id, 'upstream' FROM up WHERE node_id NOT IN (SELECT node_id FROM down_all)""")
+def bidirectional_union(fx: Fixtures) -> DataFrame:
+    e, u = edges_of(fx), up_edges(fx)
+    down = G.bfs(e, starts(fx), 2).select("node_id", F.lit("downstream").alias("side"))
+    up = G.bfs(u, starts(fx), 2, reverse=True).select("node_id", F.lit("upstream").alias("side"))
+    kind = F.lit("call").alias("kind")
+    return G.union_graphs(down, up, e.select("*", kind), u.select("*", kind))[0]
+
+
+# Condition trace and data flow.
+WORD = "fn12"
+DIRECT = f"""{SMALLEST}, named AS (SELECT node_id, line, 1 AS pass FROM fx_symbols WHERE contains(lower(name), '{WORD}')),
+direct AS (SELECT node_id, arg_min(line, (pass, line)) AS line FROM (SELECT * FROM named UNION ALL SELECT node_id, line, 2 FROM enc WHERE contains(lower(callee_name), '{WORD}')) x GROUP BY node_id)"""
+
+
+def direct_matches(fx: Fixtures) -> DataFrame:
+    s = symbols(fx)
+    named = s.where(F.lower("name").contains(WORD)).select("node_id", "line", F.lit(1).alias("pass"))
+    hit = fx.call_sites.where(F.lower("callee_name").contains(WORD))
+    called = C.enclosing(hit, s, hit.columns).select(F.col("sym_node_id").alias("node_id"), "line", F.lit(2).alias("pass"))
+    return named.unionAll(called).groupBy("node_id").agg(F.min_by("line", F.struct("pass", "line")).alias("line"))
+
+
+@query(f"WITH {DIRECT} SELECT node_id, line, 'direct_evaluation' AS match_type FROM direct")
+def condition_direct(fx: Fixtures) -> DataFrame:
+    return direct_matches(fx).withColumn("match_type", F.lit("direct_evaluation"))
+
+
+TRACED = f"""WITH RECURSIVE {DIRECT}, edges AS MATERIALIZED (SELECT DISTINCT e.node_id AS source_id, t.node_id AS target_id FROM enc e JOIN fx_symbols t ON t.name = e.callee_name),"""
+
+
+@query(f"{TRACED} {reach('direct', down=False, depth=10)} SELECT r.node_id, r.dist, CASE WHEN regexp_matches(lower(s.name), '^(get|calculate|compute|fetch)') THEN 'return_value' ELSE 'parameter_pass' END AS match_type FROM reach r JOIN fx_symbols s USING (node_id) WHERE dist > 0")
+def condition_transitive(fx: Fixtures) -> DataFrame:
+    s = symbols(fx)
+    around = C.enclosing(fx.call_sites, s, fx.call_sites.columns).select("callee_name", F.col("sym_node_id").alias("source_id"))
+    callers = around.join(s.select(F.col("name").alias("callee_name"), F.col("node_id").alias("target_id")), "callee_name").select("source_id", "target_id")
+    found = G.condition_closure(fx.spark, direct_matches(fx), callers)
+    return found.join(s.select("node_id", "name"), "node_id").select("node_id", "dist", T.transitive_match(F.col("name")).alias("match_type"))
+
+
+_SINKS = " ".join(f"WHEN {' OR '.join(f"contains(n, '{p.lower()}')" for p in parts)} THEN '{kind}'" for kind, parts in T.SINKS)
+
+
+@query(f"SELECT text, n AS lowered, CASE {_SINKS} END AS sink FROM (SELECT DISTINCT w AS text, lower(w) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents))")
+def sink_detection(fx: Fixtures) -> DataFrame:
+    words = fx.table("documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("text")).distinct()
+    return words.select("text", F.lower("text").alias("lowered"), T.sink(F.col("text"), F.col("text")).alias("sink"))
+
+
+# Clusters.
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edges WHERE source_id <> target_id")
+def undirected_edges(fx: Fixtures) -> DataFrame:
+    return O.undirected(edges_of(fx), fx.symbols)
+
+
+PAIRS = f"{EDGES}, pairs AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edges WHERE source_id <> target_id), deg AS (SELECT node_id, count(*) AS k FROM (SELECT a AS node_id FROM pairs UNION ALL SELECT b FROM pairs) x GROUP BY node_id)"
+CLUSTER = "cl AS (SELECT node_id, sym_id % 5 AS cluster, name, file_path, sym_id FROM fx_symbols)"
+
+
+def given_clusters(fx: Fixtures) -> DataFrame:
+    return fx.symbols.select("node_id", (F.col("sym_id") % 5).alias("cluster"))
+
+
+@query(f"WITH {PAIRS} SELECT node_id, CAST(k AS DOUBLE) AS degree FROM deg")
+def weighted_degree(fx: Fixtures) -> DataFrame:
+    return O.weighted_degree(O.undirected(edges_of(fx), fx.symbols))
+
+
+@query(f"""WITH {PAIRS}, {CLUSTER}, m AS (SELECT 2.0 * count(*) AS m2 FROM pairs), i AS (SELECT d.k AS ka, e.k AS kb FROM pairs p JOIN deg d ON d.node_id = a JOIN deg e ON e.node_id = b JOIN cl x ON x.node_id = a JOIN cl y ON y.node_id = b WHERE x.cluster = y.cluster)
+SELECT round((SELECT sum(2 * (1 - ka * kb / CAST(m2 AS DOUBLE)) / CAST(m2 AS DOUBLE)) FROM i, m), 6) AS modularity,
+       round((SELECT count(*) * 2 / CAST(any_value(m2) AS DOUBLE) FROM i, m) - (SELECT sum(t * t / (CAST(m2 AS DOUBLE) * CAST(m2 AS DOUBLE))) FROM (SELECT cluster, sum(k) AS t FROM deg JOIN cl USING (node_id) GROUP BY cluster), m), 6) AS standard""")
+def modularity_given_partition(fx: Fixtures) -> DataFrame:
+    return O.modularity(O.undirected(edges_of(fx), fx.symbols), given_clusters(fx)).select(F.round("modularity", 6).alias("modularity"), F.round("standard", 6).alias("standard"))
+
+
+@query(f"WITH {EDGES}, {CLUSTER}, x AS (SELECT s.cluster AS a, t.cluster AS b FROM edges JOIN cl s ON s.node_id = source_id JOIN cl t ON t.node_id = target_id WHERE s.cluster <> t.cluster) SELECT cluster, count(*) AS edges FROM (SELECT a AS cluster FROM x UNION ALL SELECT b FROM x) y GROUP BY cluster")
+def inter_cluster_edges(fx: Fixtures) -> DataFrame:
+    return O.inter_cluster_edges(edges_of(fx), given_clusters(fx))
+
+
+@query(f"""WITH {CLUSTER}, d AS (SELECT cluster, split_part(file_path, '/', -2) AS dir, count(*) AS n, min(sym_id) AS f FROM cl GROUP BY ALL)
+SELECT cluster, arg_max(dir, (n, -f)) AS cluster_name FROM d GROUP BY cluster""")
+def cluster_names(fx: Fixtures) -> DataFrame:
+    return O.cluster_names(symbols(fx), given_clusters(fx))
+
+
+# Texts.
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+'), lambda w: lower(regexp_replace(w, '[^a-zA-Z0-9]', '', 'g'))),
+lambda w: w <> '' AND w NOT IN ('the', 'a', 'in', 'for', 'to', 'of', 'and', 'or', 'is', 'it')), ' ') AS tokens FROM documents""")
+def nl_tokens(fx: Fixtures) -> DataFrame:
+    first = F.split("text", "\n")[0]
+    return fx.table("documents").select("doc_id", F.array_join(T.keywords(first), " ").alias("tokens"))
+
+
+QUESTION = "update the fn12 handler for cls3"
+
+
+def _dice(a: str, b: str) -> str:
+    big = lambda s: f"list_transform(range(1, greatest(len({s}), 2)), lambda i: substr({s}, i, 2))"
+    n = lambda s: f"len(list_filter({big(s)}, lambda v: v = g))"
+    return f"(CASE WHEN {a} = {b} THEN 1.0 WHEN len({a}) < 2 OR len({b}) < 2 THEN 0.0 ELSE 2.0 * CAST(list_sum(list_transform(list_distinct({big(a)}), lambda g: least({n(a)}, {n(b)}))) AS DOUBLE) / (len({a}) + len({b}) - 2) END)"
+
+
+_SIM = ", ".join(f"greatest({_dice(f"'{w}'", 'lower(name)')}, {_dice(f"'{w}'", 'lower(qualified_name)')}) + CASE WHEN contains(lower(name), '{w}') OR contains(lower(qualified_name), '{w}') THEN 0.3 ELSE 0.0 END" for w in ("update", "fn12", "handler", "cls3"))
+
+
+@query(f"SELECT node_id, round(0.6 * least(1.0, greatest({_SIM})) + 0.4 * 0.0, 6) AS score FROM fx_symbols WHERE 0.6 * least(1.0, greatest({_SIM})) > 0.1 ORDER BY round(0.6 * least(1.0, greatest({_SIM})), 9) DESC, sym_id LIMIT 5")
+def entry_point_topk(fx: Fixtures) -> DataFrame:
+    return rank_entries(symbols(fx).withColumn("signature", F.lit("")), QUESTION).select("node_id", F.round("score", 6).alias("score"))
+
+
+def rank_entries(s: DataFrame, description: str, most: int = 5, least: float = 0.1) -> DataFrame:
+    """The best entry points for a description in words: score, and why."""
+    import re
+
+    words = [w for w in (re.sub("[^a-zA-Z0-9]", "", x).lower() for x in description.split()) if w and w not in T.STOP_WORDS]
+    near = T.similarity(words, F.col("name"), F.col("qualified_name")) if words else F.lit(0.0)
+    lift = T.boost(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("file_path"), F.col("visibility"))
+    scored = s.withColumn("_near", near).withColumn("_lift", lift).withColumn("score", 0.6 * F.col("_near") + 0.4 * F.col("_lift"))
+    scored = scored.withColumn("reason", T.reason(F.col("_near"), F.col("_lift"), F.col("name"), F.col("signature")))
+    return scored.where(F.col("score") > least).orderBy(F.round("score", 9).desc(), "seq").limit(most).drop("_near", "_lift")
+
+
+@query("""SELECT node_id, CASE WHEN contains(lower(name), 'fn1') THEN 'name' WHEN contains(lower(qualified_name), 'cls1') THEN 'qualifiedName' WHEN contains(lower(file_path), 'mod3') THEN 'filePath' END AS field FROM
+(SELECT node_id, name, qualified_name, file_path FROM fx_symbols) x""")
+def search_match_field(fx: Fixtures) -> DataFrame:
+    # three queries at once: the first field that any matches
+    m = lambda q: T.match_field(q, F.col("name"), F.col("qualified_name"), F.col("file_path"), F.col("kind"))
+    by = [F.when(m("fn1") == "name", "name"), F.when(m("cls1") == "qualifiedName", "qualifiedName"), F.when(m("mod3") == "filePath", "filePath")]
+    return fx.symbols.select("node_id", F.coalesce(*by).alias("field"))
+
+
+@query(f"""WITH {COVERED}, x AS (SELECT s.node_id, 1 + coalesce(sum(greatest(c.branches - 1, 0)), 0) AS cx FROM fx_symbols s LEFT JOIN fx_conditionals c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end WHERE s.kind IN ('function', 'method') GROUP BY s.node_id)
+SELECT s.node_id, s.kind = 'function' AS functions, coalesce(100.0 * covered / total < 50, FALSE) AS uncovered, coalesce(cx > 10, FALSE) AS high_complexity, coalesce(covered = 0, FALSE) AS dead FROM fx_symbols s LEFT JOIN cov USING (node_id) LEFT JOIN x USING (node_id)""")
+def preset_filters(fx: Fixtures) -> DataFrame:
+    cov = O.coverage(fx.symbols, fx.line_hits).select("node_id", (100 * F.col("ratio")).alias("cover"))
+    n = fx.symbols.select("node_id", "kind").join(cov, "node_id", "left").join(O.complexity(symbols(fx), fx.conditionals), "node_id", "left")
+    p = lambda which: T.preset(which, F.col("kind"), F.col("cover"), F.col("complexity"), F.lit(False))
+    return n.select("node_id", p("functions").alias("functions"), p("uncovered").alias("uncovered"), p("high-complexity").alias("high_complexity"), p("dead-code").alias("dead"))
+
+
+@query("""SELECT node_id, CASE WHEN visibility = 'private' THEN 'hidden' WHEN kind = 'function' AND (contains(name, 'fn1') OR contains(file_path, 'fn1') OR contains(lower(qualified_name), 'fn1')) THEN 'highlighted' ELSE 'dimmed' END AS state FROM fx_symbols""")
+def visibility_state(fx: Fixtures) -> DataFrame:
+    hit = T.match_field("fn1", F.col("name"), F.col("qualified_name"), F.col("file_path"), F.col("kind")).isNotNull()
+    return fx.symbols.select("node_id", T.visibility_state(True, F.col("visibility") == "private", T.preset("functions", F.col("kind"), F.lit(None), F.lit(None), F.lit(False)), hit).alias("state"))
+
+
+@query(f"""WITH {EDGES}, st AS (SELECT node_id, CASE WHEN visibility = 'private' THEN 'hidden' WHEN kind = 'function' THEN 'highlighted' ELSE 'dimmed' END AS s FROM fx_symbols)
+SELECT source_id, target_id, CASE WHEN a.s = 'hidden' OR b.s = 'hidden' THEN 'hidden' WHEN a.s = 'dimmed' AND b.s = 'dimmed' THEN 'dimmed' ELSE 'shown' END AS state FROM edges JOIN st a ON a.node_id = source_id JOIN st b ON b.node_id = target_id""")
+def edge_states(fx: Fixtures) -> DataFrame:
+    state = T.visibility_state(True, F.col("visibility") == "private", F.col("kind") == "function", F.lit(True))
+    s = fx.symbols.select("node_id", state.alias("s"))
+    e = edges_of(fx).join(s.select(F.col("node_id").alias("source_id"), F.col("s").alias("_a")), "source_id").join(s.select(F.col("node_id").alias("target_id"), F.col("s").alias("_b")), "target_id")
+    return e.select("source_id", "target_id", T.edge_state(F.col("_a"), F.col("_b")).alias("state"))
+
+
+@query("""SELECT page_id, pos, source FROM (SELECT page_id, unnest(l) AS source, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1) AS l FROM pages))""")
+def page_imports(fx: Fixtures) -> DataFrame:
+    return fx.table("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'))).alias("pos", "source")).withColumn("pos", long("pos"))
+
+
+@query("SELECT doc_id, split_part(text, chr(10), 1) AS signature FROM documents")
+def text_first_line(fx: Fixtures) -> DataFrame:
+    return fx.table("documents").select("doc_id", F.split("text", "\n")[0].alias("signature"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+def content_hash(fx: Fixtures) -> DataFrame:
+    return fx.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query(f"WITH {EDGES} SELECT concat(regexp_replace(source_id, '[^a-zA-Z0-9]', '_', 'g'), ' -->|call| ', regexp_replace(target_id, '[^a-zA-Z0-9]', '_', 'g')) AS row FROM edges")
+def mermaid_edges(fx: Fixtures) -> DataFrame:
+    return edges_of(fx).select(T.mermaid_edge(F.col("source_id"), F.col("target_id"), F.lit("call")).alias("row"))
+
+
+@query("""SELECT node_id, concat(CASE WHEN len(q) > 40 THEN concat(substr(q, 1, 37), '...') ELSE q END, '<br/>', regexp_replace(file_path, '^.*/', ''), ':', CAST(line + 1 AS VARCHAR)) AS label
+FROM (SELECT node_id, file_path, line, replace(replace(replace(qualified_name, '"', '#quot;'), '<', '&lt;'), '>', '&gt;') AS q FROM fx_symbols)""")
+def mermaid_labels(fx: Fixtures) -> DataFrame:
+    return fx.symbols.select("node_id", T.mermaid_label(F.col("qualified_name"), F.col("file_path"), F.col("line")).alias("label"))
+
+
+@query("SELECT DISTINCT concat('/home/me/proj/', file_path) AS path, file_path AS relative FROM fx_symbols")
+def relative_paths(fx: Fixtures) -> DataFrame:
+    path = F.concat(F.lit("/home/me/proj/"), "file_path")
+    return fx.symbols.select(path.alias("path"), T.relative_path(path).alias("relative")).distinct()
+
+
+@query("""SELECT i.file_path, i.source, max(f.file_path) AS resolved_path FROM (SELECT DISTINCT file_path, source FROM fx_imports) i
+LEFT JOIN (SELECT DISTINCT file_path FROM fx_symbols) f ON f.file_path = concat(regexp_replace(i.file_path, '/[^/]*$', ''), '/', regexp_replace(i.source, '^[.]/', ''), '.ts') GROUP BY ALL""")
+def import_paths(fx: Fixtures) -> DataFrame:
+    return I.resolve_imports(fx.imports.select("file_path", "source").distinct(), fx.symbols).select("file_path", "source", "resolved_path")
+
+
+_BUILT_INS = ", ".join(f"'{n}'" for n in T.BUILT_INS)
+
+
+@query(f"""SELECT w AS name, w IN ({_BUILT_INS}) OR (contains(w, '.') AND split_part(w, '.', 1) IN ({_BUILT_INS})) AS built_in FROM (SELECT DISTINCT unnest([lower(event_type), concat('console.', event_type), concat(event_type, '.log'), 'Math.min', 'fetch', 'obj.fn1']) AS w FROM events)""")
+def built_in_names(fx: Fixtures) -> DataFrame:
+    e = F.col("event_type")
+    names = fx.table("events").select(F.explode(F.array(F.lower(e), F.concat(F.lit("console."), e), F.concat(e, F.lit(".log")), F.lit("Math.min"), F.lit("fetch"), F.lit("obj.fn1"))).alias("name")).distinct()
+    return names.select("name", T.built_in(F.col("name")).alias("built_in"))
+
+
+@query("SELECT node_id FROM fx_symbols WHERE lower(file_path) = 'src/mod1/f1.ts' AND name = 'fn1' ORDER BY sym_id LIMIT 1")
+def find_entry(fx: Fixtures) -> DataFrame:
+    return C.find_entry(symbols(fx), "mod1/f1.ts:fn1").select("node_id")
+
+
+# Sequential walks: no SQL twin.
+
+
+def _code(fx: Fixtures) -> exact.Code:
+    calls = fx.call_sites.withColumn("seq", F.concat_ws(":", F.lpad(F.col("line").cast("string"), 8, "0"), F.lpad(F.col("col_no").cast("string"), 3, "0"), "callee_name"))
+    conds = fx.conditionals.withColumn("seq", F.concat_ws(":", F.lpad(F.col("line").cast("string"), 8, "0"), F.lpad(F.col("end_line").cast("string"), 8, "0"), "kind", F.col("branches").cast("string")))
+    return exact.Code(symbols(fx), calls, conds, fx.imports)
+
+
+@query()
+def dfs_downstream(fx: Fixtures) -> DataFrame:
+    return exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=4, max_nodes=200)).frames(fx.spark)[0]
+
+
+@query()
+def dfs_upstream(fx: Fixtures) -> DataFrame:
+    return exact.upstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100)).frames(fx.spark)[1]
+
+
+@query()
+def text_tree(fx: Fixtures) -> DataFrame:
+    from .functions import render
+
+    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100))
+    return fx.spark.createDataFrame(list(enumerate(render.to_tree(g).split("\n"))), "pos long, row string")
+
+
+@query()
+def graph_json(fx: Fixtures) -> DataFrame:
+    from .functions import render
+
+    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=2, max_nodes=100))
+    return fx.spark.createDataFrame([(render.to_json(g, "/p", "2024-01-01T00:00:00Z"),)], "document string")
+
+
+@query()
+def dataflow_paths(fx: Fixtures) -> DataFrame:
+    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100, conditionals=False))
+    paths, _ = exact.data_flow(g, g.entry, "x", None, lambda n, q: None)
+    return fx.spark.createDataFrame(list(enumerate(paths)), "pos long, nodes array<string>")
+
+
+@query()
+def louvain(fx: Fixtures) -> DataFrame:
+    return communities.detect(symbols(fx), O.undirected(edges_of(fx), fx.symbols))
+
+
+@query()
+def label_propagation(fx: Fixtures) -> DataFrame:
+    return communities.detect(symbols(fx), O.undirected(edges_of(fx), fx.symbols), "labels")
