@@ -1,23 +1,16 @@
-"""The tables of a code index."""
+"""The tables of a code index, as DDL, and their closed vocabularies."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-FILES = _table("file_path string, language_id string, content string, sha256 string")
-SYMBOLS = _table("name string, qualified_name string, kind string, file_path string, line long, column long, signature string, body_start long, body_end long, visibility string, language_id string, node_id string, seq long")
-CALLS = _table("callee_name string, file_path string, line long, column long, name_column long, arguments array<string>, seq long")
-CONDITIONALS = _table("kind string, file_path string, line long, column long, end_line long, branches long, condition_text string, seq long")
-IMPORTS = _table("source string, specifiers array<string>, file_path string")
-EXPORTS = _table("name string, kind string, file_path string")
-ERRORS = _table("file_path string, line long, column long, message string")
-HUNKS = _table("file_path string, start_line long, end_line long")
-ANNOTATIONS = _table("id string, node_id string, text string, author string, timestamp string")
+FILES = "file_path string, language_id string, content string, sha256 string"
+SYMBOLS = "name string, qualified_name string, kind string, file_path string, line long, column long, signature string, body_start long, body_end long, visibility string, language_id string, node_id string, seq long"
+CALLS = "callee_name string, file_path string, line long, column long, name_column long, arguments array<string>, seq long"
+CONDITIONALS = "kind string, file_path string, line long, column long, end_line long, branches long, condition_text string, seq long"
+IMPORTS = "source string, specifiers array<string>, file_path string"
+EXPORTS = "name string, kind string, file_path string"
+ERRORS = "file_path string, line long, column long, message string"
+HUNKS = "file_path string, start_line long, end_line long"
+ANNOTATIONS = "id string, node_id string, text string, author string, timestamp string"
 
 LANGUAGES = ("typescript", "javascript", "java", "rust", "python", "go", "csharp")
 SYMBOL_KINDS = ("function", "method", "class", "constructor", "getter", "setter")

@@ -21,8 +21,19 @@ LANGUAGES = {
     "java": "java", "rs": "rust", "py": "python", "pyi": "python", "go": "go", "cs": "csharp",
 }
 JS = ("typescript", "javascript")
-#: Words that look like a call or a header but are not.
-NOT_CALLED = frozenset("if for while switch catch return function typeof await new super import match loop else do try throw delete void in of case fn func defer go select range sizeof nameof using lock fixed foreach when synchronized assert yield async static public private protected class interface enum struct impl where let const var unsafe move".split())
+#: Words that look like a call or a header but are none, in every brace language and in each.
+RESERVED = "if for while switch catch return new else do try throw case in super"
+OWN_RESERVED = {
+    "js": "function typeof await import delete void of class let const var yield async with instanceof",
+    "java": "synchronized assert instanceof class interface enum",
+    "csharp": "using lock fixed foreach when sizeof nameof typeof await class struct checked unchecked default",
+    "rust": "fn loop match impl where let unsafe move await struct mut ref dyn as",
+    "go": "func go defer select range chan var const type struct map",
+}
+
+
+def reserved(lang: str) -> frozenset[str]:
+    return frozenset(f"{RESERVED} {OWN_RESERVED['js' if lang in JS else lang]}".split())
 
 
 @dataclass
@@ -116,7 +127,7 @@ class Scanner:
         self.pairs, odd = matched(self.code)
         self.back = {b: a for a, b in self.pairs.items()}
         self.breaks = [m.start() for m in re.finditer("\n", text)]
-        self.odd = odd
+        self.odd, self.words = odd, reserved(lang)
 
     def line(self, at: int) -> int:
         return bisect_right(self.breaks, at - 1) if at else 0
@@ -191,7 +202,7 @@ class Scanner:
         for kind, pattern in HEADERS[key]:
             for m in re.finditer(pattern, self.code):
                 name = m["n"] or ""
-                if name in NOT_CALLED or m.end() in taken:
+                if name in self.words or m.end() in taken:
                     continue
                 mods = m["mods"] or ""
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -254,7 +265,7 @@ class Scanner:
         sep = r"(?:\s*(?:\?\.|\.|::|->)\s*)"
         for m in re.finditer(rf"({ID})\s*(?:::)?(?:<[\w\s,.<>\[\]?:&']*>)?\s*\(", self.code):
             name, at = m[1], m.start(1)
-            if name in NOT_CALLED or at in named or self.code[: m.end() - 1].endswith("!"):
+            if name in self.words or at in named or self.code[: m.end() - 1].endswith("!"):
                 continue
             start = at
             while True:  # the receiver: names and bracketed parts joined by dots
@@ -267,7 +278,7 @@ class Scanner:
                 else:
                     start = self.back.get(where + left.start(2), where + left.start(2))
                     lead = re.search(rf"({ID})\s*$", self.code[max(0, start - 200) : start])
-                    if lead and lead[1] not in NOT_CALLED:
+                    if lead and lead[1] not in self.words:
                         start = max(0, start - 200) + lead.start(1)
                 if start == 0:
                     break
