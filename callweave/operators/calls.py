@@ -122,9 +122,10 @@ def resolve_native(calls: DataFrame, symbols: DataFrame, imports: DataFrame) ->
 
 def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """Distinct (source_id, target_id): the smallest enclosing symbol of every resolved call."""
-    within = enclosing(calls, symbols, calls.columns).select(*calls.columns, F.col("sym_node_id").alias("source_id"))
-    resolved = resolve_calls(calls, symbols, imports).where("target IS NOT NULL")
-    return within.join(resolved, calls.columns).select("source_id", F.col("target").alias("target_id")).distinct()
+    # what a call resolves to depends on its file and text alone, so repeats are dropped before both joins
+    within = enclosing(calls, symbols, calls.columns).select("file_path", "callee_name", F.col("sym_node_id").alias("source_id")).distinct()
+    resolved = resolve_calls(calls.select("file_path", "callee_name").distinct(), symbols, imports).where("target IS NOT NULL")
+    return within.join(resolved, ["file_path", "callee_name"]).select("source_id", F.col("target").alias("target_id")).distinct()
 
 
 def callers_of(name: str, calls: DataFrame, symbols: DataFrame, keep_self: bool = False, mode: str = "first") -> DataFrame:

@@ -91,10 +91,10 @@ def with_edges(sql: str) -> str:
   FROM fx_symbols s LEFT JOIN fx_conditionals c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end WHERE s.kind IN ('function', 'method') GROUP BY s.node_id)
 SELECT node_id, complexity, (SELECT count(*) FROM edges WHERE target_id = node_id) AS callers, (SELECT count(*) FROM edges WHERE source_id = node_id) AS callees FROM x""")
 def callable_profile(fx: Fixtures) -> DataFrame:
-    e = edges_of(fx)
-    into = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("callers"))
-    out = e.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("callees"))
-    n = O.complexity(symbols(fx), fx.conditionals).join(into, "node_id", "left").join(out, "node_id", "left")
+    # one pass over the edges counts both ends
+    ends = F.explode(F.array(F.struct(F.col("target_id").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source_id").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o"))))
+    degree = edges_of(fx).select(ends.alias("e")).groupBy("e.node_id").agg(F.sum("e.i").alias("callers"), F.sum("e.o").alias("callees"))
+    n = O.complexity(symbols(fx), fx.conditionals).join(degree, "node_id", "left")
     return n.select("node_id", "complexity", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))
 
 
