@@ -1,10 +1,10 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. A line goes if an earlier line (by document id, then line
-number) has a word set at Jaccard similarity ``4/5`` or more. Word sets are made distinct
-first; their words are ordered by rarity, and two similar sets must share a word among
-their rarest ``n - ceil(0.8 n) + 1``. Pairs that meet on such a word pass a length filter,
-a positional filter (words left after the meeting point) and a bitmap filter (a 64-bit
+number) has a word set at Jaccard similarity ``4/5`` or more. Equal lines are settled
+first. Words are ordered by rarity, and two similar sets must share a word among their
+rarest ``n - ceil(0.8 n) + 1``. Pairs that meet on such a word pass a length filter,
+a positional filter (words left after the meeting point) and a bitmap filter (a 128-bit
 signature bounds the overlap) inside the join; those that pass are verified on the sets.
 
 Rarity is counted over the whole corpus in ``2**16`` hash buckets, a table of fixed size.
@@ -17,20 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, by_value, cut, without, written
+from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without
 
 BUCKETS, HASH_BITS = 1 << 16, 47
-#: A side of more rows than this is never broadcast.
-BROADCAST_ROWS = 500_000
 
 
+# Exploding the outer way here is the same, as the arrays are never empty, and spares the filter
+# that Spark otherwise infers below an explode, which would compute the arrays twice.
 def words(line: Column) -> Column:
     return F.array_remove(F.split(line, SPACE), "")
 
 
 def rarity(docs: DataFrame, text: str) -> list[int]:
     """Rank of each bucket by how many words of the corpus fall into it."""
-    each = docs.select(F.explode(words(F.col(text))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b"))
+    each = docs.select(F.explode_outer(words(F.col(text))).alias("w")).where("w IS NOT NULL").select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     n = {r["b"]: r["n"] for r in each.groupBy("b").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
     rank = [0] * BUCKETS
     for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
@@ -43,57 +43,78 @@ def overlap(n: Column, m: Column) -> Column:
     return F.floor((4 * (n + m) + 8) / 9)
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast only if it is small; ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, gone): the numbers, from 0, of the lines that go, for each text that loses some."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rank = F.split(F.lit(",".join(map(str, rarity(docs, "text")))), ",").cast("array<int>")  # folded to a literal array
-    mask = (1 << HASH_BITS) - 1
-    token = lambda w: F.transform(F.array(F.xxhash64(w)), lambda h: F.shiftleft(F.element_at(rank, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask))))[0]
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "own"))
-    sets = lines.select("doc_id", "text_hash", "line", F.sort_array(F.array_distinct(F.transform(words(F.col("own")), token))).alias("t")).where(F.size("t") > 0)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line", "own")).where(F.col("own").rlike(WORD))
+
+    # equal lines first: only the earliest is compared with others
+    ids = lines.select("doc_id", "text_hash", "line", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
+    least = ids.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(ids.join(least, ["s1", "s2"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "text_hash", "line"))
+    named = copies.select([F.col(c).alias(f"_{c}") for c in copies.columns])
+    own = (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line") == F.col("_line"))
+    single = lines.join(maybe_broadcast(named), own, "left_anti")
+
+    rank = F.split(F.lit(",".join(str(r << HASH_BITS) for r in rarity(docs, "text"))), ",").cast("array<bigint>")  # folded to a literal array
+    mask = F.lit((1 << HASH_BITS) - 1)
+    hashes = F.transform(words(F.col("own")), lambda w: F.xxhash64(w).bitwiseAND(mask))
+    ranked = F.transform(F.array_distinct(hashes), lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h))
+    sets = single.select("doc_id", "line", F.sort_array(ranked).alias("t"))
     n = F.size("t")
-    prefix = F.transform(F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sig = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    table = written(sets.select("doc_id", "text_hash", "line", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit("second"), "t").alias("s2"), n.alias("n"), sig.alias("sig"), prefix.alias("prefix")))
-
-    pos = F.struct("doc_id", "line")
-    distinct = table.groupBy("s1", "s2").agg(F.min(pos).alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"))
-    distinct = written(distinct.select("s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "n", "sig", "prefix"))
-    keyed = distinct.select("doc_id", "line", "n", "sig", F.posexplode("prefix").alias("p", "w"))
-    a, b = keyed, keyed.select([F.col(c).alias(f"{c}_") for c in keyed.columns])
-    o = overlap(F.col("n"), F.col("n_"))
-    lost = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    rarest = F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+    # the signature is made before the words are dealt out, and never null, lest it be computed again to filter nulls
+    bare = sets.select("doc_id", "line", n.alias("n"), *[_bits("t", i, 2, 20).alias(f"sig{i}") for i in range(2)], rarest.alias("r"))
+    keyed = bare.select("doc_id", "line", "n", "sig0", "sig1", F.posexplode_outer("r").alias("p", "w")).withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    later, earlier = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
+    n, m = F.col("x.n"), F.col("y.n")
+    o = overlap(n, m)
+    lost = lambda a, b: sum(F.bit_count(F.col(f"{a}.sig{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sig{i}")))) for i in range(2))
     near = (
-        (F.col("w") == F.col("w_"))
-        & (F.struct("doc_id_", "line_") < F.struct("doc_id", "line"))
-        & (5 * F.col("n_") >= 4 * F.col("n"))
-        & (5 * F.col("n") >= 4 * F.col("n_"))
-        & (F.least(F.col("n") - F.col("p"), F.col("n_") - F.col("p_")) >= o)
-        & (F.col("n") - lost("sig", "sig_") >= o)
-        & (F.col("n_") - lost("sig_", "sig") >= o)
+        (F.col("x.w") == F.col("y.w"))
+        & (5 * m >= 4 * n)
+        & (5 * n >= 4 * m)
+        & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= o)
+        & (n - lost("x", "y") >= o)
+        & (m - lost("y", "x") >= o)
+        & (F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line"))
     )
-    pairs = cut(a.join(b, near).select("doc_id", "line", "doc_id_", "line_").distinct())
+    met = later.join(earlier, near).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_"), F.col("y.line").alias("line_"))
+    pairs = cut(met.distinct())
 
-    # verify on the words of the lines that a pair names
-    named = cut(pairs.select("doc_id", "line").unionAll(pairs.select("doc_id_", "line_")).distinct().select(F.col("doc_id").alias("_d"), F.col("line").alias("_l")))
-    mine = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
-    texts = lines.join(maybe_broadcast(named), mine).select("doc_id", "line", F.array_distinct(words(F.col("own"))).alias("t"))
-    texts = cut(texts.distinct())
-    second = texts.select([F.col(c).alias(f"{c}_") for c in texts.columns])
-    both = pairs.alias("p").join(texts.alias("x"), F.col("p.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("p.line") == F.col("x.line"))).select("p.*", "t")
-    both = both.alias("p").join(second.alias("y"), F.col("p.doc_id_").eqNullSafe(F.col("y.doc_id_")) & (F.col("p.line_") == F.col("y.line_"))).select("p.*", "t_")
-    common = F.size(F.array_intersect("t", "t_"))
-    same = both.where(9 * common >= 4 * (F.size("t") + F.size("t_")))
-    earlier = same.groupBy("doc_id", "line").agg(F.min(F.struct(F.col("doc_id_").alias("doc_id"), F.col("line_").alias("line"))).alias("match"))
+    return copies.unionAll(_verified(pairs, single)).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+
+
+def _bits(t: str, i: int, words_: int, at: int) -> Column:
+    """The i-th 64 bits of a signature of ``words_`` times 64, in which each word's hash, from bit ``at`` on, sets one; never null."""
+    here = lambda x: F.shiftright(x, at + 6).bitwiseAND(F.lit(words_ - 1)) == i
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, at).bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(F.aggregate(t, F.lit(0).cast("long"), lambda a, x: F.when(here(x), a.bitwiseOR(one(x))).otherwise(a)), F.lit(0).cast("long"))
 
-    first = distinct.select("s1", "s2", "doc_id", "line").alias("d").join(earlier.alias("e"), F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.line") == F.col("e.line")), "left").select("s1", "s2", F.coalesce("match", F.struct("d.doc_id", "d.line")).alias("first"))
-    gone = table.select("doc_id", "text_hash", "line", "s1", "s2").join(first, ["s1", "s2"]).where(F.struct("doc_id", "line") > F.col("first"))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line) of the later lines of the pairs whose word sets are alike.
+
+    The sets themselves are wide, so first a 256-bit signature of each line that a pair
+    names bounds the overlap again; only pairs that pass fetch both sets.
+    """
+    asked = cut(pairs.select("doc_id", "line").unionAll(pairs.select("doc_id_", "line_")).distinct().select(F.col("doc_id").alias("_d"), F.col("line").alias("_l")))
+    mine = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
+    sets = cut(lines.join(maybe_broadcast(asked), mine).select("doc_id", "text_hash", "line", F.transform(F.array_distinct(words(F.col("own"))), lambda w: F.xxhash64(w)).alias("t")))
+    wide = range(4)
+    signed = sets.select("doc_id", "line", F.size("t").alias("n"), *[_bits("t", i, 4, 0).alias(f"b{i}") for i in wide])
+    x, y = (signed.select([F.col(c).alias(f"{s}_{c}") for c in signed.columns]) for s in "xy")
+    met = pairs.join(x, F.col("doc_id").eqNullSafe(F.col("x_doc_id")) & (F.col("line") == F.col("x_line"))).join(y, F.col("doc_id_").eqNullSafe(F.col("y_doc_id")) & (F.col("line_") == F.col("y_line")))
+    o = overlap(F.col("x_n"), F.col("y_n"))
+    lost = lambda a, b: sum(F.bit_count(F.col(f"{a}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{i}")))) for i in wide)
+    bound = (F.col("x_n") - lost("x", "y") >= o) & (F.col("y_n") - lost("y", "x") >= o)
+    left = cut(met.where(bound).select("doc_id", "line", "doc_id_", "line_").distinct())
+    later = sets.select(F.col("doc_id").alias("_xd"), "text_hash", F.col("line").alias("_xl"), "t")
+    earlier = sets.select(F.col("doc_id").alias("_yd"), F.col("line").alias("_yl"), F.col("t").alias("_t"))
+    both = left.join(later, F.col("doc_id").eqNullSafe(F.col("_xd")) & (F.col("line") == F.col("_xl"))).drop("_xd", "_xl")
+    both = both.join(earlier, F.col("doc_id_").eqNullSafe(F.col("_yd")) & (F.col("line_") == F.col("_yl")))
+    common = F.size(F.array_intersect("t", "_t"))
+    return both.where(9 * common >= 4 * (F.size("t") + F.size("_t"))).select("doc_id", "text_hash", "line")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,14 +125,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     it, so they never take lines from each other. Columns of these names are replaced; an
     empty table gives no rows.
     """
-    gone = cut(removed_lines(docs, doc_id, text)).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
+    gone = cut(removed_lines(docs, doc_id, text)).withColumnsRenamed({"doc_id": "_line_id", "text_hash": "_line_hash", "gone": "_line_gone"})
     docs = without(docs, ["lines", "lines_removed"])
-    same = F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
+    same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash"))
     both = docs.join(maybe_broadcast(gone), same, "left")
     parts = F.split(text, "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    kept = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_line_gone", i)), "\n"))
     # Catalyst evaluates the new columns from the old text
-    return both.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    return both.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 #: Every pair of lines that share a word, by brute force.

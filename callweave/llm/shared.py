@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A side of more rows than this is never broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def by_value(name: str) -> None:
@@ -34,17 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: checkpointed in the shared folder, so that a lost executor costs nothing but a reread."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(True)
+        sc.setCheckpointDir(shared_dir(spark))
+    out = df.checkpoint(True)
+    del df
+    released(spark)
+    return out
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has just been cut off: it does so as the driver collects its garbage, else perhaps not for half an hour."""
+    spark._jvm.System.gc()
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: for wide intermediate results of which later steps read a few columns."""
-    path = f"{shared_dir(df.sparkSession)}/callweave-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/callweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    released(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
