@@ -121,7 +121,7 @@ def edge_frame(spark, pairs):
 def test_bfs_small_and_distributed_agree(spark, pairs):
     e, start = edge_frame(spark, pairs), spark.createDataFrame([("0",)], "node_id string")
     near = sorted(map(tuple, G.bfs(e, start).collect()))
-    assert near == sorted(map(tuple, G.bfs(e, start, small=-1 + 0).collect())) or not pairs
+    assert near == sorted(map(tuple, G.bfs(e, start, small=-1).collect()))
     dist, front = {0: 0}, [0]
     while front:
         front = [b for a in front for x, b in pairs if x == a and b not in dist and not dist.update({b: dist[a] + 1})]
@@ -130,7 +130,7 @@ def test_bfs_small_and_distributed_agree(spark, pairs):
 
 def test_paths_and_views(spark):
     e = spark.createDataFrame([("a", "b", 0), ("b", "c", 1), ("a", "c", 2), ("c", "d", 3), ("d", "b", 4)], "source_id string, target_id string, seq long")
-    assert G.shortest_path(e, "a", "d") == ["a", "c", "d"] and G.shortest_path(e, "d", "a") == ["d", "c", "a"][::1] and G.shortest_path(e, "a", "z") == []
+    assert G.shortest_path(e, "a", "d") == ["a", "c", "d"] and G.shortest_path(e, "d", "a") == ["d", "c", "a"] and G.shortest_path(e, "a", "z") == []
     assert G.max_depth(e, "a") == 2 and G.ancestors(e, "c")[0] == "a"
     counts = {r[0]: r[1] for r in G.descendant_counts(e, spark.createDataFrame([("a",), ("b",), ("z",)], "node_id string")).collect()}
     assert counts == {"a": 3, "b": 3, "z": 0}
