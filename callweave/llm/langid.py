@@ -28,7 +28,8 @@ N = 4
 PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Lower-case ASCII letters stay, other ASCII bytes become a space, bytes of longer characters stay.
 CLEAN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-CHUNK = 4_000_000
+#: Characters worked on at a time: a few dozen bytes of working memory each.
+CHUNK = 500_000
 
 
 @dataclass
@@ -65,6 +66,18 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, set(text)))
 
 
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Slices of about CHUNK characters, of one text at least."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -72,9 +85,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(langs, texts):
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
-            buf, _ = joined(own)
-            code, ok = grams(buf)
-            found, n = np.unique(code[ok], return_counts=True)
+            parts = []
+            for a, b in chunks(own):
+                code, ok = grams(joined(own[a:b])[0])
+                parts.append(np.unique(code[ok], return_counts=True))
+            found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(found))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
@@ -121,12 +137,7 @@ def decide(model: LanguageFilters, texts: list[str | None]) -> tuple[list[str],
     names, scores = ["und"] * len(texts), np.zeros(len(texts))
     if not model.languages or not texts:
         return names, scores
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + 4 * len(texts[end] or "") <= CHUNK):
-            size += len(texts[end] or "")
-            end += 1
+    for at, end in chunks(texts):
         buf, starts = joined(texts[at:end])
         code, ok = grams(buf)
         where = np.flatnonzero(ok)
@@ -152,7 +163,6 @@ def decide(model: LanguageFilters, texts: list[str | None]) -> tuple[list[str],
             text = texts[at + j]
             if text is not None and (plain[j] > 0 or has_letter(text)):
                 names[at + j], scores[at + j] = model.languages[best[j]], min(1.0, share[j])
-        at = end
     return names, scores
 
 
