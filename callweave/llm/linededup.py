@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without
+from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without, written
 
 BUCKETS, HASH_BITS = 1 << 16, 47
+#: Rarest words by which a line meets first partners, and how many for each.
+HEADS, PARTNERS = 6, 4
 
 
 # Exploding the outer way here is the same, as the arrays are never empty, and spares the filter
@@ -65,24 +67,33 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rarest = F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
     # the signature is made before the words are dealt out, and never null, lest it be computed again to filter nulls
     bare = sets.select("doc_id", "line", n.alias("n"), *[_bits("t", i, 2, 20).alias(f"sig{i}") for i in range(2)], rarest.alias("r"))
-    keyed = bare.select("doc_id", "line", "n", "sig0", "sig1", F.posexplode_outer("r").alias("p", "w")).withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    later, earlier = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
-    n, m = F.col("x.n"), F.col("y.n")
-    o = overlap(n, m)
+    bare = written(bare)
     lost = lambda a, b: sum(F.bit_count(F.col(f"{a}.sig{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sig{i}")))) for i in range(2))
-    near = (
-        (F.col("x.w") == F.col("y.w"))
-        & (5 * m >= 4 * n)
-        & (5 * n >= 4 * m)
-        & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= o)
-        & (n - lost("x", "y") >= o)
-        & (m - lost("y", "x") >= o)
-        & (F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line"))
-    )
+    n, m, o = F.col("x.n"), F.col("y.n"), overlap(F.col("x.n"), F.col("y.n"))
+    may = (5 * m >= 4 * n) & (5 * n >= 4 * m) & (n - lost("x", "y") >= o) & (m - lost("y", "x") >= o)
+    may &= F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line")
+
+    # One earlier partner is enough. Many lines alike would all pair up, so each is first held against the
+    # earliest lines of a few hash classes that share one of its rarest words; what that settles looks for no other.
+    heads = bare.select("doc_id", "line", "n", "sig0", "sig1", F.explode_outer(F.slice("r", 1, HEADS)).alias("w"))
+    least = heads.groupBy("w", F.pmod(F.xxhash64("doc_id", "line"), F.lit(PARTNERS)).alias("h")).agg(F.min(F.struct("doc_id", "line", "n", "sig0", "sig1")).alias("v"), F.count("*").alias("c")).select("w", "v.*")
+    met = heads.alias("x").join(least.alias("y"), (F.col("x.w") == F.col("y.w")) & may).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_"), F.col("y.line").alias("line_"), (lost("x", "y") + lost("y", "x")).alias("lost"))
+    best = cut(met.groupBy("doc_id", "line").agg(F.min_by(F.struct("doc_id_", "line_"), "lost").alias("b")).select("doc_id", "line", "b.doc_id_", "b.line_"))
+    sure = cut(_verified(best, single))
+    settled = maybe_broadcast(cut(sure.select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"), F.lit(True).alias("settled")).distinct()))
+
+    here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
+    flagged = bare.join(settled, here, "left").select("doc_id", "line", "n", "sig0", "sig1", F.coalesce("settled", F.lit(False)).alias("settled"), "r")
+    keyed = flagged.select("doc_id", "line", "n", "sig0", "sig1", "settled", F.posexplode_outer("r").alias("p", "w")).withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    later, earlier = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
+    # naming both sides keeps the filter out of one side's plan, which the exchange is shared with
+    asks = ~(F.col("x.settled") & (F.col("y.n") > 0))
+    near = (F.col("x.w") == F.col("y.w")) & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= o) & asks & may
     met = later.join(earlier, near).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_"), F.col("y.line").alias("line_"))
     pairs = cut(met.distinct())
 
-    return copies.unionAll(_verified(pairs, single)).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    # verify on the words of the lines that a pair names
+    return copies.unionAll(sure).unionAll(_verified(pairs, single)).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
 def _bits(t: str, i: int, words_: int, at: int) -> Column:

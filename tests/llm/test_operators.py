@@ -402,3 +402,23 @@ def test_more_than_64_languages(spark):
     assert model.rows.shape[1] == 2
     got = langid.predict(df, model).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_lines_of_dense_groups(spark):
+    """Many variants of a few lines: a line goes if any earlier line is alike, whether that one goes or not."""
+    r = np.random.default_rng(4)
+    base = [[f"b{k}w{i}" for i in range(n)] for k, n in enumerate((6, 12, 30, 150, 260))]
+    texts = []
+    for _ in range(90):
+        rows = []
+        for _ in range(3):
+            words = list(base[int(r.integers(5))])
+            for _ in range(int(r.integers(0, 1 + len(words) // 8))):
+                words[int(r.integers(len(words)))] = f"x{r.integers(2000)}"
+            rows.append(" ".join(words))
+        texts.append("\n".join(rows))
+    lines = [(i, j, set(row.split())) for i, t in enumerate(texts) for j, row in enumerate(t.split("\n"))]
+    gone = {(i, j) for n, (i, j, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:n])}
+    want = ["\n".join(row for j, row in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[i][0] for i in range(len(texts))] == want and sum(n for _, n in got.values()) == len(gone)
