@@ -242,6 +242,29 @@ def test_near_duplicates_find_similar_texts(spark):
     assert sum(comp[60 + i] == i for i in range(40)) >= 38 and all(comp[i] == i for i in range(60))
 
 
+def test_near_duplicates_are_the_pairs_at_the_threshold(spark):
+    """Pairs of one shingle set's length at similarities around 0.8, against the real Jaccard of five-word shingles."""
+    r = np.random.default_rng(11)
+    texts = []
+    for i in range(120):
+        w = [f"w{x}" for x in r.integers(0, 50_000, 200)]
+        cut = 10 + i % 26  # the last words replaced: similarity 0.90 down to 0.69
+        texts += [" ".join(w), " ".join(w[:-cut] + [f"x{x}" for x in r.integers(0, 50_000, cut)])]
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = {2 * i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) >= 0.8 for i in range(120)}
+    assert 30 < sum(want.values()) < 90
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert {i: comp[i + 1] == i for i in want} == want and all(comp[i] == i for i in want)
+
+
+def test_near_duplicates_settle_what_a_bucket_s_first_text_does_not(spark):
+    """Chains: each text is similar to the next only, so most links are between texts that no star joins."""
+    r = np.random.default_rng(12)
+    w = [f"w{x}" for x in r.integers(0, 50_000, 400)]
+    texts = [" ".join(w[15 * i : 15 * i + 200]) for i in range(12)]
+    assert {r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts)).collect()} == {0}
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)]
