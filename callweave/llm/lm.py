@@ -8,9 +8,10 @@ its tokens, each with all others shown.
 
 Words are hashed to ``CLASSES * MEMBERS`` ids, so the model has a fixed size and can be
 broadcast. Training passes over the whole corpus, one pass a round: every partition starts
-from the common weights, runs minibatch updates in numpy over a share of its windows, and
-sends its weights; the next round starts from their mean, weighted by tokens. What is
-gathered so grows with the corpus.
+from the common weights, runs minibatch updates in numpy over its share of windows for the
+round, and sends its weights; the next round starts from their mean, weighted by tokens.
+Of ``rounds`` rounds each takes every ``rounds``-th window from its own offset, so together
+they train on every window of the corpus once.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from .shared import by_value, without
 
 CLASSES, MEMBERS, WIDTH, REACH = 64, 64, 32, 2
 ROUNDS, BATCH, RATE = 2, 2048, 0.5
-#: Every how many-th window of a partition trains: the others are seen by the next rounds' offsets.
-STRIDE = 32
 PAD = CLASSES * MEMBERS
 NAMES = ("embed", "place", "to_class", "class_bias", "to_member", "member_bias")
 
@@ -152,14 +151,14 @@ def step(p: dict, flat: np.ndarray, at: np.ndarray, rate: float) -> None:
     p["embed"][PAD] = 0
 
 
-def trained(p: dict, batches: Iterator[pa.RecordBatch], column: int, offset: int) -> tuple[dict, int]:
+def trained(p: dict, batches: Iterator[pa.RecordBatch], column: int, offset: int, rounds: int) -> tuple[dict, int]:
     p = {k: v.copy() for k, v in p.items()}
     memo, seen = Memo(), 0
     for batch in batches:
         texts = [tokens(memo, v or b"") for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
         flat, at = padded(texts)
         seen += len(at)
-        at = at[offset % STRIDE :: STRIDE]
+        at = at[offset::rounds]
         at = np.random.default_rng(len(at)).permutation(at)
         for lo in range(0, len(at), BATCH):
             step(p, flat, at[lo : lo + BATCH], RATE / (1 + offset))
@@ -192,7 +191,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> dict[str,
     for r in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], p=p, r=r) -> Iterator[pa.RecordBatch]:
-            own, n = trained(p, batches, 0, r)
+            own, n = trained(p, batches, 0, r, rounds)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(NAMES), pa.int64()), pa.array(NAMES), pa.array([own[k].ravel() * n for k in NAMES], pa.list_(pa.float32()))], ["n", "name", "w"])
 

@@ -352,6 +352,14 @@ def test_lm_gradient_and_learning(docs):
     assert lm.log_probabilities(p, flat, at).mean() > before + 0.2
 
 
+def test_lm_trains_on_every_window(spark):
+    """Only a window's own token moves its class's table, so each class of a token must have moved."""
+    words = [f"w{i}" for i in range(40)]
+    p, first = lm.fit(docs_of(spark, [" ".join(words)])), lm.start()
+    moved = {k for k in range(lm.CLASSES) if not np.array_equal(p["to_member"][k], first["to_member"][k])}
+    assert moved == {int(t) // lm.MEMBERS for t in lm.tokens(lm.Memo(), " ".join(words).encode())}
+
+
 def test_lm_query(spark):
     rows = queries.op6_lm(spark, DATA).collect()
     assert len(rows) == 200 and all(r["lm_log_prob"] <= 0 and (r["lm_tokens"] > 0 or r["lm_log_prob"] == 0) for r in rows)
