@@ -362,7 +362,7 @@ def auto_collapsed(fx: Fixtures) -> DataFrame:
 @query(with_edges("""c(origin, node_id, d) AS (SELECT source_id, target_id, 1 FROM edges UNION SELECT origin, target_id, d + 1 FROM c JOIN edges ON source_id = c.node_id WHERE d < 2),
 n AS (SELECT origin, count(DISTINCT node_id) AS n FROM c GROUP BY origin) SELECT s.node_id, coalesce(n.n, 0) AS descendants FROM fx_symbols s LEFT JOIN n ON n.origin = s.node_id"""))
 def descendant_counts(fx: Fixtures) -> DataFrame:
-    return G.descendant_counts(edges_of(fx), fx.symbols, depth=2)
+    return G.descendant_counts(edges_of(fx), fx.symbols)
 
 
 @query(with_edges(f"{reach(START)} SELECT t.node_id AS target_id, r.dist AS path_length FROM reach r JOIN fx_symbols t ON t.node_id = r.node_id WHERE t.name = '{TARGET}'"))
