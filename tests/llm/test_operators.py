@@ -337,6 +337,12 @@ def test_search(spark, docs):
             assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [-s for s, _ in want])
 
 
+def test_search_ranks_ids_though_one_repeats_more_than_k_times(spark):
+    rows = [(0, "red fox den", "en", "s", 0)] + [(1, "red fox den", "en", "s", 0)] * 30 + [(i, "red hen " * i, "en", "s", 0) for i in range(2, 6)]
+    got = search.search(spark.createDataFrame(rows, DOCS), F.col("doc_id") == 0).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5}
+
+
 def test_lm_gradient_and_learning(docs):
     texts = [r["text"] for r in docs.collect()]
     memo = lm.Memo()
