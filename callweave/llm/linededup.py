@@ -3,13 +3,14 @@
 A line is the set of its words. A line goes if an earlier line (by document id, then line
 number) has a word set at Jaccard similarity ``4/5`` or more. Equal lines are settled
 first. Words are ordered by rarity, and two similar sets must share a word among their
-rarest ``n - ceil(0.8 n) + 1``. Pairs that meet on such a word pass a length filter,
-a positional filter (words left after the meeting point) and a bitmap filter (a 128-bit
-signature bounds the overlap) inside the join; those that pass are verified on the sets.
+rarest ``n - ceil(0.8 n) + 1``. Pairs that meet on such a word pass a length filter, a
+positional filter (words left after the meeting point) and a prefix filter: of two sets,
+the one whose prefix ends earlier in the order holds all common words up to there in both
+prefixes, which a 64-bit bitmap of each prefix bounds. What passes is verified on the words.
 
-Rarity is counted over the whole corpus in ``2**16`` hash buckets, a table of fixed size.
+Rarity is counted over the whole corpus in ``BUCKETS`` hash buckets, a table of fixed size.
 Any order gives the same result; the counts only make the prefixes selective. Words are
-held as 63-bit hashes, led by their bucket's rank.
+held as 63-bit numbers, the rarity class of their bucket followed by 47 bits of their hash.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without, written
 
-BUCKETS, HASH_BITS = 1 << 16, 47
-#: Rarest words by which a line meets first partners, and how many for each.
-HEADS, PARTNERS = 6, 4
+BUCKETS, HASH_BITS = 1 << 18, 47
+#: Rarest words by which a line meets a first partner.
+HEADS = 3
+#: Without it Spark's analyzer takes no scalar subquery inside a lambda function.
+IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 
 
 # Exploding the outer way here is the same, as the arrays are never empty, and spares the filter
@@ -30,14 +33,12 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, SPACE), "")
 
 
-def rarity(docs: DataFrame, text: str) -> list[int]:
-    """Rank of each bucket by how many words of the corpus fall into it."""
-    each = docs.select(F.explode_outer(words(F.col(text))).alias("w")).where("w IS NOT NULL").select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
-    n = {r["b"]: r["n"] for r in each.groupBy("b").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
-    rank = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
-        rank[b] = i
-    return rank
+def rarity(docs: DataFrame, text: str) -> DataFrame:
+    """One row, one column: for each bucket a class of 15 bits, larger for more words of the corpus, in the bits above the hash's."""
+    each = docs.select(F.explode_outer(F.split(text, SPACE)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"), F.lit(1).cast("long").alias("n"))
+    every = each.unionAll(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n")))
+    n = every.groupBy("b").agg(F.sum("n").alias("n")).select("b", F.call_function("shiftleft", F.floor(F.log2(F.col("n") + 1) * 512).cast("long"), F.lit(HASH_BITS)).alias("c"))
+    return cut(n.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("classes")))  # exactly BUCKETS rows
 
 
 def overlap(n: Column, m: Column) -> Column:
@@ -45,87 +46,113 @@ def overlap(n: Column, m: Column) -> Column:
     return F.floor((4 * (n + m) + 8) / 9)
 
 
+def prefix(n: Column) -> Column:
+    """How many of its rarest words a set of n shares one with any similar set: n - ceil(4 n / 5) + 1."""
+    return n - F.floor((4 * n + 4) / 5) + 1
+
+
+def lines_of(docs: DataFrame, numbers: DataFrame | None = None, only: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line, own): the lines of ``docs`` that hold a word, without those that ``numbers`` (doc_id, text_hash, gone) names, or ``only`` those."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    parts = F.split("text", "\n")
+    if numbers is None:
+        each = docs.select("doc_id", "text_hash", F.posexplode_outer(parts).alias("line", "own"))
+    else:
+        named = numbers.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone")
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
+        docs = docs.join(maybe_broadcast(named), same, "inner" if only else "left")
+        chosen = F.col("gone") if only else F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("gone", F.array().cast("array<int>")))
+        one = lambda i: F.struct(i.alias("line"), F.get(parts, i).alias("own"))
+        whole = F.when(F.lit(not only) & F.col("gone").isNull(), F.transform(parts, lambda x, i: F.struct(i.alias("line"), x.alias("own")))).otherwise(F.transform(chosen, one))
+        each = docs.select("doc_id", "text_hash", F.explode_outer(whole).alias("x")).select("doc_id", "text_hash", "x.line", "x.own")
+    return each.where(F.col("own").rlike(WORD))
+
+
+def by_text(lines: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, gone): the numbers of ``lines``, no longer than the text."""
+    return lines.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, gone): the numbers, from 0, of the lines that go, for each text that loses some."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line", "own")).where(F.col("own").rlike(WORD))
 
     # equal lines first: only the earliest is compared with others
-    ids = lines.select("doc_id", "text_hash", "line", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
+    ids = lines_of(docs).select("doc_id", "text_hash", "line", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
     least = ids.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(ids.join(least, ["s1", "s2"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "text_hash", "line"))
-    named = copies.select([F.col(c).alias(f"_{c}") for c in copies.columns])
-    own = (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line") == F.col("_line"))
-    single = lines.join(maybe_broadcast(named), own, "left_anti")
+    copies = cut(by_text(ids.join(least, ["s1", "s2"]).where(F.struct("doc_id", "line") > F.col("first"))))
+    single = lines_of(docs, copies)
 
-    rank = F.split(F.lit(",".join(str(r << HASH_BITS) for r in rarity(docs, "text"))), ",").cast("array<bigint>")  # folded to a literal array
+    table = rarity(docs, "text").scalar()
     mask = F.lit((1 << HASH_BITS) - 1)
-    hashes = F.transform(words(F.col("own")), lambda w: F.xxhash64(w).bitwiseAND(mask))
-    ranked = F.transform(F.array_distinct(hashes), lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h))
-    sets = single.select("doc_id", "line", F.sort_array(ranked).alias("t"))
+    before = spark.conf.get(IN_LAMBDA, "false")
+    spark.conf.set(IN_LAMBDA, "true")
+    try:
+        hashes = F.transform(words(F.col("own")), lambda w: F.xxhash64(w).bitwiseAND(mask))
+        ranked = F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h))
+        sets = single.select("doc_id", "text_hash", "line", F.sort_array(F.array_distinct(ranked)).alias("t"))
+    finally:
+        spark.conf.set(IN_LAMBDA, before)
     n = F.size("t")
-    rarest = F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    # the signature is made before the words are dealt out, and never null, lest it be computed again to filter nulls
-    bare = sets.select("doc_id", "line", n.alias("n"), *[_bits("t", i, 2, 20).alias(f"sig{i}") for i in range(2)], rarest.alias("r"))
-    bare = written(bare)
-    lost = lambda a, b: sum(F.bit_count(F.col(f"{a}.sig{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sig{i}")))) for i in range(2))
-    n, m, o = F.col("x.n"), F.col("y.n"), overlap(F.col("x.n"), F.col("y.n"))
-    may = (5 * m >= 4 * n) & (5 * n >= 4 * m) & (n - lost("x", "y") >= o) & (m - lost("y", "x") >= o)
-    may &= F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line")
+    sets = sets.select("doc_id", "text_hash", "line", n.alias("n"), F.slice("t", F.lit(1), prefix(n).cast("int")).alias("t"))
+    # bits 0 to 30 of the hash name the word, 31 to 36 its bit; never null, lest they be computed again to filter nulls
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 31).bitwiseAND(F.lit(63)).cast("int"))
+    sig = F.coalesce(F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x))), F.lit(0).cast("long"))
+    rarest = F.transform("t", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # once written, the numbers stay what they are
+    bare = written(sets.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_hash", "line", "n", F.shiftright(F.element_at("t", -1), HASH_BITS + 6).cast("int").alias("last"), sig.alias("sig"), rarest.alias("r")))
 
     # One earlier partner is enough. Many lines alike would all pair up, so each is first held against the
-    # earliest lines of a few hash classes that share one of its rarest words; what that settles looks for no other.
-    heads = bare.select("doc_id", "line", "n", "sig0", "sig1", F.explode_outer(F.slice("r", 1, HEADS)).alias("w"))
-    least = heads.groupBy("w", F.pmod(F.xxhash64("doc_id", "line"), F.lit(PARTNERS)).alias("h")).agg(F.min(F.struct("doc_id", "line", "n", "sig0", "sig1")).alias("v"), F.count("*").alias("c")).select("w", "v.*")
-    met = heads.alias("x").join(least.alias("y"), (F.col("x.w") == F.col("y.w")) & may).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_"), F.col("y.line").alias("line_"), (lost("x", "y") + lost("y", "x")).alias("lost"))
-    best = cut(met.groupBy("doc_id", "line").agg(F.min_by(F.struct("doc_id_", "line_"), "lost").alias("b")).select("doc_id", "line", "b.doc_id_", "b.line_"))
-    sure = cut(_verified(best, single))
-    settled = maybe_broadcast(cut(sure.select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"), F.lit(True).alias("settled")).distinct()))
-
-    here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
-    flagged = bare.join(settled, here, "left").select("doc_id", "line", "n", "sig0", "sig1", F.coalesce("settled", F.lit(False)).alias("settled"), "r")
-    keyed = flagged.select("doc_id", "line", "n", "sig0", "sig1", "settled", F.posexplode_outer("r").alias("p", "w")).withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    later, earlier = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
-    # naming both sides keeps the filter out of one side's plan, which the exchange is shared with
-    asks = ~(F.col("x.settled") & (F.col("y.n") > 0))
-    near = (F.col("x.w") == F.col("y.w")) & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= o) & asks & may
-    met = later.join(earlier, near).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_"), F.col("y.line").alias("line_"))
-    pairs = cut(met.distinct())
-
-    # verify on the words of the lines that a pair names
-    return copies.unionAll(sure).unionAll(_verified(pairs, single)).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
-
-
-def _bits(t: str, i: int, words_: int, at: int) -> Column:
-    """The i-th 64 bits of a signature of ``words_`` times 64, in which each word's hash, from bit ``at`` on, sets one; never null."""
-    here = lambda x: F.shiftright(x, at + 6).bitwiseAND(F.lit(words_ - 1)) == i
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, at).bitwiseAND(F.lit(63)).cast("int"))
-    return F.coalesce(F.aggregate(t, F.lit(0).cast("long"), lambda a, x: F.when(here(x), a.bitwiseOR(one(x))).otherwise(a)), F.lit(0).cast("long"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line) of the later lines of the pairs whose word sets are alike.
-
-    The sets themselves are wide, so first a 256-bit signature of each line that a pair
-    names bounds the overlap again; only pairs that pass fetch both sets.
-    """
-    asked = cut(pairs.select("doc_id", "line").unionAll(pairs.select("doc_id_", "line_")).distinct().select(F.col("doc_id").alias("_d"), F.col("line").alias("_l")))
-    mine = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
-    sets = cut(lines.join(maybe_broadcast(asked), mine).select("doc_id", "text_hash", "line", F.transform(F.array_distinct(words(F.col("own"))), lambda w: F.xxhash64(w)).alias("t")))
-    wide = range(4)
-    signed = sets.select("doc_id", "line", F.size("t").alias("n"), *[_bits("t", i, 4, 0).alias(f"b{i}") for i in wide])
-    x, y = (signed.select([F.col(c).alias(f"{s}_{c}") for c in signed.columns]) for s in "xy")
-    met = pairs.join(x, F.col("doc_id").eqNullSafe(F.col("x_doc_id")) & (F.col("line") == F.col("x_line"))).join(y, F.col("doc_id_").eqNullSafe(F.col("y_doc_id")) & (F.col("line_") == F.col("y_line")))
-    o = overlap(F.col("x_n"), F.col("y_n"))
-    lost = lambda a, b: sum(F.bit_count(F.col(f"{a}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{i}")))) for i in wide)
-    bound = (F.col("x_n") - lost("x", "y") >= o) & (F.col("y_n") - lost("y", "x") >= o)
-    left = cut(met.where(bound).select("doc_id", "line", "doc_id_", "line_").distinct())
-    later = sets.select(F.col("doc_id").alias("_xd"), "text_hash", F.col("line").alias("_xl"), "t")
-    earlier = sets.select(F.col("doc_id").alias("_yd"), F.col("line").alias("_yl"), F.col("t").alias("_t"))
-    both = left.join(later, F.col("doc_id").eqNullSafe(F.col("_xd")) & (F.col("line") == F.col("_xl"))).drop("_xd", "_xl")
-    both = both.join(earlier, F.col("doc_id_").eqNullSafe(F.col("_yd")) & (F.col("line_") == F.col("_yl")))
-    common = F.size(F.array_intersect("t", "_t"))
-    return both.where(9 * common >= 4 * (F.size("t") + F.size("_t"))).select("doc_id", "text_hash", "line")
+    # earliest line that shares one of its rarest words; what that settles pairs up with unsettled lines only.
+    heads = bare.select("id", "doc_id", "line", "n", "last", "sig", F.explode_outer(F.slice("r", 1, HEADS)).alias("w"))
+    first = heads.groupBy("w").agg(F.min(F.struct("doc_id", "line", "id", "n", "last", "sig")).alias("v"), F.count("*").alias("c")).where("c > 1").select("w", "v.*")
+    x, y = heads.alias("x"), first.alias("y")
+    earlier = F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line")
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & earlier & may(F.col("x.n"), F.col("y.n"), F.col("x.last"), F.col("y.last"), F.col("x.sig"), F.col("y.sig")))
+    sure = cut(_verified(cut(met.select("x.id", F.col("y.id").alias("id_")).distinct()), bare, docs))
+    settled = cut(sure.select("id").distinct())
+
+    flagged = bare.select("id", "n", "last", "sig", "r").join(maybe_broadcast(settled.select("id", F.lit(1).alias("s"))), "id", "left")
+    # one long for the size, the position, the class of the prefix' last word and whether the line is settled
+    left = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
+    keyed = flagged.select("id", left(F.col("n"), 36).bitwiseOR(left(F.col("last"), 1)).bitwiseOR(F.coalesce("s", F.lit(0)).cast("long")).alias("n"), "sig", F.posexplode_outer("r").alias("p", "w"))
+    keyed = keyed.select("w", "id", F.col("n").bitwiseOR(left(F.col("p"), 10)).alias("n"), "sig")
+    longer, shorter = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
+    part = lambda s: (F.shiftright(f"{s}.n", 36), F.shiftright(f"{s}.n", 10).bitwiseAND(F.lit((1 << 26) - 1)), F.shiftright(f"{s}.n", 1).bitwiseAND(F.lit(511)), F.col(f"{s}.n").bitwiseAND(F.lit(1)))
+    (n, p, last, done), (m, q, last_, done_) = part("x"), part("y")
+    order = (n > m) | ((n == m) & (F.col("x.id") > F.col("y.id")))
+    near = (F.col("x.w") == F.col("y.w")) & order & (F.least(n - p, m - q) >= overlap(n, m)) & (done.bitwiseAND(done_) == 0) & may(n, m, last, last_, F.col("x.sig"), F.col("y.sig"))
+    pairs = cut(longer.join(shorter, near).select("x.id", F.col("y.id").alias("id_")).distinct())
+
+    found = sure.unionAll(_verified(pairs, bare, docs)).select("doc_id", "text_hash", "line")
+    return by_text(found.unionAll(copies.select("doc_id", "text_hash", F.explode("gone").alias("line"))))
+
+
+def may(n: Column, m: Column, last: Column, last_: Column, sig: Column, sig_: Column) -> Column:
+    """Whether sets of n and m words can be similar, by their sizes and their prefixes' last classes and bitmaps."""
+    lost = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    shared = F.least(prefix(n) - lost(sig, sig_), prefix(m) - lost(sig_, sig))
+    rest, rest_ = n - prefix(n), m - prefix(m)
+    rest = F.when(last < last_, rest).when(last_ < last, rest_).otherwise(F.greatest(rest, rest_))
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (shared + rest >= overlap(n, m))
+
+
+def _verified(pairs: DataFrame, bare: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, doc_id, text_hash, line) of the later lines of the pairs (id, id_) whose word sets are alike; a line may come several times."""
+    asked = pairs.select("id").unionAll(pairs.select("id_")).distinct()
+    asked = cut(bare.select("id", "doc_id", "text_hash", "line", "n").join(asked, "id"))
+    found = lines_of(docs, cut(by_text(asked)), only=True).distinct()
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("line").alias("_l"), F.array_distinct(words(F.col("own"))).alias("t"))
+    here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("line") == F.col("_l"))
+    sets = cut(asked.join(found, here).select("id", "doc_id", "text_hash", "line", "t"))
+    x, y = (sets.select([F.col(c).alias(f"{s}{c}") for c in sets.columns]) for s in "xy")
+    both = pairs.join(x, F.col("id") == F.col("xid")).join(y, F.col("id_") == F.col("yid"))
+    alike = both.where(9 * F.size(F.array_intersect("xt", "yt")) >= 4 * (F.size("xt") + F.size("yt")))
+    names = ("id", "doc_id", "text_hash", "line")
+    place = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in names])
+    at = lambda s: F.struct(f"{s}doc_id", f"{s}line")
+    return alike.where(at("x") != at("y")).select(F.when(at("x") > at("y"), place("x")).otherwise(place("y")).alias("v")).select("v.*")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,7 +168,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash"))
     both = docs.join(maybe_broadcast(gone), same, "left")
     parts = F.split(text, "\n")
-    kept = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_line_gone", i)), "\n"))
+    kept = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_line_gone")), lambda i: F.get(parts, i)), "\n"))
     # Catalyst evaluates the new columns from the old text
     return both.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("lines_removed"))
 

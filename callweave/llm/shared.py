@@ -9,12 +9,13 @@ from collections.abc import Iterable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: A side of more rows than this is never broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A side of more bytes than this is never broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def by_value(name: str) -> None:
@@ -59,9 +60,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in a hash table, strings and arrays counted by their lengths."""
+    size = F.lit(32)
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        elif isinstance(kind, T.ArrayType):
+            size = size + 8 * F.greatest(F.size(field.name), F.lit(0)) + 32
+        else:
+            size = size + 8
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast only if it is small; ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast only if its bytes are few; ``df`` must be cheap to read."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
