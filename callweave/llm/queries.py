@@ -44,8 +44,8 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs)).drop("text")
+    words = lm.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm.score_encoded(words, lm.fit_encoded(words))
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
