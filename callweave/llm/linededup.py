@@ -4,9 +4,8 @@ A line is the set of its words. A line goes if an earlier line (by document id,
 number) has a word set at Jaccard similarity ``4/5`` or more. Equal lines are settled
 first. Words are ordered by rarity, and two similar sets must share a word among their
 rarest ``n - ceil(0.8 n) + 1``. Pairs that meet on such a word pass a length filter, a
-positional filter (words left after the meeting point) and a prefix filter: of two sets,
-the one whose prefix ends earlier in the order holds all common words up to there in both
-prefixes, which a 64-bit bitmap of each prefix bounds. What passes is verified on the words.
+positional filter (words left after the meeting point) and a bitmap filter (a 128-bit
+signature of each set bounds the overlap). What passes is verified on the words.
 
 Rarity is counted over the whole corpus in ``BUCKETS`` hash buckets, a table of fixed size.
 Any order gives the same result; the counts only make the prefixes selective. Words are
@@ -15,14 +14,14 @@ held as 63-bit numbers, the rarity class of their bucket followed by 47 bits of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without, written
 
 BUCKETS, HASH_BITS = 1 << 18, 47
-#: Rarest words by which a line meets a first partner.
-HEADS = 3
+#: A prefix word of so many lines is hot; its lines first meet the earliest line of each of a few hash classes.
+HOT, PARTNERS = 64, 4
 #: Without it Spark's analyzer takes no scalar subquery inside a lambda function.
 IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 
@@ -51,23 +50,26 @@ def prefix(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5) + 1
 
 
-def lines_of(docs: DataFrame, numbers: DataFrame | None = None, only: bool = False) -> DataFrame:
-    """(doc_id, text_hash, line, own): the lines of ``docs`` that hold a word, without those that ``numbers`` (doc_id, text_hash, gone) names, or ``only`` those."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    parts = F.split("text", "\n")
-    if numbers is None:
-        each = docs.select("doc_id", "text_hash", F.posexplode_outer(parts).alias("line", "own"))
+def lines_of(docs: DataFrame, without_: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, line, own): the lines of ``docs`` that hold a word, without those that ``without_`` (doc_id, text_hash, gone) names."""
+    if without_ is None:
+        each = docs.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line", "own"))
     else:
-        named = numbers.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone")
-        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
-        docs = docs.join(maybe_broadcast(named), same, "inner" if only else "left")
-        chosen = F.col("gone") if only else F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("gone", F.array().cast("array<int>")))
-        one = lambda i: F.struct(i.alias("line"), F.get(parts, i).alias("own"))
-        whole = F.when(F.lit(not only) & F.col("gone").isNull(), F.transform(parts, lambda x, i: F.struct(i.alias("line"), x.alias("own")))).otherwise(F.transform(chosen, one))
+        # a lambda would split the text again for each line, so the parts are a column first
+        docs = _named(docs, without_, "left").select("doc_id", "text_hash", "gone", F.split("text", "\n").alias("parts"))
+        some = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+        whole = F.when(F.col("gone").isNull(), F.transform("parts", lambda x, i: F.struct(i.alias("line"), x.alias("own")))).otherwise(F.transform(some, lambda i: F.struct(i.alias("line"), F.get("parts", i).alias("own"))))
         each = docs.select("doc_id", "text_hash", F.explode_outer(whole).alias("x")).select("doc_id", "text_hash", "x.line", "x.own")
     return each.where(F.col("own").rlike(WORD))
 
 
+def _named(docs: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """``docs`` with the array that ``numbers`` (doc_id, text_hash, and an array) has for them."""
+    numbers = numbers.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
+    return docs.join(maybe_broadcast(numbers), same, how).drop("_d", "_h")
+
+
 def by_text(lines: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the numbers of ``lines``, no longer than the text."""
     return lines.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
@@ -77,6 +79,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, text_hash, gone): the numbers, from 0, of the lines that go, for each text that loses some."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    own = cut(docs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max(F.size(F.split("text", "\n"))).alias("lines")))
+    if not own.where("n > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text", "text_hash"])  # rows that are equal are one place
+    # a line's place is its number in the corpus by (doc_id, line); texts of one id share their places
+    texts = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("lines").cast("long").alias("lines"))
+    unique = texts.where("n > 1").isEmpty()
+    places = begins(texts, "doc_id", "lines", "begin")
 
     # equal lines first: only the earliest is compared with others
     ids = lines_of(docs).select("doc_id", "text_hash", "line", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
@@ -95,62 +105,86 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     finally:
         spark.conf.set(IN_LAMBDA, before)
     n = F.size("t")
-    sets = sets.select("doc_id", "text_hash", "line", n.alias("n"), F.slice("t", F.lit(1), prefix(n).cast("int")).alias("t"))
-    # bits 0 to 30 of the hash name the word, 31 to 36 its bit; never null, lest they be computed again to filter nulls
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 31).bitwiseAND(F.lit(63)).cast("int"))
-    sig = F.coalesce(F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x))), F.lit(0).cast("long"))
-    rarest = F.transform("t", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    rarest = F.transform(F.slice("t", F.lit(1), prefix(n).cast("int")), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # once written, the numbers stay what they are
-    bare = written(sets.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_hash", "line", "n", F.shiftright(F.element_at("t", -1), HASH_BITS + 6).cast("int").alias("last"), sig.alias("sig"), rarest.alias("r")))
-
-    # One earlier partner is enough. Many lines alike would all pair up, so each is first held against the
-    # earliest line that shares one of its rarest words; what that settles pairs up with unsettled lines only.
-    heads = bare.select("id", "doc_id", "line", "n", "last", "sig", F.explode_outer(F.slice("r", 1, HEADS)).alias("w"))
-    first = heads.groupBy("w").agg(F.min(F.struct("doc_id", "line", "id", "n", "last", "sig")).alias("v"), F.count("*").alias("c")).where("c > 1").select("w", "v.*")
-    x, y = heads.alias("x"), first.alias("y")
-    earlier = F.struct("y.doc_id", "y.line") < F.struct("x.doc_id", "x.line")
-    met = x.join(y, (F.col("x.w") == F.col("y.w")) & earlier & may(F.col("x.n"), F.col("y.n"), F.col("x.last"), F.col("y.last"), F.col("x.sig"), F.col("y.sig")))
-    sure = cut(_verified(cut(met.select("x.id", F.col("y.id").alias("id_")).distinct()), bare, docs))
-    settled = cut(sure.select("id").distinct())
-
-    flagged = bare.select("id", "n", "last", "sig", "r").join(maybe_broadcast(settled.select("id", F.lit(1).alias("s"))), "id", "left")
-    # one long for the size, the position, the class of the prefix' last word and whether the line is settled
+    bare = written(sets.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_hash", "line", n.alias("n"), _bits("t", 0).alias("sig0"), _bits("t", 1).alias("sig1"), rarest.alias("r")))
+    bare = bare.join(maybe_broadcast(places.withColumnRenamed("doc_id", "_d")), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").withColumn("place", F.col("begin") + F.col("line"))
+    if unique:  # the place will do as the number
+        bare = bare.withColumn("id", F.col("place"))
+    rows = bare.select("id", *([] if unique else ["place"]), "n", "sig0", "sig1", "r")
+    place = "id" if unique else "place"
+
+    # One earlier partner is enough. Where many lines are alike all would pair up, so the lines of a hot word first
+    # meet a few early ones; what that settles looks for no earlier line any more.
+    each = rows.withColumn("w", F.explode_outer("r")).drop("r")
+    hot = cut(each.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("w"))
+    sure = None
+    if not hot.isEmpty():
+        each = each.join(maybe_broadcast(hot), "w")
+        first = each.groupBy("w", F.pmod(F.xxhash64("id"), F.lit(PARTNERS)).alias("h")).agg(F.min(F.struct(*[c for c in dict.fromkeys((place, "id", "n", "sig0", "sig1"))])).alias("v")).select("w", "v.*")
+        met = each.alias("x").join(first.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col(f"y.{place}") < F.col(f"x.{place}")) & may(F.col("x.n"), F.col("y.n")))
+        best = met.groupBy("x.id").agg(F.min_by("y.id", lost("x", "y") + lost("y", "x")).alias("id_"))
+        sure = cut(_verified(cut(best), bare, docs))
+        rows = rows.join(maybe_broadcast(cut(sure.select("id").distinct()).withColumn("s", F.lit(1))), "id", "left")
+    else:
+        rows = rows.withColumn("s", F.lit(0))
+
+    # one long for the size, the position and whether the line is settled
     left = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
-    keyed = flagged.select("id", left(F.col("n"), 36).bitwiseOR(left(F.col("last"), 1)).bitwiseOR(F.coalesce("s", F.lit(0)).cast("long")).alias("n"), "sig", F.posexplode_outer("r").alias("p", "w"))
-    keyed = keyed.select("w", "id", F.col("n").bitwiseOR(left(F.col("p"), 10)).alias("n"), "sig")
+    keyed = rows.select("id", *([] if unique else ["place"]), left(F.col("n"), 32).bitwiseOR(F.coalesce("s", F.lit(0)).cast("long")).alias("n"), "sig0", "sig1", F.posexplode_outer("r").alias("p", "w"))
+    keyed = keyed.withColumn("n", F.col("n").bitwiseOR(left(F.col("p"), 1))).drop("p")
     longer, shorter = keyed.alias("x"), keyed.alias("y")  # one exchange serves both sides
-    part = lambda s: (F.shiftright(f"{s}.n", 36), F.shiftright(f"{s}.n", 10).bitwiseAND(F.lit((1 << 26) - 1)), F.shiftright(f"{s}.n", 1).bitwiseAND(F.lit(511)), F.col(f"{s}.n").bitwiseAND(F.lit(1)))
-    (n, p, last, done), (m, q, last_, done_) = part("x"), part("y")
+    part = lambda s: (F.shiftright(f"{s}.n", 32), F.shiftright(f"{s}.n", 1).bitwiseAND(F.lit((1 << 31) - 1)), F.col(f"{s}.n").bitwiseAND(F.lit(1)))
+    (n, p, done), (m, q, done_) = part("x"), part("y")
     order = (n > m) | ((n == m) & (F.col("x.id") > F.col("y.id")))
-    near = (F.col("x.w") == F.col("y.w")) & order & (F.least(n - p, m - q) >= overlap(n, m)) & (done.bitwiseAND(done_) == 0) & may(n, m, last, last_, F.col("x.sig"), F.col("y.sig"))
+    asks = F.when(F.col(f"x.{place}") > F.col(f"y.{place}"), done).otherwise(done_) == 0
+    near = (F.col("x.w") == F.col("y.w")) & order & (F.least(n - p, m - q) >= overlap(n, m)) & asks & may(n, m)
     pairs = cut(longer.join(shorter, near).select("x.id", F.col("y.id").alias("id_")).distinct())
 
-    found = sure.unionAll(_verified(pairs, bare, docs)).select("doc_id", "text_hash", "line")
+    found = _verified(pairs, bare, docs)
+    found = (found if sure is None else sure.unionAll(found)).select("doc_id", "text_hash", "line")
     return by_text(found.unionAll(copies.select("doc_id", "text_hash", F.explode("gone").alias("line"))))
 
 
-def may(n: Column, m: Column, last: Column, last_: Column, sig: Column, sig_: Column) -> Column:
-    """Whether sets of n and m words can be similar, by their sizes and their prefixes' last classes and bitmaps."""
-    lost = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
-    shared = F.least(prefix(n) - lost(sig, sig_), prefix(m) - lost(sig_, sig))
-    rest, rest_ = n - prefix(n), m - prefix(m)
-    rest = F.when(last < last_, rest).when(last_ < last, rest_).otherwise(F.greatest(rest, rest_))
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (shared + rest >= overlap(n, m))
+def begins(rows: DataFrame, key: str, size: str, out: str) -> DataFrame:
+    """(key, out): the sum of the sizes of all rows before, by key, null first; summed within ranges of keys and shifted by the ranges before."""
+    ranged = cut(rows.select(key, size).repartitionByRange(F.asc_nulls_first(key)).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shifts = ranged.groupBy("_part").agg(F.sum(size).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("_part").orderBy(F.asc_nulls_first(key)).rowsBetween(Window.unboundedPreceding, -1)
+    return cut(ranged.withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0))).join(F.broadcast(shifts), "_part").select(key, (F.col("_own") + F.col("_shift")).alias(out)))
+
+
+def _bits(t: str, i: int) -> Column:
+    """The i-th 64 bits of a signature of 128, in which bits 20 to 26 of each word's hash set one; never null, lest it be computed again to filter nulls."""
+    here = lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1)) == i
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(F.aggregate(t, F.lit(0).cast("long"), lambda a, x: F.when(here(x), a.bitwiseOR(one(x))).otherwise(a)), F.lit(0).cast("long"))
+
+
+def lost(a: str, b: str) -> Column:
+    """Bits of a's signature that b's lacks: at least so many words of a are not in b."""
+    return sum(F.bit_count(F.col(f"{a}.sig{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sig{i}")))) for i in range(2))
+
+
+def may(n: Column, m: Column) -> Column:
+    """Whether the sets of n and m words of x and y can be similar, by their sizes and signatures."""
+    o = overlap(n, m)
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (n - lost("x", "y") >= o) & (m - lost("y", "x") >= o)
 
 
 def _verified(pairs: DataFrame, bare: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, doc_id, text_hash, line) of the later lines of the pairs (id, id_) whose word sets are alike; a line may come several times."""
     asked = pairs.select("id").unionAll(pairs.select("id_")).distinct()
-    asked = cut(bare.select("id", "doc_id", "text_hash", "line", "n").join(asked, "id"))
-    found = lines_of(docs, cut(by_text(asked)), only=True).distinct()
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("line").alias("_l"), F.array_distinct(words(F.col("own"))).alias("t"))
-    here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("line") == F.col("_l"))
-    sets = cut(asked.join(found, here).select("id", "doc_id", "text_hash", "line", "t"))
-    x, y = (sets.select([F.col(c).alias(f"{s}{c}") for c in sets.columns]) for s in "xy")
+    asked = cut(bare.select("id", "doc_id", "text_hash", "line", "n").join(asked, "id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "line", "n")).alias("at")))
+    one = F.when(F.size("parts") > 0, F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["line"].alias("line"), a["n"].alias("n"), F.get("parts", a["line"]).alias("own"))))
+    texts = _named(docs, asked, "inner").select("doc_id", "text_hash", "at", F.split("text", "\n").alias("parts"))
+    lines = written(texts.select("doc_id", "text_hash", F.explode_outer(one).alias("x")).select("x.id", "doc_id", "text_hash", "x.line", "x.n", "x.own"))
+    x, y = (lines.select([F.col(c).alias(f"{s}{c}") for c in lines.columns]) for s in "xy")
     both = pairs.join(x, F.col("id") == F.col("xid")).join(y, F.col("id_") == F.col("yid"))
-    alike = both.where(9 * F.size(F.array_intersect("xt", "yt")) >= 4 * (F.size("xt") + F.size("yt")))
-    names = ("id", "doc_id", "text_hash", "line")
-    place = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in names])
+    common = F.size(F.array_remove(F.array_intersect(F.split("xown", SPACE), F.split("yown", SPACE)), ""))
+    alike = both.where(9 * common >= 4 * (F.col("xn") + F.col("yn")))
+    place = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in ("id", "doc_id", "text_hash", "line")])
     at = lambda s: F.struct(f"{s}doc_id", f"{s}line")
     return alike.where(at("x") != at("y")).select(F.when(at("x") > at("y"), place("x")).otherwise(place("y")).alias("v")).select("v.*")
 
@@ -166,8 +200,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = cut(removed_lines(docs, doc_id, text)).withColumnsRenamed({"doc_id": "_line_id", "text_hash": "_line_hash", "gone": "_line_gone"})
     docs = without(docs, ["lines", "lines_removed"])
     same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash"))
-    both = docs.join(maybe_broadcast(gone), same, "left")
-    parts = F.split(text, "\n")
+    both = docs.join(maybe_broadcast(gone), same, "left").withColumn("_line_parts", F.split(text, "\n"))
+    parts = F.col("_line_parts")
     kept = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_line_gone")), lambda i: F.get(parts, i)), "\n"))
     # Catalyst evaluates the new columns from the old text
     return both.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("lines_removed"))
