@@ -72,10 +72,9 @@ def start(n: np.ndarray) -> Model:
     top = top[n[top] > 0]
     token = np.full(BUCKETS, OTHER, np.int16)
     token[top] = np.arange(len(top))
-    rest = np.where(token == OTHER, n + 1.0, 0.0)
-    share = np.where(token == OTHER, np.log(np.maximum(rest, 1.0) / rest.sum()), 0.0)
-    # one for every bucket of the last token, as in its shares
-    rate = np.bincount(token, n, VOCABULARY) + np.where(np.arange(VOCABULARY) == OTHER, float((token == OTHER).sum()), 1.0)
+    rest = np.where(token == OTHER, n + 0.01, 0.0)  # no bucket is impossible
+    share = np.where(token == OTHER, np.log(np.maximum(rest, 0.01) / rest.sum()), 0.0)
+    rate = np.bincount(token, n, VOCABULARY) + 1.0
     r = np.random.default_rng(1)
     weights = {"embed": r.standard_normal((VOCABULARY + 1, WIDTH)) * 0.3, "place": np.full((len(SIDES), WIDTH), 0.5)}
     weights["embed"][PAD] = 0

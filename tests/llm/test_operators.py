@@ -343,27 +343,65 @@ def test_search_ranks_ids_though_one_repeats_more_than_k_times(spark):
     assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5}
 
 
-def test_lm_gradient_and_learning(docs):
-    texts = [r["text"] for r in docs.collect()]
-    memo = lm.Memo()
-    flat, at = lm.padded([lm.tokens(memo, t.encode()) for t in texts])
-    p = lm.with_rates(lm.start(), np.bincount(flat[at], minlength=lm.PAD))
-    before = lm.log_probabilities(p, flat, at).mean()
-    # the probabilities of one place over all words add up to 1
-    one = np.concatenate([np.concatenate((flat[at[5] - 2 : at[5]], [w], flat[at[5] + 1 : at[5] + 3])) for w in range(lm.PAD)]).astype(np.int32)
-    assert abs(np.exp(lm.log_probabilities(p, one, np.arange(2, len(one), 5))).sum() - 1) < 1e-3
-    for _ in range(6):
-        for lo in range(0, len(at), lm.BATCH):
-            lm.step(p, flat, at[lo : lo + lm.BATCH], 0.5)
-    assert lm.log_probabilities(p, flat, at).mean() > before + 0.2
+def lm_corpus(texts):
+    found = [lm.buckets(lm.Memo(), (t or "").encode()) for t in texts]
+    return np.concatenate(found), np.cumsum([len(f) for f in found])
 
 
-def test_lm_trains_on_every_window(spark):
-    """Only a window's own token moves its class's table, so each class of a token must have moved."""
-    words = [f"w{i}" for i in range(40)]
-    p, first = lm.fit(docs_of(spark, [" ".join(words)])), lm.start()
-    moved = {k for k in range(lm.CLASSES) if not np.array_equal(p["to_member"][k], first["to_member"][k])}
-    assert moved == {int(t) // lm.MEMBERS for t in lm.tokens(lm.Memo(), " ".join(words).encode())}
+def test_lm_learns(docs):
+    values, ends = lm_corpus([r["text"] for r in docs.collect()])
+    model = lm.start(np.bincount(values, minlength=lm.BUCKETS))
+    flat, at = lm.padded(model.token[values], ends)
+    p = model.weights
+    before = lm.log_probabilities(p, flat, at).mean()
+    assert abs(before - np.log(np.bincount(model.token[values])[model.token[values]] / len(values)).mean()) < 0.1  # the rates at first
+    for _ in range(4):
+        for lo in range(0, len(at), 4096):
+            lm.step(p, flat, at[lo : lo + 4096], 1.0)
+    assert lm.log_probabilities(p, flat, at).mean() > before + 0.2
+    # the probabilities of one place over all tokens add up to 1, and so do the shares of the last token
+    one = np.concatenate([np.concatenate((flat[at[5] - 2 : at[5]], [w], flat[at[5] + 1 : at[5] + 3])) for w in range(lm.VOCABULARY)]).astype(np.int16)
+    assert abs(np.exp(lm.log_probabilities(p, one, np.arange(2, len(one), 5))).sum() - 1) < 1e-3
+    assert abs(np.exp(model.share[model.token == lm.OTHER].astype(float)).sum() - 1) < 1e-3
+
+
+def test_lm_trains_on_every_window_once(monkeypatch):
+    import pyarrow as pa
+
+    sizes, at = [5, 1, 0, 300, 7, 44, 2], 0
+    lists = []
+    for n in sizes:  # every token is another one, so a window is known by its own
+        lists.append(list(range(at, at + n)))
+        at += n
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 0, 1, 1, 2]), pa.array(lists, pa.list_(pa.int16()))], ["share", "tokens"])
+    seen = Counter()
+    monkeypatch.setattr(lm, "step", lambda p, flat, at, rate: seen.update(flat[at].tolist()))
+    p = lm.start(np.ones(lm.BUCKETS)).weights
+    for r in range(3):
+        sent = [x for b in lm._trainer(p, r, 3, 16)(iter([batch])) for x in b.to_pylist() if x["name"] == "embed"]
+        assert [(x["share"], x["n"]) for x in sent] == [(0, 306), (1, 51), (2, 2)]
+    assert seen == Counter(range(at))
+
+
+def test_lm_scores_are_those_of_the_formula_and_of_any_partitioning(spark, docs):
+    some = docs.select("doc_id", "text").limit(40).cache()
+    model = lm.fit(some, share=3000, batch_size=256)
+    got = {r["doc_id"]: r["lm_log_prob"] for r in lm.score(some, model).collect()}
+    again = lm.fit(some.repartition(5), share=3000, batch_size=256)
+    assert got == {r["doc_id"]: r["lm_log_prob"] for r in lm.score(some.repartition(3), again).collect()}
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    for r in some.limit(3).collect():
+        own = [xxhash.xxh64_intdigest(x, 11) % lm.BUCKETS for x in r["text"].encode().lower().split()]
+        ids = [lm.PAD] * 2 + [int(model.token[b]) for b in own] + [lm.PAD] * 2
+        total = 0.0
+        for i, b in enumerate(own):
+            h = np.tanh(sum(w["embed"][ids[i + 2 + d]] * w["place"][j] for j, d in enumerate((-2, -1, 1, 2))))
+            t = ids[i + 2]
+            for level, node, way in ((0, 0, t // 256), (1, t // 256, t // 16 % 16), (2, t // 16, t % 16)):
+                z = h @ w[f"w{level}"][node] + w[f"b{level}"][node]
+                total += z[way] - math.log(np.exp(z).sum())
+            total += float(model.share[b])
+        assert math.isclose(total, got[r["doc_id"]], rel_tol=1e-4)
 
 
 def test_lm_query(spark):
