@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import viewer as V
 from .operators import calls as C
 from .operators import communities, exact
 from .operators import graph as G
 from .operators import overlays as O
 from .plans.fixtures import Fixtures, oracle
+from .sources import cursor, lazy
 from .sources import index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,7 +179,7 @@ def callers_of_traced(fx: Fixtures) -> DataFrame:
 
 
 @query("""SELECT DISTINCT s.node_id AS caller_id, t.node_id AS callee_id FROM fx_symbols s JOIN fx_call_sites c ON c.file_path = s.file_path AND c.line BETWEEN s.body_start AND s.body_end
-JOIN fx_symbols t ON t.name = c.callee_name WHERE s.sym_id % 10 = 0""")
+JOIN fx_symbols t ON t.name = c.callee_name""")
 def callees_of(fx: Fixtures) -> DataFrame:
     return C.callees_in(fx.symbols, fx.call_sites, F.lit(True))
 
@@ -358,7 +360,7 @@ def auto_collapsed(fx: Fixtures) -> DataFrame:
     return G.auto_collapsed(G.checkpointed(edges_of(fx)), entry_of(fx), 3)
 
 
-@query(with_edges("""c(origin, node_id, d) AS (SELECT source_id, target_id, 1 FROM edges UNION SELECT origin, target_id, d + 1 FROM c JOIN edges ON source_id = c.node_id WHERE d < 2),
+@query(with_edges("""c(origin, node_id) AS (SELECT source_id, target_id FROM edges UNION SELECT origin, target_id FROM c JOIN edges ON source_id = c.node_id),
 n AS (SELECT origin, count(DISTINCT node_id) AS n FROM c GROUP BY origin) SELECT s.node_id, coalesce(n.n, 0) AS descendants FROM fx_symbols s LEFT JOIN n ON n.origin = s.node_id"""))
 def descendant_counts(fx: Fixtures) -> DataFrame:
     return G.descendant_counts(edges_of(fx), fx.symbols)
@@ -473,7 +475,7 @@ def cluster_names(fx: Fixtures) -> DataFrame:
 # Texts.
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+'), lambda w: lower(regexp_replace(w, '[^a-zA-Z0-9]', '', 'g'))),
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(regexp_replace(w, '[^a-zA-Z0-9]', '', 'g'))),
 lambda w: w <> '' AND w NOT IN ('the', 'a', 'in', 'for', 'to', 'of', 'and', 'or', 'is', 'it')), ' ') AS tokens FROM documents""")
 def nl_tokens(fx: Fixtures) -> DataFrame:
     return fx.table("documents").select("doc_id", F.array_join(T.keywords("text"), " ").alias("tokens"))
@@ -594,6 +596,125 @@ def find_entry(fx: Fixtures) -> DataFrame:
     return C.find_entry(symbols(fx), "mod1/f1.ts:fn1").select("node_id")
 
 
+# The viewer.
+
+
+RAW_EDGES = f"{FIRST}, {RESOLVED}, raw AS (SELECT e.node_id AS source_id, r.target AS target_id, CASE WHEN e.line % 2 = 0 THEN 'call' ELSE 'callback' END AS kind, e.line * 100 + e.col_no AS seq FROM enc e JOIN res r USING (file_path, callee_name))"
+
+
+def raw_edges(fx: Fixtures) -> DataFrame:
+    """An edge for every resolved call, repeats and self loops included."""
+    calls = fx.call_sites
+    within = C.enclosing(calls, symbols(fx), calls.columns, "first").select(*calls.columns, F.col("sym_node_id").alias("source_id"))
+    resolved = C.resolve_calls(calls.select("file_path", "callee_name").distinct(), symbols(fx), fx.imports).where("target IS NOT NULL")
+    kind = F.when(F.col("line") % 2 == 0, "call").otherwise("callback")
+    return within.join(resolved, ["file_path", "callee_name"]).select("source_id", F.col("target").alias("target_id"), kind.alias("kind"), (F.col("line") * 100 + F.col("col_no")).alias("seq"))
+
+
+@query(f"""WITH {RAW_EDGES}, shown AS (SELECT node_id FROM fx_symbols WHERE visibility <> 'private')
+SELECT source_id, target_id, arg_min(kind, seq) AS kind FROM raw WHERE source_id <> target_id AND source_id IN (SELECT node_id FROM shown) AND target_id IN (SELECT node_id FROM shown) GROUP BY ALL""")
+def viewer_edges(fx: Fixtures) -> DataFrame:
+    return V.viewer_edges(raw_edges(fx), fx.symbols.where("visibility <> 'private'"))
+
+
+# in the fixture no conditional leads to another, so one step hides all; tests cover chains
+@query(f"""WITH {FLOW}, nodes AS (SELECT node_id, 'function' AS kind FROM fx_symbols UNION SELECT cond_id, 'conditional' FROM conds UNION SELECT target_id, 'unresolved' FROM flow WHERE lost)
+SELECT node_id, CASE WHEN kind = 'unresolved' OR kind = 'conditional' AND node_id IN (SELECT source_id FROM flow) AND node_id NOT IN (SELECT source_id FROM live) THEN 'hidden' WHEN kind = 'function' AND contains(lower(node_id), 'mod1') THEN 'highlighted' ELSE 'dimmed' END AS state FROM nodes""")
+def cascaded_states(fx: Fixtures) -> DataFrame:
+    nodes, edges = _flow(fx)
+    return V.states(nodes, edges, F.col("kind") == "function", F.lower("node_id").contains("mod1"), True)
+
+
+@query("""SELECT node_id FROM fx_symbols s WHERE (node_id IN (SELECT node_id FROM fx_symbols WHERE sym_id IN (11, 12, 13)) OR name IN (SELECT name FROM fx_symbols WHERE sym_id IN (11, 12, 13)))
+AND kind = 'function' AND (contains(lower(name), 'fn1') OR contains(lower(qualified_name), 'fn1') OR contains(lower(file_path), 'fn1') OR contains(lower(kind), 'fn1'))""")
+def list_view(fx: Fixtures) -> DataFrame:
+    path = [r[0] for r in fx.symbols.where("sym_id IN (11, 12, 13)").select("node_id").collect()]  # three nodes
+    return V.list_view(fx.symbols, raw_edges(fx), "fn1", F.col("kind") == "function", path=path).select("node_id")
+
+
+@query(f"""WITH {EDGES}, up AS (SELECT DISTINCT source_id AS node_id FROM edges JOIN {MODIFIED} m ON target_id = m.node_id),
+dead AS (SELECT s.node_id FROM fx_symbols s WHERE s.kind IN ('function', 'method') AND lower(s.name) NOT IN ('main', 'constructor', 'init', 'setup', 'teardown') AND NOT EXISTS (SELECT 1 FROM fx_call_sites c WHERE c.callee_name = s.name) AND NOT EXISTS (SELECT 1 FROM fx_exports e WHERE e.name = s.name)),
+x AS (SELECT node_id, node_id IN (SELECT node_id FROM dead) AS a, node_id IN (SELECT node_id FROM {MODIFIED} m) AS b, node_id IN (SELECT node_id FROM up) AS c, sym_id % 3 = 0 AS d, sym_id % 6 = 0 AS e FROM fx_symbols)
+SELECT node_id, concat_ws(' ', CASE WHEN a THEN 'dead-code' END, CASE WHEN b THEN 'impact-modified' WHEN c THEN 'impact-blast-radius' END, CASE WHEN d THEN 'dataflow-path' END, CASE WHEN e THEN 'dataflow-sink' END) AS classes FROM x WHERE a OR b OR c OR d OR e""")
+def overlay_classes(fx: Fixtures) -> DataFrame:
+    modified = O.modified_nodes(fx.symbols, fx.hunks).select("node_id")
+    callers = edges_of(fx).join(modified.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("node_id"))
+    marked = V.overlay_classes(fx.symbols, O.dead_code(fx.symbols, fx.call_sites, fx.exports), modified, callers.unionAll(modified), fx.symbols.where("sym_id % 3 = 0"), fx.symbols.where("sym_id % 6 = 0"))
+    return marked.select("node_id", F.concat_ws(" ", "classes").alias("classes"))
+
+
+@query("""SELECT node_id, CASE WHEN sym_id % 7 = 6 THEN NULL ELSE concat('boundary-', CAST((sym_id % 7) % 2 AS VARCHAR)) END AS boundary, CASE WHEN sym_id % 23 > 10 THEN 'high' WHEN sym_id % 23 > 3 THEN 'medium' ELSE 'low' END AS churn FROM fx_symbols""")
+def boundary_and_churn_classes(fx: Fixtures) -> DataFrame:
+    cluster = F.when(F.col("sym_id") % 7 == 6, "none").otherwise(F.concat(F.lit("cluster-"), (F.col("sym_id") % 7).cast("string")))
+    return fx.symbols.select("node_id", V.boundary(cluster).alias("boundary"), T.churn_tier(F.col("sym_id") % 23).alias("churn"))
+
+
+@query("""SELECT node_id, concat(CASE kind WHEN 'function' THEN 'ƒ' WHEN 'method' THEN 'M' WHEN 'class' THEN 'C' END, ' ', name, CASE WHEN sym_id % 5 = 0 THEN concat(' [+', CAST(sym_id % 50 AS VARCHAR), ']') ELSE '' END) AS label FROM fx_symbols""")
+def node_labels(fx: Fixtures) -> DataFrame:
+    return fx.symbols.select("node_id", V.label(F.col("kind"), F.col("name"), F.when(F.col("sym_id") % 5 == 0, F.col("sym_id") % 50)).alias("label"))
+
+
+@query("SELECT DISTINCT concat('/home/me/', file_path) AS root, substr(sha256(concat('/home/me/', file_path)), 1, 12) AS project_key FROM fx_symbols")
+def project_keys(fx: Fixtures) -> DataFrame:
+    root = F.concat(F.lit("/home/me/"), "file_path")
+    return fx.symbols.select(root.alias("root"), V.project_key(root).alias("project_key")).distinct()
+
+
+# Cursors and the growing index.
+
+#: Source lines made of the symbols: a declaration in one of five shapes, a keyword that is no name, or a call.
+SOURCE = """src AS (SELECT file_path, line, CASE sym_id % 7 WHEN 0 THEN concat('export async function ', name, '(a) {') WHEN 1 THEN concat('  private ', name, '(a) {') WHEN 2 THEN concat('const ', name, ' = async (a) => {')
+  WHEN 3 THEN concat('async def ', name, '(a):') WHEN 4 THEN concat('pub fn ', name, '<T>(a: T) {') WHEN 5 THEN concat('    while (', name, '(a)) {') ELSE concat('func (r *Repo) ', name, '(a int) {') END AS text, name, sym_id FROM fx_symbols)"""
+
+
+def source_lines(fx: Fixtures) -> DataFrame:
+    sql = SOURCE.replace("{", "{{").replace("fx_symbols", "{fx_symbols}")
+    return fx.spark.sql(f"WITH {sql} SELECT file_path, line, text FROM src", fx_symbols=fx.symbols)
+
+
+@query(f"""WITH {SOURCE}, cursors AS (SELECT DISTINCT file_path, line FROM fx_call_sites)
+SELECT c.file_path, c.line, arg_max(CASE WHEN s.sym_id % 7 = 6 THEN 'func' ELSE s.name END, s.line) AS name FROM cursors c LEFT JOIN src s ON s.file_path = c.file_path AND s.line <= c.line AND s.sym_id % 7 <> 5 GROUP BY ALL""")
+def function_at_cursor(fx: Fixtures) -> DataFrame:
+    return cursor.function_at(source_lines(fx), fx.call_sites)
+
+
+# a loop's condition counts as a declaration here: its pattern takes any word, blank, word, bracket
+@query(f"""WITH {SOURCE}, cursors AS (SELECT DISTINCT file_path, line FROM fx_call_sites), hits AS (SELECT *, CASE sym_id % 7 WHEN 3 THEN 7 WHEN 6 THEN 1 ELSE 1 END AS col FROM src WHERE sym_id % 7 NOT IN (1, 5)),
+near AS (SELECT c.file_path, c.line, max(h.line) AS at FROM cursors c LEFT JOIN hits h ON h.file_path = c.file_path AND h.line BETWEEN c.line - 20 AND c.line GROUP BY ALL)
+SELECT n.file_path, n.line, h.name, h.line + 1 AS found_line FROM near n LEFT JOIN hits h ON h.file_path = n.file_path AND h.line = n.at""")
+def function_near_caret(fx: Fixtures) -> DataFrame:
+    lines = source_lines(fx).where(~F.col("text").rlike(r"^  private|^    while"))
+    return cursor.function_near(lines, fx.call_sites).select("file_path", "line", "name", "found_line")
+
+
+@query("SELECT name, count(*) AS n, string_agg(node_id, ' ' ORDER BY sym_id) AS definitions FROM fx_symbols GROUP BY name")
+def simple_name_merge(fx: Fixtures) -> DataFrame:
+    merged = lazy.by_simple_name(symbols(fx))
+    return merged.select("name", F.size("definitions").cast("long").alias("n"), F.array_join(F.transform("definitions", lambda d: d["node_id"]), " ").alias("definitions"))
+
+
+@query("""WITH files AS (SELECT file_path, (row_number() OVER (ORDER BY file_path) - 1) // 50 AS batch FROM (SELECT DISTINCT file_path FROM fx_symbols)),
+first AS (SELECT s.name, min(f.batch) AS b FROM fx_symbols s JOIN files f USING (file_path) GROUP BY s.name), lim AS (SELECT least(4, max(batch) + 1) AS n FROM files)
+SELECT a.name, CAST(CASE WHEN a.name = 'console.log' THEN 0 WHEN b < n THEN b + 1 ELSE n END AS BIGINT) AS batches, coalesce(a.name <> 'console.log' AND b < n, FALSE) AS found
+FROM (SELECT DISTINCT callee_name AS name FROM fx_call_sites UNION SELECT 'console.log') a LEFT JOIN first USING (name), lim""")
+def searched_symbols(fx: Fixtures) -> DataFrame:
+    names = fx.call_sites.select(F.col("callee_name").alias("name")).unionAll(fx.spark.createDataFrame([("console.log",)], "name string"))
+    return lazy.searched(fx.symbols, fx.symbols, names)
+
+
+@query("""SELECT DISTINCT i.file_path, i.specifier AS name, i.source, f.file_path AS resolved_path FROM fx_imports i
+JOIN (SELECT DISTINCT file_path FROM fx_symbols) f ON f.file_path = concat(regexp_replace(i.file_path, '/[^/]*$', ''), '/', regexp_replace(i.source, '^[.]/', ''), '.ts')""")
+def import_driven_files(fx: Fixtures) -> DataFrame:
+    return lazy.import_targets(fx.imports, fx.symbols)
+
+
+@query("""SELECT count(DISTINCT f.file_path) FILTER (f.file_path IN (SELECT DISTINCT concat(regexp_replace(i.file_path, '/[^/]*$', ''), '/', regexp_replace(i.source, '^[.]/', ''), '.ts') FROM fx_imports i)) AS parsed, count(DISTINCT f.file_path) AS total FROM fx_symbols f""")
+def parse_counters(fx: Fixtures) -> DataFrame:
+    parsed = lazy.import_targets(fx.imports, fx.symbols).select(F.col("resolved_path").alias("file_path"), F.lit(True).alias("hit")).distinct()
+    files = fx.symbols.select("file_path").distinct().join(parsed, "file_path", "left")
+    return files.agg(F.count("hit").alias("parsed"), F.count("*").alias("total"))
+
+
 # Sequential walks: no SQL twin.
 
 
