@@ -1,19 +1,19 @@
 """Community detection: local moving and label propagation.
 
 Both are sequential: each move looks at the moves before it. They run on the driver over
-an undirected edge list whose size is checked first; ``propagate`` is the distributed form
-of label propagation for graphs beyond that, in which all nodes move at once.
+an undirected edge list whose size is checked first. Larger graphs go to distributed forms
+in which nodes move at once: ``move`` for local moving and ``propagate`` for labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
 
 SWEEPS, LABEL_SWEEPS = 20, 10
-#: Edges the sequential forms take; beyond it they refuse and name the distributed one.
+#: Edges the sequential forms take; larger graphs go to the distributed ones.
 MOST_EDGES = 2_000_000
 
 
@@ -82,16 +82,75 @@ def label_propagation(nodes: list[str], edges: list[tuple[str, str]]) -> dict[st
     return label
 
 
-def detect(nodes: DataFrame, pairs: DataFrame, method: str = "louvain") -> DataFrame:
-    """(node_id, cluster) over ``nodes`` (in order of ``seq``) and undirected ``pairs`` (a, b)."""
-    found = pairs.select("a", "b").limit(MOST_EDGES + 1).toArrow()
-    if found.num_rows > MOST_EDGES:
-        raise ValueError(f"over {MOST_EDGES} edges: use propagate()")
+def detect(nodes: DataFrame, pairs: DataFrame, method: str = "louvain", most: int = MOST_EDGES) -> DataFrame:
+    """(node_id, cluster) over ``nodes`` (in order of ``seq``) and undirected ``pairs`` (a, b).
+
+    Beyond ``most`` edges the distributed forms decide; their clusters are numbered by the
+    place of their first node, as are those of the sequential ones for labels.
+    """
+    places = begins(nodes.select("node_id", "seq"))
+    found = pairs.select("a", "b").limit(most + 1).toArrow()
+    if found.num_rows > most:
+        label = move(nodes, pairs) if method == "louvain" else propagate(nodes, pairs)
+        first = label.join(places, "node_id").groupBy("cluster").agg(F.min("place").alias("place"))
+        return label.join(first, "cluster").select("node_id", F.col("place").alias("cluster"))
     edges = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
-    # only nodes with links take part in a move; the rest keep a cluster of their own
-    ids = [r["node_id"] for r in nodes.select("node_id", "seq").orderBy("seq").toLocalIterator()]
-    label = louvain(ids, [(a, b, 1.0) for a, b in edges])[0] if method == "louvain" else label_propagation(ids, edges)
-    return nodes.sparkSession.createDataFrame(list(label.items()), "node_id string, cluster long")
+    # nodes without links never move, so only the others go to the driver
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct())
+    linked = {r["node_id"]: r["place"] for r in places.join(ends, "node_id", "left_semi").orderBy("place").collect()}
+    ids = list(linked)
+    if method == "louvain":
+        label = louvain(ids, [(a, b, 1.0) for a, b in edges])[0]
+        # numbers by first appearance among all nodes: a cluster's first node, and every node alone, count once
+        first: dict[int, int] = {}
+        for n in ids:
+            first.setdefault(label[n], linked[n])
+        label = {n: first[c] for n, c in label.items()}
+    else:
+        label = {n: linked[ids[c]] for n, c in label_propagation(ids, edges).items()}
+    moved = nodes.sparkSession.createDataFrame(list(label.items()), "node_id string, cluster long")
+    every = places.join(moved, "node_id", "left").select("node_id", F.coalesce("cluster", "place").alias("cluster"))
+    if method != "louvain":
+        return every
+    numbers = begins(every.select(F.col("cluster").alias("node_id")).distinct().withColumn("seq", F.col("node_id")))
+    return every.join(numbers.withColumnRenamed("node_id", "cluster"), "cluster").select("node_id", F.col("place").alias("cluster"))
+
+
+def begins(rows: DataFrame) -> DataFrame:
+    """(node_id, place): each node's number, from 0, by ``seq``: sorted in ranges, shifted by the rows of the ranges before."""
+    ranged = checkpointed(rows.repartitionByRange("seq").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shifts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1
+    return checkpointed(ranged.withColumn("_own", own).join(F.broadcast(shifts), "_part").select("node_id", (F.col("_own") + F.col("_shift")).alias("place")))
+
+
+def move(nodes: DataFrame, pairs: DataFrame, sweeps: int = SWEEPS, resolution: float = 2.0) -> DataFrame:
+    """(node_id, cluster): local moving in which nodes move at once, by the same gain.
+
+    In each half of a sweep only nodes of one hash class move, lest linked nodes swap places
+    for ever; ties go to the smallest cluster, and a node stays unless another one gains.
+    """
+    both = checkpointed(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = checkpointed(both.groupBy(F.col("a").alias("node_id")).agg(F.count("*").cast("double").alias("k")))
+    double = degree.agg(F.sum("k")).first()[0]
+    label, quiet = checkpointed(nodes.select("node_id", F.col("node_id").alias("cluster"))), 0
+    for i in range(2 * sweeps if double else 0):
+        weight = label.join(degree, "node_id").groupBy("cluster").agg(F.sum("k").alias("all"))
+        turn = degree.where(F.pmod(F.xxhash64("node_id"), F.lit(2)) == i % 2)
+        near = both.join(turn.select(F.col("node_id").alias("a")), "a", "left_semi").join(label.withColumnRenamed("node_id", "b"), "b").groupBy("a", "cluster").agg(F.count("*").cast("double").alias("toward"))
+        own = label.join(turn, "node_id").select(F.col("node_id").alias("a"), F.col("cluster").alias("old"), "k")
+        here = own.select("a", F.col("old").alias("cluster"), F.lit(0.0).alias("toward"))
+        tries = near.unionAll(here).groupBy("a", "cluster").agg(F.sum("toward").alias("toward")).join(own, "a").join(weight, "cluster")
+        rest = F.col("all") - F.when(F.col("cluster") == F.col("old"), F.col("k")).otherwise(0.0)
+        gain = F.col("toward") / double - resolution * rest * F.col("k") / double**2
+        best = tries.groupBy("a").agg(F.min_by("cluster", F.struct(-gain, F.col("cluster") != F.col("old"), F.col("cluster"))).alias("best"))
+        new = checkpointed(label.join(best, F.col("node_id") == F.col("a"), "left").select("node_id", F.coalesce("best", "cluster").alias("cluster")))
+        same = new.alias("n").join(label.alias("o"), "node_id").where("n.cluster <> o.cluster").isEmpty()
+        label, quiet = new, quiet + 1 if same else 0
+        if quiet == 2:  # neither half moved
+            break
+    return label
 
 
 def propagate(nodes: DataFrame, pairs: DataFrame, sweeps: int = LABEL_SWEEPS) -> DataFrame:

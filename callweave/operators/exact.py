@@ -88,8 +88,10 @@ class Code:
         impl = C.dispatch(self.symbols, self.symbols).select(F.col("node_id").alias("target"), "impl_id")
         order = self.symbols.select(F.col("node_id").alias("impl_id"), F.col("seq").alias("impl_seq"))
         many = resolved.join(impl, "target", "left").join(order, "impl_id", "left").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("impl_id").isNotNull(), F.struct("impl_seq", "impl_id")))), lambda s: s["impl_id"]).alias("targets"))
-        a = C.in_body(many, self.symbols).select(F.col("sym_node_id").alias("owner"), F.lit("call").alias("what"), "seq", "line", F.col("callee_name").alias("text"), "file_path", F.lit(None).cast("long").alias("end_line"), F.lit(None).cast("long").alias("branches"), "targets")
-        b = C.in_body(conditionals, self.symbols).select(F.col("sym_node_id").alias("owner"), F.lit("cond").alias("what"), "seq", "line", F.col("kind").alias("text"), "file_path", "end_line", "branches", F.array().cast("array<string>").alias("targets"))
+        none = F.lit(None).cast("long")
+        condition, column = (F.col(c) if c in conditionals.columns else F.lit(d) for c, d in (("condition_text", ""), ("column", 0)))
+        a = C.in_body(many, self.symbols).select(F.col("sym_node_id").alias("owner"), F.lit("call").alias("what"), "seq", "line", F.col("callee_name").alias("text"), "file_path", none.alias("end_line"), none.alias("branches"), "targets", F.lit("").alias("condition"), none.alias("column"))
+        b = C.in_body(conditionals, self.symbols).select(F.col("sym_node_id").alias("owner"), F.lit("cond").alias("what"), "seq", "line", F.col("kind").alias("text"), "file_path", "end_line", "branches", F.array().cast("array<string>").alias("targets"), F.coalesce(condition, F.lit("")).alias("condition"), column.cast("long").alias("column"))
         self.bodies = checkpointed(a.unionAll(b))
         self.raw_calls = calls
         self._rows: dict[str, list] = {}
@@ -140,7 +142,8 @@ def downstream(code: Code, entry: str, options: Options = Options()) -> Graph:
                 for r in (r for r in rows if r["what"] == "cond"):
                     id_ = f"{r['file_path']}:{r['line']}:{r['text']}"
                     if id_ not in g.nodes:
-                        g.nodes[id_] = Node(id_, r["text"], f"{node.qualified_name}.{r['text']}", "conditional", r["file_path"], r["line"])
+                        said = f"{r['text']} ({r['condition']})" if r["condition"] else r["text"]
+                        g.nodes[id_] = Node(id_, said, f"{node.qualified_name}.{said}", "conditional", r["file_path"], r["line"], r["column"] or 0, r["condition"])
                     g.edges.append(Edge(node.id, id_, "conditional_flow", r["branches"]))
                     # a later conditional of the same kind on the line takes the earlier one's place
                     held = [h if h[0] != id_ else (id_, r) for h in held] if any(h[0] == id_ for h in held) else [*held, (id_, r)]

@@ -19,10 +19,17 @@ SMALL = 300_000
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/callweave")
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
     return df.checkpoint(True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where no folder is named: beside the warehouse, which a cluster shares; on one machine its temporary folder."""
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return "file:///tmp/checkpoints/callweave"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def _small(edges: DataFrame, limit: int) -> list | None:
     """The edges, if there are at most ``limit``."""
     found = edges.select("source_id", "target_id").limit(limit + 1).toArrow()
@@ -38,7 +45,12 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rever
         out = defaultdict(list)
         for a, b in pairs:
             out[a].append(b)
-        dist = {r[0]: 0 for r in starts.select("node_id").distinct().toLocalIterator()}
+        starts = starts.select("node_id").distinct()
+        first, alone = starts.limit(small + 1).toArrow().column(0).to_pylist(), None
+        if len(first) > small:  # more starts than edges: only linked ones go to the driver
+            ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
+            alone, first = starts.join(ends, "node_id", "left_anti"), [r[0] for r in starts.join(ends, "node_id", "left_semi").collect()]
+        dist = dict.fromkeys(first, 0)
         queue = deque(dist)
         while queue:
             n = queue.popleft()
@@ -47,7 +59,8 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rever
                     if m not in dist:
                         dist[m] = dist[n] + 1
                         queue.append(m)
-        return edges.sparkSession.createDataFrame(list(dist.items()), "node_id string, dist long")
+        found = edges.sparkSession.createDataFrame(list(dist.items()), "node_id string, dist long")
+        return found if alone is None else found.unionAll(alone.select("node_id", F.lit(0).cast("long")))
     seen = checkpointed(starts.select("node_id").distinct().withColumn("dist", F.lit(0).cast("long")))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:

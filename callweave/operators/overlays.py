@@ -38,25 +38,40 @@ def coverage_tier(ratio: Column) -> Column:
     return F.when(ratio > 0.8, "covered").when(ratio >= 0.2, "partial").otherwise("uncovered")
 
 
+def ends_alike(a: DataFrame, path: str, b: DataFrame, other: str) -> DataFrame:
+    """Rows of both tables of which one's path ends with the other's, at a slash; back slashes count as slashes.
+
+    The longer path is dealt out under its ends, and the shorter one is such an end, so files
+    of one base name don't all meet.
+    """
+    clean = lambda c: F.translate(c, "\\", "/")
+    own = lambda c: F.regexp_replace(clean(c), "^/+", "")
+
+    def ends(c: str) -> Column:
+        parts = F.split(own(c), "/")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+    one = a.withColumn("_key", F.explode(ends(path))).join(b.withColumn("_key", own(other)), "_key")
+    two = a.withColumn("_key", own(path)).join(b.withColumn("_key", F.explode(ends(other))), "_key")
+    p, q = clean(path), clean(other)
+    return one.unionByName(two).drop("_key").where(p.endswith(q) | q.endswith(p)).distinct()
+
+
 def match_paths(nodes: DataFrame, reported: DataFrame) -> DataFrame:
-    """(file_path, reported_path): each node file with the reported file that equals it, else the first (by ``seq``) of which one ends with the other. Joined on the base name, so no pair of all paths is formed."""
+    """(file_path, reported_path): each node file with the reported file that equals it, else the first (by ``seq``) of which one ends with the other."""
     clean = lambda c: F.translate(c, "\\", "/")
-    base = lambda c: F.substring_index(clean(c), "/", -1)
-    a = nodes.select("file_path").distinct().withColumn("_base", base("file_path"))
-    b = reported.select(F.col("file_path").alias("reported_path"), "seq").withColumn("_rbase", base("reported_path"))
+    b = reported.select(F.col("file_path").alias("reported_path"), "seq")
     p, q = clean("file_path"), clean("reported_path")
-    hit = a.join(b, (F.col("_base") == F.col("_rbase")) & (p.endswith(q) | q.endswith(p)))
+    hit = ends_alike(nodes.select("file_path").distinct(), "file_path", b, "reported_path")
     return hit.groupBy("file_path").agg(F.min_by("reported_path", F.struct((p != q).alias("other"), "seq")).alias("reported_path"))
 
 
 def modified_nodes(symbols: DataFrame, hunks: DataFrame, compat: bool = True) -> DataFrame:
     """Symbols whose definition line lies in a hunk of their file (the path of one ends with the other's)."""
-    clean = lambda c: F.translate(c, "\\", "/")
-    base = lambda c: F.substring_index(clean(c), "/", -1)
-    h = hunks.select(F.col("file_path").alias("_hf"), "start_line", "end_line")
+    files = ends_alike(symbols.select("file_path").distinct(), "file_path", hunks.select(F.col("file_path").alias("_hf")).distinct(), "_hf")
+    h = files.join(hunks.select(F.col("file_path").alias("_hf"), "start_line", "end_line"), "_hf").select(F.col("file_path").alias("_f"), "start_line", "end_line")
     line = F.col("line") + (0 if compat else 1)
-    same = (base("file_path") == base("_hf")) & (clean("file_path").endswith(clean("_hf")) | clean("_hf").endswith(clean("file_path")))
-    return symbols.join(h, same & line.between(F.col("start_line"), F.col("end_line")), "left_semi")
+    return symbols.join(h, (F.col("file_path") == F.col("_f")) & line.between(F.col("start_line"), F.col("end_line")), "left_semi")
 
 
 def dead_code(symbols: DataFrame, calls: DataFrame, exports: DataFrame) -> DataFrame:
@@ -72,6 +87,18 @@ def churn(commits: DataFrame, anchor: Column, days: int = 90) -> DataFrame:
     return stats.withColumn("recently_added", F.coalesce(F.col("_added") >= since, F.lit(False))).drop("_added")
 
 
+def node_churn(nodes: DataFrame, commits: DataFrame, anchor: Column, days: int = 90) -> DataFrame:
+    """(node_id, file_path, churn, last_modified, recently_added) of every node; of a file without commits: none, ``anchor`` and false.
+
+    A history names files from the repository's root, so paths match by their ends.
+    """
+    stats = churn(commits, anchor, days).withColumnRenamed("file_path", "reported_path")
+    paths = match_paths(nodes, stats.select(F.col("reported_path").alias("file_path"), F.lit(0).alias("seq")))
+    files = paths.join(stats, "reported_path").drop("reported_path")
+    found = nodes.select("node_id", "file_path").join(files, "file_path", "left")
+    return found.select("node_id", "file_path", F.coalesce("churn", F.lit(0)).cast("long").alias("churn"), F.coalesce("last_modified", anchor).alias("last_modified"), F.coalesce("recently_added", F.lit(False)).alias("recently_added"))
+
+
 def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(a, b) with a < b: each pair of linked nodes once, without self loops and, given ``nodes``, dangling ends."""
     e = edges.where("source_id <> target_id")

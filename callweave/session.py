@@ -82,7 +82,7 @@ class Project:
         if kind == "temporal":
             commits = kw.get("commits")
             commits = R.git_commits(self.spark, self.root) if commits is None else commits
-            return O.churn(commits, kw.get("anchor", F.current_timestamp()), kw.get("days", 90))
+            return O.node_churn(nodes, commits, kw.get("anchor", F.current_timestamp()), kw.get("days", 90))
         edges = edges if edges is not None else C.call_edges(self.index.calls.drop("arguments"), s, self.index.single_imports())
         if kind == "impact":
             hunks = R.diff_text(self.spark, kw["diff"]) if "diff" in kw else R.git_diff(self.spark, self.root)
@@ -95,10 +95,21 @@ class Project:
         if kind == "dataflow":
             if g is None:
                 raise ValueError("dataflow needs an entry")
-            paths, sinks = exact.data_flow(g, kw.get("source", g.entry), kw["variable"], kw.get("calls_in"), sink_of)
+            calls_in = kw["calls_in"] if "calls_in" in kw else self._calls_in(g)
+            paths, sinks = exact.data_flow(g, kw.get("source", g.entry), kw["variable"], calls_in, sink_of)
             return {"paths": self.spark.createDataFrame([(p,) for p in paths], "nodes array<string>"), "sinks": self.spark.createDataFrame(sinks, "node_id string, sink string, variable string")}
         raise ValueError(f"unknown overlay: {kind}")
 
+    def _calls_in(self, g: exact.Graph) -> dict[str, list]:
+        """By file of the graph's nodes, the calls to any of them: (text, arguments or None); no entry for a file without calls."""
+        files = sorted({n.file_path for n in g.nodes.values()})
+        texts = sorted({x for n in g.nodes.values() for x in (n.name, n.qualified_name)})
+        own = self.index.calls.where(F.col("file_path").isin(files))
+        out: dict[str, list] = {r[0]: [] for r in own.select("file_path").distinct().collect()}  # a graph's files
+        for r in own.where(F.col("callee_name").isin(texts)).select("file_path", "callee_name", "arguments").distinct().toLocalIterator():
+            out[r["file_path"]].append((r["callee_name"], r["arguments"]))
+        return out
+
     def path(self, source: str, target: str) -> list[str]:
         """A shortest path between two nodes of the source's graph in both directions."""
         return G.shortest_path(self.graph(source, "bidirectional").frames(self.spark)[1], source, target)

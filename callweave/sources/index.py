@@ -8,14 +8,16 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import __version__, schemas
+from .. import __version__
 from . import scan as S
 
 cloudpickle.register_pickle_by_value(S)  # executors need no copy of the package
 
+#: More than any file has symbols, calls or conditionals.
+PLACES = 1 << 24
 TABLES = ("symbols", "calls", "conditionals", "imports", "exports", "errors", "files")
 #: What one file's scan gives, every kind in one row shape.
 TAGGED = "tag string, file_path string, language_id string, pos long, name string, qualified_name string, kind string, line long, column long, name_column long, end_line long, branches long, text string, visibility string, source string, specifiers array<string>"
@@ -103,9 +105,10 @@ class Index:
     def of(tagged: DataFrame, files: DataFrame) -> Index:
         from ..operators.graph import checkpointed
 
-        t = checkpointed(tagged)
-        # a number that orders like (file, place) without sorting everything: 40 bits of the file's hash, then the place
-        seq = (F.shiftright(F.abs(F.xxhash64("file_path").bitwiseAND(F.lit((1 << 62) - 1))), 22).cast("long") * (1 << 22) + F.col("pos")).alias("seq")
+        # a number that orders like (path, place in the file)
+        ranks = path_ranks(files).withColumnRenamed("file_path", "_path")
+        t = checkpointed(tagged.join(ranks, F.col("file_path") == F.col("_path"), "left"))
+        seq = (F.coalesce("rank", F.lit(0)) * PLACES + F.coalesce("pos", F.lit(0))).alias("seq")
         line = F.col("line")
         symbols = t.where("tag = 'symbol'").select("name", "qualified_name", "kind", "file_path", line, "column", F.col("text").alias("signature"), line.alias("body_start"), F.col("end_line").alias("body_end"), "visibility", "language_id", F.concat_ws(":", "file_path", line.cast("string"), "name").alias("node_id"), seq)
         calls = t.where("tag = 'call'").select(F.col("name").alias("callee_name"), "file_path", line, "column", "name_column", F.lit(None).cast("array<string>").alias("arguments"), seq)
@@ -116,9 +119,12 @@ class Index:
         return Index(symbols, calls, conditionals, imports, exports, errors, files)
 
     def update(self, changed: Index) -> Index:
-        """The rows of ``changed``'s files in place of this index's rows of those files."""
+        """The rows of ``changed``'s files in place of this index's rows of those files, and after all others in order."""
         gone = changed.files.select("file_path")
-        return Index(*[replace_files(getattr(self, t), getattr(changed, t), gone) for t in TABLES])
+        last = [getattr(self, t).agg(F.max("seq")).first()[0] for t in ("symbols", "calls", "conditionals")]
+        shift = (max([x for x in last if x is not None], default=-PLACES) // PLACES + 1) * PLACES
+        new = {t: getattr(changed, t).withColumn("seq", F.col("seq") + shift) if t in ("symbols", "calls", "conditionals") else getattr(changed, t) for t in TABLES}
+        return Index(*[replace_files(getattr(self, t), new[t], gone) for t in TABLES])
 
     def changed(self, files: DataFrame) -> DataFrame:
         """The files that are new or whose hash differs."""
@@ -147,6 +153,20 @@ class Index:
         return self.imports.select("file_path", "source", F.explode_outer("specifiers").alias("specifier"))
 
 
+def path_ranks(files: DataFrame) -> DataFrame:
+    """(file_path, rank): each file's number, from 0, in the order of paths.
+
+    Paths are sorted in ranges; a range's numbers are shifted by the files of the ranges before.
+    """
+    from ..operators.graph import checkpointed
+
+    ranged = checkpointed(files.select("file_path").distinct().repartitionByRange("file_path").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shifts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("file_path")) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(shifts), "_part").select("file_path", (F.col("_own") + F.col("_shift")).alias("rank"))
+
+
 def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     return old.join(files.select("file_path").distinct(), "file_path", "left_anti").select(old.columns).unionByName(new)
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BUILT_INS
-from .index import TABLES, Index, resolve_imports
+from .index import TABLES, Index, path_ranks, resolve_imports
 
 #: Files scanned at a time in search of a symbol, and at most for one.
 BATCH, BUDGET = 50, 200
@@ -29,19 +29,8 @@ def likely_built_in(name: str) -> bool:
 
 
 def search_order(files: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(file_path, batch): the batch in which a search reaches each file, by path.
-
-    Paths are ranked within ranges of the sorted paths and shifted by the ranges before, so
-    no task orders all files.
-    """
-    ranged = files.select("file_path").distinct().repartitionByRange("file_path").withColumn("_part", F.spark_partition_id())
-    from ..operators.graph import checkpointed
-
-    ranged = checkpointed(ranged)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    shifts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("file_path")) - 1
-    return ranged.withColumn("_i", own).join(F.broadcast(shifts), "_part").select("file_path", F.floor((F.col("_i") + F.col("_shift")) / batch).alias("batch"))
+    """(file_path, batch): the batch in which a search reaches each file, by path."""
+    return path_ranks(files).select("file_path", F.floor(F.col("rank") / batch).alias("batch"))
 
 
 def searched(files: DataFrame, symbols: DataFrame, names: DataFrame, batch: int = BATCH, budget: int = BUDGET) -> DataFrame:

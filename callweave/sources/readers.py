@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,12 +15,6 @@ ISTANBUL = "map<string,struct<statementMap:map<string,struct<start:struct<line:l
 HITS = "file_path string, line long, hits long"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, pos, value): the lines of each text file at ``path``, numbered."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-    return whole
-
-
 def _carried(rows: DataFrame, mark, out: str) -> DataFrame:
     """The last non-null ``mark`` at or above each line of the same file."""
     return rows.withColumn(out, F.last(mark, ignorenulls=True).over(Window.partitionBy("_file").orderBy("pos")))
@@ -27,11 +22,13 @@ def _carried(rows: DataFrame, mark, out: str) -> DataFrame:
 
 def lcov(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, line, hits, seq) of an lcov report; of a line or file reported twice the last counts."""
-    value = F.trim("value")
-    rows = _carried(lines(spark, path).withColumn("value", value), F.when(F.col("value").startswith("SF:"), F.struct(F.substr("value", F.lit(4)).alias("file"), "pos")), "_sf")
+    # a record is a row, so a large report is read by many tasks; within a task rows come in the file's order
+    records = spark.read.option("lineSep", "end_of_record").text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    each = records.select(F.col("_n").alias("_file"), "_at", F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).select("_file", F.struct("_at", "_file", "i").alias("pos"), F.trim("value").alias("value"))
+    rows = _carried(each, F.when(F.col("value").startswith("SF:"), F.struct(F.substr("value", F.lit(4)).alias("file"), "pos")), "_sf")
     hit = rows.where(F.col("value").rlike(r"^DA:\d+,\d+") & F.col("_sf").isNotNull()).select("_sf.file", F.col("_sf.pos").alias("record"), "pos", F.regexp_extract("value", r"^DA:(\d+),(\d+)", 1).cast("long").alias("line"), F.regexp_extract("value", r"^DA:(\d+),(\d+)", 2).cast("long").alias("hits"))
     newest = hit.groupBy("file").agg(F.max("record").alias("record"), F.min("record").alias("seq"))
-    return hit.join(newest, ["file", "record"]).groupBy(F.col("file").alias("file_path"), "line").agg(F.max_by("hits", "pos").alias("hits"), F.first("seq").cast("long").alias("seq"))
+    return hit.join(newest, ["file", "record"]).groupBy(F.col("file").alias("file_path"), "line").agg(F.max_by("hits", "pos").alias("hits"), F.first("seq").alias("seq"))
 
 
 def istanbul(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +39,11 @@ def istanbul(spark: SparkSession, path: str) -> DataFrame:
     return spread.groupBy("file_path", "line").agg(F.max("hits").alias("hits")).withColumn("seq", F.lit(0).cast("long"))
 
 
+def _is_istanbul(spark: SparkSession, path: str) -> bool:
+    first = F.element_at(F.map_values(F.from_json("value", ISTANBUL)), 1)
+    return bool((spark.read.text(path, wholetext=True).select(F.coalesce(first["statementMap"].isNotNull(), F.lit(False))).first() or [False])[0])
+
+
 def jacoco(spark: SparkSession, path: str) -> DataFrame:
     """A line is hit if an instruction of it was covered; lines without instructions are left out."""
     schema = "struct<package:array<struct<_name:string,sourcefile:array<struct<_name:string,line:array<struct<_nr:long,_mi:long,_ci:long>>>>>>>"
@@ -53,20 +55,13 @@ def jacoco(spark: SparkSession, path: str) -> DataFrame:
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
     """The report at ``path`` in whichever format its beginning shows."""
-    head = (spark.read.text(path).limit(1).first() or [""])[0].lstrip()
-    whole = spark.read.text(path, wholetext=True).first()
-    text = (whole[0] if whole else "").lstrip()
-    if text.startswith(("TN:", "SF:")):
+    head = "\n".join(r[0] for r in spark.read.text(path).select(F.substring("value", 1, 2000)).limit(50).collect()).lstrip()
+    if head.startswith(("TN:", "SF:")):
         return lcov(spark, path)
-    if "<report" in text[:2000]:
+    if "<report" in head:
         return jacoco(spark, path)
-    if head.startswith("{"):
-        try:
-            first = next(iter(json.loads(text).values()), None)
-        except json.JSONDecodeError:
-            first = None
-        if isinstance(first, dict) and "statementMap" in first:
-            return istanbul(spark, path)
+    if head.startswith("{") and _is_istanbul(spark, path):
+        return istanbul(spark, path)
     raise ValueError("Unsupported coverage format. Supported formats: lcov, Istanbul JSON, JaCoCo XML")
 
 
@@ -84,29 +79,40 @@ def diff_text(spark: SparkSession, text: str) -> DataFrame:
     return diff_hunks(rows)
 
 
-def _git(root: str, *args: str) -> str:
-    """What git prints; nothing if it fails or takes over ten seconds."""
+def _git(root: str, *args: str, seconds: float | None = None) -> str:
+    """What git prints; nothing, with a warning, if it fails or takes longer than ``seconds``."""
     try:
-        return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=10, check=True).stdout
-    except (OSError, subprocess.SubprocessError):
+        return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=seconds, check=True).stdout
+    except (OSError, subprocess.SubprocessError) as e:
+        warnings.warn(f"git {args[0]} gave nothing: {e}", stacklevel=3)
         return ""
 
 
 def git_diff(spark: SparkSession, root: str) -> DataFrame:
-    return diff_text(spark, _git(root, "diff", "HEAD"))
+    """The hunks that the working tree has beside HEAD; none if git fails or takes over ten seconds."""
+    return diff_text(spark, _git(root, "diff", "HEAD", seconds=10))
 
 
 def git_commits(spark: SparkSession, root: str, days: int | None = None) -> DataFrame:
-    """(commit_id, author_ts, file_path, status): one log for all files."""
+    """(commit_id, author_ts, file_path, status): one log for all files, each under the name it has now.
+
+    The log runs from the newest commit back, so a rename gives the older name's commits to
+    the newer one.
+    """
     since = [f"--since={days}.days"] if days else []
-    found, commit = [], ("", 0)
+    found, commit, now = [], ("", 0), {}
     for row in _git(root, "log", "--format=@%H %at", "--name-status", "--find-renames", *since).splitlines():
         if row.startswith("@"):
             h, _, t = row[1:].partition(" ")
             commit = (h, int(t))
         elif "\t" in row:
             status, *paths = row.split("\t")
-            found.append((*commit, paths[-1], status[0]))
+            name = now.get(paths[-1], paths[-1])
+            if status[0] == "R":
+                now[paths[0]] = name
+            elif status[0] == "A":
+                now.pop(paths[-1], None)  # an older file of this name was another one
+            found.append((*commit, name, status[0]))
     raw = spark.createDataFrame(found, "commit_id string, at long, file_path string, status string")
     return raw.select("commit_id", F.timestamp_seconds("at").alias("author_ts"), "file_path", "status")
 

@@ -260,30 +260,48 @@ class Scanner:
                 classes.append((name, end))
         return out
 
+    def before(self, at: int) -> str:
+        """The last character before ``at`` that is no white space."""
+        at -= 1
+        while at >= 0 and self.code[at].isspace():
+            at -= 1
+        return self.code[at] if at >= 0 else ""
+
+    def ending(self, pattern: str, end: int) -> re.Match | None:
+        """The match of ``pattern`` that ends at ``end``, looked for in windows that grow until it lies inside one."""
+        find, size = re.compile(pattern), 256
+        while True:
+            low = max(0, end - size)
+            m = find.search(self.code, low, end)
+            if low == 0 or m and m.start() > low:
+                return m
+            if m is None and not self.code[low:end].isspace() and not re.search(r"[<>]\s*\S*\s*$", self.code[low:end]):
+                return None
+            size *= 4
+
     def calls(self, named: set[int]) -> list[dict]:
         found = []
         sep = r"(?:\s*(?:\?\.|\.|::|->)\s*)"
         for m in re.finditer(rf"({ID})\s*(?:::)?(?:<[\w\s,.<>\[\]?:&']*>)?\s*\(", self.code):
             name, at = m[1], m.start(1)
-            if name in self.words or at in named or self.code[: m.end() - 1].endswith("!"):
+            if name in self.words or at in named or self.code[m.end() - 2] == "!":
                 continue
             start = at
             while True:  # the receiver: names and bracketed parts joined by dots
-                left = re.search(rf"(?:({ID})|([)\]]))\s*(?:<[^<>]*>)?{sep}$", self.code[max(0, start - 400) : start])
+                left = self.ending(rf"(?:({ID})|([)\]]))\s*(?:<[^<>]*>)?{sep}$", start) if self.before(start) in (".", ":", ">") else None
                 if not left:
                     break
-                where = max(0, start - 400)
                 if left[1]:
-                    start = where + left.start(1)
+                    start = left.start(1)
                 else:
-                    start = self.back.get(where + left.start(2), where + left.start(2))
-                    lead = re.search(rf"({ID})\s*$", self.code[max(0, start - 200) : start])
+                    start = self.back.get(left.start(2), left.start(2))
+                    lead = self.ending(rf"({ID})\s*$", start)
                     if lead and lead[1] not in self.words:
-                        start = max(0, start - 200) + lead.start(1)
+                        start = lead.start(1)
                 if start == 0:
                     break
             before = self.code[max(0, start - 24) : start]
-            if re.search(r"\b(?:new|function|fn|func|class|let)\s*\*?\s*$", before) or self.lang == "rust" and re.search(r"!\s*$", self.code[: m.end() - 1]):
+            if re.search(r"\b(?:new|function|fn|func|class|let)\s*\*?\s*$", before) or self.lang == "rust" and self.before(m.end() - 1) == "!":
                 continue
             text = re.sub(r"\s+", " ", self.text[start : m.end(1)]).strip()
             if self.lang in JS:
@@ -300,7 +318,7 @@ class Scanner:
             found.append({"kind": kind, "file_path": self.path, "line": self.line(at), "column": self.column(at), "end_line": self.line(end), "branches": branches, "condition_text": condition, "_at": at})
 
         for m in re.finditer(r"\bif\b", self.code):
-            if re.search(r"\belse\s*$", self.code[max(0, m.start() - 40) : m.start()]):
+            if self.ending(r"\belse\s*$", m.start()):
                 continue  # an else-if belongs to its first if
             branches, end, _, condition = self.if_parts(m.start())
             add("if", m.start(), end, branches, condition)
@@ -440,11 +458,13 @@ def imports(path: str, text: str, lang: str) -> list[dict]:
                 source = row[len(word) : -1].strip().removeprefix("static ").strip()
                 add(source, [last(source)])
         elif lang == "rust":
-            if m := re.match(r"(?:pub\s+)?use\s+(.*?);", row):
-                if g := re.match(r"(.*?)(?:::)?\{(.*)\}", m[1]):
-                    add(g[1], _named(g[2], lambda p: p.split(" as ")[-1].strip()))
-                else:
-                    add(m[1], [last(m[1].split(" as ")[-1])])
+            if row.startswith("use ") and row.endswith(";"):
+                path_ = row[4:-1].strip()
+                before, brace, inner = path_.partition("{")
+                if not brace:
+                    add(path_, [path_.rsplit("::", 1)[-1]])
+                elif "}" in inner:
+                    add(before.removesuffix("::"), _named(inner.split("}")[0], lambda p: p))
         elif lang == "go":
             if re.match(r"import\s*\(", row):
                 block = True

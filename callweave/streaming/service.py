@@ -91,16 +91,26 @@ class Service:
             return {"id": id_, "type": "candidates", "payload": [r.asDict() for r in found]}
         return self._graph(id_, found[0]["node_id"], payload)
 
+    @staticmethod
+    def _rows(parts: dict[str, DataFrame], limit: int | None) -> dict:
+        """The rows of each part: all, or of a request that sets a limit so many, with ``truncated`` naming the parts that have more."""
+        out: dict = {}
+        for name, df in parts.items():
+            found = df.toJSON() if limit is None else df.limit(limit + 1).toJSON()
+            out[name] = [json.loads(r) for r in found.toLocalIterator()]
+        more = [k for k, v in out.items() if limit is not None and len(v) > limit]
+        return {k: v[:limit] for k, v in out.items()} | ({"truncated": more} if more else {})
+
     def _search_condition(self, id_: str, payload: dict) -> dict:
         parts = self.project.trace(payload["condition"], payload.get("maxDepth", 10))
-        return {"id": id_, "type": "result", "payload": {k: [r.asDict() for r in v.limit(payload.get("limit", 10_000)).collect()] for k, v in parts.items()}}
+        return {"id": id_, "type": "result", "payload": self._rows(parts, payload.get("limit"))}
 
     def _overlay(self, id_: str, payload: dict) -> dict:
         entry = self.project.entry(payload["entryPoint"]) if payload.get("entryPoint") else None
         extra = {k: v for k, v in payload.items() if k in ("report", "diff", "variable", "source", "days", "method")}
         found = self.project.overlay(payload["overlay"], entry, **extra)
-        rows = lambda df: [json.loads(r) for r in df.toJSON().take(payload.get("limit", 10_000))]
-        return {"id": id_, "type": "result", "payload": {k: rows(v) for k, v in found.items()} if isinstance(found, dict) else rows(found)}
+        answer = self._rows(found if isinstance(found, dict) else {"rows": found}, payload.get("limit"))
+        return {"id": id_, "type": "result", "payload": answer if isinstance(found, dict) or "truncated" in answer else answer["rows"]}
 
     def _file_changed(self, id_: str, payload: dict) -> dict:
         return {"id": id_, "type": "result", "payload": {"acknowledged": True, "filePath": payload.get("filePath")}}

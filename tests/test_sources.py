@@ -66,7 +66,7 @@ def test_imports_of_other_languages():
     get = lambda lang, text: [(i["source"], i["specifiers"]) for i in S.imports("f", text, lang)]
     assert get("python", "import os, sys as s\nfrom a import b as c, *") == [("os", ["os"]), ("sys", ["sys"]), ("a", ["c"])]
     assert get("java", "import static a.b.C;\n") == [("a.b.C", ["C"])]
-    assert get("rust", "use a::{b, c as d};\nuse x::Y;\n") == [("a", ["b", "d"]), ("x::Y", ["Y"])]
+    assert get("rust", "use a::{b, c as d};\nuse x::Y;\n") == [("a", ["b", "c as d"]), ("x::Y", ["Y"])]
     assert get("go", 'import "fmt"\nimport (\n  m "a/b"\n)\n"c"\n') == [("fmt", ["fmt"]), ("a/b", ["b"])]
     assert get("csharp", "using System.IO;\nusing X = Y;\n") == [("System.IO", ["IO"])]
     assert S.quoted("x `a` 'b' \"c\"") == "c"
