@@ -3,11 +3,14 @@
 Rows are dealt to shards of bounded size. A shard keeps, for each of ``trees`` seeded sets
 of random hyperplanes, the sorted array of its vectors' bit strings. A query descends in
 every tree to its longest matching prefix, then all trees ascend together, a bit at a time,
-and every vector under the common prefix becomes a candidate until there are enough.
-Candidates are scored by exact cosine in double precision, and the shards' best are merged.
+and every vector under the common prefix gets a vote for each tree and level. The ascent
+ends at the level where the trees meet ``MEET`` times as many entries as there are vectors. Votes tell
+near vectors from chance company well, so the few per cent with the most are the candidates.
+They are scored by exact cosine in double precision, and the shards' best are merged.
 
 Every row is indexed; copies of a vector are indexed once and expanded by id. Queries visit
-the shards in blocks of bounded size, so no task holds more than a block and a shard.
+the shards in blocks of bounded size, so no task holds more than a block and a shard. Every
+query visits every shard, so work grows with queries times shards.
 """
 
 from __future__ import annotations
@@ -21,84 +24,113 @@ from pyspark.sql import functions as F
 
 from .shared import by_value, cut
 
-TREES, BITS = 64, 24
-SHARD, BLOCK = 8192, 16384
-#: Share of a shard's distinct vectors that are enough candidates: high, as the nearest are barely nearer than the rest in weakly clustered data.
-ENOUGH = 0.45
+TREES, BITS, MEET = 512, 24, 4
+SHARD, BLOCK = 16384, 16384
+#: Candidates: this share of a shard's distinct vectors, but so many at least.
+ENOUGH, LEAST = 0.02, 200
+#: Ranges of prefixes up to this length are looked up, not searched.
+NEAR_ROOT = 12
 
 
 class Forest:
-    """The trees' sorted arrays end to end: tree t's codes are led by t, so one search serves all trees."""
+    """Of every tree the sorted codes and the vectors they belong to."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 0):
         self.planes = np.random.default_rng(seed).standard_normal((trees, bits, vectors.shape[1])).astype(np.float32)
         self.trees, self.bits, self.n = trees, bits, len(vectors)
         codes = self.codes(vectors)
         order = np.argsort(codes, axis=1, kind="stable")
-        self.keys = np.take_along_axis(codes, order, axis=1).ravel()
-        self.order = order.ravel()
+        self.keys = np.take_along_axis(codes, order, axis=1)
+        self.order = order.astype(np.int32).ravel()
+        self.top = min(bits, NEAR_ROOT)
+        edges = np.arange((1 << self.top) + 1, dtype=np.int32) << (bits - self.top)
+        self.starts = np.stack([np.searchsorted(k, edges) for k in self.keys]).astype(np.int32)
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         unit = (vectors / np.abs(vectors).max(1, keepdims=True)).astype(np.float32)
-        weight = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
-        return np.stack([(unit @ p.T > 0) @ weight for p in self.planes]) + (np.arange(self.trees) << self.bits)[:, None]
+        weight = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.float32)  # exact below 2**24
+        return np.stack([((unit @ p.T > 0).astype(np.float32) @ weight).astype(np.int32) for p in self.planes])
 
     def descend(self, codes: np.ndarray) -> np.ndarray:
         """Of each query (column) the longest prefix that any tree matches."""
-        at = np.searchsorted(self.keys, codes)
         near = np.zeros(codes.shape[1], np.int64)
-        for i in (np.maximum(at - 1, 0), np.minimum(at, len(self.keys) - 1)):
-            differ = self.keys[i] ^ codes
-            near = np.maximum(near, (self.bits - np.ceil(np.log2(differ + 1.0))).max(0).astype(np.int64))
-        return np.maximum(near, 0)
-
-    def candidates(self, codes: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the vectors under the longest common prefix length at which there are enough."""
-        start, out = self.descend(codes), [None] * codes.shape[1]
-        left = np.arange(codes.shape[1])
+        for own, asked in zip(self.keys, codes):
+            at = np.searchsorted(own, asked)
+            for i in (np.maximum(at - 1, 0), np.minimum(at, self.n - 1)):
+                near = np.maximum(near, self.bits - np.ceil(np.log2((own[i] ^ asked) + 1.0)).astype(np.int64))
+        return np.clip(near, 0, self.bits)
+
+    def ranges(self, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tree (row) and query (column) the first entry under the prefix, and the first after it."""
+        if level <= self.top:
+            low = (codes >> (self.bits - level)) << (self.top - level)
+            tree = np.arange(self.trees)[:, None]
+            return self.starts[tree, low], self.starts[tree, low + (1 << (self.top - level))]
+        low = (codes >> (self.bits - level)) << (self.bits - level)
+        return tuple(np.stack([np.searchsorted(k, x) for k, x in zip(self.keys, at)]) for at in (low, low + (1 << (self.bits - level))))
+
+    def candidates(self, codes: np.ndarray, enough: int, meet: float = MEET) -> list[np.ndarray]:
+        """For each query the ``enough`` vectors with the most votes, and those that have as many as the last of them."""
+        start, n = self.descend(codes), codes.shape[1]
+        votes, met = np.zeros((n, self.n), np.int32), np.zeros(n, np.int64)
+        base = (np.arange(self.trees) * self.n)[:, None]
+        left = np.arange(n)
+        # below the directory an entry or two a tree is met: its levels are worth a look only for queries that match so far
         for level in range(int(start.max(initial=0)), -1, -1):  # ascend together
-            shift = self.bits - level
-            low = (codes[:, left] >> shift) << shift
-            a, b = np.searchsorted(self.keys, low), np.searchsorted(self.keys, low + (1 << shift))
-            open_ = []
-            # the ranges' total bounds their union from above
-            for j, i in enumerate(left.tolist()):
-                if level == 0 or (b[:, j] - a[:, j]).sum() >= enough:
-                    seen = np.zeros(self.n, bool)
-                    for x, y in zip(a[:, j].tolist(), b[:, j].tolist()):
-                        seen[self.order[x:y]] = True
-                    found = np.flatnonzero(seen)
-                    if level == 0 or len(found) >= enough:
-                        out[i] = found
-                        continue
-                open_.append(i)
-            left = np.array(open_, np.int64)
+            here = left[start[left] >= level]
+            if len(here):
+                a, b = self.ranges(codes[:, here], level)
+                size, first = b - a, a + base
+                for j, i in enumerate(here.tolist()):
+                    own = np.flatnonzero(size[:, j])
+                    many = size[own, j]
+                    ends = np.cumsum(many)
+                    if len(ends):
+                        entries = np.repeat(first[own, j] - ends + many, many) + np.arange(ends[-1])
+                        votes[i] += np.bincount(self.order[entries], minlength=self.n).astype(np.int32)
+                        met[i] = ends[-1]
+            # each tree may hold the query itself, or a copy
+            left = left[met[left] < meet * self.n + self.trees]
             if not len(left):
                 break
-        return out
+        if self.n <= enough:
+            return [np.arange(self.n)] * n
+        least = -np.partition(-votes, enough - 1, axis=1)[:, enough - 1]
+        return [np.flatnonzero(v >= max(x, 1)) for v, x in zip(votes, least.tolist())]
 
 
-def best(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float, trees: int, bits: int) -> list[tuple[int, int, float]]:
-    """(query, vector, cosine): the k nearest of the candidates of each query, ties to the smaller id."""
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors, those with very large or very small components brought near 1 by a power of two, which changes no cosine."""
+    most = np.abs(vectors).max(1)
+    odd = (most > 1e100) | (most < 1e-100)
+    if odd.any():
+        vectors = vectors.copy()
+        vectors[odd] = np.ldexp(vectors[odd], -np.frexp(most[odd])[1][:, None])
+    return vectors
+
+
+def best(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float, trees: int, bits: int) -> tuple[list[tuple[int, int, float]], int]:
+    """(query, vector, cosine): the k nearest of the candidates of each query, ties to the smaller id; and how many vectors were scored."""
     distinct, group = np.unique(points, axis=0, return_inverse=True)
     by = np.lexsort((ids, group.ravel()))
     first = np.concatenate(([0], np.cumsum(np.bincount(group.ravel(), minlength=len(distinct)))))
-    norms = np.sqrt((distinct * distinct).sum(1))
-    short = (distinct / norms[:, None]).astype(np.float32)
+    vectors, queries = scaled(distinct), scaled(queries)
+    norms = np.sqrt((vectors * vectors).sum(1))
     forest = Forest(distinct, trees, bits)
-    out = []
-    for lo in range(0, len(queries), 256):
-        part = queries[lo : lo + 256]
-        found = forest.candidates(forest.codes(part), max(k + 1, math.ceil(share * len(distinct))))
-        for q, own, c in zip(part, query_ids[lo : lo + 256].tolist(), found):
-            size = math.sqrt((q * q).sum())
-            near = short[c] @ (q / size).astype(np.float32)
-            if len(c) > k + 1:  # what single precision can't rule out is scored in double
-                c = c[near >= np.partition(near, len(c) - k - 1)[len(c) - k - 1] - 1e-5]
-            score = ((distinct[c] * q).sum(1) / (norms[c] * size)).tolist()
-            named = [(-s, i) for g, s in zip(c.tolist(), score) for i in ids[by[first[g] : min(first[g + 1], first[g] + k + 1)]].tolist() if i != own]
+    enough = max(k + 1, LEAST, math.ceil(share * len(distinct)))
+    out, scored = [], 0
+    for lo in range(0, len(queries), 64):
+        part = queries[lo : lo + 64]
+        found = forest.candidates(forest.codes(part), enough)
+        for q, own, c in zip(part, query_ids[lo : lo + 64].tolist(), found):
+            scored += len(c)
+            score = (vectors[c] * q).sum(1) / (norms[c] * math.sqrt((q * q).sum()))
+            if len(c) > k + 1:  # of equal vectors only the query's own is left out, so k + 1 are enough
+                keep = score >= np.partition(score, len(c) - k - 1)[len(c) - k - 1]
+                c, score = c[keep], score[keep]
+            named = [(-s, i) for g, s in zip(c.tolist(), score.tolist()) for i in ids[by[first[g] : min(first[g + 1], first[g] + k + 1)]].tolist() if i != own]
             out += [(own, i, -s) for s, i in sorted(named)[:k]]
-    return out
+    return out, scored
 
 
 def usable(vector: Column) -> Column:
@@ -110,8 +142,10 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     """(query_id, rank, vec_id, score): for each query row its k nearest other rows found.
 
     Rows with a null id, and null, empty, zero or non-finite vectors, take no part. Vectors
-    are compared with those of their own length only. A row that repeats the query's id is
-    not its neighbour. An empty table gives no rows.
+    are compared with those of their own length only. Very large and very small components
+    are scaled by a power of two first. A row that repeats the query's id is not its
+    neighbour; other rows that repeat an id are found each by itself; ties go to the smaller
+    id; further columns, whatever their names, take no part. An empty table gives no rows.
     """
     base = cut(rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v")))
     n, m = base.agg(F.count("*"), F.count_if("q")).first()
@@ -122,7 +156,7 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     def search(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        found = best(np.stack(own["v"].to_list()), own["id"].to_numpy(), np.stack(queries["v"].to_list()), queries["id"].to_numpy(), k, share, trees, bits)
+        found, _ = best(np.stack(own["v"].to_list()), own["id"].to_numpy(), np.stack(queries["v"].to_list()), queries["id"].to_numpy(), k, share, trees, bits)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["dim", "shard", "block"]

@@ -460,6 +460,37 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_neighbours_extreme_vectors(spark):
+    v = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [0.0, 5e-324]), (4, [-1.0, -1.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 12)) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(2, 1.0), (1, round(0.5**0.5, 12)), (3, round(0.5**0.5, 12)), (4, -1.0)]
+
+
+def test_neighbours_repeated_rows_and_clashing_columns(spark):
+    v = [(0, [1.0, 0.1]), (1, [1.0, 0.2]), (1, [1.0, 0.2]), (2, [0.0, 1.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumns({c: F.lit("taken") for c in ("id", "v", "q", "dim", "shard", "block", "score", "rank", "query_id")})
+    rows = neighbours.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3] and [r["vec_id"] for r in rows] == [1, 1, 2]
+
+
+@pytest.mark.parametrize("n, share", [(3000, 0.08), (12000, 0.025)])
+def test_forest_finds_nine_of_ten_among_few_candidates(n, share):
+    r = np.random.default_rng(n)
+    x = r.standard_normal((40, 64))[r.integers(0, 40, n)] * 0.4 + r.standard_normal((n, 64))
+    ids, asked = np.arange(n), np.arange(0, n, 100)
+    found, scored = neighbours.best(x, ids, x[asked], asked, 5, neighbours.ENOUGH, neighbours.TREES, neighbours.BITS)
+    unit, got = x / np.linalg.norm(x, axis=1, keepdims=True), defaultdict(set)
+    for q, i, _ in found:
+        got[q].add(i)
+    hits = 0
+    for q in asked:
+        c = unit @ unit[q]
+        c[q] = -9
+        hits += len(got[q] & set(np.argsort(-c)[:5].tolist()))
+    assert hits / (5 * len(asked)) >= 0.9 and scored / (len(asked) * n) <= share
+
+
 def test_language_accuracy(spark, docs):
     rows = queries.op10_langid(spark, DATA).collect()
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
