@@ -32,7 +32,7 @@ class Limits:
     """What one sequence may hold."""
 
     tokens: int = 1024
-    segments: int = 64
+    segments: int = 1024
     loss: int = 1024
 
 
@@ -108,7 +108,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
     ``keep_ids`` the ids themselves. A null text is empty: it has the end id only. Null ids
-    are kept; repeated rows are packed one by one; an empty table gives no rows.
+    are kept; repeated rows are packed one by one; a very long text is cut into full
+    sequences and a rest; ties go to the smaller id; further columns take no part; an empty
+    table gives no rows.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     if keep_ids:
@@ -130,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             nonlocal used, lot
             lot.sort(key=lambda r: (-r[2], r[3], r[0] is None, r[0] if r[0] is not None else 0, r[1]))
             n = np.array([r[2] for r in lot], np.int64)
-            where, offset = pack(n, np.minimum(n, limits.loss), limits)
+            # the first token of a document has nothing before it to be predicted from
+            loss = n - np.array([r[1] == 0 for r in lot], np.int64)
+            where, offset = pack(n, np.minimum(loss, limits.loss), limits)
             if lot:
                 yield out([(*r[:5], base + used + int(w), int(o), *r[5:]) for r, w, o in zip(lot, where, offset)])
                 used += int(where.max()) + 1
@@ -164,8 +168,9 @@ def pack_examples(examples: DataFrame, tokens: str, loss: str, limits: Limits =
     """Pack examples whose demands are columns: adds ``sequence_id`` and ``offset``.
 
     For instruction data, where only the answers bear loss. Null demands count as 0. An
-    example that no sequence can hold gets null in both columns. Columns of those names in
-    the input are replaced.
+    example that no sequence can hold gets null in both columns. Repeated rows are packed one
+    by one, of equal demands the earlier row first. Columns of those names in the input are
+    replaced. An empty table gives no rows.
     """
     keep = examples.drop("sequence_id", "offset")
     schema = T.StructType([*keep.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
