@@ -1,9 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets are water-filled under each source's limit, then blocks of equal token count go to
-the sources by highest quotients target / (2k + 1). A source's blocks are the first of a
-seeded order of its documents, passed over again where its quota exceeds its size. Built
-of DataFrame functions alone.
+the sources by highest quotients target / (2k + 1), which gives every shard of the mix an
+integer quota of each source's blocks. Blocks are runs of words in a seeded order of the
+source's documents; a shard takes the blocks that follow the shard before, and the order is
+passed over again where the quotas exceed it. Built of DataFrame functions alone.
+
+All sources together pass through a few single tasks (one row a source, and about four a
+shard): thousands of sources are fine, and their number does not grow with the documents.
 
 Quota method: a source's seats lie within ``share * sources`` of its rounded exact share,
 so only that many quotients a source (about four a source in all) compete for the seats
@@ -12,13 +16,15 @@ that are open below; no loop over blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, by_value, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT, BLOCK, SEED = 1.5, 2, 32, "mix-1"
+#: Shards of the mix, of equal block count.
+SHARDS = 8
 #: Hex digits of the seeded order that name a bucket: no task orders more than a 4096th of a source.
 DIGITS = 3
 
@@ -42,35 +48,36 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("src_null", "src", "source_size", "weight", "target")
 
 
-def quotas(aims: DataFrame, seats: int) -> DataFrame:
-    """``aims`` with ``blocks``: ``seats`` seats by the highest quotients target / (2k + 1), ties to the earlier source."""
-    everything = Window.partitionBy()
+def quotas(aims: DataFrame, seats: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """``aims`` with ``blocks``: ``seats`` seats by the highest quotients target / (2k + 1), ties to the earlier source; for each value of ``by`` apart."""
+    seats = F.lit(seats) if isinstance(seats, int) else seats
+    everything = Window.partitionBy(*by)
     a = aims.withColumn("_part", F.col("target") / F.nullif(F.sum("target").over(everything), F.lit(0.0))).withColumn("_n", F.count("*").over(everything))
-    a = a.withColumn("_part", F.coalesce("_part", F.lit(0.0)))
-    near, spread = F.floor(F.col("_part") * seats + 0.5), F.ceil(F.col("_part") * F.col("_n")) + 2
+    a = a.withColumn("_part", F.coalesce("_part", F.lit(0.0))).withColumn("_seats", seats.cast("long"))
+    near, spread = F.floor(F.col("_part") * F.col("_seats") + 0.5), F.ceil(F.col("_part") * F.col("_n")) + 2
     a = a.withColumn("_base", F.greatest(F.lit(0), near - spread).cast("long")).withColumn("_top", (near + spread).cast("long"))
-    a = a.withColumn("_open", seats - F.sum("_base").over(everything))
+    a = a.withColumn("_open", F.col("_seats") - F.sum("_base").over(everything))
     q = a.where("target > 0").withColumn("_k", F.explode(F.sequence("_base", "_top")))
-    best = Window.orderBy((F.col("target") / (2 * F.col("_k") + 1)).desc(), "src_null", "src", "_k")
-    won = q.withColumn("_r", F.row_number().over(best)).where("_r <= _open").groupBy("src_null", "src").agg(F.count("*").alias("_won"))
-    return a.join(won, ["src_null", "src"], "left").withColumn("blocks", F.col("_base") * (F.col("target") > 0).cast("long") + F.coalesce("_won", F.lit(0))).select(*aims.columns, "blocks")
+    best = Window.partitionBy(*by).orderBy((F.col("target") / (2 * F.col("_k") + 1)).desc(), "src_null", "src", "_k")
+    won = q.withColumn("_r", F.row_number().over(best)).where("_r <= _open").groupBy(*by, "src_null", "src").agg(F.count("*").alias("_won"))
+    return a.join(won, [*by, "src_null", "src"], "left").withColumn("blocks", F.col("_base") * (F.col("target") > 0).cast("long") + F.coalesce("_won", F.lit(0))).select(*aims.columns, "blocks")
 
 
 def shard_quotas(aims: DataFrame, seats: int, shards: int) -> DataFrame:
-    """Blocks of each source in each of ``shards`` shards of equal block count (shard, src_null, src, blocks).
+    """Blocks of each source in each of ``shards`` shards of equal block count: (shard, src_null, src, first_block, blocks).
 
-    Sainte-Laguë never takes back a seat when seats are added, so a shard's quota is what its end has beyond its begin.
+    Sainte-Laguë never takes back a seat when seats are added, so a shard's quota is what its
+    end has beyond its begin, and it takes the blocks that follow in the source's seeded order.
     """
-    ends = None
-    for i in range(shards + 1):
-        one = quotas(aims, seats * i // shards).select("src_null", "src", F.lit(i).alias("_end"), "blocks")
-        ends = one if ends is None else ends.unionByName(one)
+    ends = aims.withColumn("_end", F.explode(F.sequence(F.lit(0), F.lit(shards))))
+    at = quotas(ends, F.floor(F.lit(seats) * F.col("_end") / F.lit(shards)), ("_end",))
     last = Window.partitionBy("src_null", "src").orderBy("_end")
-    return ends.withColumn("blocks", F.col("blocks") - F.lag("blocks").over(last)).where("_end > 0").select((F.col("_end") - 1).alias("shard"), "src_null", "src", "blocks")
+    at = at.withColumn("first_block", F.lag("blocks").over(last)).where("_end > 0")
+    return at.select((F.col("_end") - 1).alias("shard"), "src_null", "src", "first_block", (F.col("blocks") - F.col("first_block")).alias("blocks"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """How many words of each document the mix takes: (doc_id, size, source_size, target, taken).
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, seed: str = SEED, shards: int = SHARDS) -> DataFrame:
+    """How many words of each document the mix takes, all shards together: (doc_id, size, source_size, target, taken).
 
     A null text has size 0 and gives none; a null source is a source; null or repeated ids
     and repeated rows are kept (rows that are equal may change places in the seeded order);
@@ -85,7 +92,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     aims = cut(targets(buckets.groupBy("src_null", "src").agg(F.sum("_words").alias("source_size")), weights, share, limit))
     seats = int((aims.agg(F.sum("target")).first()[0] or 0.0) / block + 0.5)
     words = F.least(F.col("blocks") * block, F.col("source_size") * limit)
-    plan = quotas(aims, seats).select("src_null", "src", "source_size", "target", F.coalesce(F.floor(words / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long").alias("_passes"), words.alias("_take")).withColumn("_rest", F.col("_take") - F.col("_passes") * F.col("source_size"))
+    total = shard_quotas(aims, seats, shards).groupBy("src_null", "src").agg(F.sum("blocks").alias("blocks"))
+    plan = aims.join(total, ["src_null", "src"]).select("src_null", "src", "source_size", "target", F.coalesce(F.floor(words / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long").alias("_passes"), words.alias("_take")).withColumn("_rest", F.col("_take") - F.col("_passes") * F.col("source_size"))
     earlier = Window.partitionBy("src_null", "src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = buckets.withColumn("_shift", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words").join(plan, ["src_null", "src"])
     own = Window.partitionBy("src_null", "src", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
