@@ -2,11 +2,13 @@
 
 Two documents that share a window of ``window`` words share the smallest hash among the
 window's half-length word grams. Those smallest hashes (about one for 13 words) are a
-document's anchors. The index keeps them as sorted immutable runs; each new batch of
-documents is merge-joined with every run, its hits noted, and its own run added; runs are
-compacted when there are too many. Only texts that hold an anchor known from another
-document are read again; there every window that contains such an anchor is hashed to 128
-bits and matched word run for word run through that hash, which verifies the hit.
+document's anchors. The index keeps them as sorted immutable runs, tables bucketed by hash;
+each new batch of documents is merge-joined with every run, bucket by bucket without an
+exchange, its hits noted, and its own run added; two runs of one level are compacted into one
+of the next, so there are as many as the logarithm of the batches. Only texts that hold an
+anchor known from another document, of this call or an earlier one with the same index, are
+read again; there every window that contains such an anchor is hashed to 128 bits and matched
+word run for word run through that hash, which verifies the hit.
 
 Exact copies are settled before: of texts with equal words only the smallest id takes part.
 """
@@ -14,12 +16,13 @@ Exact copies are settled before: of texts with equal words only the smallest id
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import by_value, cut, maybe_broadcast, written
@@ -97,20 +100,22 @@ def _first(window: int):
         memo = Memo()
         for batch in batches:
             ids = batch.column(0)
-            n_words, shas, of, found = [], [], [], []
+            n_words, shas, of, found, sigs = [], [], [], [], []
             for i, raw in enumerate(_raw(batch.column(1))):
                 words = raw.split()
                 n_words.append(len(words))
                 shas.append(digest(words))
+                sigs.append(short(shas[-1]))
                 if len(words) >= window:
                     own = np.unique(anchors(hashes(memo, words), window)[1])
                     found.append(own)
                     of.append(np.full(len(own), i))
             n = len(n_words)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), ids, pa.array(n_words, pa.int64()), pa.array(shas, pa.string())], ["h", "doc_id", "n_words", "sha"])
+            sig = pa.array(sigs, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), ids, sig, pa.array(n_words, pa.int64()), pa.array(shas, pa.string())], ["h", "doc_id", "sig", "n_words", "sha"])
             if found:
-                h = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(np.concatenate(of))), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.string())], ["h", "doc_id", "n_words", "sha"])
+                h, at = np.concatenate(found), pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(at), sig.take(at), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.string())], ["h", "doc_id", "sig", "n_words", "sha"])
 
     return run
 
@@ -161,72 +166,102 @@ def _strip(window: int):
 
 
 class RunIndex:
-    """Sorted immutable runs of (anchor hash, smallest doc_id). ``most_runs`` more than one run are compacted into one."""
+    """Sorted immutable runs of (anchor hash, smallest and largest doc_id), and where the documents they come from are.
 
-    def __init__(self, most_runs: int = 2):
-        self.runs: list[DataFrame] = []
-        self.most_runs = most_runs
+    A run is a table in the session's warehouse, in ``buckets`` buckets by hash. The
+    documents themselves are not copied: :func:`dedup` reads those of earlier calls again
+    from their own tables, which must still be there.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
+        # as many as an aggregation has partitions, so that each bucket is written by one task
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, str]] = []
+        self.marks: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return written(run.sortWithinPartitions("h"))
+    def _write(self, run: DataFrame) -> str:
+        name = f"callweave_run_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        return name
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-join the batch (h, doc_id) with the runs; returns the hashes it shares with other documents, old or new."""
-        own = batch.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        own = written(own)
+        new = self._write(batch.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+        own = self.spark.table(new)
         hits = own.where("lo < hi").select("h")
-        for run in self.runs:
-            hits = hits.unionAll(own.select("h").join(run.select("h"), "h", "left_semi"))
-        self.runs.append(self._sorted(own.select("h", "lo")))
-        if len(self.runs) > self.most_runs:
-            merged = self.runs[0]
-            for run in self.runs[1:]:
-                merged = merged.unionAll(run)
-            self.runs = [self._sorted(merged.groupBy("h").agg(F.min("lo").alias("lo")))]
-        return hits.distinct()
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 3, index: RunIndex | None = None) -> DataFrame:
+        for _, run in self.runs:
+            hits = hits.unionAll(own.select("h").join(self.spark.table(run).select("h"), "h", "left_semi"))
+        hits = cut(hits.distinct())
+        level = 0
+        while same := [r for at, r in self.runs if at == level]:
+            both = self.spark.table(new).unionAll(self.spark.table(same[0]))
+            merged = self._write(both.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+            for old in (new, same[0]):
+                self.spark.sql(f"DROP TABLE {old}")
+            self.runs.remove((level, same[0]))
+            new, level = merged, level + 1
+        self.runs.append((level, new))
+        return hits
+
+    def drop(self) -> None:
+        for _, run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs, self.marks, self.texts = [], [], []
+
+
+#: A window hash of so many rows is matched apart, lest its rows meet in one task.
+HOT = 2048
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2, index: RunIndex | None = None) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller id.
 
     Returns (doc_id, n_words, n_removed, kept_sha256). Null text has no words. A document
     with a null id is kept whole and takes nothing from others; rows that repeat an id with
-    another text are judged each by itself; an empty table gives no rows. The documents
-    enter ``index`` in ``batches`` by id.
+    another text are judged each by itself, equal rows alike; ids may be texts; a very long
+    text is read as a whole; further columns take no part; an empty table gives no rows. The
+    documents enter ``index`` in ``batches``. With the index of earlier calls their documents
+    count as well, but are not judged again.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = written(docs.mapInArrow(_first(window), f"h long, doc_id {kind}, n_words long, sha string"))
-    rows = seen.where("h IS NULL").select("doc_id", "n_words", "sha")
+    seen = written(docs.mapInArrow(_first(window), f"h long, doc_id {kind}, sig long, n_words long, sha string"))
+    rows = seen.where("h IS NULL").select("doc_id", "sig", "n_words", "sha")
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    sig = F.shiftrightunsigned(F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"), 1)  # as short()
-    judged = cut(rows.join(first, "sha").withColumn("sig", sig))
+    judged = cut(rows.join(first, "sha"))
     # anchors of later exact copies need no look: the copy goes as a whole
     copies = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
-    marks = seen.where("h IS NOT NULL AND doc_id IS NOT NULL").select("h", "doc_id")
-    marks = marks.join(maybe_broadcast(cut(judged.where(copies).select("doc_id").distinct())), "doc_id", "left_anti")
-    index = index or RunIndex()
-    bounds = sorted(set(judged.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    ends = [None, *bounds, None]
+    marks = seen.where("h IS NOT NULL AND doc_id IS NOT NULL").select("h", "doc_id", "sig")
+    marks = marks.join(maybe_broadcast(cut(judged.where(copies).select("doc_id", "sig").distinct())), ["doc_id", "sig"], "left_anti").select("h", "doc_id")
+    held = index or RunIndex(docs.sparkSession)
     hits = None
-    for lo, hi in zip(ends[:-1], ends[1:]):
-        part = marks
-        if lo is not None:
-            part = part.where(F.col("doc_id") > lo)
-        if hi is not None:
-            part = part.where(F.col("doc_id") <= hi)
-        new = index.add(part)
+    for i in range(batches):
+        new = held.add(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
         hits = new if hits is None else hits.unionAll(new)
-    shared = marks.join(cut(hits.distinct()), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("known"))  # no longer than the document
-    again = written(docs.join(shared, "doc_id").select("doc_id", "text", "known"))
+    every, texts = marks, docs
+    for old in held.marks:
+        every = every.unionAll(old)
+    for old in held.texts:
+        texts = texts.unionAll(old)
+    if index is None:
+        held.drop()
+    else:
+        held.marks.append(marks)
+        held.texts.append(docs)
+    shared = every.join(maybe_broadcast(cut(hits.distinct())), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("known"))  # no longer than the document
+    again = written(texts.join(shared, "doc_id").select("doc_id", "text", "known"))
     windows = written(again.mapInArrow(_windows(window), f"h1 long, h2 long, doc_id {kind}, sig long, start int"))
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "sig").agg(F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s"), "starts")
-    texts = again.select("doc_id", "text").distinct()
+    least = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least < last").drop("last"))
+    hot = least.where(F.col("n") >= HOT)
+    few = windows.join(maybe_broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(least.where(F.col("n") < HOT), ["h1", "h2"])
+    late = windows.join(maybe_broadcast(hot), ["h1", "h2"]).unionByName(few).where("doc_id > least")
+    gone = late.groupBy("doc_id", "sig").agg(F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s"), "starts")
     own = F.sha2(F.array_join(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), " "), 256)
     of = F.shiftrightunsigned(F.conv(F.substring(own, 1, 16), 16, -10).cast("long"), 1)
-    stripped = texts.join(gone, F.col("doc_id") == F.col("_d")).where(of == F.col("_s")).select("doc_id", "text", "starts").mapInArrow(_strip(window), f"doc_id {kind}, sig long, n_removed long, kept_sha256 string, kept_text string")
+    found = again.select("doc_id", "text").distinct()
+    stripped = found.join(gone, F.col("doc_id") == F.col("_d")).where(of == F.col("_s")).select("doc_id", "text", "starts").mapInArrow(_strip(window), f"doc_id {kind}, sig long, n_removed long, kept_sha256 string, kept_text string")
     stripped = stripped.drop("kept_text").withColumnsRenamed({"doc_id": "_d", "sig": "_s"})
     none = hashlib.sha256(b"").hexdigest()
     out = judged.join(stripped, (F.col("doc_id") == F.col("_d")) & (F.col("sig") == F.col("_s")), "left")

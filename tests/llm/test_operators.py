@@ -508,10 +508,36 @@ def test_passages(spark, docs):
 def test_short_windows_and_runs(spark, batches):
     r = np.random.default_rng(2)
     texts = [" ".join(f"w{x}" for x in r.integers(0, 6, int(r.integers(0, 60)))) for _ in range(40)]
-    got = substring.dedup(docs_of(spark, texts), window=6, batches=batches, index=substring.RunIndex(1))
+    got = substring.dedup(docs_of(spark, texts), window=6, batches=batches, index=substring.RunIndex(spark, 3))
     assert sorted(map(tuple, got.collect())) == sorted(passages(list(enumerate(texts)), 6))
 
 
+def test_passages_of_earlier_calls(spark):
+    r = np.random.default_rng(3)
+    word = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10_000, n))
+    passage = word(60)
+    texts = [word(80) for _ in range(12)]
+    for i in (1, 2, 5, 9):
+        texts[i] = f"{texts[i]} {passage} {word(7)}"
+    texts[7] = texts[4]
+    index, got = substring.RunIndex(spark, 4), []
+    for lo in range(0, 12, 2):  # six calls of two documents
+        got += map(tuple, substring.dedup(docs_of(spark, texts).where(F.col("doc_id").between(lo, lo + 1)), index=index, batches=1).collect())
+    want = sorted(passages(list(enumerate(texts)), 50))
+    assert sorted(got) == want and {i: n for i, _, n, _ in want if n} == {2: 60, 5: 60, 7: 80, 9: 60}
+    assert [level for level, _ in index.runs] in ([1, 2], [2, 1])  # six runs: one of four, one of two
+    index.drop()
+
+
+def test_passages_with_text_ids_and_repeated_ids(spark):
+    r = np.random.default_rng(4)
+    word = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10_000, n))
+    passage, copy = word(55), word(70)
+    rows = [("a", copy), ("b", passage), ("c", copy), ("c", f"x y {passage}"), ("d", None)]
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", 70): 0, ("b", 55): 0, ("c", 70): 70, ("c", 57): 55, ("d", 0): 0}
+
+
 def test_neighbours(spark):
     rows = queries.op9_neighbours(spark, DATA).collect()
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
