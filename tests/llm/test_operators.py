@@ -399,18 +399,58 @@ def test_mixing_takes(spark, docs):
     assert all(abs(took[s] - want[s]) <= 2 * mixing.BLOCK for s in want)
 
 
-def test_search(spark, docs):
-    got = defaultdict(list)
-    for r in search.search(docs, F.col("doc_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
+def bm25_plainly(rows, asked, k=10):
+    """rows: (id, text); the k best (-score, id) of each asked id."""
+    rows = [(i, (t or "").encode().lower().split()) for i, t in rows]
     n, mean = len(rows), sum(len(w) for _, w in rows) / len(rows)
     df, tf = Counter(w for _, ws in rows for w in set(ws)), [(i, Counter(w), len(w)) for i, w in rows]
     for q, qw in rows:
-        if q % 50 == 0:
+        if q in asked:
             score = [(-round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in set(qw) if w in c), 9), i) for i, c, size in tf if i != q]
-            want = sorted(s for s in score if s[0] < 0)[:10]
-            assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [-s for s, _ in want])
+            yield q, sorted(s for s in score if s[0] < 0)[:k]
+
+
+@pytest.mark.parametrize("shard_words", [search.SHARD_WORDS, 3000])
+def test_search(spark, docs, shard_words):
+    got = defaultdict(list)
+    for r in search.search(docs, F.col("doc_id") % 50 == 0, shard_words=shard_words).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for q, want in bm25_plainly(rows, {i for i, _ in rows if i % 50 == 0}):
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [-s for s, _ in want])
+
+
+@pytest.mark.parametrize("least", [0.0, 0.8])
+def test_search_skips_without_loss(least):
+    """A Zipf-like corpus: pruned answers are the plain ones, and a good part of the postings is never added."""
+    r = np.random.default_rng(5)
+    word = (r.zipf(1.2, 400_000) % 50_000).astype(np.int64)
+    cut_ = np.sort(r.choice(400_000, 2999, replace=False))
+    texts = np.split(word, cut_)
+    for i in range(0, 3000, 100):  # some near copies
+        texts[i + 1] = np.concatenate((texts[i], word[:5]))
+    index = search.Index(np.arange(3000), texts, 400_000 / 3000)
+    df = np.diff(index.start)
+    idf = np.log(1 + (3000 - df + 0.5) / (df + 0.5))
+    plain = np.zeros(3000)
+    for q in range(0, 3000, 60):
+        where = index.places(np.unique(texts[q]))
+        plain[:] = 0
+        for t in where:
+            a, b = index.start[t], index.start[t + 1]
+            plain[index.doc[a:b]] += idf[t] * index.weight[a:b]
+        score = sorted((-round(s, 9), i) for s, i in zip(plain.tolist(), index.ids.tolist()) if s > 0 and i != q)[:10]
+        need = -least * score[-1][0] if len(score) == 10 else 0.0
+        assert [(i, -s) for i, s in index.top(where, idf[where], 10, need, q)] == [(i, s) for s, i in score]
+    assert index.skipped > 0.2 * (index.skipped + index.seen)
+
+
+def test_search_with_text_ids(spark):
+    rows = [(f"d{i}", f"common w{i % 7} x{i % 11} only{i}") for i in range(60)]
+    got = defaultdict(list)
+    for r in search.search(spark.createDataFrame(rows, "doc_id string, text string"), F.col("doc_id").isin("d3", "d40"), shard_words=40).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    assert dict(got) == {q: [i for _, i in want] for q, want in bm25_plainly(rows, {"d3", "d40"})}
 
 
 def test_search_ranks_ids_though_one_repeats_more_than_k_times(spark):
