@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -18,8 +18,9 @@ from .operators import calls as C
 from .operators import communities, exact
 from .operators import graph as G
 from .operators import overlays as O
+from .plans import sources
 from .plans.fixtures import Fixtures, oracle
-from .sources import cursor, lazy
+from .sources import cursor, lazy, readers
 from .sources import index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,6 +716,158 @@ def parse_counters(fx: Fixtures) -> DataFrame:
     return files.agg(F.count("hit").alias("parsed"), F.count("*").alias("total"))
 
 
+# Scanning: source files in seven languages are made of the symbols, and every table of their index is known.
+
+
+def scanned(fx: Fixtures) -> I.Index:
+    return I.Index.build(sources.files(fx))
+
+
+@query(f"""WITH {sources.PLACED}, made AS (SELECT file_path, lang, CASE WHEN lang = 4 THEN concat(CASE WHEN pub THEN 'F' ELSE 'f' END, name) WHEN lang = 2 AND NOT pub THEN concat('_', name) ELSE name END AS name,
+  num, line, line + CASE WHEN lang = 2 THEN 5 ELSE 6 END AS body_end, CASE WHEN pub THEN 'public' WHEN lang = 2 THEN 'protected' WHEN lang >= 5 THEN 'private' ELSE 'default' END AS visibility FROM placed)
+SELECT file_path, name, CASE WHEN lang >= 5 THEN concat('K', CAST(num AS VARCHAR), '.', name) ELSE name END AS qualified_name, CASE WHEN lang >= 5 THEN 'method' ELSE 'function' END AS kind, line, body_end, visibility FROM made
+UNION ALL SELECT file_path, concat('K', CAST(num AS VARCHAR)), concat('K', CAST(num AS VARCHAR)), 'class', 1, max(line) + 8, 'public' FROM placed WHERE lang >= 5 GROUP BY file_path, num""")
+def scanned_symbols(fx: Fixtures) -> DataFrame:
+    return scanned(fx).symbols.select("file_path", "name", "qualified_name", "kind", "line", "body_end", "visibility")
+
+
+@query(f"""WITH {sources.PLACED} SELECT file_path, a AS callee_name, line + CASE WHEN lang = 6 THEN 1 ELSE 2 END AS line, CASE WHEN lang = 0 THEN 4 WHEN lang IN (1, 5) THEN 12 WHEN lang = 3 THEN 13 WHEN lang = 6 THEN 24 ELSE 8 END AS name_column FROM placed
+UNION ALL SELECT file_path, CASE WHEN lang IN (1, 6) THEN b ELSE concat('obj.', b) END, line + CASE WHEN lang = 6 THEN 1 WHEN lang IN (1, 3) THEN 3 ELSE 4 END, CASE WHEN lang = 0 THEN 8 WHEN lang = 1 THEN 18 WHEN lang = 3 THEN 17 WHEN lang = 5 THEN 16 WHEN lang = 6 THEN 30 + strlen(a) ELSE 12 END FROM placed
+UNION ALL SELECT DISTINCT file_path, 'require', 0, 19 FROM placed WHERE lang = 1""")
+def scanned_calls(fx: Fixtures) -> DataFrame:
+    return scanned(fx).calls.select("file_path", "callee_name", "line", "name_column")
+
+
+@query(f"""WITH {sources.PLACED} SELECT file_path, CASE WHEN lang = 1 THEN 'switch' WHEN lang = 3 THEN 'match' WHEN lang = 6 THEN 'ternary' ELSE 'if' END AS kind, line + 1 AS line,
+  line + CASE WHEN lang IN (1, 2, 3) THEN 4 WHEN lang = 6 THEN 1 ELSE 5 END AS end_line, CAST(2 AS BIGINT) AS branches, CASE WHEN lang IN (1, 3) THEN 'a' ELSE 'a > 1' END AS condition_text FROM placed""")
+def scanned_conditionals(fx: Fixtures) -> DataFrame:
+    return scanned(fx).conditionals.select("file_path", "kind", "line", "end_line", "branches", "condition_text")
+
+
+@query(f"""WITH {sources.PLACED}, f AS (SELECT DISTINCT file_path, lang, CAST(num AS VARCHAR) AS n FROM placed)
+SELECT file_path, CASE lang WHEN 2 THEN concat('m.f', n) WHEN 3 THEN concat('a::f', n) WHEN 4 THEN concat('a/f', n) WHEN 5 THEN concat('a.f', n, '.F1') WHEN 6 THEN concat('A.F', n) ELSE concat('./f', n) END AS source,
+  unnest(CASE lang WHEN 1 THEN ['f1', 'f2'] WHEN 3 THEN ['f1', 'f2 as g'] WHEN 4 THEN [concat('f', n)] WHEN 5 THEN ['F1'] WHEN 6 THEN [concat('F', n)] ELSE ['f1', 'g'] END) AS specifier FROM f""")
+def scanned_imports(fx: Fixtures) -> DataFrame:
+    return scanned(fx).single_imports().select("file_path", "source", "specifier")
+
+
+@query(f"""WITH {sources.PLACED} SELECT file_path, CASE WHEN lang = 4 THEN concat('F', name) ELSE name END AS name, CASE WHEN lang >= 5 THEN 'method' ELSE 'function' END AS kind FROM placed WHERE pub
+UNION ALL SELECT DISTINCT file_path, concat('K', CAST(num AS VARCHAR)), 'class' FROM placed WHERE lang >= 5""")
+def scanned_exports(fx: Fixtures) -> DataFrame:
+    return scanned(fx).exports.select("file_path", "name", "kind")
+
+
+# a file that is no text, one of no known language, and one whose last bracket is missing
+@query(f"""WITH {sources.PLACED}, f AS (SELECT DISTINCT file_path, lang, num FROM placed) SELECT file_path, CASE WHEN num % 3 = 0 THEN 'Not readable as UTF-8' ELSE 'Unsupported language: cobol' END AS message FROM f WHERE num % 3 < 2""")
+def scan_errors(fx: Fixtures) -> DataFrame:
+    n = F.regexp_extract("file_path", r"/f(\d+)\.ts$", 1).cast("int") % 3
+    files = sources.files(fx).withColumn("content", F.when(n != 0, F.col("content"))).withColumn("language_id", F.when(n == 1, "cobol").otherwise(F.col("language_id")))
+    return I.Index.build(files).errors.select("file_path", "message")
+
+
+# Readers: reports are written from the tables and read again.
+
+
+def folder(fx: Fixtures) -> str:
+    from uuid import uuid4
+
+    G.checkpointed(fx.spark.range(1))  # names the shared folder
+    return f"{fx.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}"
+
+
+@query("SELECT file_path, line, hits FROM fx_line_hits")
+def lcov_hits(fx: Fixtures) -> DataFrame:
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "hits"))), lambda x: F.concat(F.lit("DA:"), x["line"].cast("string"), F.lit(","), x["hits"].cast("string"))), "\n")
+    at = folder(fx)
+    fx.line_hits.groupBy("file_path").agg(rows.alias("r")).select(F.concat(F.lit("TN:\nSF:"), "file_path", F.lit("\n"), "r", F.lit("\nend_of_record"))).write.text(at)
+    return readers.coverage(fx.spark, at).select("file_path", "line", "hits")
+
+
+# a statement covers its line and the next; a line's hits are the most of any statement over it
+@query("SELECT file_path, line, max(hits) AS hits FROM (SELECT file_path, line, hits FROM fx_line_hits UNION ALL SELECT file_path, line + 1, hits FROM fx_line_hits) GROUP BY ALL")
+def istanbul_hits(fx: Fixtures) -> DataFrame:
+    each = fx.line_hits.withColumn("id", (F.row_number().over(Window.partitionBy("file_path").orderBy("line")) - 1).cast("string"))
+    spot = lambda c: F.struct(c.alias("line"), F.lit(0).cast("long").alias("column"))
+    both = each.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct(spot(F.col("line")).alias("start"), spot(F.col("line") + 1).alias("end"))))).alias("statementMap"), F.map_from_entries(F.collect_list(F.struct("id", "hits"))).alias("s"))
+    doc = both.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("file_path", F.struct("statementMap", "s"))))).alias("value"))  # one report
+    at = folder(fx)
+    doc.write.text(at)
+    return readers.coverage(fx.spark, at).select("file_path", "line", "hits")
+
+
+@query("SELECT file_path, line, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hits FROM fx_line_hits")
+def jacoco_hits(fx: Fixtures) -> DataFrame:
+    line = lambda x: F.format_string('<line nr="%d" mi="%d" ci="%d"/>', x["line"], F.lit(2) - x["hits"], x["hits"])
+    source = fx.line_hits.groupBy("file_path").agg(F.array_join(F.transform(F.collect_list(F.struct("line", "hits")), line), "").alias("l"))
+    package = source.groupBy(F.regexp_replace("file_path", "/[^/]*$", "").alias("p")).agg(F.array_join(F.collect_list(F.concat(F.lit('<sourcefile name="'), F.substring_index("file_path", "/", -1), F.lit('">'), "l", F.lit("</sourcefile>"))), "").alias("s"))
+    doc = package.agg(F.concat(F.lit('<?xml version="1.0"?><report name="r">'), F.array_join(F.collect_list(F.concat(F.lit('<package name="'), "p", F.lit('">'), "s", F.lit("</package>"))), ""), F.lit("</report>")).alias("value"))  # one report
+    at = folder(fx)
+    doc.write.text(at)
+    return readers.coverage(fx.spark, at).select("file_path", "line", "hits")
+
+
+# files with an odd number of lines lose them all, which leaves no line to report
+@query("SELECT file_path, start_line + 1 AS start_line, start_line + 40 AS end_line FROM fx_hunks WHERE start_line % 40 = 0")
+def diff_hunks(fx: Fixtures) -> DataFrame:
+    size = F.when(F.col("start_line") % 40 == 0, 40).otherwise(0)
+    body = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -1,3 +%d,%d @@ here\n+x\n-y", "file_path", "file_path", "file_path", "file_path", F.col("start_line") + 1, size)
+    rows = fx.hunks.select(F.col("file_path").alias("_file"), F.posexplode(F.split(body, "\n")).alias("pos", "value"))
+    return readers.diff_hunks(rows)
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, node_id, text, author FROM fx_annotations WHERE id % 3 > 0")
+def annotation_file(fx: Fixtures) -> DataFrame:
+    # an annotation without a text is no annotation
+    entry = F.struct(F.col("id").cast("string").alias("id"), F.col("node_id").alias("nodeId"), F.when(F.col("id") % 3 > 0, F.col("text")).alias("text"), "author", F.lit("t").alias("timestamp"))
+    doc = fx.annotations.agg(F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.collect_list(entry).alias("annotations"))).alias("value"))  # one file
+    at = folder(fx)
+    doc.write.text(at)
+    return readers.annotations(fx.spark, at).select("id", "node_id", "text", "author")
+
+
+# Names that mark entry points, imports above the folder, and known receivers.
+
+#: Symbols under names, signatures and places that the rules know.
+MARKED = """marked AS (SELECT node_id, CASE sym_id % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'useEffect' WHEN 2 THEN 'loginHandler' ELSE name END AS name, CASE WHEN sym_id % 9 = 3 THEN concat('UserService.', name) WHEN sym_id % 9 = 4 THEN concat('UserController.', name) ELSE name END AS qualified_name,
+  CASE WHEN sym_id % 9 = 0 AND sym_id % 2 = 0 THEN 'void main(String[] a)' WHEN sym_id % 9 = 5 THEN '@GetMapping get()' ELSE '' END AS signature, CASE WHEN sym_id % 9 = 6 THEN 'src/Routes/x.ts' ELSE file_path END AS file_path, visibility, sym_id % 9 AS k, sym_id FROM fx_symbols)"""
+
+
+@query(f"""WITH {MARKED} SELECT node_id, CASE WHEN k = 5 OR k = 0 AND sym_id % 2 = 0 THEN 0.9 WHEN k = 1 THEN 0.8 WHEN k IN (3, 4) AND visibility = 'public' THEN 0.7 WHEN k IN (2, 4) THEN 0.6 WHEN k = 6 THEN 0.5 ELSE 0.0 END AS boost,
+  CASE WHEN k = 5 THEN 'Spring annotation detected' WHEN k = 0 AND sym_id % 2 = 0 THEN 'Java main method' WHEN k = 1 THEN 'framework lifecycle method' WHEN k IN (3, 4) AND visibility = 'public' THEN 'public method on Controller/Handler/Service class' WHEN k IN (2, 4) THEN 'matches entry point naming pattern' WHEN k = 6 THEN 'located in route/controller/handler file' ELSE '' END AS reason FROM marked""")
+def entry_boosts(fx: Fixtures) -> DataFrame:
+    rows = fx.spark.sql(f"WITH {MARKED.replace('fx_symbols', '{fx_symbols}')} SELECT * FROM marked", fx_symbols=fx.symbols)
+    lift = T.boost(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("file_path"), F.col("visibility"))
+    return rows.select("node_id", lift.cast("double").alias("boost"), T.reason(F.lit(0.0), lift, F.col("name"), F.col("signature")).alias("reason"))
+
+
+ABOVE = """above AS (SELECT DISTINCT file_path, CASE p WHEN 0 THEN concat('../mod', CAST(m AS VARCHAR(20)), '/f', CAST(f AS VARCHAR(20))) WHEN 1 THEN concat('./../mod', CAST(m AS VARCHAR(20)), '/./f', CAST(f AS VARCHAR(20)), '.ts') WHEN 2 THEN concat('..', '/mod', CAST(m AS VARCHAR(20))) ELSE 'lodash' END AS source, p, m, f
+  FROM (SELECT file_path, sym_id % 4 AS p, sym_id * 5 % 7 AS m, sym_id * 3 % 53 AS f FROM fx_symbols) x)"""
+
+
+@query(f"""WITH {ABOVE}, files AS (SELECT DISTINCT file_path AS path FROM fx_symbols UNION SELECT DISTINCT regexp_replace(file_path, '/[^/]*$', '/index.tsx') FROM fx_symbols)
+SELECT a.file_path, a.source, max(path) AS resolved_path FROM above a LEFT JOIN files ON path = CASE WHEN p IN (0, 1) THEN concat('src/mod', CAST(m AS VARCHAR(20)), '/f', CAST(f AS VARCHAR(20)), '.ts') WHEN p = 2 THEN concat('src/mod', CAST(m AS VARCHAR(20)), '/index.tsx') END GROUP BY ALL""")
+def import_paths_above(fx: Fixtures) -> DataFrame:
+    asked = fx.spark.sql(f"WITH {ABOVE.replace('fx_symbols', '{fx_symbols}')} SELECT DISTINCT file_path, source FROM above", fx_symbols=fx.symbols)
+    files = fx.symbols.select("file_path").unionAll(fx.symbols.select(F.regexp_replace("file_path", "/[^/]*$", "/index.tsx"))).distinct()
+    return I.resolve_imports(asked, files).select("file_path", "source", "resolved_path")
+
+
+#: Calls through receivers that are symbols, as given or capitalised, or the base name of a candidate's file.
+RECEIVED = """received AS (SELECT DISTINCT file_path, line, col_no, CASE line % 4 WHEN 0 THEN concat('fn3.', m) WHEN 1 THEN concat('cls.', m) WHEN 2 THEN concat('this.', m) ELSE concat('f9.', m) END AS callee_name
+  FROM (SELECT *, regexp_replace(callee_name, '^obj[.]', '') AS m FROM fx_call_sites) x)"""
+
+
+@query(f"""WITH {RECEIVED}, named AS (SELECT sym_id, CASE WHEN sym_id % 200 = 1 THEN 'Cls' ELSE name END AS name, file_path, node_id FROM fx_symbols), asked AS (SELECT DISTINCT file_path, callee_name, regexp_replace(callee_name, '^.*[.]', '') AS m, regexp_replace(callee_name, '[.].*$', '') AS recv FROM received),
+c AS (SELECT a.*, s.node_id, s.sym_id, s.file_path = a.file_path AS own, EXISTS (SELECT 1 FROM fx_imports i WHERE i.file_path = a.file_path AND contains(s.file_path, regexp_replace(i.source, '^[.][.]?/', ''))) AS via,
+  recv IN ('this') OR recv = 'fn3' AND EXISTS (SELECT 1 FROM named WHERE name = 'fn3') OR recv = 'cls' AND EXISTS (SELECT 1 FROM named WHERE name = 'Cls') OR recv = 'f9' AND EXISTS (SELECT 1 FROM named q WHERE q.name = a.m AND contains(q.file_path, '/f9.')) AS known FROM asked a JOIN named s ON s.name = a.m),
+best AS (SELECT file_path, callee_name, node_id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, callee_name ORDER BY CASE WHEN known THEN (CASE WHEN own THEN 0 ELSE 1 END) WHEN via THEN 0 WHEN own THEN 1 ELSE 2 END, sym_id) AS r FROM c WHERE known OR via OR own) x WHERE r = 1)
+SELECT r.file_path, r.line, r.col_no, r.callee_name, b.node_id AS target FROM received r LEFT JOIN best b USING (file_path, callee_name)""")
+def resolve_receivers(fx: Fixtures) -> DataFrame:
+    calls = fx.spark.sql(f"WITH {RECEIVED.replace('fx_call_sites', '{fx_call_sites}')} SELECT * FROM received", fx_call_sites=fx.call_sites)
+    named = symbols(fx).withColumn("name", F.when(F.col("sym_id") % 200 == 1, "Cls").otherwise(F.col("name")))
+    return C.resolve_calls(calls, named, fx.imports)
+
+
 # Sequential walks: no SQL twin.
 
 
