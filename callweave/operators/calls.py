@@ -51,47 +51,45 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     leading ``this.``; for one-dot text by the method's name: the same file or the first, if
     the receiver is known (a symbol or a candidate's file has its name, as given or
     capitalised), else the first candidate whose path contains a source the caller's file
-    imports, else the same file. Each lookup joins one row per name, so popular names do
-    not fan out; only receivers left unknown meet all candidates of their method.
-    """
-    any_file = _first(symbols, ["name"]).select(F.col("name").alias("_n"), F.col("target").alias("_any"))
-    in_file = _first(symbols, ["name", "file_path"]).select(F.col("name").alias("_m"), F.col("file_path").alias("_f"), F.col("target").alias("_own"))
-
-    def look(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        df = df.join(in_file, (df[name] == F.col("_m")) & (df["file_path"] == F.col("_f")), "left").drop("_m", "_f").withColumnRenamed("_own", own)
-        return df.join(any_file, df[name] == F.col("_n"), "left").drop("_n").withColumnRenamed("_any", other)
+    imports, else the same file.
 
-    text = F.col("callee_name")
+    What a call resolves to depends on its file and text alone. Each such pair is dealt out
+    under the names that its strategies look up, alone and with its file; one join with one
+    row for each name, for each name in a file and for each name in a file of a base name
+    answers all, and one grouping brings the answers together. Popular names do not fan out;
+    only receivers left unknown meet all candidates of their method.
+    """
+    file, text = F.col("file_path"), F.col("callee_name")
     bare = F.when(text.startswith("this."), F.substr(text, F.lit(6))).otherwise(text)
     dotted = bare.contains(".") & ~F.regexp_replace(bare, r"\.[^.]*$", "").contains(".")
-    df = calls.withColumn("_bare", bare).withColumn("_method", F.when(dotted, F.substring_index(bare, ".", -1))).withColumn("_receiver", F.when(dotted, F.substring_index(bare, ".", 1)))
-    df = look(df, "callee_name", "_o1", "_a1")
-    df = look(df, "_bare", "_o2", "_a2")
-    df = look(df, "_method", "_o3", "_a3")
+    asks = calls.select(file, text).distinct().withColumn("_bare", F.when(bare != text, bare))
+    asks = asks.withColumn("_method", F.when(dotted, F.substring_index(bare, ".", -1))).withColumn("_receiver", F.when(dotted, F.substring_index(bare, ".", 1)))
     big = F.concat(F.upper(F.substring("_receiver", 1, 1)), F.substr("_receiver", F.lit(2)))
-    df = df.withColumn("_big", big)
-    names = symbols.select(F.col("name").alias("_known")).distinct()
+    every, stemmed = F.lit(""), lambda c: F.concat(F.lit("\0"), c)
+    keys = [("o1", text, file), ("a1", text, every), ("o2", F.col("_bare"), file), ("a2", F.col("_bare"), every), ("o3", F.col("_method"), file), ("a3", F.col("_method"), every),
+            ("k0", F.col("_receiver"), every), ("k1", big, every), ("s0", F.col("_method"), stemmed(F.col("_receiver"))), ("s1", F.col("_method"), stemmed(big))]
+    dealt = asks.select("file_path", "callee_name", "_method", F.explode(F.array_compact(F.array(*[F.when(n.isNotNull(), F.struct(F.lit(slot).alias("slot"), n.alias("n"), f.alias("f"))) for slot, n, f in keys]))).alias("k"))
     stem = F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.[^.]*$", "")
-    files = symbols.select(F.col("name").alias("_fm"), stem.alias("_stem")).distinct()
-    for i, c in enumerate(("_receiver", "_big")):
-        df = df.join(names.withColumn(f"_k{i}", F.lit(True)), df[c] == F.col("_known"), "left").drop("_known")
-        df = df.join(files.withColumn(f"_s{i}", F.lit(True)), (df["_method"] == F.col("_fm")) & (df[c] == F.col("_stem")), "left").drop("_fm", "_stem")
-    known = F.coalesce("_k0", "_k1", "_s0", "_s1", F.lit(False))
-    direct = F.coalesce("_o1", "_a1", "_o2", "_a2", F.when(known, F.coalesce("_o3", "_a3")))
-    df = df.withColumn("_direct", direct)
+    names = symbols.select(F.col("name").alias("n"), F.explode(F.array(every, F.col("file_path"), stemmed(stem))).alias("f"), "node_id", "seq").groupBy("n", "f").agg(F.min_by("node_id", "seq").alias("t"))
+    met = dealt.select("file_path", "callee_name", "_method", "k.*").join(names, ["n", "f"])
+    slots = F.map_from_entries(F.collect_list(F.struct("slot", "t")))
+    answers = met.groupBy("file_path", "callee_name").agg(slots.alias("_m"))
+    got = lambda slot: F.try_element_at("_m", F.lit(slot))
+    known = F.coalesce(*map(got, ("k0", "k1", "s0", "s1"))).isNotNull()
+    direct = F.coalesce(*map(got, ("o1", "a1", "o2", "a2")), F.when(known, F.coalesce(got("o3"), got("a3"))))
+    answers = answers.select("file_path", "callee_name", direct.alias("_direct"), got("o3").alias("_own"), got("a3").isNotNull().alias("_named"))
     if imports is None:
-        via = None
-    else:
-        sources = imports.select(F.col("file_path").alias("_if"), F.regexp_replace("source", r"^\.\.?/", "").alias("_src"), F.col("source").alias("_raw")).distinct()
-        asked = df.where("_direct IS NULL AND _method IS NOT NULL").select("file_path", "_method").distinct()
-        candidates = symbols.select(F.col("name").alias("_cn"), F.col("file_path").alias("_cf"), "node_id", "seq")
-        hit = asked.join(candidates, F.col("_method") == F.col("_cn")).join(sources, (F.col("file_path") == F.col("_if")) & (F.col("_cf").contains(F.col("_src")) | F.col("_cf").contains(F.col("_raw"))))
-        via = hit.groupBy(F.col("file_path").alias("_vf"), F.col("_method").alias("_vm")).agg(F.min_by("node_id", "seq").alias("_via"))
-    if via is None:
-        df = df.withColumn("_via", F.lit(None).cast("string"))
+        found = answers.select("file_path", "callee_name", F.coalesce("_direct", "_own").alias("target"))
     else:
-        df = df.join(via, (df["file_path"] == F.col("_vf")) & (df["_method"] == F.col("_vm")), "left").drop("_vf", "_vm")
-    return df.withColumn("target", F.coalesce("_direct", "_via", "_o3")).select(*calls.columns, "target")
+        sources = imports.groupBy(F.col("file_path").alias("_if")).agg(F.collect_set("source").alias("_sources"))
+        left = answers.where("_direct IS NULL AND _named").withColumn("_method", F.substring_index("callee_name", ".", -1))
+        candidates = symbols.groupBy(F.col("name").alias("_method"), F.col("file_path").alias("_cf")).agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq"))
+        # a file's sources come as one array, so they don't multiply the candidates
+        hit = left.join(sources, F.col("file_path") == F.col("_if")).join(candidates, "_method")
+        hit = hit.where(F.exists("_sources", lambda x: F.col("_cf").contains(F.regexp_replace(x, r"^\.\.?/", "")) | F.col("_cf").contains(x)))
+        via = hit.groupBy("file_path", "callee_name").agg(F.min_by("node_id", "seq").alias("_via"))
+        found = answers.join(via, ["file_path", "callee_name"], "left").select("file_path", "callee_name", F.coalesce("_direct", "_via", "_own").alias("target"))
+    return calls.join(found, ["file_path", "callee_name"], "left").select(*calls.columns, "target")
 
 
 def resolve_native(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -153,9 +151,11 @@ def dispatch(targets: DataFrame, symbols: DataFrame) -> DataFrame:
 def route(calls: DataFrame, conditionals: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls in bodies with ``route_line``: the first conditional of the body, in source order, with over one branch around the call (null: none)."""
     keys = [*calls.columns, "sym_node_id"]
-    inside = in_body(calls, symbols).select(*keys)
-    held = in_body(conditionals.where("branches > 1"), symbols).select(F.col("sym_node_id").alias("_owner"), F.col("file_path").alias("_cf"), F.col("line").alias("route_line"), F.col("end_line").alias("_ce"), F.col("seq").alias("_cs"))
-    over = inside.join(held, (F.col("sym_node_id") == F.col("_owner")) & F.col("line").between(F.col("route_line"), F.col("_ce")), "left")
+    inside = in_body(calls, symbols).select(*keys).withColumn("_bin", F.floor(F.col("line") / BIN))
+    held = in_body(conditionals.where("branches > 1"), symbols).select(F.col("sym_node_id").alias("_owner"), F.col("line").alias("route_line"), F.col("end_line").alias("_ce"), F.col("seq").alias("_cs"))
+    # conditionals are dealt out over the bins of lines they cover, so a long body is no single key
+    held = _binned(held, "route_line", "_ce").withColumnRenamed("_bin", "_cbin")
+    over = inside.join(held, (F.col("sym_node_id") == F.col("_owner")) & (F.col("_bin") == F.col("_cbin")) & F.col("line").between(F.col("route_line"), F.col("_ce")), "left")
     return over.groupBy(*keys).agg(F.min_by("route_line", "_cs").alias("route_line"))
 
 

@@ -504,11 +504,11 @@ def rank_entries(s: DataFrame, description: str, most: int = 5, least: float = 0
     import re
 
     words = [w for w in (re.sub("[^a-zA-Z0-9]", "", x).lower() for x in description.split()) if w and w not in T.STOP_WORDS]
-    near = T.similarity(words, F.col("name"), F.col("qualified_name")) if words else F.lit(0.0)
+    near = T.similarity(words, F.col("name"), F.col("qualified_name"), F.col("_n"), F.col("_q")) if words else F.lit(0.0)
     lift = T.boost(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("file_path"), F.col("visibility"))
-    scored = s.withColumn("_near", near).withColumn("_lift", lift).withColumn("score", 0.6 * F.col("_near") + 0.4 * F.col("_lift"))
+    scored = s.withColumns({"_n": T.bigrams(F.col("name")), "_q": T.bigrams(F.col("qualified_name"))}).withColumn("_near", near).withColumn("_lift", lift).withColumn("score", 0.6 * F.col("_near") + 0.4 * F.col("_lift"))
     scored = scored.withColumn("reason", T.reason(F.col("_near"), F.col("_lift"), F.col("name"), F.col("signature")))
-    return scored.where(F.col("score") > least).orderBy(F.round("score", 9).desc(), "seq").limit(most).drop("_near", "_lift")
+    return scored.where(F.col("score") > least).orderBy(F.round("score", 9).desc(), "seq").limit(most).drop("_near", "_lift", "_n", "_q")
 
 
 @query("""SELECT node_id, CASE WHEN contains(lower(name), 'fn1') THEN 'name' WHEN contains(lower(qualified_name), 'cls1') THEN 'qualifiedName' WHEN contains(lower(file_path), 'mod3') THEN 'filePath' END AS field FROM
