@@ -21,7 +21,7 @@ from .shared import SPACE, WORD, by_value, cut, maybe_broadcast, without, writte
 
 BUCKETS, HASH_BITS = 1 << 18, 47
 #: A prefix word of so many lines is hot; its lines first meet the earliest line of each of a few hash classes.
-HOT, PARTNERS = 64, 4
+HOT, PARTNERS = 256, 4
 #: Without it Spark's analyzer takes no scalar subquery inside a lambda function.
 IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 
@@ -51,28 +51,26 @@ def prefix(n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, without_: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_hash, line, own): the lines of ``docs`` that hold a word, without those that ``without_`` (doc_id, text_hash, gone) names."""
+    """(begin, text_hash, place, own): the lines of ``docs`` that hold a word, without those that ``without_`` (begin, text_hash, gone) names."""
     if without_ is None:
-        each = docs.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line", "own"))
+        each = docs.select("begin", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line", "own"))
     else:
         # a lambda would split the text again for each line, so the parts are a column first
-        docs = _named(docs, without_, "left").select("doc_id", "text_hash", "gone", F.split("text", "\n").alias("parts"))
+        docs = _named(docs, without_, "left").select("begin", "text_hash", "gone", F.split("text", "\n").alias("parts"))
         some = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
         whole = F.when(F.col("gone").isNull(), F.transform("parts", lambda x, i: F.struct(i.alias("line"), x.alias("own")))).otherwise(F.transform(some, lambda i: F.struct(i.alias("line"), F.get("parts", i).alias("own"))))
-        each = docs.select("doc_id", "text_hash", F.explode_outer(whole).alias("x")).select("doc_id", "text_hash", "x.line", "x.own")
-    return each.where(F.col("own").rlike(WORD))
+        each = docs.select("begin", "text_hash", F.explode_outer(whole).alias("x")).select("begin", "text_hash", "x.line", "x.own")
+    return each.where(F.col("own").rlike(WORD)).select("begin", "text_hash", (F.col("begin") + F.col("line")).alias("place"), "own")
 
 
 def _named(docs: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
-    """``docs`` with the array that ``numbers`` (doc_id, text_hash, and an array) has for them."""
-    numbers = numbers.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
-    return docs.join(maybe_broadcast(numbers), same, how).drop("_d", "_h")
+    """``docs`` with the array that ``numbers`` (begin, text_hash, and an array) has for them."""
+    return docs.join(maybe_broadcast(numbers), ["begin", "text_hash"], how)
 
 
 def by_text(lines: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, gone): the numbers of ``lines``, no longer than the text."""
-    return lines.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    """(begin, text_hash, gone): the numbers within their texts of ``lines`` (begin, text_hash, place)."""
+    return lines.groupBy("begin", "text_hash").agg(F.collect_set((F.col("place") - F.col("begin")).cast("int")).alias("gone"))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,42 +85,44 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("lines").cast("long").alias("lines"))
     unique = texts.where("n > 1").isEmpty()
     places = begins(texts, "doc_id", "lines", "begin")
+    every = docs
+    docs = docs.join(maybe_broadcast(places.withColumnRenamed("doc_id", "_d")), F.col("doc_id").eqNullSafe(F.col("_d"))).select("begin", "text_hash", "text")
 
     # equal lines first: only the earliest is compared with others
-    ids = lines_of(docs).select("doc_id", "text_hash", "line", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
-    least = ids.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(by_text(ids.join(least, ["s1", "s2"]).where(F.struct("doc_id", "line") > F.col("first"))))
+    ids = lines_of(docs).select("begin", "text_hash", "place", F.xxhash64("own").alias("s1"), F.xxhash64(F.lit("second"), "own").alias("s2"))
+    least = ids.groupBy("s1", "s2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(by_text(ids.join(least, ["s1", "s2"]).where("place > first")))
     single = lines_of(docs, copies)
 
-    table = rarity(docs, "text").scalar()
+    table = rarity(every, "text").scalar()
     mask = F.lit((1 << HASH_BITS) - 1)
     before = spark.conf.get(IN_LAMBDA, "false")
     spark.conf.set(IN_LAMBDA, "true")
     try:
         hashes = F.transform(words(F.col("own")), lambda w: F.xxhash64(w).bitwiseAND(mask))
         ranked = F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h))
-        sets = single.select("doc_id", "text_hash", "line", F.sort_array(F.array_distinct(ranked)).alias("t"))
+        sets = single.select("begin", "text_hash", "place", F.sort_array(F.array_distinct(ranked)).alias("t"))
     finally:
         spark.conf.set(IN_LAMBDA, before)
     n = F.size("t")
     rarest = F.transform(F.slice("t", F.lit(1), prefix(n).cast("int")), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # once written, the numbers stay what they are
-    bare = written(sets.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_hash", "line", n.alias("n"), _bits("t", 0).alias("sig0"), _bits("t", 1).alias("sig1"), rarest.alias("r")))
-    bare = bare.join(maybe_broadcast(places.withColumnRenamed("doc_id", "_d")), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").withColumn("place", F.col("begin") + F.col("line"))
-    if unique:  # the place will do as the number
-        bare = bare.withColumn("id", F.col("place"))
+    # once written, the numbers stay what they are; of unique ids the place will do as the number
+    number = F.col("place") if unique else F.monotonically_increasing_id()
+    bare = written(sets.select(number.alias("id"), "begin", "text_hash", "place", n.alias("n"), _bits("t", 0).alias("sig0"), _bits("t", 1).alias("sig1"), rarest.alias("r")))
     rows = bare.select("id", *([] if unique else ["place"]), "n", "sig0", "sig1", "r")
     place = "id" if unique else "place"
 
     # One earlier partner is enough. Where many lines are alike all would pair up, so the lines of a hot word first
     # meet a few early ones; what that settles looks for no earlier line any more.
-    each = rows.withColumn("w", F.explode_outer("r")).drop("r")
+    each = rows.select("*", F.posexplode_outer("r").alias("p", "w")).drop("r")
     hot = cut(each.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("w"))
     sure = None
     if not hot.isEmpty():
         each = each.join(maybe_broadcast(hot), "w")
-        first = each.groupBy("w", F.pmod(F.xxhash64("id"), F.lit(PARTNERS)).alias("h")).agg(F.min(F.struct(*[c for c in dict.fromkeys((place, "id", "n", "sig0", "sig1"))])).alias("v")).select("w", "v.*")
-        met = each.alias("x").join(first.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col(f"y.{place}") < F.col(f"x.{place}")) & may(F.col("x.n"), F.col("y.n")))
+        first = each.groupBy("w", F.pmod(F.xxhash64("id"), F.lit(PARTNERS)).alias("h")).agg(F.min(F.struct(*dict.fromkeys((place, "id", "n", "p", "sig0", "sig1")))).alias("v")).select("w", "v.*")
+        n, m = F.col("x.n"), F.col("y.n")
+        ahead = (F.col(f"y.{place}") < F.col(f"x.{place}")) & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= overlap(n, m))
+        met = each.alias("x").join(first.alias("y"), (F.col("x.w") == F.col("y.w")) & ahead & may(n, m))
         best = met.groupBy("x.id").agg(F.min_by("y.id", lost("x", "y") + lost("y", "x")).alias("id_"))
         sure = cut(_verified(cut(best), bare, docs))
         rows = rows.join(maybe_broadcast(cut(sure.select("id").distinct()).withColumn("s", F.lit(1))), "id", "left")
@@ -142,8 +142,10 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     pairs = cut(longer.join(shorter, near).select("x.id", F.col("y.id").alias("id_")).distinct())
 
     found = _verified(pairs, bare, docs)
-    found = (found if sure is None else sure.unionAll(found)).select("doc_id", "text_hash", "line")
-    return by_text(found.unionAll(copies.select("doc_id", "text_hash", F.explode("gone").alias("line"))))
+    found = (found if sure is None else sure.unionAll(found)).select("begin", "text_hash", "place")
+    equal = copies.select("begin", "text_hash", F.explode("gone").alias("line")).select("begin", "text_hash", (F.col("begin") + F.col("line")).alias("place"))
+    gone = by_text(found.unionAll(equal))
+    return gone.join(maybe_broadcast(places), "begin").select("doc_id", "text_hash", "gone")
 
 
 def begins(rows: DataFrame, key: str, size: str, out: str) -> DataFrame:
@@ -174,19 +176,18 @@ def may(n: Column, m: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, bare: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, doc_id, text_hash, line) of the later lines of the pairs (id, id_) whose word sets are alike; a line may come several times."""
+    """(id, begin, text_hash, place) of the later lines of the pairs (id, id_) whose word sets are alike; a line may come several times."""
     asked = pairs.select("id").unionAll(pairs.select("id_")).distinct()
-    asked = cut(bare.select("id", "doc_id", "text_hash", "line", "n").join(asked, "id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "line", "n")).alias("at")))
-    one = F.when(F.size("parts") > 0, F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["line"].alias("line"), a["n"].alias("n"), F.get("parts", a["line"]).alias("own"))))
-    texts = _named(docs, asked, "inner").select("doc_id", "text_hash", "at", F.split("text", "\n").alias("parts"))
-    lines = written(texts.select("doc_id", "text_hash", F.explode_outer(one).alias("x")).select("x.id", "doc_id", "text_hash", "x.line", "x.n", "x.own"))
+    asked = cut(bare.select("id", "begin", "text_hash", "place", "n").join(asked, "id").groupBy("begin", "text_hash").agg(F.collect_list(F.struct("id", "place", "n")).alias("at")))
+    texts = _named(docs, asked, "inner").select("begin", "text_hash", "at", F.split("text", "\n").alias("parts"))
+    one = F.when(F.size("parts") > 0, F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["place"].alias("place"), a["n"].alias("n"), F.get("parts", (a["place"] - F.col("begin")).cast("int")).alias("own"))))
+    lines = written(texts.select("begin", "text_hash", F.explode_outer(one).alias("x")).select("x.id", "begin", "text_hash", "x.place", "x.n", "x.own"))
     x, y = (lines.select([F.col(c).alias(f"{s}{c}") for c in lines.columns]) for s in "xy")
     both = pairs.join(x, F.col("id") == F.col("xid")).join(y, F.col("id_") == F.col("yid"))
     common = F.size(F.array_remove(F.array_intersect(F.split("xown", SPACE), F.split("yown", SPACE)), ""))
-    alike = both.where(9 * common >= 4 * (F.col("xn") + F.col("yn")))
-    place = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in ("id", "doc_id", "text_hash", "line")])
-    at = lambda s: F.struct(f"{s}doc_id", f"{s}line")
-    return alike.where(at("x") != at("y")).select(F.when(at("x") > at("y"), place("x")).otherwise(place("y")).alias("v")).select("v.*")
+    alike = both.where("xplace <> yplace").where(9 * common >= 4 * (F.col("xn") + F.col("yn")))
+    line = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in ("id", "begin", "text_hash", "place")])
+    return alike.select(F.when(F.col("xplace") > F.col("yplace"), line("x")).otherwise(line("y")).alias("v")).select("v.*")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
