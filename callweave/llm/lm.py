@@ -37,7 +37,7 @@ BUCKETS = 1 << 20
 FAN, WIDTH, REACH = 16, 16, 2
 VOCABULARY = FAN**3
 OTHER, PAD = VOCABULARY - 1, VOCABULARY
-ROUNDS, BATCH, RATE = 2, 8192, 1.0
+ROUNDS, BATCH, RATE = 2, 8192, 2.0
 #: Tokens of a training share, and how many models one task adds up.
 SHARE, WAYS = 4_000_000, 16
 SIDES = np.array([d for d in range(-REACH, REACH + 1) if d])
@@ -115,7 +115,9 @@ def _logits(p: dict, level: int, h: np.ndarray, own: np.ndarray):
     for k, a, b in nodes:
         np.matmul(h[a:b], p[f"w{level}"][k], out=z[a:b])
     z += p[f"b{level}"].take(node, 0)
-    z -= z.max(1, keepdims=True)
+    # hidden units lie within -1 and 1, so the weights bound every logit
+    if np.abs(p[f"w{level}"]).sum(1).max() + np.abs(p[f"b{level}"]).max() > 60:
+        z -= z.max(1, keepdims=True)
     return nodes, way, z
 
 
