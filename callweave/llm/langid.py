@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_value, without
+from .shared import by_value, maybe_broadcast, without
 
 N = 4
 PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -106,10 +106,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", by: Column | No
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters([], np.zeros((1 << bits, 1), np.uint8), bits, np.zeros(0))
-    rate = F.lit(0.0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("lang") == name, min(1.0, per_lang / n)).otherwise(rate)
-    sample = known.where(F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 30)) < rate * float(1 << 30)).select("lang", "text")
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, per_lang / n)) for name, n in sizes.items()], "lang string, rate double")
+    drawn = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 30)) < F.col("rate") * float(1 << 30)
+    sample = known.join(maybe_broadcast(rates), "lang").where(drawn).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(_over("lang"))
     rated = counts.withColumn("rate", F.col("n") / total).withColumn("most", F.max("rate").over(_over("gram")))
@@ -169,7 +168,9 @@ def decide(model: LanguageFilters, texts: list[str | None]) -> tuple[list[str],
 def predict(docs: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; a column of that name in ``docs`` is replaced.
 
-    Null text or no letter: ``und``, 0. Letters but no known n-gram: the first language, 0.
+    Null text or no letter: ``und``, 0. Letters but no known n-gram: the first language, 0;
+    ties go to the first language by name. Repeated rows are judged alike, a very long text as
+    a whole; an empty table gives no rows.
     """
     docs = without(docs, ["lang_pred", "lang_score"])
     at = docs.columns.index(text)
