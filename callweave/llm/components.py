@@ -13,7 +13,10 @@ from .shared import by_value, cut
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, component) for every node that an edge touches; a component is named by its smallest node."""
+    """(node, component) for every node that an edge touches; a component is named by its smallest node.
+
+    Self loops and edges with a null end touch nothing; repeated edges count once; no edges give no rows.
+    """
     e = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -28,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or "file:///tmp/checkpoints/callweave"
+    """The folder that driver and executors share. Where the session names none: beside the warehouse, or on one machine its temporary folder."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return "file:///tmp/checkpoints/callweave"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,11 +59,23 @@ def written(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/callweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    LEFT.append(path)
     del df
     released(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+#: What :func:`written` has written in this process.
+LEFT: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process. For the end of a job: results that have not been stored yet still read them."""
+    while LEFT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(LEFT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bytes_of(df: DataFrame) -> int:
     """About how many bytes the rows of ``df`` take in a hash table, strings and arrays counted by their lengths."""
     size = F.lit(32)

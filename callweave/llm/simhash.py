@@ -107,7 +107,11 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, f0, f1): fingerprints as signed longs; f1 is 0 for one word. Null or blank text: zero."""
+    """(doc_id, f0, f1): fingerprints as signed longs; f1 is 0 for one word.
+
+    Null or blank text: zero. Null ids and repeated rows are kept, equal texts alike; a very
+    long text is read as a whole; further columns take no part; an empty table gives no rows.
+    """
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +291,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Pairs that share a band key are candidates, and every one is settled: first each text
     against its bucket's first one, then the pairs of a bucket that are still apart.
+
+    Null, blank and empty texts are one text without shingles; a text of fewer words than a
+    shingle is one shingle. Null ids are kept and name a component only if all its ids are
+    null; repeated rows stay, one component; further columns take no part; an empty table
+    gives no rows.
     """
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -58,6 +58,37 @@ def test_odd_rows(odd, name):
         assert n == odd.count()
 
 
+def test_odd_values(odd):
+    """What nulls, blanks, ties, repeats and clashing columns give, by operator."""
+    # the rows of ids and texts: 1 "a b c" twice and "other words here", 2 null, null "a b c" and null, 3 "", 4 blank, 5 and 6 the same long text, 7 two equal lines
+    by = lambda df, *c: Counter(tuple(r[x] for x in ("doc_id", *c)) for r in df.collect())
+    packed = by(packing.pieces(odd, queries.tokenizer_path()), "start", "doc_tokens")
+    assert packed[(2, 0, 1)] == packed[(3, 0, 1)] == packed[(None, 0, 1)] == 1 and packed[(1, 0, 4)] == 3 and all(type(k[1]) is int for k in packed)
+    sized = odd.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    rows = sharding.shard_groups(sized, "text", "_size", shards=4).collect()
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r["text"]].add(r["shard"])
+    assert all(len(v) == 1 for v in homes.values()) and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in {r["shard"] for r in rows})
+    prints = by(simhash.groups(simhash.fingerprints(odd)), "f0", "component_id")
+    assert prints[(2, 0, 2)] == prints[(3, 0, 2)] == prints[(4, 0, 2)] == prints[(None, 0, 2)] == 1 and {k[2]: n for k, n in prints.items() if k[0] in (5, 6)} == {5: 1}
+    near = by(simhash.near_duplicates(odd), "component_id")
+    assert near[(6, 5)] == 1 and near[(3, 2)] == near[(4, 2)] == 1 and near[(1, 1)] == 3 and near[(None, 1)] == 1
+    mixed = {(r["doc_id"], r["size"]): r for r in mixing.mix(odd).collect()}
+    assert mixed[(2, 0)]["taken"] == 0 and mixed[(3, 0)]["taken"] == 0 and all(r["taken"] <= 2 * r["size"] for r in mixed.values())
+    scored = {(r["doc_id"], r["text"]): (r["lm_tokens"], r["lm_log_prob"]) for r in lm.score(odd, lm.fit(odd)).collect()}
+    assert scored[(2, None)] == scored[(3, "")] == scored[(4, " \n\t ")] == (0, 0.0) and scored[(None, "a b c")] == scored[(1, "a b c")] and scored[(1, "a b c")][0] == 3
+    lines = by(linededup.dedup_lines(odd), "lines", "lines_removed", "text")
+    assert lines[(2, 0, 0, None)] == 1 and lines[(4, 2, 0, " \n\t ")] == 1 and lines[(7, 2, 1, "été déjà là")] == 1 and lines[(6, 1, 1, "")] == 1
+    assert lines[(None, 1, 0, "a b c")] == 1 and lines[(1, 1, 1, "")] == 2 and lines[(1, 1, 0, "other words here")] == 1  # null ids come first
+    cut_ = by(substring.dedup(odd), "n_words", "n_removed")
+    assert cut_[(6, 30_000, 30_000)] == 1 and cut_[(5, 30_000, 0)] == 1 and cut_[(2, 0, 0)] == 1 and cut_[(1, 3, 0)] == 3
+    known = by(langid.predict(odd, langid.fit(odd, least=1)), "lang_pred", "lang_score")
+    assert known[(2, "und", 0.0)] == known[(3, "und", 0.0)] == known[(4, "und", 0.0)] == 1 and {k[1] for k in known if k[0] == 7} == {"fr"} and len({k[1:] for k in known if k[0] in (5, 6)}) == 1
+    found = [(r["query_id"], r["doc_id"]) for r in search.search(odd, F.col("doc_id") % 2 == 0).collect()]
+    assert (6, 5) in found and not {q for q, _ in found} & {2, 4} and None not in {i for _, i in found}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(odd, name):
     assert OPERATORS[name](odd.limit(0)).collect() == []
