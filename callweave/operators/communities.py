@@ -88,15 +88,15 @@ def detect(nodes: DataFrame, pairs: DataFrame, method: str = "louvain", most: in
     Beyond ``most`` edges the distributed forms decide; their clusters are numbered by the
     place of their first node, as are those of the sequential ones for labels.
     """
-    places = begins(nodes.select("node_id", "seq"))
-    found = pairs.select("a", "b").limit(most + 1).toArrow()
+    places, pairs = begins(nodes.select("node_id", "seq")), checkpointed(pairs.select("a", "b"))
+    found = pairs.limit(most + 1).toArrow()
     if found.num_rows > most:
         label = move(nodes, pairs) if method == "louvain" else propagate(nodes, pairs)
         first = label.join(places, "node_id").groupBy("cluster").agg(F.min("place").alias("place"))
         return label.join(first, "cluster").select("node_id", F.col("place").alias("cluster"))
     edges = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
     # nodes without links never move, so only the others go to the driver
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node_id"))
     linked = {r["node_id"]: r["place"] for r in places.join(ends, "node_id", "left_semi").orderBy("place").collect()}
     ids = list(linked)
     if method == "louvain":
