@@ -81,9 +81,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     if imports is None:
         found = answers.select("file_path", "callee_name", F.coalesce("_direct", "_own").alias("target"))
     else:
-        # a file's sources come as one array, so they don't multiply the candidates
-        both = F.array(F.col("source"), F.regexp_replace("source", r"^\.\.?/", ""))
-        sources = imports.select(F.col("file_path").alias("_if"), F.explode(both).alias("source")).groupBy("_if").agg(F.collect_set("source").alias("_sources"))
+        # a file's sources come as one array, so they don't multiply the candidates; a path that contains a source
+        # contains it without its leading dots as well
+        sources = imports.groupBy(F.col("file_path").alias("_if")).agg(F.collect_set(F.regexp_replace("source", r"^\.\.?/", "")).alias("_sources"))
         left = answers.where("_direct IS NULL AND _named").withColumn("_method", F.substring_index("callee_name", ".", -1))
         candidates = symbols.groupBy(F.col("name").alias("_method"), F.col("file_path").alias("_cf")).agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq"))
         hit = left.join(sources, F.col("file_path") == F.col("_if")).join(candidates, "_method")
