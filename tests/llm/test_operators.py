@@ -131,6 +131,17 @@ def test_special_and_rare_characters_tokenize_alike(spark):
         assert ids(text) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_random_texts_tokenize_alike():
+    from tokenizers import Tokenizer
+
+    tok, ids = Tokenizer.from_file(queries.tokenizer_path()), packing.Ids(queries.tokenizer_path())
+    r = np.random.default_rng(6)
+    letters = [*"abcdeXYZ 0123456789'.,!?-_()\n\t", "é", "ß", "€", "–", "’", "\u00a0", "\u00ad", "中", "😀", "\x0b", "\u2028", "ǅ", "İ"]
+    for n in r.integers(0, 60, 3000):
+        text = "".join(letters[i] for i in np.minimum(r.geometric(0.06, int(n)), len(letters)) - 1)
+        assert ids(text) == tok.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_vector_packing_keeps_all_limits(seed):
     r = np.random.default_rng(seed)
@@ -674,6 +685,31 @@ def test_language_accuracy(spark, docs):
     assert none[0] == ["und", "und", "und", "en", "en"]
 
 
+def test_language_decisions_are_those_of_plain_sets(spark, docs):
+    def own(text):
+        b = (" " * 4 + (text or "").lower() + " " * 8).encode().translate(langid.CLEAN)
+        return Counter(b[i : i + 4] for i in range(len(b) - 3) if b[i + 1] != 32 and b[i + 2] != 32)
+
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r["text"] and r["lang"]]
+    counts = defaultdict(Counter)
+    for r in rows:
+        counts[r["lang"]].update(own(r["text"]))
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    most = defaultdict(float)
+    for k in rate:
+        for g, x in rate[k].items():
+            most[g] = max(most[g], x)
+    sets = {k: {g for g, n in c.items() if n >= 3 and rate[k][g] >= 0.2 * most[g]} for k, c in counts.items()}
+    model = langid.fit(docs)
+    names, scores = langid.decide(model, [r["text"] for r in rows])
+    for r, name, score in zip(rows, names, scores):
+        c = own(r["text"])
+        share = {k: sum(n for g, n in c.items() if g in sets[k]) / max(1, sum(c.values())) for k in sets}
+        # the filters add what they contain by chance and take off its expectation
+        assert name == max(share, key=share.get) or max(share.values()) - share[name] < 0.02
+        assert abs(score - share[name]) < 0.02
+
+
 def test_more_than_64_languages(spark):
     rows = [(i * 100 + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 26)}z " * 5, f"l{i:02}") for i in range(70) for j in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
