@@ -111,18 +111,25 @@ def _nodes(own: np.ndarray, level: int) -> tuple[list[tuple[int, int, int]], np.
 
 def _logits(p: dict, level: int, h: np.ndarray, own: np.ndarray):
     nodes, node, way = _nodes(own, level)
-    z = np.empty((len(own), FAN), np.float32)
+    w = p[f"w{level}"]
+    z, h = np.empty((len(own), FAN), w.dtype), h.astype(w.dtype, copy=False)
     for k, a, b in nodes:
-        np.matmul(h[a:b], p[f"w{level}"][k], out=z[a:b])
+        np.matmul(h[a:b], w[k], out=z[a:b])
+    z = z.astype(np.float32, copy=False)
     z += p[f"b{level}"].take(node, 0)
     # hidden units lie within -1 and 1, so the weights bound every logit
-    if np.abs(p[f"w{level}"]).sum(1).max() + np.abs(p[f"b{level}"]).max() > 60:
+    if np.abs(w).sum(1).max() + np.abs(p[f"b{level}"]).max() > 60:
         z -= z.max(1, keepdims=True)
     return nodes, way, z
 
 
 def log_probabilities(p: dict, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of every token at ``at`` given its window."""
+    """Of every token at ``at`` given its window.
+
+    Products are taken in double precision and rounded: in single, a row's last bits depend
+    on how many rows are multiplied with it, so a text's score would on its neighbours.
+    """
+    p = p | {f"w{level}": p[f"w{level}"].astype(float) for level in range(3)}
     out = np.empty(len(at))
     for lo in range(0, len(at), 32768):
         part = at[lo : lo + 32768]
@@ -310,9 +317,12 @@ def score_encoded(words: DataFrame, model: Model) -> DataFrame:
                 values, ends = _arrays(batch.column(at))
                 tokens = model.token[values]
                 flat, where = padded(tokens, ends)
-                total = np.append(0.0, np.cumsum(log_probabilities(model.weights, flat, where) + model.share[values]))
+                each = log_probabilities(model.weights, flat, where) + model.share[values]
                 first = np.append(0, ends[:-1])
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array((ends - first).astype(np.int64)), pa.array(total[ends] - total[first])], schema.fieldNames())
+                total = np.zeros(len(ends))
+                some = ends > first  # a text's sum is its own, whatever texts come before it
+                total[some] = np.add.reduceat(each, first[some]) if some.any() else 0.0
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array((ends - first).astype(np.int64)), pa.array(total)], schema.fieldNames())
 
     return words.mapInArrow(run, schema)
 
