@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
+from . import circulant, langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
 from .shared import table
 
 HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
@@ -68,6 +68,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("doc_id", "held_out", F.col("lang_pred"), F.col("lang_score").alias("score"))
 
 
+def op13_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_neighbours": op9_neighbours,
     "op10_langid": op10_langid,
+    "op13_circulant": op13_circulant,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_linededup": linededup.SQL}
