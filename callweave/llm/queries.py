@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import circulant, langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
+from . import audit, circulant, hardneg, langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
 from .shared import table
 
 HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
@@ -68,6 +68,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("doc_id", "held_out", F.col("lang_pred"), F.col("lang_score").alias("score"))
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.of_tables(spark, sf_dir)
+
+
 def op13_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,7 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_neighbours": op9_neighbours,
     "op10_langid": op10_langid,
+    "op11_hardneg": op11_hardneg,
+    "op12_audit": op12_audit,
     "op13_circulant": op13_circulant,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_linededup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_linededup": linededup.SQL, "op11_hardneg": hardneg.SQL, "op12_audit": audit.SQL}
