@@ -77,10 +77,15 @@ def shard_quotas(aims: DataFrame, seats: int, shards: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, seed: str = SEED, shards: int = SHARDS) -> DataFrame:
-    """How many words of each document the mix takes, all shards together: (doc_id, size, source_size, target, taken).
+    """What each shard of the mix takes of each document: (doc_id, size, source_size, target, taken, shard_words).
 
-    A null text has size 0 and gives none; a null source is a source; null or repeated ids
-    and repeated rows are kept (rows that are equal may change places in the seeded order);
+    ``shard_words`` has the words that shards 0, 1, .. take, joined by commas; ``taken`` is
+    their sum. A shard takes the blocks of its own quota of each source, those that follow
+    the shard before in the source's seeded order of documents.
+
+    A null text has size 0 and gives none; very long texts are read as a whole; a null source
+    is a source; null or repeated ids and repeated rows are kept (rows that are equal may
+    change places in the seeded order); further columns, whatever their names, take no part;
     an empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -91,16 +96,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     buckets = cut(base.groupBy("src_null", "src", "_bucket").agg(F.sum("size").alias("_words")))
     aims = cut(targets(buckets.groupBy("src_null", "src").agg(F.sum("_words").alias("source_size")), weights, share, limit))
     seats = int((aims.agg(F.sum("target")).first()[0] or 0.0) / block + 0.5)
-    words = F.least(F.col("blocks") * block, F.col("source_size") * limit)
-    total = shard_quotas(aims, seats, shards).groupBy("src_null", "src").agg(F.sum("blocks").alias("blocks"))
-    plan = aims.join(total, ["src_null", "src"]).select("src_null", "src", "source_size", "target", F.coalesce(F.floor(words / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long").alias("_passes"), words.alias("_take")).withColumn("_rest", F.col("_take") - F.col("_passes") * F.col("source_size"))
+    ends = shard_quotas(aims, seats, shards).groupBy("src_null", "src").agg(F.sort_array(F.collect_list(F.struct("shard", (F.col("first_block") + F.col("blocks")).alias("end")))).alias("_e"))
+    # shard i takes the source's words from the i-th of these to the next, counted on over the passes
+    cuts = F.transform(F.concat(F.array(F.lit(0).cast("long")), F.col("_e.end")), lambda e: F.least(e * block, F.col("source_size") * limit))
+    plan = aims.join(ends, ["src_null", "src"]).select("src_null", "src", "source_size", "target", cuts.alias("_cuts"))
     earlier = Window.partitionBy("src_null", "src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = buckets.withColumn("_shift", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words").join(plan, ["src_null", "src"])
     own = Window.partitionBy("src_null", "src", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = base.withColumn("_end", F.sum("size").over(own)).join(shifts, ["src_null", "src", "_bucket"])
-    begin = F.col("_end") - F.col("size") + F.col("_shift")
-    part = F.least(F.greatest(F.col("_rest") - begin, F.lit(0)), F.col("size"))
-    return at.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_passes") + part).cast("long").alias("taken"))
+    at = at.withColumn("_end", F.col("_end") + F.col("_shift")).withColumn("_begin", F.col("_end") - F.col("size"))
+
+    def taken_by(i: Column) -> Column:
+        low, high = F.get("_cuts", i), F.get("_cuts", i + 1)
+        parts = [F.least(high, F.col("_end") + p * F.col("source_size")) - F.greatest(low, F.col("_begin") + p * F.col("source_size")) for p in range(limit)]
+        return sum((F.greatest(x, F.lit(0)) for x in parts), F.lit(0).cast("long")).cast("long")
+
+    at = at.withColumn("_taken", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), taken_by))
+    taken = F.aggregate("_taken", F.lit(0).cast("long"), lambda a, x: a + x)
+    return at.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("_taken").cast("array<string>"), ",").alias("shard_words"))
 
 
 SQL = rf"""
@@ -114,12 +127,15 @@ g AS (SELECT *, lvl * weight > cap AS is_full FROM f),
 t AS (SELECT src_null, src, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE weight * ((SELECT sum(source_size) * CAST({SHARE} AS DOUBLE) - coalesce(sum(cap) FILTER (is_full), 0) FROM g) / (SELECT CAST(sum(weight) FILTER (NOT is_full) AS DOUBLE) FROM g)) END AS target FROM g),
 n AS (SELECT CAST(floor(sum(target) / {BLOCK} + 0.5) AS BIGINT) AS seats FROM t),
 q AS (SELECT src_null, src, target / (2 * k + 1) AS quotient, k FROM t, n, range(0, seats + 1) r(k) WHERE target > 0 AND k <= target / {BLOCK} + 40),
-b AS (SELECT src_null, src, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, src_null, src, k) AS r FROM q), n WHERE r <= seats GROUP BY ALL),
-p AS (SELECT t.*, least(coalesce(blocks, 0) * {BLOCK}, source_size * {LIMIT}) AS take FROM t LEFT JOIN b USING (src_null, src)),
-c AS (SELECT d.*, sum(size) OVER (PARTITION BY src_null, src ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begins FROM d)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + least(greatest(take % source_size - begins, 0), size) END AS BIGINT) AS taken
-FROM c JOIN p USING (src_null, src)
+r AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, src_null, src, k) AS r FROM q),
+b AS (SELECT src_null, src, e, count(*) FILTER (r <= seats * e // {SHARDS}) AS blocks FROM r, n, range(0, {SHARDS + 1}) x(e) GROUP BY ALL),
+p AS (SELECT t.src_null, t.src, e - 1 AS shard, coalesce(least(lag(blocks) OVER (PARTITION BY t.src_null, t.src ORDER BY e) * {BLOCK}, source_size * {LIMIT}), 0) AS lo, coalesce(least(blocks * {BLOCK}, source_size * {LIMIT}), 0) AS hi
+      FROM t LEFT JOIN b USING (src_null, src)),
+c AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY src_null, src ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS ends, row_number() OVER () AS row FROM d JOIN t USING (src_null, src)),
+m AS (SELECT row, shard, CAST(sum(greatest(least(hi, ends + pass * source_size) - greatest(lo, ends - size + pass * source_size), 0)) AS BIGINT) AS words
+      FROM c JOIN p USING (src_null, src), range(0, {LIMIT}) x(pass) WHERE shard >= 0 GROUP BY ALL),
+a AS (SELECT row, CAST(sum(words) AS BIGINT) AS taken, string_agg(CAST(words AS VARCHAR), ',' ORDER BY shard) AS shard_words FROM m GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, coalesce(shard_words, '{",".join("0" * SHARDS)}') AS shard_words FROM c LEFT JOIN a USING (row)
 """
 
 

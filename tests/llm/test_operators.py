@@ -441,6 +441,26 @@ def test_mixing_takes(spark, docs):
     assert all(abs(took[s] - want[s]) <= 2 * mixing.BLOCK for s in want)
 
 
+def test_mixing_by_shard(docs):
+    """A shard takes its own quota of each source, the plan hangs on the number of shards, and what is taken in all doesn't."""
+    source, taken = {r["doc_id"]: r["source"] for r in docs.collect()}, {}
+    for shards in (3, 8):
+        by = defaultdict(int)
+        rows = mixing.mix(docs, shards=shards).collect()
+        for r in rows:
+            words = [int(x) for x in r["shard_words"].split(",")]
+            assert len(words) == shards and sum(words) == r["taken"]
+            for i, n in enumerate(words):
+                by[i, source[r["doc_id"]]] += n
+        sums = [sum(n for (i, _), n in by.items() if i == k) for k in range(shards)]
+        assert max(sums) - min(sums) <= 2 * mixing.BLOCK * len(set(source.values()))
+        whole = {s: sum(n for (_, x), n in by.items() if x == s) for s in set(source.values())}
+        # every shard has its share of every source, to a block or so
+        assert all(abs(by[i, s] - n / shards) <= 2 * mixing.BLOCK for s, n in whole.items() for i in range(shards))
+        taken[shards] = {(r["doc_id"], r["taken"]) for r in rows}
+    assert taken[3] == taken[8]
+
+
 def bm25_plainly(rows, asked, k=10):
     """rows: (id, text); the k best (-score, id) of each asked id."""
     rows = [(i, (t or "").encode().lower().split()) for i, t in rows]
