@@ -20,7 +20,7 @@ from .operators import graph as G
 from .operators import overlays as O
 from .plans import sources
 from .plans.fixtures import Fixtures, oracle
-from .sources import cursor, lazy, readers
+from .sources import cursor, history, lazy, readers
 from .sources import index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -806,6 +806,24 @@ def jacoco_hits(fx: Fixtures) -> DataFrame:
     return readers.coverage(fx.spark, at).select("file_path", "line", "hits")
 
 
+#: Commits that rename, add and change files under three names each, the newest with the smallest order.
+RENAMED = """renamed AS (SELECT -commit_id AS commit_order, commit_id, status, concat(base, CASE commit_id % 3 WHEN 0 THEN '' ELSE concat('.v', CAST(commit_id % 3 AS VARCHAR(20))) END) AS file_path,
+  CASE WHEN status = 'R' THEN concat(base, CASE (commit_id + 1) % 3 WHEN 0 THEN '' ELSE concat('.v', CAST((commit_id + 1) % 3 AS VARCHAR(20))) END) END AS old_path
+  FROM (SELECT commit_id, file_path AS base, CASE WHEN commit_id % 7 < 4 THEN 'R' WHEN commit_id % 11 = 2 THEN 'A' ELSE 'M' END AS status FROM fx_commits) x)"""
+
+
+# step by step from each row to the next newer event of the name
+@query(f"""WITH RECURSIVE {RENAMED},
+ev AS (SELECT path, ord, max(target) AS target FROM (SELECT coalesce(old_path, file_path) AS path, commit_order AS ord, CASE WHEN status = 'R' THEN file_path END AS target FROM renamed WHERE status IN ('A', 'R')) e GROUP BY path, ord),
+walk AS (SELECT DISTINCT commit_order AS c0, file_path AS p0, file_path AS path, commit_order AS ord FROM renamed
+  UNION ALL SELECT c0, p0, e.target, e.ord FROM walk w JOIN ev e ON e.path = w.path AND e.ord < w.ord AND e.target IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM ev n WHERE n.path = w.path AND n.ord < w.ord AND n.ord > e.ord)),
+ends AS (SELECT c0, p0, arg_min(path, ord) AS path FROM walk GROUP BY c0, p0)
+SELECT commit_id, file_path, status, path AS name_now FROM renamed JOIN ends ON c0 = commit_order AND p0 = file_path""")
+def renamed_histories(fx: Fixtures) -> DataFrame:
+    rows = fx.spark.sql(f"WITH {RENAMED.replace('fx_commits', '{fx_commits}')} SELECT * FROM renamed", fx_commits=fx.commits)
+    return history.current_names(rows).select("commit_id", "file_path", "status", "name_now")
+
+
 # files with an odd number of lines lose them all, which leaves no line to report
 @query("SELECT file_path, start_line + 1 AS start_line, start_line + 40 AS end_line FROM fx_hunks WHERE start_line % 40 = 0")
 def diff_hunks(fx: Fixtures) -> DataFrame:
@@ -832,7 +850,7 @@ MARKED = """marked AS (SELECT node_id, CASE sym_id % 9 WHEN 0 THEN 'main' WHEN 1
   CASE WHEN sym_id % 9 = 0 AND sym_id % 2 = 0 THEN 'void main(String[] a)' WHEN sym_id % 9 = 5 THEN '@GetMapping get()' ELSE '' END AS signature, CASE WHEN sym_id % 9 = 6 THEN 'src/Routes/x.ts' ELSE file_path END AS file_path, visibility, sym_id % 9 AS k, sym_id FROM fx_symbols)"""
 
 
-@query(f"""WITH {MARKED} SELECT node_id, CASE WHEN k = 5 OR k = 0 AND sym_id % 2 = 0 THEN 0.9 WHEN k = 1 THEN 0.8 WHEN k IN (3, 4) AND visibility = 'public' THEN 0.7 WHEN k IN (2, 4) THEN 0.6 WHEN k = 6 THEN 0.5 ELSE 0.0 END AS boost,
+@query(f"""WITH {MARKED} SELECT node_id, CAST(CASE WHEN k = 5 OR k = 0 AND sym_id % 2 = 0 THEN 0.9 WHEN k = 1 THEN 0.8 WHEN k IN (3, 4) AND visibility = 'public' THEN 0.7 WHEN k IN (2, 4) THEN 0.6 WHEN k = 6 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS boost,
   CASE WHEN k = 5 THEN 'Spring annotation detected' WHEN k = 0 AND sym_id % 2 = 0 THEN 'Java main method' WHEN k = 1 THEN 'framework lifecycle method' WHEN k IN (3, 4) AND visibility = 'public' THEN 'public method on Controller/Handler/Service class' WHEN k IN (2, 4) THEN 'matches entry point naming pattern' WHEN k = 6 THEN 'located in route/controller/handler file' ELSE '' END AS reason FROM marked""")
 def entry_boosts(fx: Fixtures) -> DataFrame:
     rows = fx.spark.sql(f"WITH {MARKED.replace('fx_symbols', '{fx_symbols}')} SELECT * FROM marked", fx_symbols=fx.symbols)

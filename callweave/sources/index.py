@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .. import __version__
 from . import scan as S
 
-cloudpickle.register_pickle_by_value(S)  # executors need no copy of the package
+for _module in (S, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)  # executors need no copy of the package
 
 #: More than any file has symbols, calls or conditionals.
 PLACES = 1 << 24

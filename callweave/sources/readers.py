@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import subprocess
-import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import history, nested
+
 ISTANBUL = "map<string,struct<statementMap:map<string,struct<start:struct<line:long,column:long>,end:struct<line:long,column:long>>>,s:map<string,long>>>"
 HITS = "file_path string, line long, hits long"
 
@@ -32,8 +32,8 @@ def lcov(spark: SparkSession, path: str) -> DataFrame:
 
 
 def istanbul(spark: SparkSession, path: str) -> DataFrame:
-    """A line's hits are the most of any statement that covers it."""
-    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", ISTANBUL)).alias("file_path", "f"))
+    """A line's hits are the most of any statement that covers it. A report's files are read by many tasks."""
+    doc = nested.json_entries(spark, path).select(F.explode(F.from_json("value", ISTANBUL)).alias("file_path", "f"))
     each = doc.select("file_path", F.explode("f.statementMap").alias("id", "at"), F.col("f.s").alias("s"))
     spread = each.select("file_path", F.explode(F.sequence("at.start.line", "at.end.line")).alias("line"), F.coalesce(F.try_element_at("s", "id"), F.lit(0)).alias("hits"))
     return spread.groupBy("file_path", "line").agg(F.max("hits").alias("hits")).withColumn("seq", F.lit(0).cast("long"))
@@ -41,21 +41,20 @@ def istanbul(spark: SparkSession, path: str) -> DataFrame:
 
 def _is_istanbul(spark: SparkSession, path: str) -> bool:
     first = F.element_at(F.map_values(F.from_json("value", ISTANBUL)), 1)
-    return bool((spark.read.text(path, wholetext=True).select(F.coalesce(first["statementMap"].isNotNull(), F.lit(False))).first() or [False])[0])
+    return bool((nested.json_entries(spark, path).orderBy("file", "entry").select(F.coalesce(first["statementMap"].isNotNull(), F.lit(False))).first() or [False])[0])
 
 
 def jacoco(spark: SparkSession, path: str) -> DataFrame:
-    """A line is hit if an instruction of it was covered; lines without instructions are left out."""
-    schema = "struct<package:array<struct<_name:string,sourcefile:array<struct<_name:string,line:array<struct<_nr:long,_mi:long,_ci:long>>>>>>>"
-    report = spark.read.text(path, wholetext=True).select(F.from_xml(F.regexp_replace("value", r"(?s)<!DOCTYPE.*?>", ""), schema).alias("r"))
-    files = report.select(F.explode("r.package").alias("p")).select(F.col("p._name").alias("pkg"), F.explode("p.sourcefile").alias("f"))
+    """A line is hit if an instruction of it was covered; lines without instructions are left out. A report's packages are read by many tasks."""
+    packages = nested.xml_elements(spark, path, "package", "_name:string,sourcefile:array<struct<_name:string,line:array<struct<_nr:long,_mi:long,_ci:long>>>>")
+    files = packages.select(F.col("_name").alias("pkg"), F.explode("sourcefile").alias("f"))
     each = files.select(F.concat_ws("/", F.nullif("pkg", F.lit("")), "f._name").alias("file_path"), F.explode("f.line").alias("l"))
     return each.where(F.col("l._mi") + F.col("l._ci") > 0).groupBy("file_path", F.col("l._nr").alias("line")).agg(F.max((F.col("l._ci") > 0).cast("long")).alias("hits")).withColumn("seq", F.lit(0).cast("long"))
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
     """The report at ``path`` in whichever format its beginning shows."""
-    head = "\n".join(r[0] for r in spark.read.text(path).select(F.substring("value", 1, 2000)).limit(50).collect()).lstrip()
+    head = nested.beginning(spark, path).lstrip()
     if head.startswith(("TN:", "SF:")):
         return lcov(spark, path)
     if "<report" in head:
@@ -79,42 +78,15 @@ def diff_text(spark: SparkSession, text: str) -> DataFrame:
     return diff_hunks(rows)
 
 
-def _git(root: str, *args: str, seconds: float | None = None) -> str:
-    """What git prints; nothing, with a warning, if it fails or takes longer than ``seconds``."""
-    try:
-        return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=seconds, check=True).stdout
-    except (OSError, subprocess.SubprocessError) as e:
-        warnings.warn(f"git {args[0]} gave nothing: {e}", stacklevel=3)
-        return ""
-
-
 def git_diff(spark: SparkSession, root: str) -> DataFrame:
     """The hunks that the working tree has beside HEAD; none if git fails or takes over ten seconds."""
-    return diff_text(spark, _git(root, "diff", "HEAD", seconds=10))
+    rows = history.diff_lines(spark, root)
+    return diff_hunks(spark.createDataFrame([], history.LINES) if rows is None else rows)
 
 
 def git_commits(spark: SparkSession, root: str, days: int | None = None) -> DataFrame:
-    """(commit_id, author_ts, file_path, status): one log for all files, each under the name it has now.
-
-    The log runs from the newest commit back, so a rename gives the older name's commits to
-    the newer one.
-    """
-    since = [f"--since={days}.days"] if days else []
-    found, commit, now = [], ("", 0), {}
-    for row in _git(root, "log", "--format=@%H %at", "--name-status", "--find-renames", *since).splitlines():
-        if row.startswith("@"):
-            h, _, t = row[1:].partition(" ")
-            commit = (h, int(t))
-        elif "\t" in row:
-            status, *paths = row.split("\t")
-            name = now.get(paths[-1], paths[-1])
-            if status[0] == "R":
-                now[paths[0]] = name
-            elif status[0] == "A":
-                now.pop(paths[-1], None)  # an older file of this name was another one
-            found.append((*commit, name, status[0]))
-    raw = spark.createDataFrame(found, "commit_id string, at long, file_path string, status string")
-    return raw.select("commit_id", F.timestamp_seconds("at").alias("author_ts"), "file_path", "status")
+    """(commit_id, author_ts, file_path, status): the whole history, each file under the name it has now."""
+    return history.commits(spark, root, days)
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

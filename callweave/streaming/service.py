@@ -7,6 +7,7 @@ a stream of changed files.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 from collections.abc import Callable, Iterable
@@ -17,10 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import exact
 from ..operators import overlays as O
+from ..operators.graph import own_folder
 from ..session import Project, rendered
 from ..sources.index import Index
 
 TYPES = ("analyze", "analyze_nl", "search_condition", "overlay", "file_changed", "annotate_add", "annotate_remove", "cancel")
+#: Rows of a part that an answer carries; larger parts are written by the executors.
+MOST_ROWS = 10_000
 
 
 def parsed(line: str) -> tuple[dict | None, dict | None]:
@@ -36,6 +40,11 @@ def parsed(line: str) -> tuple[dict | None, dict | None]:
     return request, None
 
 
+def tag(id_: str) -> str:
+    """The job tag of a request, whatever characters its id has."""
+    return "request-" + hashlib.sha256(id_.encode()).hexdigest()[:32]
+
+
 def error(id_: str, code: str, message: str) -> dict:
     return {"id": id_, "type": "error", "payload": {"code": code, "message": message}}
 
@@ -43,39 +52,76 @@ def error(id_: str, code: str, message: str) -> dict:
 class Service:
     """Answers requests about one project. Annotations live in ``annotations``."""
 
-    def __init__(self, project: Project, annotations: DataFrame | None = None, progress: Callable[[dict], None] = lambda _: None):
+    def __init__(self, project: Project, annotations: DataFrame | None = None, progress: Callable[[dict], None] = lambda _: None, results: str | None = None):
         self.project, self.annotations, self.progress = project, annotations, progress
-        self._cancelled: set[str] = set()
+        #: A shared folder for answers that are too large for a line.
+        self.results = results or f"{project.spark.conf.get('spark.checkpoint.dir', None) or own_folder(project.spark)}/callweave-results"
+        #: Of requests that are to stop the code that they are answered with.
+        self._stopped: dict[str, str] = {}
+        self._running: dict[str, threading.Event] = {}
+        self._notes = threading.Lock()
 
     def handle(self, request: dict) -> dict:
+        """Answer one request; several threads may call this at once."""
         id_, kind, payload = request["id"], request["type"], request.get("payload") or {}
         if kind not in TYPES:
             return error(id_, "UNKNOWN_TYPE", f"unknown request type: {kind}")
-        spark = self.project.spark
-        timer = threading.Timer(self.project.config.timeout_seconds, lambda: spark.interruptTag(f"request-{id_}"))
+        sc, over = self.project.spark.sparkContext, threading.Event()
+        self._running[id_] = over
+        timer = threading.Timer(self.project.config.timeout_seconds, lambda: self._stop(id_, "TIMEOUT"))
         timer.daemon = True
         timer.start()
-        spark.addTag(f"request-{id_}")
+        sc.addJobTag(tag(id_))
         try:
+            if id_ in self._stopped:
+                return self._was_stopped(id_)
             return getattr(self, f"_{kind}")(id_, payload)
-        except (KeyError, ValueError) as e:
-            return error(id_, "INVALID_REQUEST", str(e))
+        except Exception as e:
+            if id_ in self._stopped:
+                return self._was_stopped(id_)
+            if isinstance(e, KeyError | ValueError):
+                return error(id_, "INVALID_REQUEST", str(e))
+            return error(id_, "INTERNAL_ERROR", str(e)[:2000])
         finally:
+            over.set()
             timer.cancel()
-            spark.removeTag(f"request-{id_}")
+            sc.removeJobTag(tag(id_))
+            self._running.pop(id_, None)
+            self._stopped.pop(id_, None)
+
+    def _was_stopped(self, id_: str) -> dict:
+        code = self._stopped[id_]
+        return error(id_, code, "cancelled" if code == "CANCELLED" else f"not done after {self.project.config.timeout_seconds} seconds")
+
+    def _stop(self, id_: str, code: str) -> None:
+        """Stop a running request: its jobs end, those too that it starts until it notices."""
+        self._stopped.setdefault(id_, code)
+        over = self._running.get(id_)
+        if over is None:  # it stops as it starts
+            return
+
+        def end() -> None:
+            while not over.is_set():
+                self.project.spark.sparkContext.cancelJobsWithTag(tag(id_))
+                over.wait(0.2)
+
+        threading.Thread(target=end, daemon=True).start()
+
+    def cancel(self, id_: str) -> None:
+        self._stop(id_, "CANCELLED")
 
     def _at(self, id_: str, percent: int) -> bool:
-        """Report progress; whether the request was cancelled meanwhile."""
+        """Report progress; whether the request is to stop."""
         self.progress({"id": id_, "type": "progress", "payload": {"percent": percent}})
-        return id_ in self._cancelled
+        return id_ in self._stopped
 
     def _graph(self, id_: str, entry: str, payload: dict) -> dict:
         options = exact.Options(payload.get("maxDepth", 20), payload.get("maxNodes", exact.MOST_NODES), payload.get("includeConditionals", True))
         if self._at(id_, 50):
-            return error(id_, "CANCELLED", "cancelled")
+            return self._was_stopped(id_)
         g = self.project.graph(entry, payload.get("direction", "downstream"), options)
         if self._at(id_, 90):
-            return error(id_, "CANCELLED", "cancelled")
+            return self._was_stopped(id_)
         return {"id": id_, "type": "result", "payload": json.loads(rendered(g, "json", self.project.root))}
 
     def _analyze(self, id_: str, payload: dict) -> dict:
@@ -91,25 +137,35 @@ class Service:
             return {"id": id_, "type": "candidates", "payload": [r.asDict() for r in found]}
         return self._graph(id_, found[0]["node_id"], payload)
 
-    @staticmethod
-    def _rows(parts: dict[str, DataFrame], limit: int | None) -> dict:
-        """The rows of each part: all, or of a request that sets a limit so many, with ``truncated`` naming the parts that have more."""
-        out: dict = {}
+    def _rows(self, id_: str, parts: dict[str, DataFrame], payload: dict) -> dict:
+        """The rows of each part.
+
+        With a ``limit`` so many, and ``truncated`` names the parts that have more. Else all:
+        a part of more than ``MOST_ROWS``, or any if a folder ``output`` is named, is written
+        by the executors as lines of JSON, and the answer has its path and its count.
+        """
+        out, more, limit = {}, [], payload.get("limit")
         for name, df in parts.items():
-            found = df.toJSON() if limit is None else df.limit(limit + 1).toJSON()
-            out[name] = [json.loads(r) for r in found.toLocalIterator()]
-        more = [k for k, v in out.items() if limit is not None and len(v) > limit]
-        return {k: v[:limit] for k, v in out.items()} | ({"truncated": more} if more else {})
+            most = MOST_ROWS if limit is None else limit
+            found = None if payload.get("output") else [json.loads(r) for r in df.limit(most + 1).toJSON().toLocalIterator()]
+            if found is None or limit is None and len(found) > most:
+                path = f"{(payload.get('output') or f'{self.results}/{tag(id_)}').rstrip('/')}/{name}"
+                df.write.mode("overwrite").json(path)
+                out[name] = {"path": path, "rows": self.project.spark.read.text(path).count()}
+                continue
+            more += [name] if len(found) > most else []
+            out[name] = found[:most]
+        return out | ({"truncated": more} if more else {})
 
     def _search_condition(self, id_: str, payload: dict) -> dict:
         parts = self.project.trace(payload["condition"], payload.get("maxDepth", 10))
-        return {"id": id_, "type": "result", "payload": self._rows(parts, payload.get("limit"))}
+        return {"id": id_, "type": "result", "payload": self._rows(id_, parts, payload)}
 
     def _overlay(self, id_: str, payload: dict) -> dict:
         entry = self.project.entry(payload["entryPoint"]) if payload.get("entryPoint") else None
         extra = {k: v for k, v in payload.items() if k in ("report", "diff", "variable", "source", "days", "method")}
         found = self.project.overlay(payload["overlay"], entry, **extra)
-        answer = self._rows(found if isinstance(found, dict) else {"rows": found}, payload.get("limit"))
+        answer = self._rows(id_, found if isinstance(found, dict) else {"rows": found}, payload)
         return {"id": id_, "type": "result", "payload": answer if isinstance(found, dict) or "truncated" in answer else answer["rows"]}
 
     def _file_changed(self, id_: str, payload: dict) -> dict:
@@ -117,17 +173,18 @@ class Service:
 
     def _annotate_add(self, id_: str, payload: dict) -> dict:
         new = self.project.spark.createDataFrame([(payload["id"], payload["nodeId"], payload["text"], payload.get("author", ""), payload.get("timestamp", ""))], "id string, node_id string, text string, author string, timestamp string")
-        self.annotations = new if self.annotations is None else O.upsert_annotations(self.annotations, new)
+        with self._notes:
+            self.annotations = new if self.annotations is None else O.upsert_annotations(self.annotations, new)
         return {"id": id_, "type": "result", "payload": {"added": payload["id"]}}
 
     def _annotate_remove(self, id_: str, payload: dict) -> dict:
-        if self.annotations is not None:
-            self.annotations = O.remove_annotations(self.annotations, self.project.spark.createDataFrame([(payload["id"],)], "id string"))
+        with self._notes:
+            if self.annotations is not None:
+                self.annotations = O.remove_annotations(self.annotations, self.project.spark.createDataFrame([(payload["id"],)], "id string"))
         return {"id": id_, "type": "result", "payload": {"removed": payload["id"]}}
 
     def _cancel(self, id_: str, payload: dict) -> dict:
-        self._cancelled.add(payload["requestId"])
-        self.project.spark.interruptTag(f"request-{payload['requestId']}")
+        self.cancel(payload["requestId"])
         return {"id": id_, "type": "result", "payload": {"cancelled": payload["requestId"]}}
 
     def answer(self, lines: Iterable[str]) -> list[dict]:
