@@ -385,7 +385,8 @@ def test_components(spark):
 
 def twin(sql):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     q = con.execute(sql)
     return sorted(tuple(r) for r in q.fetchall()), [d[0] for d in q.description]
 
