@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..sources.store import Folder
 from .service import Service, error, parsed
 
 #: What is handed out: run a request, cancel one that may be running, or answer one that was cancelled before it came.
@@ -80,6 +81,7 @@ class Desk:
     def __init__(self, service: Service, folder: str, threads: int = 4, resume: bool = True):
         self.service, self.folder, self.resume = service, folder.rstrip("/"), resume
         self.spark = service.project.spark
+        self._files = Folder(self.spark, self.folder)
         self._pool = ThreadPoolExecutor(threads, thread_name_prefix="request")
         self._open: dict[str, Future] = {}
         self._latest: dict[str, str] = {}
@@ -87,23 +89,10 @@ class Desk:
 
     # answers
 
-    def _path(self, id_: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/responses/{hashlib.sha256(id_.encode()).hexdigest()}.json")
-
-    def _files(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def respond(self, id_: str, answer: dict) -> bool:
         """Put the answer in place, unless the request has one; a reader never sees half of it."""
-        fs, path = self._files(), self._path(id_)
-        if self._closed or fs.exists(path):
-            return False
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/writing/{path.getName()}.{threading.get_ident()}")
-        out = fs.create(part, True)
-        out.write(json.dumps({"key": id_, "answer": answer}).encode())
-        out.close()
-        fs.mkdirs(path.getParent())
-        return fs.rename(part, path)
+        name = f"responses/{hashlib.sha256(id_.encode()).hexdigest()}.json"
+        return not self._closed and self._files.put(name, json.dumps({"key": id_, "answer": answer}), replace=False)
 
     def answers(self) -> DataFrame:
         """(id, answer): every answer so far, as JSON text."""
@@ -124,7 +113,7 @@ class Desk:
 
     def start(self, seconds: float = 1) -> StreamingQuery:
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-        gone = self.spark.read.schema(ACTIONS).parquet(f"{self.folder}/log").where("action = 'cancel'").select("id").distinct() if self._logged() else None
+        gone = self.spark.read.schema(ACTIONS).parquet(f"{self.folder}/log").where("action = 'cancel'").select("id").distinct() if self._files.names("log") else None
         left = self.unanswered()
         if gone is not None:
             # cancelled, but stopped before that was said
@@ -142,9 +131,6 @@ class Desk:
         actions = events(lines).groupBy("id").transformWithStateInPandas(Once(), ACTIONS, "Update", "None")
         return actions.writeStream.outputMode("update").foreachBatch(self._batch).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime=f"{seconds} seconds").start()
 
-    def _logged(self) -> bool:
-        return self._files().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log"))
-
     def _batch(self, rows: DataFrame, n: int) -> None:
         """Log what came, then hand it out. A batch that is repeated is logged in its own place, and nothing is answered twice."""
         rows.write.mode("overwrite").parquet(f"{self.folder}/log/batch={n}")

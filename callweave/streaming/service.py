@@ -21,6 +21,7 @@ from ..operators import overlays as O
 from ..operators.graph import own_folder
 from ..session import Project, rendered
 from ..sources.index import Index
+from ..sources.store import Store
 
 TYPES = ("analyze", "analyze_nl", "search_condition", "overlay", "file_changed", "annotate_add", "annotate_remove", "cancel")
 #: Rows of a part that an answer carries; larger parts are written by the executors.
@@ -217,26 +218,20 @@ def serve(service: Service, requests: str, responses: str, checkpoint: str) -> S
 
 
 def follow(spark: SparkSession, changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of changed files (file_path, language_id, content, sha256) to the index saved at ``path``.
+    """Apply a stream of changed files (file_path, language_id, content, sha256, and if there is one a boolean ``deleted``) to the index at ``path``.
 
-    Each batch is written beside the old version and then named current, so a reader never
-    sees half an update and a repeated batch changes nothing.
+    Each batch is written as a run of its own beside what is there and then named in a new
+    manifest, so a reader never sees half an update and a repeated batch changes nothing.
     """
 
     def batch(rows: DataFrame, n: int) -> None:
-        new = Index.build(rows.dropDuplicates(["file_path"]))
-        old = current(spark, path)
-        (old.update(new) if old is not None else new).save(f"{path}/v{n}")
-        spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+        rows = rows.dropDuplicates(["file_path"])
+        gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in rows.columns else F.lit(False)
+        Store(spark, path).apply(n, Index.build(rows.where(~gone)), rows.where(gone))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> Index | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        n = spark.read.parquet(f"{path}/current").agg(F.max("n")).first()[0]
-    except AnalysisException:
-        return None
-    return Index.load(spark, f"{path}/v{n}")
+    """The index at ``path`` as the last change left it."""
+    return Store(spark, path).read()
