@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_value, cut, maybe_broadcast, written
+from .shared import WORD, by_value, cut, maybe_broadcast, slices, written
 from .simhash import shingles
 
 SEED = 42
@@ -67,19 +67,21 @@ class Circulant:
         return key
 
 
-def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+def _sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, digest, n, keys) of (doc_id, digest, text): the size of the shingle set and its band keys, none for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circulant = Circulant()
-        for batch in batches:
-            known: dict[bytes, tuple[int, np.ndarray]] = {}
+        circulant = Circulant(bands * rows)
+        known: dict[bytes, tuple[int, np.ndarray]] = {}
+        for batch in slices(batches):
+            if len(known) > 4096:
+                known.clear()
             n, keys = [], []
             for digest, raw in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
                 if digest not in known:
                     h = np.unique(shingles(raw or b"", shingle))
-                    known[digest] = len(h), circulant.keys(h) if len(h) else np.zeros(0, np.uint64)
+                    known[digest] = len(h), circulant.keys(h, bands) if len(h) else np.zeros(0, np.uint64)
                 n.append(known[digest][0])
                 keys.append(known[digest][1])
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
@@ -95,7 +97,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int)
     found = texts.join(maybe_broadcast(asked), "digest").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [np.unique(shingles(raw or b"", shingle)).tobytes() for raw in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "own"])
 
@@ -107,7 +109,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` (u, v) with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             same = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -161,7 +163,7 @@ def _settled(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, blank_alike: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id that links reach, kept says that it is the document's own.
 
     A link is 100 * intersection >= percent * union of the sets of shingles of lower-cased
@@ -173,9 +175,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     part; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    if blank_alike:
+        body = F.when(body.rlike(WORD), body).otherwise("")
     texts = docs.select(F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
-    rows = written(_sketched(docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text")), shingle))
-    filled = rows.where("n > 0")
+    found = written(_sketched(docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text")), shingle, bands, rows))
+    filled = found if blank_alike else found.where("n > 0")
     least = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     sketch = filled.dropDuplicates(["digest"]).select("digest", "n", "keys")
     # numbers hold once they are written
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.select("digest", "node", "least", "copies").join(labels, "node", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     ends = named.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = written(named.join(ends, "component").select("digest", "component_id", F.lit(True).alias("grouped")))
-    out = rows.select("doc_id", "digest", "n").join(maybe_broadcast(moved), "digest", "left")
+    out = found.select("doc_id", "digest", "n").join(maybe_broadcast(moved), "digest", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_value, maybe_broadcast, without
+from .shared import by_value, maybe_broadcast, slices, without
 
 N = 4
 PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -99,6 +99,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", by: Column | No
 
     ``per_lang`` bounds the sample; a language contains an n-gram if it was seen ``least``
     times and at no less than ``share`` of the rate of the language that uses it most.
+    Empty texts have no n-gram; a very long text is read as a whole; repeated rows count as
+    often as they come; further columns take no part; an empty table teaches no language.
     """
     key = by if by is not None else F.xxhash64(text)
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text") -> Data
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = decide(model, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 

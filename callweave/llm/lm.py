@@ -305,6 +305,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: int =
 
 
 def score_encoded(words: DataFrame, model: Model) -> DataFrame:
+    """As :func:`score`, of rows that :func:`encoded` has made: without words 0 tokens and 0; further columns are kept, repeated rows scored alike."""
     words = without(words, ["lm_tokens", "lm_log_prob"])
     at = words.columns.index(WORDS)
     keep = [i for i in range(len(words.columns)) if i != at]
@@ -331,7 +332,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lm_tokens`` and ``lm_log_prob``, the sum of its tokens' conditional log-probabilities.
 
     Null and blank texts have no tokens and 0; equal texts have equal scores, whatever their
-    ids, null ones too. Columns of these names are replaced. An empty table gives no rows.
+    ids, null ones too, so repeated rows do. A very long text is scored as a whole. Columns of
+    these names are replaced, all others are kept. An empty table gives no rows.
     """
     texts = docs.withColumn("_lm_text", F.col(text))
     return score_encoded(encoded(texts, "_lm_text"), model).select(*without(docs, ["lm_tokens", "lm_log_prob"]).columns, "lm_tokens", "lm_log_prob")

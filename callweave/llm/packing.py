@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_value
+from .shared import by_value, slices
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,8 @@ class Limits:
 
 
 #: Pieces that are packed against each other at a time.
+#: Rows that a task packs, at least, while there are as many.
+TASK_ROWS = 2_048
 LOT = 8192
 EOS = 0
 #: Where both tokenizers split alike for sure: other texts go to the reference tokenizer.
@@ -140,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 used += int(where.max()) + 1
             lot = []
 
-        for batch in batches:
+        for batch in slices(batches):
             arrow_id = batch.schema.field(0).type
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.array([*ids_of(value or ""), EOS], dtype="<u4")
@@ -161,7 +163,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             yield out(whole)
         yield from flush()
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    # a task leaves a sequence or so unfilled, so partitions of few rows are read together
+    return docs.select(doc_id, text).coalesce(max(1, -(-docs.count() // TASK_ROWS))).mapInArrow(run, schema)
 
 
 def pack_examples(examples: DataFrame, tokens: str, loss: str, limits: Limits = Limits()) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import audit, circulant, hardneg, langid, linededup, lm, mixing, neighbours, packing, search, sharding, simhash, substring
 from .shared import table
 
-HELD_OUT = "pmod(crc32(CAST(doc_id AS STRING)), 4) = 2"
+#: A document without an id is not held out.
+HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 4) = 2, false)"
 
 
 def tokenizer_path() -> str:

@@ -183,8 +183,9 @@ def shard_groups(rows: DataFrame, group: str, size: str, shards: int | None = No
 
     Give ``capacity`` for as few shards of that size as best-fit-decreasing finds, or
     ``shards`` for that many of near equal size. ``size`` is a non-null integer; null groups
-    are one group. Slots number a shard's rows from 0 without gaps. Columns of these names
-    in the input are replaced. An empty table gives no rows.
+    are one group, and so are rows that repeat; ties of size go in the order of classes, so
+    reruns agree; a very long text is one size like any other. Slots number a shard's rows from 0 without gaps. Columns of these names
+    in the input are replaced, all others are kept. An empty table gives no rows.
     """
     rows = without(rows, ["shard", "slot", "_class", "_rank", "_large"])
     groups = cut(rows.groupBy(F.col(group).alias("_g")).agg(F.sum(size).alias("_size"), F.count("*").alias("_n")).withColumn("_class", size_class(F.col("_size"))))

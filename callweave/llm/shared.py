@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return "file:///tmp/checkpoints/callweave"
+    if not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -95,6 +97,25 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
+def slices(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches cut into few rows each, without a copy: texts become Python objects a few at a time.
+
+    Workers outlive their tasks, so what they no longer use goes back to the system at the end.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    batch = None
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+    del batch
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop the columns that an operator is about to add; its own columns win over an input's of the same name."""
     return df.drop(*[c for c in df.columns if c in set(names)])

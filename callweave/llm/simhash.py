@@ -10,12 +10,6 @@ and, of the two Golay words in the other 48 bits, one with at most one differing
 key is (block, its value, word, codeword index): 28 bits of selectivity, about 43 keys a
 fingerprint, and no link is missed.
 
-``near_duplicates``: join and verify. Fingerprints only estimate a set similarity, and at 0.8
-their differing bits spread too far for keys of exact bits, so candidates are texts that
-share a key of ``BAND`` least hashes of their shingles: of pairs at a Jaccard similarity of
-0.8, all but one in 50,000 share one of the ``BANDS`` keys. Each candidate pair's whole
-shingle sets are then compared, and only true pairs are linked.
-
 Fingerprints are made distinct first. A bucket emits a spanning forest of its links, found
 by breadth-first search, never all its pairs; components are then joined across buckets.
 """
@@ -27,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import by_value, cut, maybe_broadcast, written
+from .shared import by_value, cut
 
 SEED = 42
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator of the cyclic Golay code.
@@ -40,7 +34,6 @@ GENERATOR = 0xAE3
 WORD_BITS, DATA_BITS, CHECK_BITS = 23, 12, 11
 LOW23 = np.uint64((1 << WORD_BITS) - 1)
 SMALL = 8
-BANDS, BAND = 20, 4
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -210,7 +203,7 @@ def groups(prints: DataFrame, keys=exact_keys, most: int = 3) -> DataFrame:
     """(doc_id, f0, f1, component_id) from fingerprints: component_id is the smallest doc_id that links reach.
 
     Equal fingerprints are linked. Null ids are kept and never name a component unless all
-    its ids are null; repeated rows stay; an empty table gives no rows.
+    its ids are null; repeated rows stay; further columns are kept; an empty table gives no rows.
     """
     prints = cut(prints)
     node = F.xxhash64("f0", "f1")
@@ -223,101 +216,4 @@ def groups(prints: DataFrame, keys=exact_keys, most: int = 3) -> DataFrame:
     return prints.join(of, (F.col("f0") == F.col("_f0")) & (F.col("f1") == F.col("_f1"))).drop("_f0", "_f1")
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of a shingle set, each of the least values of ``BAND`` seeded permutations of the hashes; sets without shingles share theirs."""
-    r = np.random.default_rng(SEED)
-    mask, factor = (r.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(h), 1024):
-        mixed = (h[lo : lo + 1024, None] ^ mask) * factor
-        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND).T:
-        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        key = key ^ key >> np.uint64(29)
-    return key
-
-
-def _banded(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, keys) of (node, text): the size of the shingle set and its band keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys = [], [np.zeros(0, np.uint64)]
-            for v in batch.column(1).cast(pa.large_binary()).to_pylist():
-                h = np.unique(shingles(v or b"", shingle))
-                n.append(len(h))
-                keys.append(band_keys(h))
-            flat = np.concatenate(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat))], ["node", "n", "keys"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, keys array<long>")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more; ``texts`` is (node, text)."""
-    asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    found = written(texts.join(maybe_broadcast(asked), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("own")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: bytes) -> np.ndarray:
-            if node not in sets:
-                if len(sets) >= 64:
-                    sets.clear()
-                sets[node] = np.unique(shingles(text, shingle))
-            return sets[node]
-
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
-                u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                own, other = (batch.column(i).cast(pa.large_binary()).to_pylist() for i in (2, 3))
-                same = []
-                for i in range(len(u)):
-                    a, b = of(u[i], own[i]), of(v[i], other[i])
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    # two sets without shingles are equal; the small term is for rounding of the product
-                    same.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
-                yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
-
-    return both.select("u", "v", "own", "other").mapInArrow(run, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): component_id is the smallest doc_id that links reach; a link is a Jaccard similarity of shingle sets of ``similarity`` or more.
-
-    Pairs that share a band key are candidates, and every one is settled: first each text
-    against its bucket's first one, then the pairs of a bucket that are still apart.
-
-    Null, blank and empty texts are one text without shingles; a text of fewer words than a
-    shingle is one shingle. Null ids are kept and name a component only if all its ids are
-    null; repeated rows stay, one component; further columns take no part; an empty table
-    gives no rows.
-    """
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    texts = docs.select(node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = cut(docs.select(F.col(doc_id).alias("doc_id"), node.alias("node")))
-    keyed = _banded(texts, shingle).dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = keyed.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
-    shared = cut(shared.select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")))
-    # sets of such different sizes cannot be similar enough
-    alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    star = cut(shared.where((F.col("node") != F.col("first")) & alike("n", "first_n")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
-    links = cut(_similar(star, texts, shingle, similarity))
-    apart = shared.select("key", "node", "n").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = cut(apart.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low < high").select("key", "node", "n", "component"))
-    one, two = apart.alias("one"), apart.alias("two")
-    rest = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component")) & alike("one.n", "two.n"))
-    rest = cut(rest.select(F.col("one.node").alias("u"), F.col("two.node").alias("v")).distinct().join(star, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionAll(_similar(rest, texts, shingle, similarity))
-    named = ids.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", "component_id")
-
-
 by_value(__name__)

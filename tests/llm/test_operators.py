@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from callweave.llm import components, langid, linededup, lm, mixing, neighbours, packing, queries, search, sharding, simhash, substring
+from callweave.llm import circulant, components, langid, linededup, lm, mixing, neighbours, packing, queries, search, sharding, simhash, substring
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -37,11 +37,13 @@ def odd(spark):
     return df
 
 
+#: Near-dedup as the pipeline does it.
+NEAR = {"shingle": 5, "percent": 80, "bands": 20, "rows": 4, "blank_alike": True}
 OPERATORS = {
     "pack": lambda d: packing.pieces(d, queries.tokenizer_path()),
     "shard": lambda d: sharding.shard_groups(d.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1), "text", "_size", shards=4),
     "simhash": lambda d: simhash.groups(simhash.fingerprints(d)),
-    "near": simhash.near_duplicates,
+    "near": lambda d: circulant.near_duplicates(d, **NEAR),
     "mix": mixing.mix,
     "search": lambda d: search.search(d, F.col("doc_id") % 2 == 0),
     "lm": lambda d: lm.score(d, lm.fit(d)),
@@ -72,7 +74,7 @@ def test_odd_values(odd):
     assert all(len(v) == 1 for v in homes.values()) and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in {r["shard"] for r in rows})
     prints = by(simhash.groups(simhash.fingerprints(odd)), "f0", "component_id")
     assert prints[(2, 0, 2)] == prints[(3, 0, 2)] == prints[(4, 0, 2)] == prints[(None, 0, 2)] == 1 and {k[2]: n for k, n in prints.items() if k[0] in (5, 6)} == {5: 1}
-    near = by(simhash.near_duplicates(odd), "component_id")
+    near = by(circulant.near_duplicates(odd, **NEAR), "component_id")
     assert near[(6, 5)] == 1 and near[(3, 2)] == near[(4, 2)] == 1 and near[(1, 1)] == 3 and near[(None, 1)] == 1
     mixed = {(r["doc_id"], r["size"]): r for r in mixing.mix(odd).collect()}
     assert mixed[(2, 0)]["taken"] == 0 and mixed[(3, 0)]["taken"] == 0 and all(r["taken"] <= 2 * r["size"] for r in mixed.values())
@@ -123,6 +125,12 @@ def test_packing(spark, docs):
     assert fill / (1024 * len(seq)) > 0.97
 
 
+def test_packing_hangs_on_no_partitions(docs):
+    """A table in many small partitions is packed as tightly as in one."""
+    rows = packing.pieces(docs.repartition(60), queries.tokenizer_path()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r["n"] for r in rows) / (1024 * len(rows)) > 0.97
+
+
 def test_special_and_rare_characters_tokenize_alike(spark):
     from tokenizers import Tokenizer
 
@@ -341,7 +349,7 @@ def test_near_duplicates_find_similar_texts(spark):
         w = t.split()
         w[int(r.integers(200))] = "changed"
         texts.append(" ".join(w))
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    comp = {r["doc_id"]: r["component_id"] for r in circulant.near_duplicates(docs_of(spark, texts), **NEAR).collect()}
     assert sum(comp[60 + i] == i for i in range(40)) >= 38 and all(comp[i] == i for i in range(60))
 
 
@@ -356,7 +364,7 @@ def test_near_duplicates_are_the_pairs_at_the_threshold(spark):
     sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for t in texts)]
     want = {2 * i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) >= 0.8 for i in range(120)}
     assert 30 < sum(want.values()) < 90
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    comp = {r["doc_id"]: r["component_id"] for r in circulant.near_duplicates(docs_of(spark, texts), **NEAR).collect()}
     assert {i: comp[i + 1] == i for i in want} == want and all(comp[i] == i for i in want)
 
 
@@ -365,7 +373,7 @@ def test_near_duplicates_settle_what_a_bucket_s_first_text_does_not(spark):
     r = np.random.default_rng(12)
     w = [f"w{x}" for x in r.integers(0, 50_000, 400)]
     texts = [" ".join(w[15 * i : 15 * i + 200]) for i in range(12)]
-    assert {r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts)).collect()} == {0}
+    assert {r["component_id"] for r in circulant.near_duplicates(docs_of(spark, texts), **NEAR).collect()} == {0}
 
 
 def test_components(spark):
