@@ -64,24 +64,24 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2.0 * common / (F.length(a) + F.length(b) - 2))
 
 
-def bigrams(name: Column) -> Column:
-    """The bigrams of a lower-cased name without white space, as :func:`similarity` takes them: made once, they serve every keyword."""
-    return _bigrams(F.regexp_replace(F.lower(name), r"\s+", ""))
+def bare(name: Column) -> Column:
+    """A lower-cased name without white space, as :func:`similarity` takes it: made once, it serves every keyword."""
+    return F.translate(F.lower(name), " \t\n\x0b\f\r", "")
 
 
-def _near(word: str, low: Column, parts: Column) -> Column:
-    """:func:`dice` of a keyword and a lower-cased name with these bigrams: the keyword's bigrams are known, so each is counted by its removal."""
+def _near(word: str, low: Column) -> Column:
+    """:func:`dice` of a keyword and a bare name. The keyword's bigrams are known, so most need no more than a look whether the name holds them."""
     own = Counter(word[i : i + 2] for i in range(max(len(word) - 1, 1)))
-    bare = F.regexp_replace(low, r"\s+", "")
-    common = reduce(lambda a, b: a + b, [F.least(F.lit(n), F.size(parts) - F.size(F.array_remove(parts, g))) for g, n in own.items()])
-    return F.when(bare == word, 1.0).when((F.length(bare) < 2) | F.lit(len(word) < 2), 0.0).otherwise(2.0 * common / (F.length(bare) + (len(word) - 2)))
+    # one that the keyword has more than once is counted, overlaps too
+    held = [low.contains(g).cast("int") if n == 1 else F.least(F.lit(n), F.regexp_count(low, F.lit(f"(?={g})"))) for g, n in own.items()]
+    return F.when(low == word, 1.0).when((F.length(low) < 2) | F.lit(len(word) < 2), 0.0).otherwise(2.0 * reduce(lambda a, b: a + b, held) / (F.length(low) + (len(word) - 2)))
 
 
-def similarity(words: list[str], name: Column, qualified: Column, name_parts: Column | None = None, qualified_parts: Column | None = None) -> Column:
-    """The best of all keywords against the lower-cased names, with 0.3 more where one contains it; at most 1. The parts are the names' bigrams, if at hand."""
+def similarity(words: list[str], name: Column, qualified: Column, bare_name: Column | None = None, bare_qualified: Column | None = None) -> Column:
+    """The best of all keywords against the lower-cased names, with 0.3 more where one contains it; at most 1."""
     n, q = F.lower(name), F.lower(qualified)
-    a, b = (bigrams(c) if p is None else p for c, p in ((name, name_parts), (qualified, qualified_parts)))
-    each = [F.greatest(_near(w, n, a), _near(w, q, b)) + F.when(n.contains(w) | q.contains(w), 0.3).otherwise(0.0) for w in words]
+    a, b = (bare(c) if p is None else p for c, p in ((name, bare_name), (qualified, bare_qualified)))
+    each = [F.greatest(_near(w, a), _near(w, b)) + F.when(n.contains(w) | q.contains(w), 0.3).otherwise(0.0) for w in words]
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.0), *each))
 
 

@@ -53,20 +53,24 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     capitalised), else the first candidate whose path contains a source the caller's file
     imports, else the same file.
 
-    What a call resolves to depends on its file and text alone. Each such pair is dealt out
-    under the names that its strategies look up, alone and with its file; one join with one
-    row for each name, for each name in a file and for each name in a file of a base name
-    answers all, and one grouping brings the answers together. Popular names do not fan out;
-    only receivers left unknown meet all candidates of their method.
+    A text that is a name needs two look-ups, by name and by name and file. Of all others
+    those with a dot are left. What they resolve to depends on their file and text alone, so
+    each such pair is dealt out once under the names that its strategies look up, alone and
+    with its file; one join with one row for each name, for each name in a file and for each
+    name in a file of a base name answers all, and one grouping brings the answers together.
+    Popular names do not fan out; only receivers left unknown meet all candidates of their
+    method.
     """
     file, text = F.col("file_path"), F.col("callee_name")
+    any_ = symbols.groupBy(F.col("name").alias("_n")).agg(F.min_by("node_id", "seq").alias("_any"))
+    own_ = symbols.groupBy(F.col("name").alias("_on"), F.col("file_path").alias("_of")).agg(F.min_by("node_id", "seq").alias("_in_file"))
     bare = F.when(text.startswith("this."), F.substr(text, F.lit(6))).otherwise(text)
     dotted = bare.contains(".") & ~F.regexp_replace(bare, r"\.[^.]*$", "").contains(".")
-    asks = calls.select(file, text).distinct().withColumn("_bare", F.when(bare != text, bare))
+    asks = calls.select(file, text).where(text.contains(".")).distinct().join(any_, text == F.col("_n"), "left_anti").withColumn("_bare", F.when(bare != text, bare))
     asks = asks.withColumn("_method", F.when(dotted, F.substring_index(bare, ".", -1))).withColumn("_receiver", F.when(dotted, F.substring_index(bare, ".", 1)))
     big = F.concat(F.upper(F.substring("_receiver", 1, 1)), F.substr("_receiver", F.lit(2)))
     every, stemmed = F.lit(""), lambda c: F.concat(F.lit("\0"), c)
-    keys = [("o1", text, file), ("a1", text, every), ("o2", F.col("_bare"), file), ("a2", F.col("_bare"), every), ("o3", F.col("_method"), file), ("a3", F.col("_method"), every),
+    keys = [("o2", F.col("_bare"), file), ("a2", F.col("_bare"), every), ("o3", F.col("_method"), file), ("a3", F.col("_method"), every),
             ("k0", F.col("_receiver"), every), ("k1", big, every), ("s0", F.col("_method"), stemmed(F.col("_receiver"))), ("s1", F.col("_method"), stemmed(big))]
     dealt = asks.select("file_path", "callee_name", "_method", F.explode(F.array_compact(F.array(*[F.when(n.isNotNull(), F.struct(F.lit(slot).alias("slot"), n.alias("n"), f.alias("f"))) for slot, n, f in keys]))).alias("k"))
     stem = F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.[^.]*$", "")
@@ -76,7 +80,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     answers = met.groupBy("file_path", "callee_name").agg(slots.alias("_m"))
     got = lambda slot: F.try_element_at("_m", F.lit(slot))
     known = F.coalesce(*map(got, ("k0", "k1", "s0", "s1"))).isNotNull()
-    direct = F.coalesce(*map(got, ("o1", "a1", "o2", "a2")), F.when(known, F.coalesce(got("o3"), got("a3"))))
+    direct = F.coalesce(*map(got, ("o2", "a2")), F.when(known, F.coalesce(got("o3"), got("a3"))))
     answers = answers.select("file_path", "callee_name", direct.alias("_direct"), got("o3").alias("_own"), got("a3").isNotNull().alias("_named"))
     if imports is None:
         found = answers.select("file_path", "callee_name", F.coalesce("_direct", "_own").alias("target"))
@@ -89,7 +93,8 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
         hit = left.join(sources, F.col("file_path") == F.col("_if")).join(candidates, "_method")
         via = hit.where(F.exists("_sources", lambda x: F.col("_cf").contains(x))).groupBy("file_path", "callee_name").agg(F.min_by("node_id", "seq").alias("_via"))
         found = answers.join(via, ["file_path", "callee_name"], "left").select("file_path", "callee_name", F.coalesce("_direct", "_via", "_own").alias("target"))
-    return calls.join(found, ["file_path", "callee_name"], "left").select(*calls.columns, "target")
+    plain = calls.join(any_, text == F.col("_n"), "left").join(own_, (text == F.col("_on")) & (file == F.col("_of")), "left")
+    return plain.join(found, ["file_path", "callee_name"], "left").select(*calls.columns, F.coalesce("_in_file", "_any", "target").alias("target"))
 
 
 def resolve_native(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

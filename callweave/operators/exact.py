@@ -297,6 +297,17 @@ def data_flow(g: Graph, source: str, variable: str, calls_in: dict[str, list] |
     return paths, sinks
 
 
+def calls_in(g: Graph, calls: DataFrame) -> dict[str, list]:
+    """By file of the graph's nodes, the calls to any of them: (text, arguments or None); no entry for a file without calls."""
+    files = sorted({n.file_path for n in g.nodes.values()})
+    texts = sorted({x for n in g.nodes.values() for x in (n.name, n.qualified_name)})
+    own = calls.where(F.col("file_path").isin(files))
+    out: dict[str, list] = {r[0]: [] for r in own.select("file_path").distinct().collect()}  # a graph's files
+    for r in own.where(F.col("callee_name").isin(texts)).select("file_path", "callee_name", "arguments").distinct().toLocalIterator():
+        out[r["file_path"]].append((r["callee_name"], r["arguments"]))
+    return out
+
+
 def affected_paths(direct: list[str], callers: dict[str, list[str]], callees: dict[str, list[str]]) -> list[list[str]]:
     """Chains caller, match, callee through every direct match, as long as each has such neighbours."""
     found = []

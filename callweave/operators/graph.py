@@ -1,9 +1,10 @@
 """Graph questions answered by frontier loops over an edge table.
 
 A level joins the frontier with the edges and drops what was seen. Each level's result is
-checkpointed in the folder that the cluster shares. A graph of at most ``SMALL`` edges
-(counted first) is walked on the driver instead: a level of a loop costs a job, and a
-small graph is over in milliseconds there.
+checkpointed in the folder that the cluster shares. A caller that knows its graph to be
+small can have it walked on the driver instead (``small``: at most so many edges, counted
+first), with the same result: a level of a loop costs a job or two, and a small graph is
+over in milliseconds there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: For callers that answer one question of one project at a time.
 SMALL = 300_000
 
 
@@ -27,6 +29,8 @@ def own_folder(spark: SparkSession) -> str:
     """Where no folder is named: beside the warehouse, which a cluster shares; on one machine its temporary folder."""
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return "file:///tmp/checkpoints/callweave"
+    if not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -36,12 +40,12 @@ def _small(edges: DataFrame, limit: int) -> list | None:
     return None if found.num_rows > limit else list(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
 
 
-def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False, small: int = SMALL) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False, small: int = 0) -> DataFrame:
     """(node_id, dist): the least number of edges from any start (column ``node_id``), within ``max_depth``."""
     if reverse:
         edges = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     edges = checkpointed(edges.select("source_id", "target_id").distinct())
-    if (pairs := _small(edges, small)) is not None:
+    if small and (pairs := _small(edges, small)) is not None:
         out = defaultdict(list)
         for a, b in pairs:
             out[a].append(b)
@@ -73,9 +77,9 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rever
     return seen
 
 
-def blast_radius(edges: DataFrame, modified: DataFrame) -> DataFrame:
+def blast_radius(edges: DataFrame, modified: DataFrame, small: int = 0) -> DataFrame:
     """(node_id, dist): everything that reaches a modified node along edges, with its least distance."""
-    return bfs(edges, modified, reverse=True)
+    return bfs(edges, modified, reverse=True, small=small)
 
 
 def external_dependents(radius: DataFrame, edges: DataFrame, entry: str | None = None) -> DataFrame:
@@ -84,7 +88,7 @@ def external_dependents(radius: DataFrame, edges: DataFrame, entry: str | None =
     return free.where(F.col("node_id") != entry) if entry else free
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, small: int = SMALL) -> list[str]:
+def shortest_path(edges: DataFrame, source: str, target: str, small: int = 0) -> list[str]:
     """A shortest path along the edges, else against them (turned round); [] if neither exists. Ties go to the edge met first (smallest ``seq``, else ids)."""
     spark = edges.sparkSession
     for back in (False, True):
@@ -116,23 +120,41 @@ def auto_collapsed(edges: DataFrame, entry: str, depth: int) -> DataFrame:
     return near.where(F.col("dist") >= depth).join(edges.where("source_id <> target_id").select(F.col("source_id").alias("node_id")), "node_id", "left_semi").select("node_id", "dist")
 
 
+#: Bits of a bitmap of Spark's bitmap functions.
+BITS = 32_768
+
+
 def descendant_counts(edges: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """(node_id, descendants): nodes reachable by one edge or more; a node on a cycle counts itself.
 
-    The closure of the asked nodes only: (origin, node) pairs grow a level at a time.
+    Targets are numbered in blocks of 32,768; what a node reaches in a block is one bitmap.
+    A round sends the bitmaps that have grown back along the edges, where they are united
+    before the shuffle, so no pair of origin and node is ever a row. Rounds: the longest of
+    the shortest paths.
     """
     edges = checkpointed(edges.select("source_id", "target_id").distinct())
-    seen = checkpointed(nodes.select(F.col("node_id").alias("origin")).distinct().join(edges, F.col("origin") == F.col("source_id")).select("origin", F.col("target_id").alias("node_id")).distinct())
-    frontier, level = seen, 1
+    ends = edges.select(F.col("target_id").alias("node_id")).distinct()
+    blocks = -(-ends.count() // BITS)
+    if not blocks:
+        return nodes.select("node_id").distinct().withColumn("descendants", F.lit(0).cast("long"))
+    # a partition is a block or a few; numbers hold once they are checkpointed
+    numbered = checkpointed(ends.repartition(blocks, "node_id").select("node_id", (F.monotonically_increasing_id() + 1).alias("_i")))
+    place = numbered.select(F.col("node_id").alias("target_id"), F.call_function("bitmap_bucket_number", "_i").alias("block"), F.call_function("bitmap_bit_position", "_i").alias("_bit"))
+    first = edges.join(place, "target_id").groupBy(F.col("source_id").alias("node_id"), "block").agg(F.call_function("bitmap_construct_agg", "_bit").alias("bits"))
+    size = lambda bits: F.call_function("bitmap_count", bits)
+    seen = checkpointed(first.withColumn("n", size("bits")))
+    grown, level = seen, 1
     while depth is None or level < depth:
         level += 1
-        step = frontier.join(edges, F.col("node_id") == F.col("source_id")).select("origin", F.col("target_id").alias("node_id")).distinct()
-        frontier = checkpointed(step.join(seen, ["origin", "node_id"], "left_anti"))
-        if frontier.isEmpty():
+        sent = edges.join(grown.select(F.col("node_id").alias("target_id"), "block", "bits"), "target_id").groupBy(F.col("source_id").alias("node_id"), "block").agg(F.call_function("bitmap_or_agg", "bits").alias("bits"))
+        both = seen.select("node_id", "block", "bits", "n").unionByName(sent.withColumn("n", F.lit(0).cast("long")))
+        seen = checkpointed(both.groupBy("node_id", "block").agg(F.call_function("bitmap_or_agg", "bits").alias("bits"), F.max("n").alias("was")).withColumn("n", size("bits")))
+        grown = seen.where("n > was")
+        seen = seen.drop("was")
+        if grown.isEmpty():
             break
-        seen = checkpointed(seen.unionAll(frontier))
-    counts = seen.groupBy("origin").agg(F.count("*").alias("descendants"))
-    return nodes.select("node_id").distinct().join(counts, F.col("node_id") == F.col("origin"), "left").select("node_id", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    counts = seen.groupBy(F.col("node_id").alias("_origin")).agg(F.sum("n").alias("descendants"))
+    return nodes.select("node_id").distinct().join(counts, F.col("node_id") == F.col("_origin"), "left").select("node_id", F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
 def visible_nodes(edges: DataFrame, entry: str, collapsed: DataFrame) -> DataFrame:
@@ -141,14 +163,32 @@ def visible_nodes(edges: DataFrame, entry: str, collapsed: DataFrame) -> DataFra
     return bfs(open_, edges.sparkSession.createDataFrame([(entry,)], "node_id string")).select("node_id")
 
 
+def ancestor_chains(edges: DataFrame) -> DataFrame:
+    """(node_id, chain): for every node that has one, its parent, the parent's parent and so on up to a root, or until a node would repeat.
+
+    A parent is the source of the last-written edge (largest ``seq``). Chains double: each
+    is joined with the chain of its last node, so the longest takes a logarithm of its
+    length in rounds. A self loop is no parent of its own.
+    """
+    parents = edges.groupBy("target_id").agg(F.max_by("source_id", "seq").alias("parent")).where("parent <> target_id")
+    chains = checkpointed(parents.select(F.col("target_id").alias("node_id"), F.array("parent").alias("chain"), F.lit(False).alias("whole")))
+    keep = lambda a, x: F.when(a["stop"] | F.array_contains(a["seen"], x), F.struct(a["seen"].alias("seen"), F.lit(True).alias("stop"))).otherwise(F.struct(F.array_append(a["seen"], x).alias("seen"), F.lit(False).alias("stop")))
+    while not chains.where("NOT whole").isEmpty():
+        far = chains.select(F.col("node_id").alias("last"), F.col("chain").alias("more"), F.col("whole").alias("more_whole"))
+        open_ = chains.where("NOT whole").withColumn("last", F.element_at("chain", -1)).join(far, "last", "left")
+        both = F.concat(F.array("node_id"), "chain", F.coalesce("more", F.array().cast("array<string>")))
+        joined = open_.select("node_id", both.alias("all"), F.coalesce("more_whole", F.lit(True)).alias("whole"))
+        repeats = F.size(F.array_distinct("all")) < F.size("all")
+        first = F.aggregate("all", F.struct(F.array().cast("array<string>").alias("seen"), F.lit(False).alias("stop")), keep)["seen"]
+        cut = F.when(repeats, first).otherwise(F.col("all"))
+        chains = checkpointed(joined.select("node_id", F.slice(cut, F.lit(2), F.size(cut)).alias("chain"), (F.col("whole") | repeats).alias("whole")).unionByName(chains.where("whole")))
+    return chains.select("node_id", "chain")
+
+
 def ancestors(edges: DataFrame, node: str) -> list[str]:
-    """The chain of parents, each the source of the last-written edge into its child; stops at a repeat."""
-    parents = checkpointed(edges.groupBy("target_id").agg(F.max_by("source_id", "seq").alias("parent")))
-    chain, here = [], node
-    while (row := parents.where(F.col("target_id") == here).first()) is not None and row["parent"] not in (node, *chain):
-        here = row["parent"]
-        chain.append(here)
-    return chain
+    """The chain of one node; [] if it has no parent."""
+    row = ancestor_chains(edges).where(F.col("node_id") == node).first()
+    return row["chain"] if row else []
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -182,6 +222,6 @@ def drop_unresolved(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return nodes.where("kind <> 'unresolved'"), kept
 
 
-def condition_closure(spark: SparkSession, direct: DataFrame, callers: DataFrame, depth: int = 10) -> DataFrame:
+def condition_closure(spark: SparkSession, direct: DataFrame, callers: DataFrame, depth: int = 10, small: int = 0) -> DataFrame:
     """(node_id, dist): transitive callers of the direct matches, which are left out, within ``depth``."""
-    return bfs(callers, direct, depth, reverse=True).where("dist > 0")
+    return bfs(callers, direct, depth, reverse=True, small=small).where("dist > 0")

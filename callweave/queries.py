@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import viewer as V
 from .operators import calls as C
-from .operators import communities, exact
+from .operators import communities, exact, ranking
 from .operators import graph as G
 from .operators import overlays as O
 from .plans import sources
@@ -26,7 +26,7 @@ from .sources import index as I
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: The fixture's graph questions start here; the churn window ends here.
-TARGET, ANCHOR, DEPTH = "fn7", "1998-08-02", 12
+TARGET, ANCHOR, DEPTH = "fn7", "1998-08-02", 20
 
 
 def query(sql: str | None = None):
@@ -335,9 +335,9 @@ def up_edges(fx: Fixtures) -> DataFrame:
     return around.join(s.select(F.col("name").alias("callee_name"), F.col("node_id").alias("target_id")), "callee_name").where("source_id <> target_id").select("source_id", "target_id").distinct()
 
 
-@query(f"{UP} {reach(START, down=False, depth=4)} SELECT node_id, dist FROM reach")
+@query(f"{UP} {reach(START, down=False, depth=DEPTH)} SELECT node_id, dist FROM reach")
 def reach_upstream(fx: Fixtures) -> DataFrame:
-    return G.bfs(up_edges(fx), starts(fx), 4, reverse=True)
+    return G.bfs(up_edges(fx), starts(fx), DEPTH, reverse=True)
 
 
 @query(with_edges(f"{reach(MODIFIED, down=False)} SELECT node_id, dist FROM reach"))
@@ -383,17 +383,38 @@ def one_hop(fx: Fixtures) -> DataFrame:
     return G.neighbours(edges_of(fx), entry_of(fx))
 
 
-@query(f"""{UP} {reach(START, down=False, depth=2, name="up")}, {EDGES.replace("edges AS", "down_edges AS").replace("enc AS", "enc2 AS").replace("FROM enc e", "FROM enc2 e")},
-down_all(node_id, dist) AS (SELECT node_id, 0 FROM {START} s UNION SELECT target_id, dist + 1 FROM down_all JOIN down_edges ON source_id = node_id WHERE dist < 2)
+@query(f"""{UP} {reach(START, down=False, depth=DEPTH, name="up")}, {EDGES.replace("edges AS", "down_edges AS").replace("enc AS", "enc2 AS").replace("FROM enc e", "FROM enc2 e")},
+down_all(node_id, dist) AS (SELECT node_id, 0 FROM {START} s UNION SELECT target_id, dist + 1 FROM down_all JOIN down_edges ON source_id = node_id WHERE dist < {DEPTH})
 SELECT node_id, 'downstream' AS side FROM down_all UNION SELECT node_id, 'upstream' FROM up WHERE node_id NOT IN (SELECT node_id FROM down_all)""")
 def bidirectional_union(fx: Fixtures) -> DataFrame:
     e, u = edges_of(fx), up_edges(fx)
-    down = G.bfs(e, starts(fx), 2).select("node_id", F.lit("downstream").alias("side"))
-    up = G.bfs(u, starts(fx), 2, reverse=True).select("node_id", F.lit("upstream").alias("side"))
+    down = G.bfs(e, starts(fx), DEPTH).select("node_id", F.lit("downstream").alias("side"))
+    up = G.bfs(u, starts(fx), DEPTH, reverse=True).select("node_id", F.lit("upstream").alias("side"))
     kind = F.lit("call").alias("kind")
     return G.union_graphs(down, up, e.select("*", kind), u.select("*", kind))[0]
 
 
+# the parent is the largest of a node's callers
+@query(with_edges("""parents AS (SELECT target_id AS node_id, max(source_id) AS parent FROM edges GROUP BY target_id),
+walk(origin, depth, node_id, path) AS (SELECT node_id, 1, parent, [node_id, parent] FROM parents WHERE parent <> node_id UNION ALL SELECT w.origin, w.depth + 1, p.parent, list_append(w.path, p.parent) FROM walk w JOIN parents p ON p.node_id = w.node_id WHERE NOT list_contains(w.path, p.parent))
+SELECT origin AS node_id, max(depth) AS ancestors, arg_max(array_to_string(path[2:], ' '), depth) AS chain FROM walk GROUP BY origin"""))
+def ancestor_chains(fx: Fixtures) -> DataFrame:
+    chains = G.ancestor_chains(edges_of(fx).withColumn("seq", F.col("source_id")))
+    return chains.select("node_id", F.size("chain").alias("ancestors"), F.array_join("chain", " ").alias("chain"))
+
+
+@query(f"""{UP} {reach(START, down=False, depth=DEPTH, name="up")}, {EDGES.replace("edges AS", "down_edges AS").replace("enc AS", "enc2 AS").replace("FROM enc e", "FROM enc2 e")},
+down_all(node_id, dist) AS (SELECT node_id, 0 FROM {START} s UNION SELECT target_id, dist + 1 FROM down_all JOIN down_edges ON source_id = node_id WHERE dist < {DEPTH}),
+ends AS (SELECT source_id, target_id FROM down_edges WHERE source_id IN (SELECT node_id FROM down_all) UNION SELECT source_id, target_id FROM edges WHERE target_id IN (SELECT node_id FROM up))
+SELECT source_id, target_id FROM ends""")
+def bidirectional_edges(fx: Fixtures) -> DataFrame:
+    e, u, kind = edges_of(fx), up_edges(fx), F.lit("call").alias("kind")
+    down, up = G.bfs(e, starts(fx), DEPTH), G.bfs(u, starts(fx), DEPTH, reverse=True)
+    below = e.join(down.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").select("source_id", "target_id", kind)
+    above = u.join(up.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id", kind)
+    return G.union_graphs(down, up, below, above)[1].select("source_id", "target_id")
+
+
 # Condition trace and data flow.
 WORD = "fn12"
 DIRECT = f"""{SMALLEST}, named AS (SELECT node_id, line, 1 AS pass FROM fx_symbols WHERE contains(lower(name), '{WORD}')),
@@ -496,19 +517,7 @@ _SIM = ", ".join(f"greatest({_dice(f"'{w}'", 'lower(name)')}, {_dice(f"'{w}'", '
 
 @query(f"SELECT node_id, round(0.6 * least(1.0, greatest({_SIM})) + 0.4 * 0.0, 6) AS score FROM fx_symbols WHERE 0.6 * least(1.0, greatest({_SIM})) > 0.1 ORDER BY round(0.6 * least(1.0, greatest({_SIM})), 9) DESC, sym_id LIMIT 5")
 def entry_point_topk(fx: Fixtures) -> DataFrame:
-    return rank_entries(symbols(fx).withColumn("signature", F.lit("")), QUESTION).select("node_id", F.round("score", 6).alias("score"))
-
-
-def rank_entries(s: DataFrame, description: str, most: int = 5, least: float = 0.1) -> DataFrame:
-    """The best entry points for a description in words: score, and why."""
-    import re
-
-    words = [w for w in (re.sub("[^a-zA-Z0-9]", "", x).lower() for x in description.split()) if w and w not in T.STOP_WORDS]
-    near = T.similarity(words, F.col("name"), F.col("qualified_name"), F.col("_n"), F.col("_q")) if words else F.lit(0.0)
-    lift = T.boost(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("file_path"), F.col("visibility"))
-    scored = s.withColumns({"_n": T.bigrams(F.col("name")), "_q": T.bigrams(F.col("qualified_name"))}).withColumn("_near", near).withColumn("_lift", lift).withColumn("score", 0.6 * F.col("_near") + 0.4 * F.col("_lift"))
-    scored = scored.withColumn("reason", T.reason(F.col("_near"), F.col("_lift"), F.col("name"), F.col("signature")))
-    return scored.where(F.col("score") > least).orderBy(F.round("score", 9).desc(), "seq").limit(most).drop("_near", "_lift", "_n", "_q")
+    return ranking.rank_entries(symbols(fx).withColumn("signature", F.lit("")), QUESTION).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT node_id, CASE WHEN contains(lower(name), 'fn1') THEN 'name' WHEN contains(lower(qualified_name), 'cls1') THEN 'qualifiedName' WHEN contains(lower(file_path), 'mod3') THEN 'filePath' END AS field FROM
@@ -679,13 +688,12 @@ def function_at_cursor(fx: Fixtures) -> DataFrame:
     return cursor.function_at(source_lines(fx), fx.call_sites)
 
 
-# a loop's condition counts as a declaration here: its pattern takes any word, blank, word, bracket
-@query(f"""WITH {SOURCE}, cursors AS (SELECT DISTINCT file_path, line FROM fx_call_sites), hits AS (SELECT *, CASE sym_id % 7 WHEN 3 THEN 7 WHEN 6 THEN 1 ELSE 1 END AS col FROM src WHERE sym_id % 7 NOT IN (1, 5)),
+# a loop's head declares nothing; of a method in Python the pattern of types finds the blank before its name first
+@query(f"""WITH {SOURCE}, cursors AS (SELECT DISTINCT file_path, line FROM fx_call_sites), hits AS (SELECT *, CASE sym_id % 7 WHEN 3 THEN 6 ELSE 1 END AS col FROM src WHERE sym_id % 7 <> 5),
 near AS (SELECT c.file_path, c.line, max(h.line) AS at FROM cursors c LEFT JOIN hits h ON h.file_path = c.file_path AND h.line BETWEEN c.line - 20 AND c.line GROUP BY ALL)
-SELECT n.file_path, n.line, h.name, h.line + 1 AS found_line FROM near n LEFT JOIN hits h ON h.file_path = n.file_path AND h.line = n.at""")
+SELECT n.file_path, n.line, h.name, h.line + 1 AS found_line, CAST(h.col AS BIGINT) AS found_column FROM near n LEFT JOIN hits h ON h.file_path = n.file_path AND h.line = n.at""")
 def function_near_caret(fx: Fixtures) -> DataFrame:
-    lines = source_lines(fx).where(~F.col("text").rlike(r"^  private|^    while"))
-    return cursor.function_near(lines, fx.call_sites).select("file_path", "line", "name", "found_line")
+    return cursor.function_near(source_lines(fx), fx.call_sites).select("file_path", "line", "name", "found_line", "found_column")
 
 
 @query("SELECT name, count(*) AS n, string_agg(node_id, ' ' ORDER BY sym_id) AS definitions FROM fx_symbols GROUP BY name")
@@ -895,21 +903,25 @@ def _code(fx: Fixtures) -> exact.Code:
     return exact.Code(symbols(fx), calls, conds, fx.imports)
 
 
+#: What a request for a graph gets that says nothing else.
+WALK = exact.Options(DEPTH, exact.MOST_NODES)
+
+
 @query()
 def dfs_downstream(fx: Fixtures) -> DataFrame:
-    return exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=4, max_nodes=200)).frames(fx.spark)[0]
+    return exact.downstream(_code(fx), entry_of(fx), WALK).frames(fx.spark)[0]
 
 
 @query()
 def dfs_upstream(fx: Fixtures) -> DataFrame:
-    return exact.upstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100)).frames(fx.spark)[1]
+    return exact.upstream(_code(fx), entry_of(fx), WALK).frames(fx.spark)[1]
 
 
 @query()
 def text_tree(fx: Fixtures) -> DataFrame:
     from .functions import render
 
-    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100))
+    g = exact.downstream(_code(fx), entry_of(fx), WALK)
     return fx.spark.createDataFrame(list(enumerate(render.to_tree(g).split("\n"))), "pos long, row string")
 
 
@@ -917,14 +929,15 @@ def text_tree(fx: Fixtures) -> DataFrame:
 def graph_json(fx: Fixtures) -> DataFrame:
     from .functions import render
 
-    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=2, max_nodes=100))
+    g = exact.downstream(_code(fx), entry_of(fx), WALK)
     return fx.spark.createDataFrame([(render.to_json(g, "/p", "2024-01-01T00:00:00Z"),)], "document string")
 
 
 @query()
 def dataflow_paths(fx: Fixtures) -> DataFrame:
-    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(max_depth=3, max_nodes=100, conditionals=False))
-    paths, _ = exact.data_flow(g, g.entry, "x", None, lambda n, q: None)
+    g = exact.downstream(_code(fx), entry_of(fx), exact.Options(DEPTH, exact.MOST_NODES, False))
+    own = exact.calls_in(g, fx.call_sites.withColumn("arguments", F.lit(None).cast("array<string>")))
+    paths, _ = exact.data_flow(g, g.entry, "x", own, lambda n, q: None)
     return fx.spark.createDataFrame(list(enumerate(paths)), "pos long, nodes array<string>")
 
 

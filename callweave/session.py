@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from .functions import render
 from .functions import text as T
 from .operators import calls as C
-from .operators import communities, exact
+from .operators import communities, exact, ranking
 from .operators import graph as G
 from .operators import overlays as O
-from .queries import rank_entries
 from .sources import readers as R
 from .sources.index import Index, discover
 
@@ -45,7 +44,7 @@ class Project:
         return walk[direction](self.code, entry, options)
 
     def rank(self, description: str) -> DataFrame:
-        return rank_entries(self.index.symbols, description)
+        return ranking.rank_entries(self.index.symbols, description)
 
     def trace(self, condition: str, depth: int = 10) -> dict[str, DataFrame]:
         """Where a condition is evaluated, what leads there, and the chains through it."""
@@ -56,7 +55,7 @@ class Project:
         direct = named.unionAll(called).groupBy("node_id").agg(F.min(F.struct("pass", "line", "snippet")).alias("m")).select("node_id", "m.line", "m.snippet", F.lit("direct_evaluation").alias("match_type"))
         direct = G.checkpointed(direct)
         callers = around.join(s.select(F.col("name").alias("callee_name"), F.col("node_id").alias("target_id")), "callee_name").select(F.col("node_id").alias("source_id"), "target_id").distinct()
-        far = G.condition_closure(self.spark, direct, callers, depth).join(s.select("node_id", "name"), "node_id").select("node_id", "dist", T.transitive_match(F.col("name")).alias("match_type"))
+        far = G.condition_closure(self.spark, direct, callers, depth, G.SMALL).join(s.select("node_id", "name"), "node_id").select("node_id", "dist", T.transitive_match(F.col("name")).alias("match_type"))
         callees = C.callees_in(s.join(direct.select("node_id"), "node_id", "left_semi"), calls, F.lit(True))
         up = callers.join(direct.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
         chains = direct.select("node_id").join(up.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("before")), "node_id", "left").join(callees.select(F.col("caller_id").alias("node_id"), F.col("callee_id").alias("after")), "node_id", "left")
@@ -87,7 +86,7 @@ class Project:
         if kind == "impact":
             hunks = R.diff_text(self.spark, kw["diff"]) if "diff" in kw else R.git_diff(self.spark, self.root)
             modified = O.modified_nodes(nodes, hunks).select("node_id")
-            radius = G.blast_radius(edges, modified)
+            radius = G.blast_radius(edges, modified, G.SMALL)
             return {"modified": modified, "radius": radius, "external": G.external_dependents(radius, edges, entry)}
         if kind == "boundary":
             found = communities.detect(nodes, O.undirected(edges, nodes), kw.get("method", "louvain"))
@@ -95,29 +94,16 @@ class Project:
         if kind == "dataflow":
             if g is None:
                 raise ValueError("dataflow needs an entry")
-            calls_in = kw["calls_in"] if "calls_in" in kw else self._calls_in(g)
-            paths, sinks = exact.data_flow(g, kw.get("source", g.entry), kw["variable"], calls_in, sink_of)
+            calls_in = kw["calls_in"] if "calls_in" in kw else exact.calls_in(g, self.index.calls)
+            named = n.select("name", "qualified_name", T.sink(F.col("name"), F.col("qualified_name")).alias("sink")).where("sink IS NOT NULL")
+            known = {(r["name"], r["qualified_name"]): r["sink"] for r in named.toLocalIterator()}  # of the nodes of one graph
+            paths, sinks = exact.data_flow(g, kw.get("source", g.entry), kw["variable"], calls_in, lambda *names: known.get(names))
             return {"paths": self.spark.createDataFrame([(p,) for p in paths], "nodes array<string>"), "sinks": self.spark.createDataFrame(sinks, "node_id string, sink string, variable string")}
         raise ValueError(f"unknown overlay: {kind}")
 
-    def _calls_in(self, g: exact.Graph) -> dict[str, list]:
-        """By file of the graph's nodes, the calls to any of them: (text, arguments or None); no entry for a file without calls."""
-        files = sorted({n.file_path for n in g.nodes.values()})
-        texts = sorted({x for n in g.nodes.values() for x in (n.name, n.qualified_name)})
-        own = self.index.calls.where(F.col("file_path").isin(files))
-        out: dict[str, list] = {r[0]: [] for r in own.select("file_path").distinct().collect()}  # a graph's files
-        for r in own.where(F.col("callee_name").isin(texts)).select("file_path", "callee_name", "arguments").distinct().toLocalIterator():
-            out[r["file_path"]].append((r["callee_name"], r["arguments"]))
-        return out
-
     def path(self, source: str, target: str) -> list[str]:
         """A shortest path between two nodes of the source's graph in both directions."""
-        return G.shortest_path(self.graph(source, "bidirectional").frames(self.spark)[1], source, target)
-
-
-def sink_of(name: str, qualified: str) -> str | None:
-    """As :func:`callweave.functions.text.sink`, of one node."""
-    return next((kind for kind, parts in T.SINKS if any(p.lower() in name.lower() or p.lower() in qualified.lower() for p in parts)), None)
+        return G.shortest_path(self.graph(source, "bidirectional").frames(self.spark)[1], source, target, G.SMALL)
 
 
 def rendered(g: exact.Graph, form: str, root: str = "") -> str:

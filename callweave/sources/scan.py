@@ -279,6 +279,16 @@ class Scanner:
                 return None
             size *= 4
 
+    def leading(self, pattern: str, end: int) -> re.Match | None:
+        """As :meth:`ending`, for a pattern that finds something in nearly any code: the window grows until it does."""
+        find, size = re.compile(pattern), 256
+        while True:
+            low = max(0, end - size)
+            m = find.search(self.code, low, end)
+            if low == 0 or m and m.start() > low:
+                return m
+            size *= 4
+
     def calls(self, named: set[int]) -> list[dict]:
         found = []
         sep = r"(?:\s*(?:\?\.|\.|::|->)\s*)"
@@ -300,8 +310,7 @@ class Scanner:
                         start = lead.start(1)
                 if start == 0:
                     break
-            before = self.code[max(0, start - 24) : start]
-            if re.search(r"\b(?:new|function|fn|func|class|let)\s*\*?\s*$", before) or self.lang == "rust" and self.before(m.end() - 1) == "!":
+            if self.ending(r"\b(?:new|function|fn|func|class|let)\s*\*?\s*$", start) or self.lang == "rust" and self.before(m.end() - 1) == "!":
                 continue
             text = re.sub(r"\s+", " ", self.text[start : m.end(1)]).strip()
             if self.lang in JS:
@@ -334,9 +343,11 @@ class Scanner:
         if self.lang in (*JS, "java", "csharp"):
             for m in re.finditer(r"(?<![?.])\?(?![?.:>,)\]])", self.code):
                 rest = self.code[m.end() : self.statement_end(m.end()) + 1]
-                if not re.search(r":(?!:)", re.sub(r"\{[^{}]*\}", "", rest)) or re.search(r"<[^<>]*$", self.code[max(0, m.start() - 40) : m.start()]):
-                    continue
-                lead = re.search(r"(?:^|[=(,;{}\[]|\breturn\b|=>)([^=(,;{}\[]*(?:\([^()]*\)[^=(,;{}\[]*)*)$", self.code[max(0, m.start() - 300) : m.start()])
+                if not re.search(r":(?!:)", re.sub(r"\{[^{}]*\}", "", rest)) or re.match(r"\s*(?:extends|super)\b", rest):
+                    continue  # a label's or an optional's mark, or the wildcard of a generic type
+                lead = self.leading(r"(?:^|[=(,;{}\[]|\breturn\b|=>)([^=(,;{}\[]*(?:\([^()]*\)[^=(,;{}\[]*)*)$", m.start())
+                if lead and re.search(r"\bextends\b", lead[1]):
+                    continue  # a type that hangs on another
                 start = m.start() - len(re.sub(r"^\s*(?:return\b|=>)?\s*", "", lead[1])) if lead else m.start()
                 add("ternary", start, m.end() + len(rest.rstrip()) - 1, 2, self.text[start : m.start()].strip())
         found.sort(key=lambda f: f["_at"])

@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from callweave.functions import render
 from callweave.operators import communities, exact
@@ -121,7 +122,7 @@ def edge_frame(spark, pairs):
 def test_bfs_small_and_distributed_agree(spark, pairs):
     e, start = edge_frame(spark, pairs), spark.createDataFrame([("0",)], "node_id string")
     near = sorted(map(tuple, G.bfs(e, start).collect()))
-    assert near == sorted(map(tuple, G.bfs(e, start, small=-1).collect()))
+    assert near == sorted(map(tuple, G.bfs(e, start, small=G.SMALL).collect()))
     dist, front = {0: 0}, [0]
     while front:
         front = [b for a in front for x, b in pairs if x == a and b not in dist and not dist.update({b: dist[a] + 1})]
@@ -132,6 +133,8 @@ def test_paths_and_views(spark):
     e = spark.createDataFrame([("a", "b", 0), ("b", "c", 1), ("a", "c", 2), ("c", "d", 3), ("d", "b", 4)], "source_id string, target_id string, seq long")
     assert G.shortest_path(e, "a", "d") == ["a", "c", "d"] and G.shortest_path(e, "d", "a") == ["d", "c", "a"] and G.shortest_path(e, "a", "z") == []
     assert G.max_depth(e, "a") == 2 and G.ancestors(e, "c")[0] == "a"
+    chains = {r["node_id"]: r["chain"] for r in G.ancestor_chains(e).collect()}
+    assert chains == {"b": ["d", "c", "a"], "c": ["a"], "d": ["c", "a"]}
     counts = {r[0]: r[1] for r in G.descendant_counts(e, spark.createDataFrame([("a",), ("b",), ("z",)], "node_id string")).collect()}
     assert counts == {"a": 3, "b": 3, "z": 0}
     seen = {r[0] for r in G.visible_nodes(e, "a", spark.createDataFrame([("c",)], "node_id string")).collect()}
@@ -162,3 +165,45 @@ def test_data_flow():
 def test_affected_paths():
     assert exact.affected_paths(["d"], {"d": ["a"]}, {"d": ["x", "y"]}) == [["a", "d", "x"], ["a", "d", "y"]]
     assert exact.affected_paths(["d"], {}, {}) == [["d"]]
+
+
+def test_ancestors_of_chains_and_circles(spark):
+    """Chains of any length, circles with tails, self loops and a tie, against a walk up from each node."""
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (7, 7), (200, 200), (50, 3)]
+    e = edge_frame(spark, pairs).withColumn("seq", F.monotonically_increasing_id())
+    seq = {(r["source_id"], r["target_id"]): r["seq"] for r in e.collect()}
+    parent = {}
+    for (a, b), _ in sorted(seq.items(), key=lambda x: x[1]):
+        parent[b] = a
+    want = {}
+    for n in parent:
+        chain, here = [], n
+        while (up := parent.get(here)) is not None and up not in (n, *chain):
+            chain.append(up)
+            here = up
+        if chain:
+            want[n] = chain
+    assert {r["node_id"]: r["chain"] for r in G.ancestor_chains(e).collect()} == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=30), st.sampled_from([None, 1, 2]))
+def test_descendants_by_walking(spark, pairs, depth):
+    def reached(n):
+        front = seen = {b for a, b in pairs if a == n}
+        for _ in range(100 if depth is None else depth - 1):
+            front = {b for a, b in pairs if a in front} - seen
+            seen = seen | front
+        return len(seen)
+
+    nodes = spark.createDataFrame([(str(i),) for i in range(14)], "node_id string")
+    got = {r["node_id"]: r["descendants"] for r in G.descendant_counts(edge_frame(spark, pairs), nodes, depth).collect()}
+    assert got == {str(i): reached(i) for i in range(14)}
+
+
+def test_descendants_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "BITS", 7)
+    e = edge_frame(spark, [(i, i + 1) for i in range(12)] + [(12, 4)])
+    nodes = spark.createDataFrame([(str(i),) for i in range(13)], "node_id string")
+    got = {r["node_id"]: r["descendants"] for r in G.descendant_counts(e, nodes).collect()}
+    assert got == {str(i): 12 - i if i < 4 else 9 for i in range(13)}

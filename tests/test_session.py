@@ -64,10 +64,10 @@ def test_data_flow_asks_for_calls(project):
     # from main into its conditional there is no call of that name, so nothing is passed on through it
     assert paths == set()
     g = project.graph(project.entry("main"), options=exact.Options(conditionals=False))
-    flow, sinks = exact.data_flow(g, g.entry, "id", project._calls_in(g), lambda n, q: "database_query" if "query" in n else None)
+    flow, sinks = exact.data_flow(g, g.entry, "id", exact.calls_in(g, project.index.calls), lambda n, q: "database_query" if "query" in n else None)
     last = {tuple(x.rsplit(":", 1)[1] for x in p) for p in flow}
     assert ("main", "load", "report", "saveAll", "other.query") in last and {k for _, k, _ in sinks} == {"database_query"}
-    calls = project._calls_in(g)
+    calls = exact.calls_in(g, project.index.calls)
     calls[next(f for f in calls if f.endswith("app.ts"))] = []  # a file whose calls name none of the targets
     assert exact.data_flow(g, g.entry, "id", calls, lambda n, q: None)[0] == []
 
