@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_circulant": op13_circulant,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_linededup": linededup.SQL, "op11_hardneg": hardneg.SQL, "op12_audit": audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op5_search": search.SQL, "op7_linededup": linededup.SQL, "op8_substring": substring.SQL, "op11_hardneg": hardneg.SQL, "op12_audit": audit.SQL}

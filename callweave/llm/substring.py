@@ -268,4 +268,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     return out.select("doc_id", "n_words", F.when(copies, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copies, F.lit(none)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, unnest([md5(array_to_string(w[s:s + 49], ' ')) FOR s IN range(1, len(w) - 48)]) AS h, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+b AS (SELECT doc_id, s FROM h JOIN (SELECT h, min(doc_id) AS least FROM h GROUP BY h) m USING (h) WHERE least < doc_id),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+c AS (SELECT w.doc_id, i, word, coalesce(i - max(s) OVER (PARTITION BY w.doc_id ORDER BY i) <= 49, false) AS gone FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND s = i),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 by_value(__name__)
