@@ -110,15 +110,16 @@ class Code:
             self._rows[o] = []
         for r in self.bodies.where(F.col("owner").isin(owners)).orderBy("owner", "seq").collect():
             self._rows[r["owner"]].append(r)
-        names = {t for o in owners for r in self._rows[o] for t in r["targets"]} | set(owners)
-        missing = sorted(names - self._symbols.keys())
-        if missing:
+        self.learn({t for o in owners for r in self._rows[o] for t in r["targets"]} | set(owners))
+
+    def learn(self, ids: set[str]) -> None:
+        """Fetch the symbols of those that are not known yet, together."""
+        if missing := sorted(ids - self._symbols.keys()):
             for r in self.symbols.where(F.col("node_id").isin(missing)).collect():
                 self._symbols[r["node_id"]] = node_of(r)
 
     def node(self, id_: str) -> Node:
-        if id_ not in self._symbols:
-            self._fetch([id_])
+        self.learn({id_})
         n = self._symbols[id_]
         return Node(**n.__dict__)
 
@@ -196,9 +197,18 @@ def upstream(code: Code, target: str, options: Options = Options()) -> Graph:
     cache: dict[str, list[str]] = {}
     stack, done = set(), set()
 
+    def fetch(names: list[str]) -> None:
+        cache.update({n: [] for n in names})
+        for r in around.where(F.col("callee_name").isin(names)).groupBy("callee_name", "sym_node_id").agg(F.min("seq").alias("s")).orderBy("callee_name", "s").collect():
+            cache[r["callee_name"]].append(r["sym_node_id"])
+        code.learn({c for n in names for c in cache[n]})
+
     def callers(name: str) -> list[str]:
         if name not in cache:
-            cache[name] = [r[0] for r in around.where(F.col("callee_name") == name).groupBy("sym_node_id").agg(F.min("seq").alias("s")).orderBy("s").select("sym_node_id").collect()]
+            fetch([name])
+            # the walk goes on to these, so theirs come with one more job
+            if more := sorted({code.node(c).name for c in cache[name]} - cache.keys()):
+                fetch(more[:2000])
         return cache[name]
 
     def visit(node: Node, depth: int):
