@@ -22,6 +22,7 @@ from .plans import sources
 from .plans.fixtures import Fixtures, oracle
 from .sources import cursor, history, lazy, readers
 from .sources import index as I
+from .streaming import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -832,6 +833,18 @@ def renamed_histories(fx: Fixtures) -> DataFrame:
     return history.current_names(rows).select("commit_id", "file_path", "status", "name_now")
 
 
+#: Lines that ask, cancel what was asked before, are no JSON, or are blank.
+ASKED = """asked AS (SELECT id, CASE WHEN id % 11 = 0 THEN ' ' WHEN id % 7 = 0 THEN concat('{', CAST(id AS VARCHAR(20))) WHEN id % 5 = 0 THEN concat('{"id": "r', CAST(id AS VARCHAR(20)), '", "type": "cancel", "payload": {"requestId": "r', CAST(id - 1 AS VARCHAR(20)), '"}}')
+  ELSE concat('{"id": "r', CAST(id AS VARCHAR(20)), '", "type": "analyze"}') END AS value FROM fx_annotations)"""
+
+
+@query(f"""WITH {ASKED} SELECT CASE WHEN id % 7 = 0 THEN concat('?', sha256(value)) ELSE concat('r', CAST(id AS VARCHAR(20))) END AS id, 'request' AS event, value AS line FROM asked WHERE id % 11 <> 0
+UNION ALL SELECT concat('r', CAST(id - 1 AS VARCHAR(20))), 'cancel', NULL FROM asked WHERE id % 11 <> 0 AND id % 7 <> 0 AND id % 5 = 0""")
+def request_events(fx: Fixtures) -> DataFrame:
+    lines = fx.spark.sql(f"WITH {ASKED.replace('{', '{{').replace('}', '}}').replace('fx_annotations', '{fx_annotations}')} SELECT value, id AS place FROM asked", fx_annotations=fx.annotations)
+    return requests.events(lines).select("id", "event", "line")
+
+
 # files with an odd number of lines lose them all, which leaves no line to report
 @query("SELECT file_path, start_line + 1 AS start_line, start_line + 40 AS end_line FROM fx_hunks WHERE start_line % 40 = 0")
 def diff_hunks(fx: Fixtures) -> DataFrame:

@@ -53,6 +53,9 @@ class Folder:
         finally:
             stream.close()
 
+    def has(self, name: str) -> bool:
+        return self._fs().exists(self.at(name))
+
     def names(self, *parts: str) -> list[str]:
         fs, where = self._fs(), self.at(*parts)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []

@@ -21,7 +21,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -75,7 +75,8 @@ class Desk:
 
     A request that runs longer than the project's limit is answered with TIMEOUT. A request
     for an entry point cancels one for the same that is still open. After a restart what is
-    open is worked on again, or with ``resume=False`` answered with ENGINE_RESTARTED.
+    open is worked on again, or with ``resume=False`` answered with ENGINE_RESTARTED. The
+    session's later streams keep their state in RocksDB too, which the desk's needs.
     """
 
     def __init__(self, service: Service, folder: str, threads: int = 4, resume: bool = True):
@@ -89,10 +90,13 @@ class Desk:
 
     # answers
 
+    @staticmethod
+    def _answer(id_: str) -> str:
+        return f"responses/{hashlib.sha256(id_.encode()).hexdigest()}.json"
+
     def respond(self, id_: str, answer: dict) -> bool:
         """Put the answer in place, unless the request has one; a reader never sees half of it."""
-        name = f"responses/{hashlib.sha256(id_.encode()).hexdigest()}.json"
-        return not self._closed and self._files.put(name, json.dumps({"key": id_, "answer": answer}), replace=False)
+        return not self._closed and self._files.put(self._answer(id_), json.dumps({"key": id_, "answer": answer}), replace=False)
 
     def answers(self) -> DataFrame:
         """(id, answer): every answer so far, as JSON text."""
@@ -147,6 +151,8 @@ class Desk:
         if bad is not None:
             self.respond(id_, bad)
             return
+        if self._files.has(self._answer(id_)):
+            return  # a batch that is repeated
         with self._lock:
             if id_ in self._open or self._closed:
                 return
@@ -199,9 +205,4 @@ def serve(service: Service, folder: str, threads: int = 4, resume: bool = True,
     return desk, desk.start(seconds)
 
 
-def session(builder: SparkSession.Builder) -> SparkSession:
-    """A session with the state store that the desk needs."""
-    return builder.config("spark.sql.streaming.stateStore.providerClass", STORE).getOrCreate()
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
