@@ -60,6 +60,17 @@ def discover(spark: SparkSession, root: str, include: list[str], exclude: list[s
     return files.select("file_path", "language_id", F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).alias("content") if hasattr(F, "is_valid_utf8") else F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Rows of a frame that a scan hands over; a file's own rows stay together.
+FRAME = 20_000
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_COLUMNS)
+    for c in ("pos", "line", "column", "name_column", "end_line", "branches"):
+        frame[c] = frame[c].astype("Int64")
+    return frame
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -79,10 +90,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append(base | {"tag": "import", "pos": i, "source": x["source"], "specifiers": x["specifiers"]})
             for x in found.errors:
                 rows.append(base | {"tag": "error", "line": x["line"], "column": x["column"], "text": x["message"]})
-        frame = pd.DataFrame(rows, columns=_COLUMNS)
-        for c in ("pos", "line", "column", "name_column", "end_line", "branches"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+            if len(rows) >= FRAME:
+                yield _frame(rows)
+                rows = []
+        yield _frame(rows)
 
 
 @dataclass
@@ -100,7 +111,9 @@ class Index:
     @staticmethod
     def build(files: DataFrame) -> Index:
         """Scan ``files`` (file_path, language_id, content, sha256) in parallel and derive every table."""
-        tagged = files.select("file_path", "language_id", "content").mapInPandas(_scan, TAGGED)
+        # a scan takes long beside its bytes, so files are dealt out to all cores, however few bytes they have
+        dealt = files.select("file_path", "language_id", "content").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file_path")
+        tagged = dealt.mapInPandas(_scan, TAGGED)
         return Index.of(tagged, files.select("file_path", "language_id", "sha256"))
 
     @staticmethod

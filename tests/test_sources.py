@@ -1,6 +1,7 @@
 """Scanner, index, readers, configuration, service and stream."""
 
 import json
+import time
 
 import pytest
 
@@ -161,3 +162,10 @@ def test_line_offset_mode(spark):
     s = spark.createDataFrame([("f", "function", "a.ts", 4, "a.ts:4:f")], "name string, kind string, file_path string, line long, node_id string")
     hunk = spark.createDataFrame([("/r/a.ts", 5, 5)], "file_path string, start_line long, end_line long")
     assert O.modified_nodes(s, hunk).count() == 0 and O.modified_nodes(s, hunk, compat=False).count() == 1
+
+
+@pytest.mark.parametrize("lang, line", [("python", "def fn{0}(a):\n    if a > 1:\n        fn{0}(a)\n"), ("rust", "fn fn{0}(a: i32) {{\n  match a {{\n    1 => fn{0}(a),\n    _ => obj.fn{0}(a),\n  }}\n}}\n"), ("typescript", "const fn{0} = (a) => a > 1 ? fn{0}(a) : a\n")])
+def test_a_scan_costs_what_the_file_is_long(lang, line):
+    began = time.perf_counter()
+    found = S.scan("a", "".join(line.format(i) for i in range(2000)), lang)
+    assert len(found.symbols) == len(found.conditionals) == 2000 and time.perf_counter() - began < 15
