@@ -207,3 +207,41 @@ def test_descendants_in_blocks(spark, monkeypatch):
     nodes = spark.createDataFrame([(str(i),) for i in range(13)], "node_id string")
     got = {r["node_id"]: r["descendants"] for r in G.descendant_counts(e, nodes).collect()}
     assert got == {str(i): 12 - i if i < 4 else 9 for i in range(13)}
+
+
+def test_callers_by_name_are_no_row_for_each_namesake(spark, monkeypatch):
+    callers = spark.createDataFrame([("a", "f"), ("b", "g"), ("c", "f"), ("a", "h")], "source_id string, callee_name string")
+    names = spark.createDataFrame([("f", f"f{i}") for i in range(500)] + [("g", "a"), ("h", "h")], "name string, node_id string")
+    sizes, real = [], G.checkpointed
+    monkeypatch.setattr(G, "checkpointed", lambda df: sizes.append((out := real(df)).count()) or out)
+    starts = spark.createDataFrame([("f3",)], "node_id string")
+    assert {tuple(r) for r in G.bfs_by_name(callers, names, starts).collect()} == {("f3", 0), ("a", 1), ("c", 1), ("b", 2)}
+    assert {tuple(r) for r in G.bfs_by_name(callers, names, starts, 1).collect()} == {("f3", 0), ("a", 1), ("c", 1)}
+    assert max(sizes) <= 4 + 502
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_descendants_around_a_large_cycle(spark, seed, monkeypatch):
+    import random
+
+    draw = random.Random(seed)
+    ring = [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)] if seed else []
+    edges = ring + [(draw.choice("rst") + str(draw.randrange(30)), draw.choice("rsu") + str(draw.randrange(30))) for _ in range(25)]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def closure(n):
+        seen, front = set(), [n]
+        while front:
+            new = out.get(front.pop(), set()) - seen
+            seen |= new
+            front += new
+        return len(seen)
+
+    asked, real = [], G._descendant_bitmaps
+    monkeypatch.setattr(G, "_descendant_bitmaps", lambda e, *more: asked.append(e.count()) or real(e, *more))
+    nodes = sorted({x for e in edges for x in e} | {"alone"})
+    got = {r[0]: r[1] for r in G.descendant_counts(spark.createDataFrame(edges, "source_id string, target_id string"), spark.createDataFrame([(n,) for n in nodes], "node_id string")).collect()}
+    assert got == {n: closure(n) for n in nodes}
+    assert not seed or all(n <= 25 for n in asked)  # no edge of the ring takes a bitmap
