@@ -245,3 +245,16 @@ def test_descendants_around_a_large_cycle(spark, seed, monkeypatch):
     got = {r[0]: r[1] for r in G.descendant_counts(spark.createDataFrame(edges, "source_id string, target_id string"), spark.createDataFrame([(n,) for n in nodes], "node_id string")).collect()}
     assert got == {n: closure(n) for n in nodes}
     assert not seed or all(n <= 25 for n in asked)  # no edge of the ring takes a bitmap
+
+
+def test_declarations_are_dispatched_in_entered_bodies_only(spark):
+    rows = [("m:0:main", "main", "m", 0, 0, 5, 0), ("d:0:f", "f", "d", 0, 0, 0, 1)] + [(f"i{i}:0:f", "f", f"i{i}", 0, 0, 3, 2 + i) for i in range(40)]
+    symbols = spark.createDataFrame([(i, n, n, "function", p, at, a, b, "public", s) for i, n, p, at, a, b, s in rows], "node_id string, name string, qualified_name string, kind string, file_path string, line long, body_start long, body_end long, visibility string, seq long")
+    calls = spark.createDataFrame([("m", 1, 0, "f", 0)], "file_path string, line long, col_no long, callee_name string, seq long")
+    conds = spark.createDataFrame([], "file_path string, line long, end_line long, kind string, branches long, seq long")
+    code = exact.Code(symbols, calls, conds)
+    assert "targets" not in code.bodies.columns
+    few = exact.downstream(code, "m:0:main", exact.Options(5, 10))
+    assert list(few.nodes) == ["m:0:main", *[f"i{i}:0:f" for i in range(9)]] and few.cap_hit and max(len(r["targets"]) for r in code._rows["m:0:main"]) == 11
+    whole = exact.downstream(code, "m:0:main", exact.Options(5, 500))
+    assert list(whole.nodes) == ["m:0:main", *[f"i{i}:0:f" for i in range(40)]] and not whole.cap_hit
