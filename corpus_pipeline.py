@@ -1,6 +1,6 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
 
-Near-dedup takes circulant MinHash for its candidates, not SimHash: see README.
+Near-dedup unites the links of SimHash with those of circulant MinHash, whose similarity SimHash does not reach: see README.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import circulant, langid, linededup, mixing, packing
+from callweave.llm import circulant, langid, linededup, mixing, packing, simhash
+from callweave.llm.components import components
 from callweave.llm.queries import tokenizer_path
 from callweave.llm.shared import SPACE, WORD, maybe_broadcast, table, written
 
@@ -48,10 +49,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (one row of it)."""
     rows = keyed(docs)
-    groups = written(circulant.near_duplicates(rows, KEY, shingle=5, percent=80, bands=BANDS, rows=ROWS, blank_alike=True))
-    lost = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY)).distinct())
+    close = circulant.near_duplicates(rows, KEY, shingle=5, percent=80, bands=BANDS, rows=ROWS, blank_alike=True)
+    alike = simhash.groups(simhash.fingerprints(rows, KEY))
+    links = [d.where("doc_id <> component_id").select("doc_id", "component_id") for d in (alike, close)]
+    groups = components(links[0].unionByName(links[1]), "doc_id", "component_id")
+    lost = written(groups.where("node <> component").select(F.col("node").alias(KEY)).distinct())
     kept = rows.join(maybe_broadcast(lost), KEY, "left_anti")
-    repeats = written(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("n")).where("n > 1").select(KEY))
+    repeats = written(rows.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY))
     if repeats.count():
         again = kept.join(maybe_broadcast(repeats), KEY, "left_semi").dropDuplicates([KEY])
         kept = kept.join(maybe_broadcast(repeats), KEY, "left_anti").unionByName(again)

@@ -59,6 +59,13 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert kept == list(range(20))
 
 
+def test_near_dedup_takes_the_links_of_simhash(spark, monkeypatch):
+    alone = lambda docs, key, **_: docs.select(F.col(key).alias("doc_id"), F.col(key).alias("component_id"))
+    monkeypatch.setattr(P.circulant, "near_duplicates", alone)
+    rows = [(1, "a b c d e f g", "en", "s", 0), (2, "A b c d e f g", "en", "s", 0), (3, "h i j k l m n", "en", "s", 0)]
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, spark.createDataFrame(rows, DOCS), DATA).collect()) == [1, 3]
+
+
 def test_language_stage_rejects_only_what_has_no_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     junk = spark.createDataFrame([(10**6, "1234 5678", "en", "s", 0), (10**6 + 1, None, "en", "s", 0)], DOCS)
