@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callweave.functions import render
+from callweave.operators import calls as C
 from callweave.operators import communities, exact
 from callweave.operators import graph as G
 from callweave.operators import overlays as O
@@ -258,3 +259,30 @@ def test_declarations_are_dispatched_in_entered_bodies_only(spark):
     assert list(few.nodes) == ["m:0:main", *[f"i{i}:0:f" for i in range(9)]] and few.cap_hit and max(len(r["targets"]) for r in code._rows["m:0:main"]) == 11
     whole = exact.downstream(code, "m:0:main", exact.Options(5, 500))
     assert list(whole.nodes) == ["m:0:main", *[f"i{i}:0:f" for i in range(40)]] and not whole.cap_hit
+
+
+def test_enclosing_leaves_rows_where_the_join_dealt_them(spark):
+    points = spark.createDataFrame([("f", i, 0, "x") for i in range(200)], "file_path string, line long, col_no long, callee_name string")
+    bodies = spark.createDataFrame([(f"n{i}", "f", 10 * i, 10 * i + 12, i) for i in range(20)], "node_id string, file_path string, body_start long, body_end long, seq long").hint("merge")
+    got = C.enclosing(points, bodies, points.columns, "first")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the join's two sides
+    assert {(r["line"], r["sym_node_id"]) for r in got.collect()} == {(i, f"n{max(0, -(-(i - 12) // 10))}") for i in range(200)}
+
+
+def test_import_sources_meet_paths_once(spark):
+    symbols = spark.createDataFrame([("m", f"src/a{i}.ts", f"n{i}", 10 - i) for i in range(4)] + [("other", "src/z.ts", "z", 0)], "name string, file_path string, node_id string, seq long")
+    calls = spark.createDataFrame([("src/q.ts", "obj.m"), ("src/r.ts", "obj.m"), ("src/q.ts", "obj.m"), ("src/z.ts", None)], "file_path string, callee_name string")
+    imports = spark.createDataFrame([("src/q.ts", "./a1"), ("src/q.ts", "./a3"), ("src/q.ts", None), ("src/r.ts", "react")], "file_path string, source string")
+    found = C.resolve_calls(calls, symbols, imports)
+    assert sorted((r["file_path"], r["target"]) for r in found.collect()) == [("src/q.ts", "n3"), ("src/q.ts", "n3"), ("src/r.ts", None), ("src/z.ts", None)]
+    assert "exists(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no caller is tried against every path
+
+
+def test_upstream_prepares_no_bodies(spark):
+    symbols = spark.createDataFrame([("a", "a", "function", "f", 0, 0, 5, "default", "f:0:a", 0), ("b", "b", "function", "f", 10, 10, 15, "default", "f:10:b", 1)], "name string, qualified_name string, kind string, file_path string, line long, body_start long, body_end long, visibility string, node_id string, seq long")
+    calls = spark.createDataFrame([("f", 12, 0, "a", 0)], "file_path string, line long, col_no long, callee_name string, seq long")
+    conds = spark.createDataFrame([], "file_path string, line long, end_line long, kind string, branches long, seq long")
+    code = exact.Code(symbols, calls, conds)
+    assert list(exact.upstream(code, "f:0:a").nodes) == ["f:0:a", "f:10:b"] and "bodies" not in code.__dict__
+    down = exact.downstream(code, "f:10:b")
+    assert [(e.source, e.target) for e in down.edges] == [("f:10:b", "f:0:a")] and "target" not in code.bodies.columns
