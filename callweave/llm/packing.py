@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,7 @@ class Ids:
     """Token ids by the tokenizer file, through a faster reader of the same vocabulary where both agree."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast = path, None
         try:
             import tiktoken
             from public_tokenizers import PATTERN
@@ -99,6 +97,13 @@ class Ids:
         except (ImportError, OSError):
             pass
 
+    @cached_property
+    def slow(self):
+        """Read with the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and not COMMON.search(text):
             return self.fast.encode_ordinary(text)
@@ -163,8 +168,10 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             yield out(whole)
         yield from flush()
 
-    # a task leaves a sequence or so unfilled, so partitions of few rows are read together
-    return docs.select(doc_id, text).coalesce(max(1, -(-docs.count() // TASK_ROWS))).mapInArrow(run, schema)
+    # a task leaves a sequence or so unfilled, so partitions of few rows are read together; never more partitions than
+    # there are: Spark would take this number in place of a smaller one that the caller set
+    texts = docs.select(doc_id, text)
+    return texts.coalesce(max(1, min(texts.rdd.getNumPartitions(), -(-docs.count() // TASK_ROWS)))).mapInArrow(run, schema)
 
 
 def pack_examples(examples: DataFrame, tokens: str, loss: str, limits: Limits = Limits()) -> DataFrame:
