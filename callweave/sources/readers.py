@@ -33,9 +33,13 @@ def lcov(spark: SparkSession, path: str) -> DataFrame:
 
 def istanbul(spark: SparkSession, path: str) -> DataFrame:
     """A line's hits are the most of any statement that covers it. A report's files are read by many tasks."""
-    doc = nested.json_entries(spark, path).select(F.explode(F.from_json("value", ISTANBUL)).alias("file_path", "f"))
-    each = doc.select("file_path", F.explode("f.statementMap").alias("id", "at"), F.col("f.s").alias("s"))
-    spread = each.select("file_path", F.explode(F.sequence("at.start.line", "at.end.line")).alias("line"), F.coalesce(F.try_element_at("s", "id"), F.lit(0)).alias("hits"))
+    doc = nested.json_entries(spark, path).select(F.struct("file", "entry").alias("_at"), F.explode(F.from_json("value", ISTANBUL)).alias("file_path", "f"))
+    # a statement's place and its hits stand in two maps: both are dealt out by id, as a look-up in a map goes through all of it
+    none = F.lit(None).cast("long")
+    places = F.transform(F.map_entries("f.statementMap"), lambda e: F.struct(e["key"].alias("id"), e["value"]["start"]["line"].alias("start"), e["value"]["end"]["line"].alias("end"), none.alias("hits")))
+    hits = F.transform(F.map_entries("f.s"), lambda e: F.struct(e["key"].alias("id"), none.alias("start"), none.alias("end"), e["value"].alias("hits")))
+    each = doc.select("_at", "file_path", F.explode(F.concat(places, F.coalesce(hits, F.slice(places, 1, 0)))).alias("x")).groupBy("_at", "file_path", "x.id").agg(F.max("x.start").alias("start"), F.max("x.end").alias("end"), F.max("x.hits").alias("hits"))
+    spread = each.select("file_path", F.explode(F.sequence("start", "end")).alias("line"), F.coalesce("hits", F.lit(0)).alias("hits"))
     return spread.groupBy("file_path", "line").agg(F.max("hits").alias("hits")).withColumn("seq", F.lit(0).cast("long"))
 
 
