@@ -21,6 +21,8 @@ for _module in (S, sys.modules[__name__]):
 #: More than any file has symbols, calls or conditionals.
 PLACES = 1 << 24
 TABLES = ("symbols", "calls", "conditionals", "imports", "exports", "errors", "files")
+#: What a scan looks for; errors are found with the first three.
+KINDS = ("symbols", "calls", "conditionals", "imports")
 #: What one file's scan gives, every kind in one row shape.
 TAGGED = "tag string, file_path string, language_id string, pos long, name string, qualified_name string, kind string, line long, column long, name_column long, end_line long, branches long, text string, visibility string, source string, specifiers array<string>"
 _COLUMNS = [c.split()[0] for c in TAGGED.split(", ")]
@@ -71,7 +73,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return frame
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame], kinds: tuple[str, ...] = KINDS) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, lang, text in zip(batch["file_path"], batch["language_id"], batch["content"]):
@@ -79,14 +81,14 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is None:
                 rows.append(base | {"tag": "error", "line": 0, "column": 0, "text": "Not readable as UTF-8"})
                 continue
-            found = S.scan(path, text, lang)
+            found = S.scan(path, text, lang, kinds) if set(kinds) - {"imports"} else S.Found()
             for i, x in enumerate(found.symbols):
                 rows.append(base | {"tag": "symbol", "pos": i, "name": x["name"], "qualified_name": x["qualified_name"], "kind": x["kind"], "line": x["line"], "column": x["column"], "end_line": x["body_end"], "text": x["signature"], "visibility": x["visibility"]})
             for i, x in enumerate(found.calls):
                 rows.append(base | {"tag": "call", "pos": i, "name": x["callee_name"], "line": x["line"], "column": x["column"], "name_column": x["name_column"]})
             for i, x in enumerate(found.conditionals):
                 rows.append(base | {"tag": "conditional", "pos": i, "kind": x["kind"], "line": x["line"], "column": x["column"], "end_line": x["end_line"], "branches": x["branches"], "text": x["condition_text"]})
-            for i, x in enumerate(S.imports(path, text, lang)):
+            for i, x in enumerate(S.imports(path, text, lang) if "imports" in kinds else []):
                 rows.append(base | {"tag": "import", "pos": i, "source": x["source"], "specifiers": x["specifiers"]})
             for x in found.errors:
                 rows.append(base | {"tag": "error", "line": x["line"], "column": x["column"], "text": x["message"]})
@@ -109,11 +111,11 @@ class Index:
     files: DataFrame
 
     @staticmethod
-    def build(files: DataFrame) -> Index:
-        """Scan ``files`` (file_path, language_id, content, sha256) in parallel and derive every table."""
+    def build(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> Index:
+        """Scan ``files`` (file_path, language_id, content, sha256) in parallel and derive every table; of ``kinds`` left out, and what comes of them, there are no rows."""
         # a scan takes long beside its bytes, so files are dealt out to all cores, however few bytes they have
         dealt = files.select("file_path", "language_id", "content").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file_path")
-        tagged = dealt.mapInPandas(_scan, TAGGED)
+        tagged = dealt.mapInPandas(lambda batches: _scan(batches, kinds), TAGGED)
         return Index.of(tagged, files.select("file_path", "language_id", "sha256"))
 
     @staticmethod
