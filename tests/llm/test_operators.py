@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -481,6 +482,22 @@ def bm25_plainly(rows, asked, k=10):
             yield q, sorted(s for s in score if s[0] < 0)[:k]
 
 
+def test_queries_pass_a_shard_one_after_another(monkeypatch):
+    words = {w: xxhash.xxh64_intdigest(w.encode(), 3) >> 1 for w in "ab"}
+    terms = np.sort(np.array(list(words.values()), np.int64))
+    doc = lambda shard, i, text: (shard, -1, i, text, None, None, None, None)
+    lot = lambda shard, n: [(shard, n, None, None, terms.tobytes(), np.array([3, 3], np.int64).tobytes(), None, None)] + [(shard, n, 10 * n + i, None, None, None, np.array([0, 1], np.int32).tobytes(), None) for i in range(3)]
+    rows = [doc(0, 90, "a b"), doc(0, 91, "a"), *lot(0, 0), *lot(0, 1), *lot(1, 0), doc(2, 92, "A b b"), *lot(2, 5)]
+    names, types = zip(("shard", pa.int32()), ("lot", pa.int32()), ("id", pa.int64()), ("text", pa.string()), ("terms", pa.binary()), ("df", pa.binary()), ("number", pa.binary()), ("least", pa.float64()))
+    read = []
+    feed = (read.append(i) or pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, types)], list(names)) for i, r in enumerate(rows))
+    monkeypatch.setattr(search, "FOUND", 4)
+    found = search._finder(10, 9, 2.0)(feed)
+    assert next(found).num_rows == 4 and len(read) == 5  # handed over before the second lot is read
+    rest = [(r["query_id"], r["doc_id"]) for b in found for r in b.to_pylist()]
+    assert rest[2:] == [(q, d) for q in (10, 11, 12) for d in (90, 91)] + [(q, 92) for q in (50, 51, 52)]
+
+
 @pytest.mark.parametrize("shard_words", [search.SHARD_WORDS, 3000])
 def test_search(spark, docs, shard_words):
     got = defaultdict(list)
