@@ -269,6 +269,24 @@ def test_enclosing_leaves_rows_where_the_join_dealt_them(spark):
     assert {(r["line"], r["sym_node_id"]) for r in got.collect()} == {(i, f"n{max(0, -(-(i - 12) // 10))}") for i in range(200)}
 
 
+def test_enclosing_sorts_no_points(spark):
+    points = spark.createDataFrame([("f", i, 0, "x") for i in range(200)] + [("f", None, 0, "x"), ("g", 5, 0, "x")], "file_path string, line long, col_no long, callee_name string")
+    bodies = spark.createDataFrame([(f"n{i}", "a", "f", 10 * i, 10 * i + 12, i) for i in range(20)] + [("all", "b", "f", 0, 300, 99), ("same", "a", "f", 0, 12, 50), ("bad", "a", "f", 9, 3, 0)], "node_id string, name string, file_path string, body_start long, body_end long, seq long").hint("merge")
+    for mode, want in (("smallest", lambda i: f"n{max(0, -(-(i - 12) // 10))}"), ("first", lambda i: f"n{max(0, -(-(i - 12) // 10))}")):
+        got = C.enclosing(points, bodies, points.columns, mode)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan and "Window" not in plan
+        assert sorted((r["line"], r["sym_node_id"], r["sym_name"]) for r in got.collect()) == [(i, want(i), "a") for i in range(200)]
+
+
+def test_edges_with_repeats_are_shuffled_once(spark):
+    calls = spark.createDataFrame([("f", i, i % 3, "g") for i in range(20)], "file_path string, line long, col_no long, callee_name string")
+    symbols = spark.createDataFrame([("g", "f", "f:0:g", 0, 9, 0), ("h", "f", "f:10:h", 10, 19, 1)], "name string, file_path string, node_id string, body_start long, body_end long, seq long")
+    every = C.call_edges(calls, symbols, repeats=True)
+    assert every.count() == 20 and sorted(map(tuple, every.distinct().collect())) == sorted(map(tuple, C.call_edges(calls, symbols).collect())) == [("f:0:g", "f:0:g"), ("f:10:h", "f:0:g")]
+    assert every._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the bodies' and the points' bins
+
+
 def test_import_sources_meet_paths_once(spark):
     symbols = spark.createDataFrame([("m", f"src/a{i}.ts", f"n{i}", 10 - i) for i in range(4)] + [("other", "src/z.ts", "z", 0)], "name string, file_path string, node_id string, seq long")
     calls = spark.createDataFrame([("src/q.ts", "obj.m"), ("src/r.ts", "obj.m"), ("src/q.ts", "obj.m"), ("src/z.ts", None)], "file_path string, callee_name string")
