@@ -304,3 +304,26 @@ def test_upstream_prepares_no_bodies(spark):
     assert list(exact.upstream(code, "f:0:a").nodes) == ["f:0:a", "f:10:b"] and "bodies" not in code.__dict__
     down = exact.downstream(code, "f:10:b")
     assert [(e.source, e.target) for e in down.edges] == [("f:10:b", "f:0:a")] and all("/stored-" in f for f in code.bodies.inputFiles())
+
+
+def test_sweeps_send_numbers_and_give_the_plain_answer(spark):
+    ids = [f"n{(i * 37) % 60}" for i in range(60)]
+    links = {tuple(sorted((f"n{i}", f"n{(i * i + j) % 23}"))) for i in range(50) for j in range(3)}
+    links = sorted(p for p in links if p[0] != p[1])
+    nodes, pairs = spark.createDataFrame([(n, i) for i, n in enumerate(ids)], "node_id string, seq long"), spark.createDataFrame(links, "a string, b string")
+    names, both, label, parts = communities._numbered(nodes, pairs)
+    assert {f.dataType.simpleString() for f in both.schema.fields} <= {"bigint", "int"} and both.count() == 2 * len(links)
+    own, near = {n: n for n in ids}, {n: [] for n in ids}
+    for a, b in links:
+        near[a].append(b)
+        near[b].append(a)
+    for _ in range(2):
+        votes = {n: [own[m] for m in near[n]] for n in ids}
+        own = {n: min(set(v), key=lambda c, v=v: (-v.count(c), c)) if v else own[n] for n, v in votes.items()}
+    assert dict(map(tuple, communities.propagate(nodes, pairs, 2).collect())) == own
+
+
+def test_dealt_rows_stay_where_they_lie(spark):
+    edges = G.dealt(spark.createDataFrame([("a", "b"), ("b", "c")], "source_id string, target_id string").repartition(8, "source_id").distinct())
+    plan = edges.groupBy("source_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
