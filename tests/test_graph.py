@@ -327,3 +327,15 @@ def test_dealt_rows_stay_where_they_lie(spark):
     edges = G.dealt(spark.createDataFrame([("a", "b"), ("b", "c")], "source_id string, target_id string").repartition(8, "source_id").distinct())
     plan = edges.groupBy("source_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_resolving_reads_calls_for_the_last_join_alone(spark, tmp_path, monkeypatch):
+    symbols = spark.createDataFrame([("m", f"src/a{i}.ts", f"n{i}", 10 - i) for i in range(4)] + [("other", "src/z.ts", "z", 0)], "name string, file_path string, node_id string, seq long")
+    imports = spark.createDataFrame([("src/q.ts", "./a1")], "file_path string, source string")
+    spark.createDataFrame([("src/q.ts", "obj.m"), ("src/z.ts", "other"), ("src/q.ts", "obj.m"), ("src/z.ts", "none"), ("src/z.ts", None)], "file_path string, callee_name string").write.parquet(str(tmp_path / "calls"))
+    calls = spark.read.parquet(str(tmp_path / "calls"))
+    for few in (C.FEW_TEXTS, 0):
+        monkeypatch.setattr(C, "FEW_TEXTS", few)
+        found = C.resolve_calls(calls, symbols, imports)
+        assert sorted((r["callee_name"] or "", r["target"]) for r in found.collect()) == [("", None), ("none", None), ("obj.m", "n1"), ("obj.m", "n1"), ("other", "z")]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [file_path") == 1
