@@ -1,3 +1,4 @@
+from callweave import queries
 from callweave.plans import fixtures
 from callweave.queries import QUERIES
 
@@ -19,3 +20,9 @@ def test_more_rows_make_more_tasks_of_a_stored_view(spark, monkeypatch):
     sites = fixtures.Fixtures(spark, sf).call_sites
     assert len(sites.inputFiles()) == 20 and sorted(map(tuple, sites.collect())) == want
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get(fixtures.JOINED) == "true"
+
+
+def test_calls_are_routed_once_for_nodes_and_edges(spark):
+    for part in queries._flow(fixtures.Fixtures(spark, "/root/testdata/sf0.001")):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "route_line" not in plan and any("/stored-" in f for f in part.inputFiles())
