@@ -1,5 +1,10 @@
+from collections import Counter
+
 import pandas as pd
+from pyspark.sql import functions as F
+
 from callweave import queries
+from callweave.operators import calls as C
 from callweave.queries import QUERIES
 from callweave.sources import index as I
 from callweave.sources import readers
@@ -31,3 +36,13 @@ def test_a_scan_looks_only_for_what_is_asked(monkeypatch):
     assert tags("symbols") == {"symbol"} and tags("conditionals") == {"conditional"}
     monkeypatch.setattr(I.S, "scan", None)
     assert tags("imports") == {"import"}
+
+
+def test_pairs_of_one_name_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(C, "CALLER_LOT", 20)
+    monkeypatch.setattr(C, "NAMED_LOT", 5)
+    symbols = spark.createDataFrame([(f"c{i}", "caller", f"f{i}", 1, 9) for i in range(200)] + [(f"d{i}", "hot", "g", 0, -1) for i in range(30)] + [("e", "cold", "g", 0, -1)], "node_id string, name string, file_path string, body_start long, body_end long")
+    calls = spark.createDataFrame([(f"f{i}", i % 9 + 1, n) for i in range(200) for n in ("hot", "cold", "none")], "file_path string, line long, callee_name string")
+    found = C.callees_in(symbols, calls, F.lit(True)).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r["caller_id"], r["callee_id"]) for r in found) == sorted((f"c{i}", d) for i in range(200) for d in ["e", *[f"d{j}" for j in range(30)]])
+    assert max(Counter(r["at"] for r in found).values()) < len(found) / 2
