@@ -306,6 +306,18 @@ def test_upstream_prepares_no_bodies(spark):
     assert [(e.source, e.target) for e in down.edges] == [("f:10:b", "f:0:a")] and all("/stored-" in f for f in code.bodies.inputFiles())
 
 
+def test_upstream_fetches_no_more_callers_than_nodes(spark, monkeypatch):
+    # 40 callers of a, each called by 30 others and by itself
+    symbols = [symbol("a", 0, 5)] + [symbol(f"c{i}", 10 * i + 10, 10 * i + 15) for i in range(70)]
+    calls = [(f"c{j}", 10 * i + 11) for i in range(40, 70) for j in range(40)] + [(f"c{i}", 10 * i + 11) for i in range(40)] + [("a", 10 * i + 12) for i in range(40)]
+    asked = []
+    monkeypatch.setattr(exact.Code, "learn", lambda self, ids, own=exact.Code.learn: asked.append(len(ids)) or own(self, ids))
+    up = exact.upstream(code(spark, symbols, calls), ids("a", 0), exact.Options(max_nodes=6))
+    assert [n.name for n in up.nodes.values()] == ["a", "c0", "c40", "c41", "c42", "c43"] and up.cap_hit and up.truncated
+    assert [(e.source.rsplit(":", 1)[1], e.target.rsplit(":", 1)[1]) for e in up.edges] == [("c0", "a"), *[(f"c{i}", "c0") for i in range(40, 44)]]
+    assert up.nodes[ids("c0", 10)].line == 10 and max(asked) <= 7
+
+
 def test_sweeps_send_numbers_and_give_the_plain_answer(spark):
     ids = [f"n{(i * 37) % 60}" for i in range(60)]
     links = {tuple(sorted((f"n{i}", f"n{(i * i + j) % 23}"))) for i in range(50) for j in range(3)}
