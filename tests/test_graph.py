@@ -335,6 +335,31 @@ def test_sweeps_send_numbers_and_give_the_plain_answer(spark):
     assert dict(map(tuple, communities.propagate(nodes, pairs, 2).collect())) == own
 
 
+def test_moving_gives_the_plain_answer_and_plans_do_not_grow(spark, monkeypatch):
+    links = sorted({tuple(sorted((f"n{i:02}", f"n{(i * i + 7 * j) % 41:02}"))) for i in range(41) for j in range(3)} - {(f"n{i:02}", f"n{i:02}") for i in range(41)})
+    nodes, pairs = spark.createDataFrame([(f"n{i:02}", i) for i in range(42)], "node_id string, seq long"), spark.createDataFrame(links, "a string, b string")
+    sizes = []
+    bits = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+    monkeypatch.setattr(communities, "_heard", lambda both, label, own=communities._heard: sizes.append(bits(label)) or own(both, label))
+    got = dict(map(tuple, communities.move(nodes, pairs, 5).collect()))
+    turn = {r["node_id"]: r["turn"] for r in communities._numbered(nodes, pairs)[0].collect()}
+    near = {n: [b if a == n else a for a, b in links if n in (a, b)] for n in sorted(turn)}
+    home, double, quiet = {n: n for n in near}, 2.0 * len(links), 0
+    for i in range(2 * 5):
+        weight = {c: sum(len(near[n]) for n in near if home[n] == c) for c in home.values()}
+
+        def key(n, c, home=home, weight=weight):
+            rest = weight[c] - (len(near[n]) if c == home[n] else 0)
+            return (-(sum(home[m] == c for m in near[n]) / double - 2.0 * rest * len(near[n]) / double**2), c != home[n], c)
+
+        new = {n: min({home[n], *(home[m] for m in near[n])}, key=lambda c, n=n: key(n, c)) if turn[n] == i % 2 else home[n] for n in near}
+        quiet, home = (quiet + 1 if new == home else 0), new
+        if quiet == 2:
+            break
+    assert got == {f"n{i:02}": home.get(f"n{i:02}", f"n{i:02}") for i in range(42)}
+    assert len(sizes) == i + 1 and max(sizes) <= 64 and len(sizes) > 4
+
+
 def test_dealt_rows_stay_where_they_lie(spark):
     edges = G.dealt(spark.createDataFrame([("a", "b"), ("b", "c")], "source_id string, target_id string").repartition(8, "source_id").distinct())
     plan = edges.groupBy("source_id").count()._jdf.queryExecution().executedPlan().toString()
