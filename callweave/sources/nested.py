@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import checkpointed
 
+#: Pieces that a task takes, and a block: Spark would count them by their compressed bytes, and alike texts are little of these.
+TASK_PIECES, BLOCK_PIECES = 250_000, 25_000
 
-def before(rows: DataFrame, value: Column, out: str) -> DataFrame:
+
+def before(rows: DataFrame, value: Column, out: str, tasks: int) -> DataFrame:
     """``rows`` (file, block, n, ..) with the sum of ``value`` over all rows of the file before each, a block at a time."""
-    rows = rows.withColumn("_v", value.cast("long"))
+    rows = rows.withColumn("_v", value.cast("long")).repartition(tasks, "file", "block")
     totals = rows.groupBy("file", "block").agg(F.sum("_v").alias("_all"))
     blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("file", "block", F.coalesce(F.sum("_all").over(blocks), F.lit(0)).alias("_shift"))
@@ -33,20 +36,24 @@ def json_entries(spark: SparkSession, path: str) -> DataFrame:
     outer object is left out; an empty or blank file gives nothing.
     """
     raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    # a block of the file is cut into blocks of few pieces
+    raw = raw.withColumn("block", F.struct("block", F.floor(F.col("n") / BLOCK_PIECES).alias("cut")))
     # escapes never straddle a piece: a brace is not escaped in JSON
     parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
     opens, closes = lambda s: F.length(F.regexp_replace(s, r"[^{\[]+", "")), lambda s: F.length(F.regexp_replace(s, r"[^\]]+", ""))
     braces = lambda odd: (lambda s: opens(s) - closes(s))(F.array_join(F.filter(parts, lambda x, i: i % 2 == odd), ""))
     pieces = checkpointed(raw.select("file", "block", "n", "value", (F.size(parts) - 1).alias("quotes"), braces(0).alias("outside"), braces(1).alias("inside")))
-    pieces = before(pieces, F.col("quotes"), "quoted")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pieces.count() // TASK_PIECES))
+    pieces = before(pieces, F.col("quotes"), "quoted", tasks)
     starts_in, ends_in = F.col("quoted") % 2 == 1, (F.col("quoted") + F.col("quotes")) % 2 == 1
     opened = F.when(starts_in, F.col("inside")).otherwise(F.col("outside"))
     pieces = checkpointed(pieces.select("file", "block", "n", "value", (opened - (~ends_in).cast("int")).alias("change"), ends_in.alias("ends_in")))
-    pieces = before(pieces, F.col("change"), "depth").withColumn("after", F.col("depth") + F.col("change"))
+    pieces = before(pieces, F.col("change"), "depth", tasks).withColumn("after", F.col("depth") + F.col("change"))
     # the outer object's own end, and what comes behind it
     pieces = pieces.where((F.col("after") >= 0) & ((F.col("depth") > 0) | (F.col("change") >= 0)))
     ends = ~F.col("ends_in") & (F.col("after") <= 1)
-    pieces = before(checkpointed(pieces.select("file", "block", "n", "value", "depth", "after", ends.alias("ends"))), F.col("ends"), "entry")
+    pieces = checkpointed(pieces.select("file", "block", "n", "value", "depth", "after", ends.alias("ends")))
+    pieces = before(pieces, F.col("ends"), "entry", tasks).repartition(tasks, "file", "entry")
     text = F.when(F.col("depth") == 0, F.regexp_replace("value", r"^\s*\{", "")).otherwise(F.col("value"))
     whole = pieces.groupBy("file", "entry").agg(F.sort_array(F.collect_list(F.struct("block", "n", text.alias("text")))).alias("own"), F.min("after").alias("last"))
     body = F.concat(F.array_join(F.col("own.text"), "}"), F.when(F.col("last") >= 1, "}").otherwise(""))

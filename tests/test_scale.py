@@ -28,6 +28,15 @@ def test_istanbul_looks_nothing_up_in_a_map(spark, tmp_path):
     assert "element_at(" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_istanbul_entries_are_bounded(spark, monkeypatch):
+    want = sorted(map(tuple, QUERIES["istanbul_hits"](spark, SF).collect()))
+    seen = []
+    monkeypatch.setattr(queries, "STATEMENTS", 4)
+    monkeypatch.setattr(readers, "istanbul", lambda s, at, own=readers.istanbul: seen.extend(r[0].count('"start"') for r in s.read.text(at).collect()) or own(s, at))
+    assert sorted(map(tuple, QUERIES["istanbul_hits"](spark, SF).collect())) == want
+    assert max(seen) <= 4 and sum(seen) > 100
+
+
 def test_a_scan_looks_only_for_what_is_asked(monkeypatch):
     files = pd.DataFrame({"file_path": ["a.ts"], "language_id": ["typescript"], "content": ['import {{ f }} from "./f";\nexport function g(a) { if (a) { f(a); } }'.replace("{{", "{").replace("}}", "}")]})
     tags = lambda *k: set(pd.concat(I._scan(iter([files]), k or I.KINDS))["tag"])
